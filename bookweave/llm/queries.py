@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookweave.llm import bpe
+from bookweave.llm import bpe, chat, reshard, topk
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python of a thousand rows, so that whole texts fit in a small worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -31,8 +37,45 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that quotes the template's control strings, formatted, read back and digested."""
+    path = public_tokenizers.path(VOCABULARY)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    quote = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", quote), (-1, 1, "assistant", quote)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(turns.unionByName(extra), path, public_tokenizers.PATTERN)
+    return chat.digest_conversations(chat.read_turns(formatted, path, public_tokenizers.PATTERN))
+
+
+def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents moved from 12 shards by text hash to 16 shards of near equal bytes."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _documents(spark, sf_dir).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("group"),
+    )
+    old = F.pmod(F.shiftright("group", 32), F.lit(12))
+    placed = reshard.reshard(docs, old, 12, 16, "size", F.col("group"), "doc_id")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best inner products of every hundredth vector with all others."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(topk.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", topk.quantise(F.col("embedding")).alias("vector"))
+    return topk.search(vectors.where("vec_id % 100 = 0"), vectors, 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op5_reshard": op5_reshard,
+    "op7_top_k": op7_top_k,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat.ORACLE,
+    "op7_top_k": topk.ORACLE,
+}
