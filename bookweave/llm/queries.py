@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookweave.llm import bpe, chat, reshard, topk
+from bookweave.llm import bpe, chat, reshard, simhash, topk
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -47,6 +47,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.read_turns(formatted, path, public_tokenizers.PATTERN))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    groups = simhash.near_groups(_documents(spark, sf_dir))
+    return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents moved from 12 shards by text hash to 16 shards of near equal bytes."""
     text = F.coalesce("text", F.lit(""))
@@ -70,6 +76,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op4_simhash": op4_simhash,
     "op5_reshard": op5_reshard,
     "op7_top_k": op7_top_k,
     "op9_byte_bpe": op9_byte_bpe,
