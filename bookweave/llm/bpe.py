@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 #: Pieces up to this many bytes are encoded in groups and remembered.
 SHORT = 64
 #: Pieces remembered in each of two generations; the older one is dropped when the younger is full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Trees that are merged together.
 GROUP = 8192
 _NONE = np.int64(1) << np.int64(60)
@@ -53,7 +53,6 @@ class BpeCodec:
         order = np.argsort(np.array(keys, dtype=np.int64))
         self.pair_key = np.array(keys, dtype=np.int64)[order]
         self.pair_id = np.array(made, dtype=np.int64)[order]
-        self.pairs = dict(zip(keys, made, strict=True))
         self.young: dict[str, bytes] = {}  # int32 ids
         self.old: dict[str, bytes] = {}
 
@@ -68,12 +67,12 @@ class BpeCodec:
             return [whole]
         n = len(piece)
         width = 1 << max(1, (n - 1).bit_length())
-        none, pairs = int(_NONE), self.pairs
+        none, token, find = int(_NONE), self.token, self.ranks.get
         ids = self.byte[np.frombuffer(piece, dtype=np.uint8)].tolist() + [0]
         after, before = list(range(1, n + 2)), list(range(-1, n))
         tree = [none] * (2 * width)
         for i in range(n - 1):
-            rank = pairs.get(ids[i] << 32 | ids[i + 1])
+            rank = find(token[ids[i]] + token[ids[i + 1]])
             if rank is not None:
                 tree[width + i] = rank * width + i
         for x in range(width - 1, 0, -1):
@@ -99,11 +98,11 @@ class BpeCodec:
             if k <= n:
                 before[k] = i
             put(j, none)
-            right = pairs.get(rank << 32 | ids[k]) if k < n else None
+            right = find(token[rank] + token[ids[k]]) if k < n else None
             put(i, none if right is None else right * width + i)
             p = before[i]
             if p >= 0:
-                left = pairs.get(ids[p] << 32 | rank)
+                left = find(token[ids[p]] + token[rank])
                 put(p, none if left is None else left * width + p)
         out, i = [], 0
         while i < n:
@@ -209,7 +208,7 @@ def codec_of(shared, pattern: str) -> BpeCodec:
     return _CODECS[key]
 
 
-def _slices(values: list, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _slices(values: list, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about size characters together, to group the encoding of many short ones."""
     start = total = 0
     for i, v in enumerate(values):
@@ -254,16 +253,27 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the bytes of their token ids, binary. Null ids give no bytes; unknown ids raise."""
-    ranks = load_ranks(vocabulary)
-    shared = rows.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+    token = {i: b for b, i in load_ranks(vocabulary).items()}
+    words = [token.get(i, b"") for i in range(max(token) + 1)]
+    lengths = np.array([len(w) if i in token else -1 for i, w in enumerate(words)], dtype=np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(words), dtype=np.uint8), lengths))
     rest = rows.drop(out)
     schema = T.StructType([*rest.schema.fields, T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        raw, length = shared.value
+        starts = np.cumsum(length.clip(0)) - length.clip(0)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            made = [b"".join(map(token, x)) if x else b"" for x in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, out])
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            counts = np.array(column.value_lengths().fill_null(0), dtype=np.int64)
+            size = length[flat]
+            if (size < 0).any():
+                raise ValueError("an id is not in the vocabulary")
+            ends = np.concatenate([[0], np.cumsum(size)])
+            values = raw[np.repeat(starts[flat] - ends[:-1], size) + np.arange(ends[-1])]
+            marks = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+            made = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(marks), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
     return rest.mapInArrow(run, schema)
