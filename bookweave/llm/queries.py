@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookweave.llm import bpe, chat, reshard, simhash, topk
+from bookweave.llm import bpe, chat, langid, reshard, simhash, topk
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -47,6 +47,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.read_turns(formatted, path, public_tokenizers.PATTERN))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of them."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     groups = simhash.near_groups(_documents(spark, sf_dir))
@@ -76,6 +83,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op5_reshard": op5_reshard,
     "op7_top_k": op7_top_k,
