@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookweave.llm import bpe, chat, langid, reshard, simhash, topk
+from bookweave.llm import bpe, chat, langid, pii, reshard, simhash, topk
 
+#: The key of the registered queries; a user passes a secret one.
+PSEUDONYM_KEY = b"bookweave example key"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -81,6 +83,12 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.where("vec_id % 100 = 0"), vectors, 10)
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data under pseudonyms."""
+    out = pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
+    return out.select("doc_id", "text", pii.total().alias("n_found"), F.array_sort(F.map_keys("found")).alias("kinds"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_language": op3_language,
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_reshard": op5_reshard,
     "op7_top_k": op7_top_k,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 ORACLES: dict[str, str] = {
