@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookweave.llm import bpe, chat, langid, pii, reshard, simhash, topk
+from bookweave.llm import bpe, chat, decontam, langid, pii, reshard, simhash, topk
 
 #: The key of the registered queries; a user passes a secret one.
 PSEUDONYM_KEY = b"bookweave example key"
@@ -76,6 +76,13 @@ def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents hold benchmark items, with up to one edit in ten characters."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    marked = decontam.mark(_documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    return marked.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best inner products of every hundredth vector with all others."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(topk.usable(F.col("embedding")))
@@ -94,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op5_reshard": op5_reshard,
+    "op6_decontaminate": op6_decontaminate,
     "op7_top_k": op7_top_k,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pseudonyms": op10_pseudonyms,
