@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookweave.llm import bpe, chat, decontam, langid, pii, reshard, simhash, topk
+from bookweave.llm import bpe, chat, decontam, langid, pii, repeats, reshard, simhash, topk
 
 #: The key of the registered queries; a user passes a secret one.
 PSEUDONYM_KEY = b"bookweave example key"
@@ -49,6 +49,23 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.read_turns(formatted, path, public_tokenizers.PATTERN))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without the 13-word passages of earlier ones."""
+    out = repeats.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), repeats.Words(13))
+    return _removed(out, "n_words")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document without the 50-byte passages of earlier ones."""
+    out = repeats.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), repeats.Bytes(50))
+    return _removed(out, "n_bytes", F.size("removed").cast("long").alias("n_spans"))
+
+
+def _removed(out: DataFrame, count: str, *more) -> DataFrame:
+    n = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", F.col("n_symbols").alias(count), n.alias("n_removed"), *more, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from three quarters of them."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
@@ -98,16 +115,20 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op5_reshard": op5_reshard,
     "op6_decontaminate": op6_decontaminate,
     "op7_top_k": op7_top_k,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pseudonyms": op10_pseudonyms,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat.ORACLE,
+    "op2_substring_dedup": repeats.ORACLE_WORDS,
     "op7_top_k": topk.ORACLE,
+    "op8_suffix_dedup": repeats.ORACLE_BYTES,
 }
