@@ -31,11 +31,11 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
     return [sum(1 << b for i, b in enumerate(bits) if ((i % vectors + 1) & v).bit_count() & 1) for v in range(1, vectors + 1)]
 
 
-def composed_masks(radius: int, levels: int) -> list[int]:
-    """Covering masks of a 64-bit fingerprint, applied again to what each leaves free."""
+def composed_masks(radius: int, levels: int, bits: int = BITS) -> list[int]:
+    """Covering masks of a fingerprint of so many bits, applied again to what each leaves free."""
     masks = [0]
     for _ in range(levels):
-        masks = [m | x for m in masks for x in covering_masks([b for b in range(BITS) if not m >> b & 1], radius)]
+        masks = [m | x for m in masks for x in covering_masks([b for b in range(bits) if not m >> b & 1], radius)]
     return masks
 
 
@@ -82,16 +82,16 @@ def shingle_fingerprint(text: str | None, size: int) -> list[int]:
     return [majority(ones, total)]
 
 
-def word_set_fingerprints(text: str | None, copies: int) -> list[int]:
-    """Independent fingerprints of the set of a text's words."""
+def word_set_fingerprints(text: str | None, copies: int, bits: int) -> list[int]:
+    """Independent fingerprints, of so many bits each, of the set of a text's words."""
     words = set(words_of(text))
     base = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
-    out = []
-    for c in range(copies):
+    all_bits, whole = 0, -(-copies * bits // BITS)
+    for c in range(whole):
         h = (base ^ np.uint64(0x9E3779B97F4A7C15 * (c + 1) % 2**64)) * np.uint64(0xC2B2AE3D27D4EB4F)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(majority(_ones(h ^ (h >> np.uint64(29))), len(h)))
-    return out
+        all_bits |= majority(_ones(h ^ (h >> np.uint64(29))), len(h)) << (BITS * c)
+    return [all_bits >> (bits * c) & (1 << bits) - 1 for c in range(copies)]
 
 
 def fingerprints(docs: DataFrame, make: Callable[[str | None], list[int]], row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,36 +200,39 @@ def _forests(radius: int, large: int):
     return run
 
 
-def _buckets(rows: DataFrame, masks: list[int], radius: int, large: int, also: tuple[str, ...] = ()) -> DataFrame:
-    pairs = F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
+def _buckets(rows: DataFrame, masks: list[int], radius: int, large: int) -> DataFrame:
+    table = lambda i: (F.col("copy") * len(masks) + i).cast("long")
+    pairs = F.array(*(F.struct(table(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
     dealt = rows.select(F.explode(pairs).alias("x"), "fp", "id").select("x.t", "x.key", "fp", "id")
     dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
     return dealt.mapInArrow(_forests(radius, large), "a long, b long, t long, key long")
 
 
-def links(rows: DataFrame, radius: int, levels: int = 2, large: int = 1 << 15) -> DataFrame:
+def links(rows: DataFrame, radius: int, levels: int = 2, large: int = 1 << 15, bits: int = BITS) -> DataFrame:
     """Links (a, b) that connect whatever fingerprints within the radius connect, far fewer than the pairs.
 
-    rows: id long and fp long, both not null. Rows of equal fingerprint are linked to the
-    smallest id among them and then stand for one. Within each bucket every id is linked to
-    the smallest id it reaches there, so links grow with rows and tables and not with pairs.
-    `levels` composed coverings leave so few bits free that a bucket is small by
-    construction (at radius 2 and two levels: 12 bits, 4,096 fingerprints); a bucket over
-    `large` is dealt out again under one more level.
+    rows: id long, fp long of so many bits and copy int, none null; an id may have a
+    fingerprint in each of several copies, which are independent of each other. Rows of
+    equal fingerprint are linked to the smallest id among them and then stand for one.
+    Within each bucket every id is linked to the smallest id it reaches there, so links
+    grow with rows and tables and not with pairs. `levels` composed coverings leave few
+    bits free, so that a bucket is small by construction (at 64 bits, radius 2 and two
+    levels: 12 bits, 4,096 fingerprints); a bucket over `large` is dealt out again under
+    one more level.
     """
-    same = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    equal = rows.join(same, "fp").where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    heads = stage_table(same.select(F.col("first").alias("id"), "fp"), "fingerprints")
-    masks = composed_masks(radius, levels)
+    same = rows.groupBy("copy", "fp").agg(F.min("id").alias("first"))
+    equal = rows.join(same, ["copy", "fp"]).where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    heads = stage_table(same.select(F.col("first").alias("id"), "fp", "copy"), "fingerprints")
+    masks = composed_masks(radius, levels, bits)
     found = stage_table(_buckets(heads, masks, radius, large), "links")
     marked = found.where("t is not null").select("t", "key").distinct()
     pairs = found.where("a is not null").select("a", "b")
     if marked.limit(1).count():
         fixed = F.element_at(F.array(*(F.lit(_signed(m)) for m in masks)), F.col("i").cast("int") + 1)
-        spread = heads.select("id", "fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("i"))
-        spread = spread.select("id", "fp", F.col("i").cast("long").alias("t"), F.col("fp").bitwiseAND(fixed).alias("key"))
-        again = spread.join(marked, ["t", "key"], "left_semi").select("id", "fp").distinct()
-        deeper = _buckets(again, composed_masks(radius, levels + 1), radius, 1 << 62)
+        spread = heads.select("id", "fp", "copy", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("i"))
+        spread = spread.select("id", "fp", "copy", (F.col("copy") * len(masks) + F.col("i")).cast("long").alias("t"), F.col("fp").bitwiseAND(fixed).alias("key"))
+        again = spread.join(marked, ["t", "key"], "left_semi").select("id", "fp", "copy").distinct()
+        deeper = _buckets(again, composed_masks(radius, levels + 1, bits), radius, 1 << 62)
         pairs = pairs.unionByName(stage_table(deeper.where("a is not null").select("a", "b"), "links"))
     return equal.unionByName(pairs).distinct()
 
@@ -246,7 +249,7 @@ def near_groups(docs: DataFrame, shingle_words: int = 3, radius: int = 2, row_id
     fps = fingerprints(docs, lambda t: shingle_fingerprint(t, shingle_words), row_id, text)
     fps = stage_table(fps.select(row_id, F.col("fps")[0].alias("fp")), "simhash")
     heads = fps.groupBy("fp").agg(F.min(row_id).alias("head"))
-    nodes = heads.select(F.col("fp").alias("id"), "fp")
+    nodes = heads.select(F.col("fp").alias("id"), "fp", F.lit(0).alias("copy"))
     groups = connected_components(links(nodes, radius))
     placed = heads.join(groups.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left")
     placed = placed.withColumn("c", F.coalesce("c", "fp"))
@@ -258,3 +261,89 @@ def near_groups(docs: DataFrame, shingle_words: int = 3, radius: int = 2, row_id
 def hex16(fp: Column) -> Column:
     """A fingerprint as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+#: For near duplicates by shingle sets: fingerprints per text, their bits, and the bits in
+#: which one of them may differ. A pair of five-word shingle sets 0.8 alike has word sets
+#: about 0.95 alike and differs in some 3.4 of 40 bits, so a third of its fingerprints are
+#: within the radius and one in 120 pairs has none of twelve there.
+COPIES, SET_BITS, SET_RADIUS = 12, 40, 2
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text."""
+    return np.unique(shingle_hashes(words_of(text), size))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared over all distinct shingles; 1 for two texts that have none."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - both
+    return both / total if total else 1.0
+
+
+def _verified(size: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = (None, None)  # neighbouring rows often share their second text
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            good = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if kept[0] != y:
+                    kept = (y, shingle_set(y, size))
+                if jaccard(shingle_set(x, size), kept[1]) >= least:
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row_id, text_key, group) of the rows of docs that have a row_id: near duplicates by the Jaccard similarity of word shingle sets.
+
+    Equal texts are one node, named by their smallest row_id. A text has COPIES independent
+    SimHash fingerprints of its set of words; those that differ in SET_RADIUS bits or fewer
+    in any of them collide in some table of the covering and become candidates, and a
+    candidate counts where the texts' shingle sets are `similarity` alike or more. group is
+    the smallest row_id that is reached over such links.
+
+    text_key is the SHA-256 of the text; null and empty texts are equal texts. Rows of one
+    row_id and several texts belong to each text's group. Other columns are left out.
+    Shingles count once; a text of fewer than shingle_words words is one shingle.
+    """
+    rows = docs.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    keyed = rows.withColumn("text_key", F.sha2("text", 256))
+    first = keyed.groupBy("text_key").agg(F.min("id").alias("head"))
+    members = stage_table(keyed.select("id", "text_key").join(first, "text_key"), "members")
+    heads = rows.join(members.where("id = head").select("id", "text_key").distinct(), "id")
+    heads = heads.where(F.sha2("text", 256) == F.col("text_key")).groupBy("id", "text_key").agg(F.first("text").alias("text"))
+    # Texts of one row_id stay apart by a number of their own.
+    node = F.xxhash64("text_key")
+    fps = fingerprints(heads.select(node.alias("id"), "text"), lambda t: word_set_fingerprints(t, COPIES, SET_BITS), "id")
+    fps = stage_table(fps, "fingerprints")
+    each = fps.select("id", F.posexplode("fps").alias("copy", "fp"))
+    pairs = stage_table(links(each, SET_RADIUS, levels=1, large=4096, bits=SET_BITS), "candidates")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = stage_table(heads.select(node.alias("id"), "text").join(involved, "id", "left_semi"), "texts")
+    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    edges = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle_words, similarity), "a long, b long"), "edges")
+    groups = connected_components(edges)
+    named = members.select("text_key", "head").distinct().select("text_key", "head", node.alias("node"))
+    named = named.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    smallest = named.groupBy("c").agg(F.min("head").alias("group"))
+    named = stage_table(named.join(smallest, "c").select("text_key", "group"), "groups")
+    return members.join(named, "text_key").select(F.col("id").alias(row_id), "text_key", "group")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest row_id, of repeated rows one.
+
+    Rows without a row_id stay, as no group can name them. All columns stay.
+    """
+    groups = near_duplicates(docs, shingle_words, similarity, row_id, text)
+    kept = groups.where(F.col(row_id) == F.col("group")).groupBy("group").agg(F.min("text_key").alias("_key"))
+    keyed = docs.withColumns({"_key": F.sha2(F.coalesce(text, F.lit("")), 256)})
+    kept = kept.select(F.col("group").alias("_id"), "_key")
+    out = keyed.withColumn("_id", F.col(row_id).cast("long")).join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return out.unionByName(keyed.withColumn("_id", F.col(row_id).cast("long")).where("_id is null")).drop("_id", "_key").select(*(F.col(f"`{c}`") for c in docs.columns))

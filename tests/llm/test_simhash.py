@@ -53,7 +53,7 @@ def planted(n, seed):
 
 def check_links(spark, fps, large, radius=2, levels=2):
     rows = [(i, simhash._signed(f)) for i, f in enumerate(fps)]
-    df = spark.createDataFrame(rows, "id long, fp long")
+    df = spark.createDataFrame(rows, "id long, fp long").withColumn("copy", F.lit(0))
     from bookweave.operators.components import connected_components
 
     got = {r.node: r.component for r in connected_components(simhash.links(df, radius, levels, large)).collect()}
@@ -89,3 +89,50 @@ def test_near_groups(spark):
         assert np.uint64(r.fp & (2**64 - 1)) == fps[text]
         assert r.component_id == (group[r.doc_id] if r.doc_id is not None else group[30])
     assert simhash.near_groups(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(3000)]
+    rows = []
+    for i in range(40):
+        words = [rng.choice(vocab) for _ in range(rng.randint(60, 200))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(rng.randint(0, 4)):
+            new = list(words)
+            for _ in range(rng.randint(0, 4)):
+                new[rng.randrange(len(new))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(new)))
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A b"), (3, rows[3][1]), (None, rows[3][1]), (3, "another text of the same number")]
+    ids = {}
+    sets = []
+    for i, t in rows:
+        if i is not None and (t or "") not in ids:
+            ids[t or ""] = len(sets)
+            sets.append(set(simhash.shingle_set(t, 5).tolist()))
+    label = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        total = len(sets[i] | sets[j])
+        if (len(sets[i] & sets[j]) / total if total else 1) >= 0.8:
+            a, b = label[i], label[j]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+    want = {}
+    for i, t in rows:
+        if i is not None:
+            want.setdefault(label[ids[t or ""]], set()).add(i)
+    smallest = {k: min(v) for k, v in want.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"group": F.lit("x"), "text_key": F.lit(1), "id": F.lit(2)})
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == len(rows) - 1
+    missed = [r for r in got if r.group != smallest[label[ids[next(t or "" for i, t in rows if i == r.doc_id and simhash_key(t) == r.text_key)]]]]
+    assert len(missed) <= 1  # a pair has no candidate once in 120
+    kept = simhash.keep_one(df).collect()
+    assert sum(r.doc_id is not None for r in kept) == len({r.group for r in got})
+    assert {r.doc_id for r in kept if r.doc_id is not None} == {r.group for r in got}
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def simhash_key(text):
+    import hashlib
+
+    return hashlib.sha256((text or "").encode()).hexdigest()
