@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookweave.plans import valuation
+from bookweave.plans import history, risk, valuation  # noqa: F401
+# Importing these modules registers their queries.
 from bookweave.plans.registry import ORACLES, QUERIES
 
 

@@ -137,7 +137,7 @@ def win4_split_adjusted_quantity(spark, sf_dir):
 @query("""
 , lot AS (SELECT book, ticker, seq AS row_no, q, CASE WHEN seq % 17 = 0 THEN NULL ELSE px END AS px, CASE WHEN seq % 3 = 0 THEN '' ELSE ticker || '-' || seq END AS name FROM trade)
 SELECT book, ticker, round(sum(q), 4) AS qty, round(CASE WHEN count(*) = count(px) THEN sum(abs(q) * px) / sum(abs(q)) END, 4) AS entry,
-  min(sign(q)) < max(sign(q)) AS conflict, arg_max(name, row_no) FILTER (name <> ''), count(*) AS lots FROM lot GROUP BY book, ticker
+  min(sign(q)) < max(sign(q)) AS conflict, arg_max(name, row_no) FILTER (name <> '') AS name, count(*) AS lots FROM lot GROUP BY book, ticker
 """)
 def agg1_lot_rollup(spark, sf_dir):
     lots = tables.trades(spark, sf_dir).select(
