@@ -115,32 +115,61 @@ class Passages:
         key, n = np.unique(np.concatenate([passage * wide + band + 1, passage * wide + band]), return_counts=True)
         passage, band = np.divmod(key, wide)
         good = n >= self.needed[passage]
-        return [(p, (b - 1) * (self.edits[p] + 1) - LONG) for p, b in zip(passage[good].tolist(), band[good].tolist(), strict=True)]
+        if not good.any():
+            return []
+        # Of these, count the passage's own places, each once however often the text repeats its q-gram.
+        wanted = key[good]
+        own = np.concatenate([self.passage[each] * wide + diagonal // (self.edits[self.passage[each]] + 1) + x for x in (1, 0)])
+        kept = np.isin(own, wanted)
+        spots = np.concatenate([self.place[each]] * 2)[kept]
+        places_of = np.unique(np.searchsorted(wanted, own[kept]) * wide + spots) // wide
+        n = np.bincount(places_of, minlength=len(wanted))
+        passage, band = np.divmod(wanted[n >= self.needed[passage[good]]], wide)
+        return [(p, (b - 1) * (self.edits[p] + 1) - LONG) for p, b in zip(passage.tolist(), band.tolist(), strict=True)]
 
     def find(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, start, end, edits) of occurrences in codes, ends exclusive."""
+        whole: set[int] = set()  # passages that are there as they are
         for p, low in self.bands(codes):
-            hit = align(self.codes[p], codes, low, 2 * (int(self.edits[p]) + 1), int(self.edits[p]))
+            if p in whole:
+                continue
+            pattern, width = self.codes[p], 2 * (int(self.edits[p]) + 1)
+            hit = same(pattern, codes, int(low), width) or align(pattern, codes, int(low), width, int(self.edits[p]))
             if hit:
+                if not hit[2]:
+                    whole.add(p)
                 yield int(self.item[p]), *hit
 
 
+def same(pattern: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int] | None:
+    """(start, end, 0) of pattern itself on diagonals low to low + width - 1."""
+    for start in range(max(0, low), min(low + width, len(text) - len(pattern) + 1)):
+        if text[start] == pattern[0] and np.array_equal(text[start : start + len(pattern)], pattern):
+            return start, start + len(pattern), 0
+    return None
+
+
 def _last_row(pattern: np.ndarray, text: np.ndarray, low: int, width: int, budget: int, free: bool) -> np.ndarray | None:
-    """Edits of pattern against text up to place len(pattern) + low + d, for each diagonal d; None once all exceed the budget."""
-    slot = np.arange(width)
-    far = len(pattern) + len(text) + 1
-    row = np.where((low + slot >= 0) & (low + slot <= len(text)), 0 if free else np.abs(low + slot), far)
-    for i, c in enumerate(pattern):
-        at = low + i + slot  # place of the text's character that meets the pattern's i-th on each diagonal
-        inside = (at >= 0) & (at < len(text))
-        step = row + np.where(inside, text[np.clip(at, 0, max(0, len(text) - 1))] != c, far) if len(text) else np.full(width, far)
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        step[(at + 1 < 0) | (at + 1 > len(text))] = far
+    """Edits of pattern against text up to place len(pattern) + low + d, for each diagonal d; None once all exceed the budget.
+
+    Places outside the text hold a character that equals none, which is as dear as leaving
+    the pattern's character out.
+    """
+    m, slot = len(pattern), np.arange(width)
+    held = np.full(m + width, 0xFFFFFFFF, dtype=np.uint32)
+    a, b = max(0, low), min(len(text), low + m + width)
+    if a < b:
+        held[a - low : b - low] = text[a:b]
+    other = (np.lib.stride_tricks.sliding_window_view(held, width)[:m] != pattern[:, None]).astype(np.int32)
+    row = np.zeros(width, dtype=np.int32) if free else np.where(low + slot >= 0, low + slot, m + width).astype(np.int32)
+    slot = slot.astype(np.int32)
+    for i in range(m):
+        step = row + other[i]
+        np.minimum(step[:-1], row[1:] + 1, out=step[:-1])
         row = np.minimum.accumulate(step - slot) + slot
-        row[(at + 1 < 0) | (at + 1 > len(text))] = far
-        if row.min() > budget:
+        if i % 8 == 7 and row.min() > budget:
             return None
-    return row
+    return row if row.min() <= budget else None
 
 
 def align(pattern: np.ndarray, text: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
@@ -149,12 +178,12 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, width: int, budget: i
     if row is None:
         return None
     edits = int(row.min())
-    end = len(pattern) + low + int(row.argmin())
+    end = min(max(0, len(pattern) + low + int(row.argmin())), len(text))
     # Backwards from the end, to find where it starts.
     a = max(0, end - len(pattern) - budget)
     back = _last_row(pattern[::-1], text[a:end][::-1], -budget, 2 * budget + 1, budget, False)
-    start = end - (len(pattern) - budget + int(back.argmin())) if back is not None else max(0, end - len(pattern))
-    return start, end, edits
+    start = end - (len(pattern) - budget + int(back.argmin())) if back is not None else end - len(pattern)
+    return max(0, start), end, edits
 
 
 def leaks_of(passages: Passages, text: str | None) -> list[tuple[int, int, int, int]]:
