@@ -24,9 +24,8 @@ def clean_number(v: Column) -> Column:
     """A number without currency signs, commas, percent signs or spaces; brackets mean negative; percent is not divided."""
     text = F.trim(v)
     bare = F.regexp_replace(text, r"[$£€,%\s()]", "")
-    x = bare.try_cast("double")
-    x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-    return F.when(missing(v), F.lit(None).cast("double")).when(text.rlike(r"^\(.*\)$"), -F.abs(x)).otherwise(x)
+    x = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"), bare).try_cast("double")
+    return F.when(text.rlike(r"^\(.*\)$"), -F.abs(x)).otherwise(x)
 
 
 def ticker(v: Column) -> Column:

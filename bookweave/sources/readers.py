@@ -29,7 +29,9 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFr
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _corrupt string"
     raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", True).csv(path)
     raw = raw.withColumn("source", F.col("_metadata.file_name"))
-    return raw.where("_corrupt is null").drop("_corrupt"), raw.where("_corrupt is not null").select("source", F.col("_corrupt").alias("record"), F.lit("row width").alias("issue"))
+    # The other columns stay in the condition, since Spark reads no corrupt records alone.
+    bad = F.col("_corrupt").isNotNull() & F.coalesce(*columns, "_corrupt").isNotNull()
+    return raw.where(~bad).drop("_corrupt"), raw.where(bad).select("source", F.col("_corrupt").alias("record"), F.lit("row width").alias("issue"))
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
