@@ -6,8 +6,9 @@ equal windows pick equal anchors. Neighbouring windows mostly pick the same one,
 of n symbols has about 2n / (L - K + 2) anchors. Only windows whose anchor is in two or more
 documents can be repeats. These go, with the text they cover, to the task of their anchor,
 which settles them with a solver: suffix automata for words, bucket-pointer refinement for
-bytes. An anchor in more than HOT documents is not gathered: its windows are settled by a
-pre-aggregated minimum of the document id per window, and a join that can be split.
+bytes. An anchor in more than HOT documents is not gathered: pre-aggregated minima of the
+document id settle its runs of windows as wholes, and then, for the first document of each
+different run, the single windows, with joins that can be split.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from bookweave.plans.scratch import stage_table
 
 #: Documents that may share an anchor for its windows to be gathered in one task.
-HOT = 256
+HOT = 1024
 #: Symbols whose windows are hashed at once.
 PIECE = 1 << 20
 #: Bytes of passages that a solver settles at once.
@@ -133,6 +134,27 @@ def _gathered(symbols: Symbols):
     return run
 
 
+def _hot_runs(symbols: Symbols):
+    """Runs with a hot anchor: (anchor, c1, c2, doc, rid, start, n); c1 and c2 are hashes of all that the run covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "c1", "c2", "doc", "rid", "start", "n"]
+        for batch in batches:
+            out: list[list[int]] = [[] for _ in names]
+            for doc, text, rid, hot in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                wanted = np.array(hot, dtype=np.int64)
+                read = symbols.read(text)
+                for starts, counts, anchor in symbols.runs(read):
+                    for i in np.flatnonzero(np.isin(anchor, wanted)).tolist():
+                        s, n = int(starts[i]), int(counts[i])
+                        h = xxhash.xxh3_128_intdigest(symbols.passage(read, s, s + n + symbols.length - 1))
+                        for column, x in zip(out, (int(anchor[i]), (h >> 64) - (1 << 63), h % (1 << 64) - (1 << 63), doc, rid, s, n), strict=True):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
+
+    return run
+
+
 def _windows(symbols: Symbols):
     """Windows with a hot anchor: (w1, w2, doc, rid, start)."""
 
@@ -208,9 +230,9 @@ def _settle(symbols: Symbols):
 def repeated_spans(docs: DataFrame, symbols: Symbols, row_id: str, text: str) -> DataFrame:
     """(doc, rid, spans) of the rows that have a repeat; rid is a hash of the text, spans are unmerged."""
     rows = docs.select(F.col(row_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    anchors = rows.mapInArrow(_anchors(symbols), "anchor long, doc long")
-    seen = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
-    shared = seen.where("lo < hi").select("anchor", (F.col("n") > HOT).alias("hot"))
+    anchors = stage_table(rows.mapInArrow(_anchors(symbols), "anchor long, doc long"), "anchors")
+    # A text gives each of its anchors once, so two rows are two documents (or a repeated row, which does no harm).
+    shared = anchors.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > HOT).alias("hot"))
     by_doc = anchors.join(shared, "anchor").groupBy("doc").agg(
         F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
     )
@@ -224,10 +246,21 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, row_id: str, text: str) ->
 
     hot = by_doc.where(F.size("hot") > 0).select("doc", "hot")
     if hot.limit(1).count():
-        windows = keyed.join(hot, "doc").select("doc", "text", "rid", "hot").mapInArrow(_windows(symbols), "w1 long, w2 long, doc long, rid long, start long")
+        runs = keyed.join(hot, "doc").select("doc", "text", "rid", "hot")
+        runs = runs.mapInArrow(_hot_runs(symbols), "anchor long, c1 long, c2 long, doc long, rid long, start long, n long")
+        runs = stage_table(runs, "runs")
+        kinds = runs.groupBy("anchor", "c1", "c2").agg(F.min("doc").alias("first"))
+        whole = runs.join(kinds.drop("anchor"), ["c1", "c2"]).where("doc > first")
+        whole = whole.select("doc", "rid", "start", (F.col("start") + F.col("n") + symbols.length - 1).alias("end"))
+        # Only the first documents of anchors with different runs have windows left to compare.
+        open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+        left = kinds.join(open_, "anchor").groupBy(F.col("first").alias("doc")).agg(F.collect_set("anchor").alias("hot"))
+        windows = keyed.join(left, "doc").select("doc", "text", "rid", "hot")
+        windows = windows.mapInArrow(_windows(symbols), "w1 long, w2 long, doc long, rid long, start long")
+        windows = stage_table(windows, "windows")
         first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
         found = windows.join(first, ["w1", "w2"]).where("doc > first").select("doc", "rid", "start", (F.col("start") + symbols.length).alias("end"))
-        spans = spans.unionByName(stage_table(found.distinct(), "spans"))
+        spans = spans.unionByName(stage_table(whole.unionByName(found).distinct(), "spans"))
     return spans.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -467,19 +500,21 @@ class Bytes(Symbols):
         depth; the new numbers are the next round's pointers. A place that is alone in
         its bucket stays so and is not sorted again.
         """
-        bucket = np.unique(self._eights(text), return_inverse=True)[1].astype(np.int64)
-        depth = 8
+        _, bucket, size = np.unique(self._eights(text), return_inverse=True, return_counts=True)
+        live, bucket = np.flatnonzero(size[bucket] > 1), bucket.astype(np.int64)
+        depth, top = 8, len(size)
         while depth < self.length:
             step = min(depth, self.length - depth)
-            live = np.flatnonzero(np.bincount(bucket, minlength=1)[bucket] > 1)
             live = live[live + step < len(bucket)]
             if not len(live):
                 break
-            pair = bucket[live] * np.int64(len(text) + 1) + bucket[live + step]
-            new = np.unique(pair, return_inverse=True)[1]
-            out = bucket + (new.max() + 1)
-            out[live] = new
-            bucket = np.unique(out, return_inverse=True)[1].astype(np.int64)
+            # Numbers stay below the last round's count of numbers, so the pair is one integer.
+            pair = bucket[live] * np.int64(top) + bucket[live + step]
+            _, new, size = np.unique(pair, return_inverse=True, return_counts=True)
+            bucket = bucket + len(size)
+            bucket[live] = new
+            top += len(size)
+            live = live[size[new] > 1]
             depth += step
         return np.unique(bucket[at], return_inverse=True)[1]
 
@@ -510,18 +545,22 @@ WITH b AS (
 ), win AS (
   SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS g FROM b, unnest(range(1, length(h) // 2 - 48)) AS t(i)
 ), first AS (
-  SELECT g, min(doc_id) AS m FROM win GROUP BY g
-), cover AS (
-  SELECT DISTINCT doc_id, i + k AS p FROM win JOIN first USING (g), unnest(range(50)) AS t(k) WHERE m < doc_id
+  SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)
+), marks AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new
+  FROM win JOIN first USING (g) WHERE m < doc_id
+), runs AS (
+  SELECT doc_id, i, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marks
 ), spans AS (
-  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (gap) AS n_spans
-  FROM (SELECT doc_id, coalesce(p <> lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 1, true) AS gap FROM cover) GROUP BY doc_id
-), left_over AS (
-  SELECT b.doc_id, string_agg(substr(h, 2 * t.p - 1, 2), '' ORDER BY t.p) AS kept
-  FROM b, unnest(range(1, length(h) // 2 + 1)) AS t(p)
-  WHERE NOT EXISTS (SELECT 1 FROM cover c WHERE c.doc_id = b.doc_id AND c.p = t.p) GROUP BY b.doc_id
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM runs GROUP BY doc_id, r
+), gaps AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS p FROM spans
+), told AS (
+  SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(z) AS z,
+    string_agg(substr(h, 2 * p - 1, 2 * (a - p)), '' ORDER BY a) AS kept
+  FROM gaps JOIN b USING (doc_id) GROUP BY doc_id
 )
 SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM b LEFT JOIN spans ON spans.doc_id = b.doc_id LEFT JOIN left_over ON left_over.doc_id = b.doc_id
+  sha256(unhex(coalesce(kept || substr(h, 2 * z - 1), h))) AS kept_sha256
+FROM b LEFT JOIN told ON told.doc_id = b.doc_id
 """
