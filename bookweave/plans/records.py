@@ -151,12 +151,12 @@ def agg22_coverage(spark, sf_dir):
   SELECT h.book, c.constituent AS security, 0.0::DOUBLE AS direct, CAST(h.value AS DOUBLE) * CAST(c.weight AS DOUBLE) AS indirect FROM h JOIN cons c ON c.parent = h.ticker JOIN okay o ON o.parent = c.parent
   UNION ALL SELECT book, ticker, CAST(value AS DOUBLE), 0.0 FROM h WHERE ticker NOT IN (FROM okay)
 )
-SELECT book, security, round(sum(direct), 3) AS direct, round(sum(indirect), 3) AS indirect, round(sum(direct) + sum(indirect), 3) AS total FROM flat GROUP BY book, security
+SELECT book, security, round(sum(direct), 1) AS direct, round(sum(indirect), 1) AS indirect, round(sum(direct) + sum(indirect), 1) AS total FROM flat GROUP BY book, security
 """)
 def jn8_fin9_look_through(spark, sf_dir):
     h = value_positions(spark, sf_dir).select("book", "ticker", "value")
     out = review.look_through(h, constituents(spark, sf_dir))
-    return rounded(out.withColumn("total", F.col("direct") + F.col("indirect")), 3)
+    return rounded(out.withColumn("total", F.col("direct") + F.col("indirect")), 1)
 
 
 @query(FUNDS + """
