@@ -47,7 +47,8 @@ class Symbols(ABC):
     gram: int
 
     @abstractmethod
-    def read(self, text: str): ...
+    def read(self, text: str, hashed: bool = True):
+        """The symbols of a text, with what their hashes need only where these are asked for."""
 
     @abstractmethod
     def count(self, read) -> int: ...
@@ -298,7 +299,7 @@ def remove_repeats(docs: DataFrame, symbols: Symbols, row_id: str = "doc_id", te
         for batch in batches:
             sizes, removed, kept = [], [], []
             for t, s in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("_spans")).to_pylist(), strict=True):
-                read = symbols.read(t or "")
+                read = symbols.read(t or "", hashed=False)
                 runs = merge([(x["start"], x["end"]) for x in s or []])
                 sizes.append(symbols.count(read))
                 removed.append([{"start": a, "end": b} for a, b in runs])
@@ -316,8 +317,10 @@ class Words(Symbols):
     def __init__(self, length: int = 13, gram: int = 5):
         self.length, self.gram = length, min(gram, length)
 
-    def read(self, text: str) -> tuple[list[bytes], np.ndarray]:
+    def read(self, text: str, hashed: bool = True) -> tuple[list[bytes], np.ndarray | None]:
         words = text.encode().split()
+        if not hashed:
+            return words, None
         known: dict[bytes, int] = {}
         for w in set(words):
             known[w] = xxhash.xxh64_intdigest(w)
@@ -429,7 +432,7 @@ class Bytes(Symbols):
             raise ValueError("windows of 16 bytes or more, with grams of 16")
         self.length, self.gram = length, gram
 
-    def read(self, text: str) -> tuple[bytes, np.ndarray]:
+    def read(self, text: str, hashed: bool = True) -> tuple[bytes, np.ndarray]:
         raw = text.encode()
         return raw, np.frombuffer(raw, dtype=np.uint8)
 
