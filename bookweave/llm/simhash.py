@@ -9,12 +9,13 @@ same construction on the bits that a mask leaves free bounds what can share a bu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookweave.operators.components import connected_components
@@ -82,18 +83,6 @@ def shingle_fingerprint(text: str | None, size: int) -> list[int]:
     return [majority(ones, total)]
 
 
-def word_set_fingerprints(text: str | None, copies: int, bits: int) -> list[int]:
-    """Independent fingerprints, of so many bits each, of the set of a text's words."""
-    words = set(words_of(text))
-    base = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
-    all_bits, whole = 0, -(-copies * bits // BITS)
-    for c in range(whole):
-        h = (base ^ np.uint64(0x9E3779B97F4A7C15 * (c + 1) % 2**64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        all_bits |= majority(_ones(h ^ (h >> np.uint64(29))), len(h)) << (BITS * c)
-    return [all_bits >> (bits * c) & (1 << bits) - 1 for c in range(copies)]
-
-
 def fingerprints(docs: DataFrame, make: Callable[[str | None], list[int]], row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row_id and fps, array<long>, one row per row of docs, of whole texts. A null text counts as empty."""
     rows = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
@@ -263,11 +252,13 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: For near duplicates by shingle sets: fingerprints per text, their bits, and the bits in
-#: which one of them may differ. A pair of five-word shingle sets 0.8 alike has word sets
-#: about 0.95 alike and differs in some 3.4 of 40 bits, so a third of its fingerprints are
-#: within the radius and one in 120 pairs has none of twelve there.
-COPIES, SET_BITS, SET_RADIUS = 12, 40, 2
+#: For near duplicates by shingle sets: texts sampled to tell common shingles, the count
+#: there that makes one common, and the most of them that are broadcast. They set the order
+#: of shingles and so the cost, never the result.
+SAMPLE, COMMON_LEAST, COMMON_MOST = 20_000, 3, 100_000
+#: Comparisons left in all buckets together that are made in one round.
+LAST_ROUND = 1 << 18
+_EPS = 1e-6
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -282,6 +273,126 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / total if total else 1.0
 
 
+def common_shingles(docs: DataFrame, size: int, texts: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the shingles that are common in a sample of so many distinct texts, and the place of each by frequency."""
+    some = docs.select(F.coalesce(text, F.lit("")).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(max(1, texts // SAMPLE))) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size).view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["h"])
+
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_LEAST)
+    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
+    hashes = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], len(rows) - order
+
+
+def prefix(text: str | None, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The first shingles of a text's set, common ones last, that no set `least` alike or more can do without, and the size of the set.
+
+    A text without a word has one shingle of its own kind and a set of size 0.
+    """
+    s = shingle_set(text, size)
+    if not len(s):
+        return np.zeros(1, np.uint64), 0
+    if len(common[0]):
+        at = np.searchsorted(common[0], s)
+        at[at == len(common[0])] = 0
+        s = s[np.argsort(np.where(common[0][at] == s, common[1][at], 0), kind="stable")]
+    return s[: len(s) - math.ceil(least * len(s) - _EPS) + 1], len(s)
+
+
+def _prefixes(size: int, least: float, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            made = [prefix(t, size, least, shared.value) for t in batch.column(1).to_pylist()]
+            n = [len(k) for k, _ in made]
+            keys = np.concatenate([k for k, _ in made]) if made else np.zeros(0, np.uint64)
+            place = np.concatenate([np.arange(x, dtype=np.int32) for x in n]) if made else np.zeros(0, np.int32)
+            columns = [keys.view(np.int64), np.repeat(ids, n), np.repeat(np.array([x for _, x in made], dtype=np.int32), n), place]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "size", "place"])
+
+    return run
+
+
+def _fits(size_a, place_a, size_b, place_b, least: float, low, high):
+    """Whether sets of these sizes can be `least` alike where these places hold the first shingle they share."""
+    alike = low(size_a, size_b) >= least * high(size_a, size_b) - _EPS
+    return alike & (low(size_a - place_a, size_b - place_b) >= least / (1 + least) * (size_a + size_b) - _EPS)
+
+
+def _collisions(least: float):
+    """Streams rows (key, id, size, place) sorted by key and id; gives those of buckets that can hold a near pair.
+
+    Of a near pair, the smaller set has the first shared shingle early: at a place where
+    2 * least / (1 + least) of it is still to come. Such rows are `early`. The first early
+    row of a bucket is its head, `fits` marks the rows that may be near it, and `more`
+    those of buckets of three rows or more, whose other pairs are still to be compared.
+    """
+    names = ["key", "id", "size", "place", "early", "head", "fits", "more"]
+
+    def settle(key, ids, size, place) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(starts, len(key)))
+        early = (size - place) * (1 + least) >= 2 * least * size - _EPS
+        head = np.minimum.reduceat(np.where(early, np.arange(len(key)), len(key)), starts)
+        live = np.repeat((n > 1) & (head < len(key)), n)
+        head, n = np.repeat(head, n)[live], np.repeat(n, n)[live]
+        fits = _fits(size[live], place[live], size[head], place[head], least, np.minimum, np.maximum) & (np.flatnonzero(live) != head)
+        keep = fits | (n > 2)
+        columns = [key[live], ids[live], size[live], place[live], early[live], ids[head], fits, n > 2]
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of the last bucket, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy() for i in range(4)]
+            key = now[0]
+            if key[0] == key[-1] and held and held[-1][0][-1] == key[0]:
+                held.append(now)
+                continue
+            now = [np.concatenate(x) for x in zip(*held, now, strict=True)]
+            last = np.searchsorted(now[0], now[0][-1])
+            if last:
+                yield settle(*(x[:last] for x in now))
+            held = [[x[last:] for x in now]]
+        if held:
+            yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _next_pivots(left: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+    """left with each row's group c, and turn: whether it is compared with its bucket next.
+
+    Buckets in one group, or whose early rows have all had their turn, go. In a bucket the
+    rows of its largest group come first, as the text that the others were made from is
+    often in it.
+    """
+    named = left.join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+    named = named.withColumn("c", F.coalesce("component", "id")).drop("component")
+    bucket = Window.partitionBy("key")
+    free = F.col("early") & ~F.col("used")
+    named = named.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket), "open": F.max(free).over(bucket)}).where("low < high and open")
+    named = named.withColumn("n", F.count("*").over(Window.partitionBy("key", "c")))
+    turn = free & (F.row_number().over(bucket.orderBy(free.desc(), F.desc("n"), "id")) <= most)
+    return named.withColumn("turn", turn).select("key", "id", "size", "place", "early", "used", "c", "turn")
+
+
+def _compared(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the rows whose turn it is and the rows of other groups in their buckets that had none yet."""
+    p = rows.where("turn").select("key", *(F.col(c).alias(f"p_{c}") for c in ("id", "size", "place", "c")))
+    q = rows.where("not used").select("key", "id", "size", "place", "c", "turn")
+    near = _fits(F.col("p_size"), F.col("p_place"), F.col("size"), F.col("place"), least, F.least, F.greatest)
+    both = p.join(q, "key").where((F.col("c") != F.col("p_c")) & (~F.col("turn") | (F.col("p_id") < F.col("id"))) & near)
+    return both.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+
+
 def _verified(size: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (None, None)  # neighbouring rows often share their second text
@@ -301,11 +412,13 @@ def _verified(size: int, least: float):
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_id, text_key, group) of the rows of docs that have a row_id: near duplicates by the Jaccard similarity of word shingle sets.
 
-    Equal texts are one node, named by their smallest row_id. A text has COPIES independent
-    SimHash fingerprints of its set of words; those that differ in SET_RADIUS bits or fewer
-    in any of them collide in some table of the covering and become candidates, and a
-    candidate counts where the texts' shingle sets are `similarity` alike or more. group is
-    the smallest row_id that is reached over such links.
+    Equal texts are one node, named by their smallest row_id. Two sets of shingles that are
+    `similarity` alike share one of the first of each in any fixed order, about a fifth of
+    a set at 0.8, so texts meet in buckets by these, and no pair is missed whatever it
+    differs in. In each bucket one text is compared with the others; then, in rounds,
+    twice as many of those still apart, until every pair of a bucket is compared or
+    joined over others. A pair counts where the shingle sets are `similarity` alike or
+    more. group is the smallest row_id that is reached over such links.
 
     text_key is the SHA-256 of the text; null and empty texts are equal texts. Rows of one
     row_id and several texts belong to each text's group. Other columns are left out.
@@ -319,16 +432,33 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     heads = heads.where(F.sha2("text", 256) == F.col("text_key")).groupBy("id", "text_key").agg(F.first("text").alias("text"))
     # Texts of one row_id stay apart by a number of their own.
     node = F.xxhash64("text_key")
-    fps = fingerprints(heads.select(node.alias("id"), "text"), lambda t: word_set_fingerprints(t, COPIES, SET_BITS), "id")
-    fps = stage_table(fps, "fingerprints")
-    each = fps.select("id", F.posexplode("fps").alias("copy", "fp"))
-    pairs = stage_table(links(each, SET_RADIUS, levels=1, large=4096, bits=SET_BITS), "candidates")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    common = common_shingles(docs.where(F.col(row_id).isNotNull()), shingle_words, members.where("id = head").count(), text)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    dealt = heads.select(node.alias("id"), "text").mapInArrow(_prefixes(shingle_words, similarity, shared), "key long, id long, size int, place int")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "id")
+    met = dealt.mapInArrow(_collisions(similarity), "key long, id long, size int, place int, early boolean, head long, fits boolean, more boolean")
+    met = stage_table(met, "buckets")
+    involved = met.select("id").unionByName(met.select(F.col("head").alias("id"))).distinct()
     texts = stage_table(heads.select(node.alias("id"), "text").join(involved, "id", "left_semi"), "texts")
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    edges = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle_words, similarity), "a long, b long"), "edges")
-    groups = connected_components(edges)
+    pairs = met.where("fits").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    left = met.where("more").select("key", "id", "size", "place", "early", (F.col("id") == F.col("head")).alias("used"))
+    most, compared, edges = 1, None, None
+    while True:
+        pairs = stage_table(pairs, "candidates")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        found = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle_words, similarity), "a long, b long"), "edges")
+        edges = found if edges is None else edges.unionByName(found)
+        groups = stage_table(connected_components(edges), "groups")
+        sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("early") & ~F.col("used")).alias("free"))
+        work = sizes.agg(F.sum(F.col("n") * F.col("free"))).first()[0] or 0
+        most = 2 * most if work > LAST_ROUND else (1 << 31) - 1
+        now = stage_table(_next_pivots(left, groups, most), "buckets")
+        if not now.limit(1).count():
+            break
+        pairs = _compared(now, similarity).join(compared, ["a", "b"], "left_anti")
+        left = now.select("key", "id", "size", "place", "early", (F.col("used") | F.col("turn")).alias("used"))
     named = members.select("text_key", "head").distinct().select("text_key", "head", node.alias("node"))
     named = named.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     smallest = named.groupBy("c").agg(F.min("head").alias("group"))

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -136,3 +137,52 @@ def simhash_key(text):
     import hashlib
 
     return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def brute_near(texts, least=0.8):
+    """Smallest reachable index per text."""
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    label = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(sets[i] & sets[j])
+        total = len(sets[i]) + len(sets[j]) - both
+        if (both / total if total else 1) >= least:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+def check_near(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.group for r in simhash.near_duplicates(df).collect()}
+    want = brute_near(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    return want
+
+
+@pytest.mark.parametrize("last_round", [0, 1 << 18])
+def test_variants_of_one_base_are_joined_over_it(spark, monkeypatch, last_round):
+    monkeypatch.setattr(simhash, "LAST_ROUND", last_round)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(450)]
+    texts = []
+    for _ in range(200):
+        new = list(base)
+        for at in rng.sample(range(450), rng.randint(7, 9)):
+            new[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(new))
+    texts.insert(150, " ".join(base))
+    assert check_near(spark, texts).count(0) > 190
+
+
+def test_appended_and_truncated_copies_are_found(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    footer = fresh(40)
+    texts = []
+    for i in range(60):
+        base = fresh(rng.randint(120, 400))
+        more = int(len(base) * rng.uniform(0.08, 0.27))
+        texts += [" ".join(base), " ".join(base + fresh(more)) if i % 3 == 0 else " ".join(fresh(more) + base) if i % 3 == 1 else " ".join(base[:-more])]
+    texts += [" ".join(fresh(160) + footer) for _ in range(20)] + ["", " ", "a b", "a  b"]
+    assert len(set(check_near(spark, texts))) < len(texts) - 40
