@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 ROUNDS = 10
 _DAYS = (dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal())
-#: Most characters of one value; longer ones are not of a kind.
+#: Characters that are permuted together, and the most of a value that is remembered.
 LONGEST = 128
 
 
@@ -64,7 +64,9 @@ _CLASS = {c: (s, i) for s in _CLASSES for i, c in enumerate(s)}
 
 
 def permute_text(key: bytes, kind: str, text: str, back: bool = False) -> str:
-    """text with its ASCII digits and letters permuted together, each within its class; other characters stay."""
+    """text with its ASCII digits and letters permuted together, each within its class; other characters stay. Longer texts go by pieces of LONGEST."""
+    if len(text) > LONGEST:
+        return "".join(permute_text(key, f"{kind}+{a}" if a else kind, text[a : a + LONGEST], back) for a in range(0, len(text), LONGEST))
     value, size = 0, 1
     for c in text:
         if c in _CLASS:
@@ -104,6 +106,48 @@ def card(key: bytes, text: str, back: bool = False) -> str | None:
     return _fill(text, body + luhn_digit(body))
 
 
+def cards(key: bytes, text: str, back: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the card numbers in a run of digits with single spaces or hyphens.
+
+    Numbers grouped as on a card, or not at all, may stand anywhere between separators, and
+    come first. Then stretches of up to 19 digits are read from left to right, each cut at
+    its separators from the right until it is a card number. A pseudonym is drawn on while
+    it turns what was tried before into a card number, so that the way back reads the same.
+    """
+    groups = [m.span() for m in re.finditer(r"\d+", text)]
+    widths = [b - a for a, b in groups]
+    tried: list[tuple[int, int]] = []
+    for i in range(len(groups)):
+        ends = [i + len(form) for form in _CARD_FORMS if tuple(widths[i : i + len(form)]) == form]
+        tried += [(i, e) for e in ends] + ([(i, i + 1)] if 13 <= widths[i] <= 19 else [])
+    i = 0
+    while i < len(groups):
+        e, n = i, 0
+        while e < len(groups) and n + widths[e] <= 19:
+            n, e = n + widths[e], e + 1
+        last = e
+        while n >= 13:
+            tried.append((i, e))
+            e -= 1
+            n -= widths[e]
+        i = max(last, i + 1)
+    out: list[tuple[int, int, str]] = []
+    failed: list[tuple[int, int]] = []
+    for i, e in dict.fromkeys(tried):
+        a, b = groups[i][0], groups[e - 1][1]
+        if any(a < y and x < b for x, y, _ in out):
+            continue
+        new = card(key, text[a:b], back)
+        if new is None:
+            failed.append((a, b))
+            continue
+        near = [(x, y) for x, y in failed if a < y and x < b]
+        while any(card(key, (text[:a] + new + text[b:])[x:y]) is not None for x, y in near):
+            new = card(key, new, back)
+        out.append((a, b, new))
+    return out
+
+
 def phone(key: bytes, text: str, back: bool = False) -> str | None:
     """A number with a plus sign keeps its first group; one without needs the form of an area code in brackets."""
     digits = re.sub(r"\D", "", text)
@@ -180,15 +224,16 @@ def date(key: bytes, text: str, back: bool = False) -> str | None:
 # What may be of a kind, before its check. The first kind that accepts a text takes it.
 _NUMBER = re.compile(r"(?<![\w.@+-])[+(]?\d[\d ().:/-]{5,}\d(?!\w)")
 _KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
-    ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])"), card),
-    ("date", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?![\d/-])"), date),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])"), ssn),
     ("ipv4", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), ipv4),
     ("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}"), phone),
 )
+_CARDS = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,}")
+_CARD_FORMS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+_DATE = re.compile(r"(?<!\d)(?<!\d[./-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?!\d|[/-]\d)")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-_SECRET = re.compile(r"(?P<head>\b(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<body>[A-Za-z0-9+/_-]{8,128})", re.I)
+_SECRET = re.compile(r"(?P<head>\b(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<body>[A-Za-z0-9+/_-]{8,}(?:\.[A-Za-z0-9+/_-]+)*)", re.I)
 _ACCESS_KEY = re.compile(r"\bAKIA(?P<body>[A-Z0-9]{16})\b")
 
 
@@ -200,7 +245,7 @@ class Pseudonyms:
 
     def _one(self, kind: str, make: Callable, value: str) -> str | None:
         if len(value) > LONGEST:
-            return None
+            return make(self.key, value, self.back)
         at = (kind, value)
         if at not in self.known:
             if len(self.known) > 50_000:
@@ -232,12 +277,24 @@ class Pseudonyms:
         if "AKIA" in text:
             for m in _ACCESS_KEY.finditer(text):
                 take(*m.span("body"), "secret", secret)
+        for m in _DATE.finditer(text):
+            take(*m.span(), "date", date)
         for run in _NUMBER.finditer(text):
+            for m in _CARDS.finditer(text, run.start(), run.end()):
+                at = ("cards", m[0])
+                made = self.known.get(at) or cards(self.key, m[0], self.back)
+                if len(m[0]) <= LONGEST and len(self.known) <= 50_000:
+                    self.known[at] = made
+                found += [(m.start() + a, m.start() + b, "card", new) for a, b, new in made]
             for kind, pattern, make in _KINDS:
                 for m in pattern.finditer(text, run.start(), run.end()):
                     take(*m.span(), kind, make)
         for m in _IBAN.finditer(text):
-            take(*m.span(), "iban", iban)
+            end = m.end()
+            while end > m.start() and self._one("iban", iban, text[m.start() : end]) is None:
+                end = text.rfind(" ", m.start(), end)
+            if end > m.start():
+                take(m.start(), end, "iban", iban)
         if not found:
             return text, {}
         order = {k: i for i, k in enumerate(("email", "secret", "iban", "card", "date", "ssn", "ipv4", "phone"))}

@@ -78,3 +78,36 @@ def test_query(spark, tmp_path):
     spark.createDataFrame([(1, CASES[0][0]), (2, CASES[0][0]), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: r for r in op10_pseudonyms(spark, str(tmp_path)).collect()}
     assert out[1].text == out[2].text != CASES[0][0] and out[1].n_found == 1 and out[3].text is None
+
+
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+WHOLE = [
+    ("token=" + "aB3dE6gH9j" * 30 + " end", "secret", "aB3dE6gH9j" * 30), ("token: " + "k7Q2" * 3000, "secret", "k7Q2" * 3000), (f"token={JWT} end", "secret", JWT),
+    ("to " + "ab.cd" * 8 + "@" + "mail-host-7." * 9 + "example.org now", "email", "ab.cd" * 8),
+    ("card 4111 1111 1111 1111 123 ok", "card", "4111 1111 1111 1111"), ("card 4111111111111111 12/27", "card", "4111111111111111"), ("no 77 4111-1111-1111-1111", "card", "4111-1111-1111-1111"),
+    ("at 2024-01-15T10:30:00Z done", "date", "2024-01-15"), ("file log-2024-01-15.txt", "date", "2024-01-15"), ("pay BE68 5390 0754 7034 PAID", "iban", "BE68 5390 0754 7034"),
+]
+
+
+@pytest.mark.parametrize("text,kind,value", WHOLE)
+def test_whole_values_are_replaced(text, kind, value):
+    new, found = pii.Pseudonyms(KEY).replace(text)
+    assert found == {kind: 1}
+    at = text.index(value)
+    assert new[:at] == text[:at] and new[at + len(value) :] == text[at + len(value) :] and len(new) == len(text)
+    for a in range(0, len(value) - 16, 16):
+        assert kind in ("card", "iban") or new[at + a : at + a + 16] != value[a : a + 16]
+    assert new[at : at + len(value)] != value
+    assert pii.Pseudonyms(KEY, back=True).replace(new)[0] == text
+
+
+def test_cards_beside_other_digits_come_back():
+    rng = random.Random(2)
+    for _ in range(400):
+        body = str(rng.randint(1, 9)) + "".join(rng.choice("0123456789") for _ in range(14))
+        number = body + pii.luhn_digit(body)
+        number = rng.choice([number, " ".join(number[i : i + 4] for i in range(0, 16, 4))])
+        text = rng.choice(["", "7 ", "431 ", "x "]) + number + rng.choice(["", " 9", " 123", "-77", " 12/27"])
+        new, found = pii.Pseudonyms(KEY).replace(text)
+        assert found.get("card") == 1 and new != text
+        assert pii.Pseudonyms(KEY, back=True).replace(new)[0] == text
