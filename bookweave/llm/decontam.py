@@ -8,6 +8,7 @@ with fewer cannot hold an occurrence, and the others are aligned within their di
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,18 +73,25 @@ class Passages:
     first: np.ndarray
     passage: np.ndarray
     place: np.ndarray
+    #: Of each passage, the normal text of an item that it is from and its offset there.
+    source: np.ndarray
+    offset: np.ndarray
+    texts: list[np.ndarray]
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None]]) -> Passages:
-        item, codes = [], []
+        item, codes, source, offset, texts = [], [], [], [], []
         for number, text in items:
             text = normal(text)
+            texts.append(codes_of(text))
             starts = [0] if len(text) <= LONG else [*range(0, len(text) - LONG, STEP), len(text) - LONG]
             for a in starts:
                 piece = codes_of(text[a : a + LONG] if len(text) > LONG else text)
                 if len(piece) >= Q:
                     item.append(number)
                     codes.append(piece)
+                    source.append(len(texts) - 1)
+                    offset.append(a)
         length = np.array([len(c) for c in codes], dtype=np.int64)
         edits = np.minimum((length * ERROR).astype(np.int64), (length - Q) // Q)
         hashes = [gram_hashes(c) for c in codes]
@@ -94,7 +102,7 @@ class Passages:
         table[grams >> np.uint64(64 - _TABLE)] = True
         passage = np.repeat(np.arange(len(codes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        return cls(np.array(item, dtype=np.int64), codes, edits, length - Q + 1 - Q * edits, table, unique, np.append(first, len(grams)), passage[order], place[order])
+        return cls(np.array(item, dtype=np.int64), codes, edits, length - Q + 1 - Q * edits, table, unique, np.append(first, len(grams)), passage[order], place[order], np.array(source, dtype=np.int64), np.array(offset, dtype=np.int64), texts)
 
     def bands(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """(passage, lowest diagonal) of the bands that share enough q-grams with it."""
@@ -128,17 +136,23 @@ class Passages:
         return [(p, (b - 1) * (self.edits[p] + 1) - LONG) for p, b in zip(passage.tolist(), band.tolist(), strict=True)]
 
     def find(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of occurrences in codes, ends exclusive."""
-        whole: set[int] = set()  # passages that are there as they are
+        """(passage, start, end, edits) of occurrences in codes, ends exclusive; one from each band, so some are found twice."""
         for p, low in self.bands(codes):
-            if p in whole:
-                continue
             pattern, width = self.codes[p], 2 * (int(self.edits[p]) + 1)
             hit = same(pattern, codes, int(low), width) or align(pattern, codes, int(low), width, int(self.edits[p]))
             if hit:
-                if not hit[2]:
-                    whole.add(p)
-                yield int(self.item[p]), *hit
+                yield p, *hit
+
+    def span(self, parts: list[tuple[int, int, int, int]], codes: np.ndarray) -> tuple[int, int, int]:
+        """(start, end, edits) of overlapping occurrences of one item's passages as one, edits counted once."""
+        start, end, most = min(x[1] for x in parts), max(x[2] for x in parts), sum(x[3] for x in parts)
+        if len(parts) == 1 or not most:
+            return start, end, most
+        a = min(int(self.offset[x[0]]) for x in parts)
+        b = max(int(self.offset[x[0]]) + len(self.codes[x[0]]) for x in parts)
+        pattern = self.texts[self.source[parts[0][0]]][a:b]
+        row = _last_row(pattern, codes[start:end], -most, 2 * most + 1, most, True)
+        return start, end, most if row is None else int(row.min())
 
 
 def same(pattern: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int] | None:
@@ -186,21 +200,59 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, width: int, budget: i
     return max(0, start), end, edits
 
 
+def distinct(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of the (start, end, edits) of one passage, the best of those that cover each other by half."""
+    kept: list[tuple[int, int, int]] = []  # by place
+    for x in sorted(set(found), key=lambda x: (x[2], x[0], x[1])):
+        i = bisect.bisect(kept, x)
+        if not any(2 * (min(x[1], y[1]) - max(x[0], y[0])) > min(x[1] - x[0], y[1] - y[0]) for y in kept[max(0, i - 2) : i + 2]):
+            kept.insert(i, x)
+    return kept
+
+
 def leaks_of(passages: Passages, text: str | None) -> list[tuple[int, int, int, int]]:
-    """The best occurrence per item in a whole text: (item, start, end, edits), places in the text itself."""
+    """All occurrences of each item in a whole text: (item, start, end, edits), places in the text itself.
+
+    Passages of a long item that overlap in the text and lie there as in the item, but for
+    their edits, are one occurrence. A part of another occurrence of the item is none.
+    """
     flat = normal(text)
     if len(flat) < Q or not passages.codes:
         return []
     codes = codes_of(flat)
-    best: dict[int, tuple[int, int, int]] = {}
+    found: dict[int, list[tuple[int, int, int]]] = {}
     for a in range(0, len(codes), PIECE):
-        for item, start, end, edits in passages.find(codes[a : a + PIECE + 2 * LONG]):
-            if item not in best or (edits, a + start) < best[item][:2]:
-                best[item] = edits, a + start, a + end
-    if not best:
+        for p, start, end, edits in passages.find(codes[a : a + PIECE + 2 * LONG]):
+            found.setdefault(p, []).append((a + start, a + end, edits))
+    if not found:
         return []
+    sources: dict[int, list[tuple[int, int, int, int]]] = {}
+    for p, hits in found.items():
+        sources.setdefault(int(passages.source[p]), []).extend((p, *x) for x in distinct(hits))
+    spans: dict[int, set[tuple[int, int, int]]] = {}
+    for parts in sources.values():
+        open_, chains = [], []  # chains that a later passage may go on, and all
+        for x in sorted(parts, key=lambda x: (x[1], x[0])):
+            open_ = [c for c in open_ if c[-1][2] > x[1]]
+            for c in open_:
+                p, start, _, _ = c[-1]
+                drift = (x[1] - start) - int(passages.offset[x[0]] - passages.offset[p])
+                if x[0] > p and abs(drift) <= passages.edits[p] + passages.edits[x[0]]:
+                    c.append(x)
+                    break
+            else:
+                chains.append([x])
+                open_.append(chains[-1])
+        spans.setdefault(int(passages.item[parts[0][0]]), set()).update(passages.span(c, codes) for c in chains)
     at = places(text)
-    return [(i, int(at[s]), int(at[e - 1]) + 1, k) for i, (k, s, e) in sorted(best.items())]
+    out = []
+    for item, some in sorted(spans.items()):
+        reach = -1
+        for s, e, k in sorted(some, key=lambda x: (x[0], -x[1], x[2])):
+            if e > reach:
+                out.append((item, int(at[s]), int(at[e - 1]) + 1, k))
+                reach = e
+    return out
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks") -> DataFrame:
@@ -208,7 +260,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "
 
     benchmark: item_id and text. Case and runs of white space make no difference. An item of
     up to LONG characters is found as a whole, a longer one by any of its passages, with up
-    to ERROR edits per character; items of fewer than Q characters and null texts take no
+    to ERROR edits per character, and every occurrence is given; items of fewer than Q characters and null texts take no
     part. Repeated items count as one, repeated rows of docs stay, a column of the name
     `out` is replaced and all others stay. Null and empty texts hold nothing.
 

@@ -101,3 +101,26 @@ def test_places():
         assert len(at) == len(flat) + 1
         assert all(c == " " or c in text[at[i]].lower() for i, c in enumerate(flat))
         assert np.all(np.diff(at) >= 0)
+
+
+def test_every_quotation_and_the_whole_of_a_long_item_are_given(monkeypatch):
+    rng = random.Random(21)
+    fill = lambda n: " ".join(f"{rng.randrange(10**9):x}" for _ in range(n))
+    short, long = fill(10), fill(60)
+    assert len(short) <= decontam.LONG < 3 * decontam.LONG < len(long)
+    passages = decontam.Passages.of([(1, short), (2, long)])
+    bent = list(long)
+    for at in range(25, len(long), 50):
+        bent[at] = "#"
+    bent = "".join(bent)
+    pieces = [fill(9), short, fill(30), long, fill(5), short.upper(), fill(7), bent, fill(4), long[: len(long) // 2], fill(6)]
+    text = "  ".join(pieces)
+    for size in (1 << 17, 700):
+        monkeypatch.setattr(decontam, "PIECE", size)
+        leaks = decontam.leaks_of(passages, text)
+        assert [text[s:e] for i, s, e, k in leaks if i == 1] == [short, short.upper()]
+        got = [(text[s:e], k) for i, s, e, k in leaks if i == 2]
+        assert [x for x, _ in got][:2] == [long, bent] and len(got) == 3
+        assert [k for _, k in got][:2] == [0, bent.count("#")]
+        # Of half an item, the end that fills no passage may stay.
+        assert pieces[9].startswith(got[2][0][: len(pieces[9])]) and len(got[2][0]) > len(pieces[9]) - decontam.STEP
