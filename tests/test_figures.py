@@ -122,6 +122,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from bookweave.operators import components
+
+    rounds, real = [], components.stage_table
+    monkeypatch.setattr(components, "stage_table", lambda df, label: rounds.append(label) or real(df, label))
+    got = components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long"))
+    assert got.agg(F.count("*"), F.max("component")).first()[:] == (1001, 0)
+    assert rounds.count("edges") <= 4 and len(rounds) <= 24
+
+
 def test_numbers_dates_and_weights(spark):
     df = spark.createDataFrame([(v,) for v in ("$1,234.50", "(12)", " 5 % ", "n/a", "", None, "abc", "1e3", "-7", "inf")], "v string")
     assert [r[0] for r in df.select(scalars.clean_number(F.col("v"))).collect()] == [1234.5, -12, 5, None, None, None, None, 1000, -7, None]
