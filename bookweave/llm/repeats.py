@@ -1,20 +1,27 @@
 """Removal of passages that also start in an earlier document, over texts as sequences of symbols.
 
 A window of L symbols is a repeat where its symbols also start in a document of smaller id.
-Every window picks an anchor, the smallest hash among its K-grams, by its own content alone;
-equal windows pick equal anchors. Neighbouring windows mostly pick the same one, so a text
-of n symbols has about 2n / (L - K + 2) anchors. Only windows whose anchor is in two or more
-documents can be repeats. These go, with the text they cover, to the task of their anchor,
-which settles them with a solver: suffix automata for words, bucket-pointer refinement for
-bytes. An anchor in more than HOT documents is not gathered: pre-aggregated minima of the
-document id settle its runs of windows as wholes, and then, for the first document of each
-different run, the single windows, with joins that can be split.
+Every window picks an anchor, its K-gram of smallest hash, by its own content alone, so equal
+windows pick equal anchors at the same offset. Neighbouring windows mostly pick the same one;
+such a run of windows covers a passage of 2 * L - K symbols at most. Documents meet by the
+anchors of their runs, as (anchor, hash of the passage, document) without the text. There,
+
+- a passage that an earlier document has too is a repeat as a whole;
+- where an anchor has several passages, the first document of each sends it as text to the
+  anchor's task, and a solver tells which windows are in passages of earlier documents:
+  suffix automata for words, bucket-pointer refinement of a suffix array for bytes;
+- an anchor with more than HOT passages is not gathered: its passages are halved by the offset
+  of the anchor in the window, and the halves meet by the longer stretch that all their windows
+  share. These are settled or halved again; a single window has no other in its group.
+
+Rows that agree within a batch of documents are combined before every exchange.
 """
 
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +30,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookweave.plans.scratch import stage_table
+from bookweave.llm.columns import fresh
+from bookweave.plans.scratch import discard, stage_table
 
-#: Documents that may share an anchor for its windows to be gathered in one task.
+#: Different passages of an anchor that are gathered in one task.
 HOT = 1024
-#: Symbols whose windows are hashed at once.
-PIECE = 1 << 20
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 18
 #: Bytes of passages that a solver settles at once.
 BATCH_BYTES = 4 << 20
+#: Rows of an anchor that are held while its last passage may go on.
+CARRY = 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+#: White space of ASCII.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_PASSAGES = "key long, doc long, rid long, starts array<long>, at int, low int, high int, passage binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -40,190 +54,347 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def eights(part: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as one number; zeros follow the end."""
+    return np.ndarray((len(part),), dtype="<u8", buffer=np.concatenate([part, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first to first + size - 1 of each, one after the other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column without nulls, and where each starts and the last ends."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", dtype=np.uint8), at
+
+
+@dataclass
+class Slab:
+    """Symbols of stretches of texts, one after the other."""
+
+    symbols: np.ndarray
+    #: Of each stretch: its text's row, where it starts in symbols, how many it has, and where its first is in the text.
+    row: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    base: np.ndarray
+    #: Of words: the bytes, and where each word starts and ends.
+    raw: np.ndarray | None = None
+    left: np.ndarray | None = None
+    right: np.ndarray | None = None
+
+
+@dataclass
+class Runs:
+    """Runs of windows that share an anchor: row, first window in the text and in the slab, windows, anchor's place in the slab and hash."""
+
+    row: np.ndarray
+    start: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    place: np.ndarray
+    anchor: np.ndarray
+
+
 class Symbols(ABC):
-    """A text's symbols, the windows over them, and the solver of gathered passages."""
+    """How a text is read as symbols, and the solver of gathered passages."""
 
     length: int
     gram: int
 
     @abstractmethod
-    def read(self, text: str, hashed: bool = True):
-        """The symbols of a text, with what their hashes need only where these are asked for."""
+    def slabs(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Slab]:
+        """All windows of all texts, each in one slab."""
 
     @abstractmethod
-    def count(self, read) -> int: ...
+    def gram_hashes(self, symbols: np.ndarray) -> np.ndarray: ...
 
     @abstractmethod
-    def gram_hashes(self, read, start: int, end: int) -> np.ndarray:
-        """Hashes of the grams that lie in symbols start to end."""
+    def contents(self, slab: Slab, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of a slab that do not depend on those of their grams."""
 
     @abstractmethod
-    def window_hashes(self, read, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the windows at starts."""
+    def passages(self, slab: Slab, first: np.ndarray, size: np.ndarray) -> pa.Array:
+        """Stretches of a slab as bytes."""
 
     @abstractmethod
-    def passage(self, read, start: int, end: int) -> bytes: ...
+    def count_in(self, passage: bytes) -> int: ...
 
     @abstractmethod
-    def keep(self, read, spans: list[tuple[int, int]]) -> bytes: ...
+    def cut(self, passage: bytes, start: int, end: int) -> bytes: ...
+
+    @abstractmethod
+    def remove(self, text: str, spans: list[tuple[int, int]]) -> tuple[int, bytes]:
+        """How many symbols a text has, and its bytes without those of the spans."""
 
     @abstractmethod
     def solve(self, groups: list[tuple[list[bytes], list[int]]]) -> list[list[np.ndarray]]:
         """For each group, of distinct passages and the smallest document of each, in rising order of the documents: a mask per passage of its windows that are in a passage of a smaller document."""
 
-    def runs(self, read) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(first window, windows, anchor) of the runs of windows that share an anchor, by pieces."""
-        n = self.count(read) - self.length + 1
+    def runs(self, slab: Slab) -> Runs:
         span = self.length - self.gram + 1
-        for a in range(0, max(n, 0), PIECE):
-            h = self.gram_hashes(read, a, min(n, a + PIECE) + self.length - 1)
-            low = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
-            width = 1
-            while 2 * width <= span:
-                low = np.minimum(low[:-width], low[width:])
-                width *= 2
-            if width < span:
-                low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-            place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
-            starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            yield starts + a, np.diff(np.append(starts, len(place))), h[place[starts]].view(np.int64)
+        windows = np.maximum(slab.size - self.length + 1, 0)
+        s = ranges(slab.first, windows)
+        if not len(s):
+            none = np.zeros(0, dtype=np.int64)
+            return Runs(none, none, none, none, none, none)
+        h = self.gram_hashes(slab.symbols)
+        low = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        if width < span:
+            low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+        stretch = np.repeat(np.arange(len(windows)), windows)
+        place = (low & np.uint64(0xFFFFFF)).astype(np.int64)[s]
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (stretch[1:] != stretch[:-1])]))
+        first, stretch, place = s[new], stretch[new], place[new]
+        return Runs(slab.row[stretch], first - slab.first[stretch] + slab.base[stretch], first, np.diff(np.append(new, len(s))), place, h[place].view(np.int64))
+
+    def read(self, column: pa.Array) -> Iterator[tuple[Slab, Runs, np.ndarray]]:
+        """Slabs of a column of texts with their runs and the hashes of the runs' passages."""
+        for slab in self.slabs(*text_bytes(column)):
+            if len(slab.symbols) >= self.length:
+                runs = self.runs(slab)
+                if len(runs.row):
+                    yield slab, runs, self.contents(slab, runs.first, runs.n + self.length - 1).view(np.int64)
 
 
 def _anchors(symbols: Symbols):
+    """(anchor, passage hash, doc, told) of the runs of texts, each once for a doc.
+
+    Of the docs of a batch that have a passage, only the smallest goes to its anchor; the
+    others are told here that the passage is a repeat, and go to a place of their own.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, ids, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [anchor for _, _, anchor in symbols.runs(symbols.read(text))]
-                if own:
-                    one = np.unique(np.concatenate(own))
-                    held.append(one)
-                    ids.append(np.full(len(one), doc, dtype=np.int64))
-                    size += len(one)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(ids))], names=["anchor", "doc"])
-                    held, ids, size = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(ids))], names=["anchor", "doc"])
+            ids = batch.column(0).to_numpy()
+            found = [(r.anchor, c, ids[r.row]) for _, r, c in symbols.read(batch.column(1))]
+            if not found:
+                continue
+            k, c, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((doc, c, k))
+            k, c, doc = k[order], c[order], doc[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+            single = new | np.concatenate([[True], doc[1:] != doc[:-1]])
+            k, c, doc, told = k[single], c[single], doc[single], ~new[single]
+            k = np.where(told, mixed(doc.view(np.uint64)).view(np.int64), k)
+            for a in range(0, len(k), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in (k, c, doc, told)], names=["k", "c", "doc", "told"])
 
     return run
 
 
+def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams rows of _anchors sorted by anchor, passage and doc; gives (doc, c, whole).
+
+    whole: the passage is a repeat as it stands. Not whole: it is the first of its kind, and
+    its anchor has other kinds. Anchors of one doc give nothing.
+    """
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+    def decide(k, c, doc, seen, open_: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        kind = new | np.concatenate([[True], c[1:] != c[:-1]])
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        kinds = np.add.reduceat(kind.astype(np.int64), starts)
+        shared = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
+        whole = doc > doc[np.maximum.accumulate(np.where(kind, np.arange(len(k)), 0))]
+        part = kind & (shared | open_)[group] & (kinds > 1)[group]
+        rest = [x[:0] for x in (k, c, doc, seen)]
+        if open_:  # one group, which goes on: rows that tell of it stay, those not decided unseen
+            last = np.flatnonzero(kind)[-1]
+            stay = np.unique([0, last, int(doc.argmin()), int(doc.argmax())])
+            rest = [k[stay], c[stay], doc[stay], seen[stay] | whole[stay] | part[stay]]
+        give = (whole | part) & ~seen
+        return pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (doc, c, whole)], names=["doc", "c", "whole"]), rest
+
+    for batch in batches:
+        told = batch.column(3).to_numpy(zero_copy_only=False)
+        rows = [batch.column(i).to_numpy() for i in range(3)]
+        if told.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[2][told]), pa.array(rows[1][told]), pa.array(told[told])], names=["doc", "c", "whole"])
+            rows = [x[~told] for x in rows]
+        if not len(rows[0]):
+            continue
+        now = [np.concatenate(x) for x in zip(held, [*rows, np.zeros(len(rows[0]), bool)], strict=True)]
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        if last:
+            yield decide(*(x[:last] for x in now), False)[0]
+        held = [x[last:] for x in now]
+        if len(held[0]) > CARRY:
+            out, held = decide(*held, True)
+            yield out
+    if len(held[0]):
+        yield decide(*held, False)[0]
+
+
+_SENT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("starts", pa.list_(pa.int64())), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("passage", pa.binary())])
+
+
+def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mixed(doc.view(np.uint64) * _A + start.view(np.uint64)).view(np.int64)
+
+
+def _told(doc: np.ndarray, rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Repeats, in rows of the passages' form: starts holds the start and the end, passage is null."""
+    n = len(doc)
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2, dtype=np.int32)), pa.array(np.stack([start, end], axis=1).ravel()))
+    none = pa.nulls(n, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(_spread(doc, start)), pa.array(doc), pa.array(rid), pairs, none, none, none, pa.nulls(n, pa.binary())], schema=_SENT)
+
+
 def _gathered(symbols: Symbols):
-    """Runs with a shared anchor: (anchor, doc, rid, start, passage)."""
+    """The repeats that are told, merged, and the passages that are first of their kind, of (doc, text, rid, whole, part)."""
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+
+    def within(runs: Runs, c: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(c), dtype=bool)
+        edge = np.flatnonzero(np.concatenate([[True], runs.row[1:] != runs.row[:-1], [True]]))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            row = runs.row[a]
+            wanted = values[at[row] : at[row + 1]]
+            if len(wanted):
+                out[a:b] = np.isin(c[a:b], wanted)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            size = 0
-            for doc, text, rid, cold in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                wanted = np.array(cold, dtype=np.int64)
-                read = symbols.read(text)
-                for starts, counts, anchor in symbols.runs(read):
-                    for i in np.flatnonzero(np.isin(anchor, wanted)).tolist():
-                        s = int(starts[i])
-                        passage = symbols.passage(read, s, s + int(counts[i]) + symbols.length - 1)
-                        for column, x in zip(out, (int(anchor[i]), doc, rid, s, passage), strict=True):
-                            column.append(x)
-                        size += len(passage)
-                if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names=["anchor", "doc", "rid", "start", "passage"])
-                    out, size = [[], [], [], [], []], 0
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names=["anchor", "doc", "rid", "start", "passage"])
+            ids, rids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            whole, part = lists(batch.column(3)), lists(batch.column(4))
+            for slab, runs, c in symbols.read(batch.column(1)):
+                sure = within(runs, c, *whole)
+                row, start = runs.row[sure], runs.start[sure]
+                end = start + runs.n[sure] + symbols.length - 1
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > end[:-1])])) if len(row) else []
+                if len(new):
+                    last = np.append(new[1:], len(row)) - 1
+                    yield _told(ids[row[new]], rids[row[new]], start[new], end[last])
+                open_ = np.flatnonzero(within(runs, c, *part))
+                if len(open_):
+                    open_ = open_[np.lexsort((runs.start[open_], c[open_], runs.row[open_]))]
+                    row = runs.row[open_]
+                    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (c[open_][1:] != c[open_][:-1])]))
+                    one = open_[new]
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(open_)).astype(np.int32)), pa.array(runs.start[open_]))
+                    n, span = len(one), symbols.length - symbols.gram + 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(runs.anchor[one]), pa.array(ids[runs.row[one]]), pa.array(rids[runs.row[one]]), starts, pa.array((runs.place - runs.first)[one].astype(np.int32)),
+                         pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, span, np.int32)), symbols.passages(slab, runs.first[one], runs.n[one] + symbols.length - 1)],
+                        schema=_SENT,
+                    )
 
     return run
 
 
-def _hot_runs(symbols: Symbols):
-    """Runs with a hot anchor: (anchor, c1, c2, doc, rid, start, n); c1 and c2 are hashes of all that the run covers."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "c1", "c2", "doc", "rid", "start", "n"]
-        for batch in batches:
-            out: list[list[int]] = [[] for _ in names]
-            for doc, text, rid, hot in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                wanted = np.array(hot, dtype=np.int64)
-                read = symbols.read(text)
-                for starts, counts, anchor in symbols.runs(read):
-                    for i in np.flatnonzero(np.isin(anchor, wanted)).tolist():
-                        s, n = int(starts[i]), int(counts[i])
-                        h = xxhash.xxh3_128_intdigest(symbols.passage(read, s, s + n + symbols.length - 1))
-                        for column, x in zip(out, (int(anchor[i]), (h >> 64) - (1 << 63), h % (1 << 64) - (1 << 63), doc, rid, s, n), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
-    return run
+def _spans(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return _told(*(np.array(x, dtype=np.int64) for x in zip(*found, strict=True)))
 
 
-def _windows(symbols: Symbols):
-    """Windows with a hot anchor: (w1, w2, doc, rid, start)."""
+def _settle(symbols: Symbols):
+    """Streams passages sorted by key and doc; gives the repeats among them, and as they are the passages of a key that has too many kinds."""
+    windows = lambda passage: symbols.count_in(passage) - symbols.length + 1
+
+    def settle(groups: list[tuple[dict[bytes, int], list[tuple]]]) -> list[tuple[int, int, int, int]]:
+        found = []
+        for (kinds, rows), masks in zip(groups, symbols.solve([(list(g), list(g.values())) for g, _ in groups]), strict=True):
+            mask_of = dict(zip(kinds, masks, strict=True))
+            for _, doc, rid, starts, _, _, _, passage in rows:
+                mask = mask_of[passage]
+                if mask.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                    found += [(doc, rid, s + a, s + b + symbols.length - 1) for s in starts for a, b in edge]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["w1", "w2", "doc", "rid", "start"])
-
+        found: list[tuple] = []
+        over: list[tuple] = []
+        ready: list[tuple] = []
+        size, key, kinds, rows, large = 0, None, {}, [], False
         for batch in batches:
-            for doc, text, rid, hot in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                wanted = np.array(hot, dtype=np.int64)
-                read = symbols.read(text)
-                for starts, counts, anchor in symbols.runs(read):
-                    pick = np.isin(anchor, wanted)
-                    if pick.any():
-                        each = counts[pick]
-                        at = np.repeat(starts[pick] - np.cumsum(each) + each, each) + np.arange(each.sum())
-                        w1, w2 = symbols.window_hashes(read, at)
-                        held.append((w1.view(np.int64), w2.view(np.int64), np.full(len(at), doc), np.full(len(at), rid), at))
-                        size += len(at)
-                if size > 200_000:
-                    yield batch_of()
-                    held, size = [], 0
-        if held:
-            yield batch_of()
+            passed = batch.filter(batch.column(7).is_null())
+            if passed.num_rows:
+                yield passed
+                batch = batch.filter(batch.column(7).is_valid())
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != key:
+                    if len(kinds) > 1:
+                        ready.append((kinds, rows))
+                    key, kinds, rows, large = row[0], {}, [], False
+                    if size > BATCH_BYTES:
+                        found += settle(ready)
+                        ready, size = [], 0
+                if large:
+                    over.append(row)
+                    continue
+                doc, passage = row[1], row[7]
+                first = kinds.setdefault(passage, doc)
+                if doc > first:
+                    n = windows(passage) + symbols.length - 1
+                    found += [(doc, row[2], s, s + n) for s in row[3]]
+                elif row[6] - row[5] > 1:  # a single window has no other kind in its group
+                    rows.append(row)
+                    size += len(passage)
+                    if len(kinds) > HOT or len(rows) > 4 * HOT:
+                        over += rows
+                        kinds, rows, large = {}, [], True
+            if found:
+                yield _spans(found)
+                found = []
+            if over:
+                yield _batch(over)
+                over = []
+        if len(kinds) > 1:
+            ready.append((kinds, rows))
+        if ready and (found := settle(ready)):
+            yield _spans(found)
 
     return run
 
 
-def _settle(symbols: Symbols):
-    """Streams (anchor, doc, rid, start, passage) sorted by anchor and doc; gives (doc, rid, start, end) of repeats."""
-
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        groups: dict[int, dict[bytes, int]] = {}
-        for anchor, doc, _, _, passage in rows:
-            groups.setdefault(anchor, {}).setdefault(passage, doc)  # rows come by doc, so the first is the smallest
-        hard = [(a, g) for a, g in groups.items() if len(g) > 1]
-        masks = {}
-        for (a, g), found in zip(hard, symbols.solve([(list(g), list(g.values())) for _, g in hard]), strict=True):
-            masks[a] = dict(zip(g, found, strict=True))
-        out: list[list[int]] = [[], [], [], []]
-        for anchor, doc, rid, start, passage in rows:
-            if doc > groups[anchor][passage]:
-                spans = [(start, start + symbols.windows(passage) + symbols.length - 1)]
-            elif anchor in masks and (mask := masks[anchor][passage]).any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                spans = [(start + a, start + b + symbols.length - 1) for a, b in edge.reshape(-1, 2).tolist()]
-            else:
-                continue
-            for a, b in spans:
-                for column, x in zip(out, (doc, rid, a, b), strict=True):
-                    column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc", "rid", "start", "end"])
+def _halved(symbols: Symbols):
+    """Passages as two each, of the windows that have the anchor in the lower and in the upper half of its offsets; equal ones of a batch are combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > BATCH_BYTES and row[0] != held[-1][0]:
-                    yield settle(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield settle(held)
+            first: dict[tuple[int, bytes], tuple] = {}
+            found, more = [], []
+            parts = []
+            for key, doc, rid, starts, at, low, high, passage in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, middle = symbols.count_in(passage) - symbols.length + 1, (low + high) // 2
+                for a, b in ((low, middle), (middle, high)):
+                    s, e = max(0, at - b + 1), min(n - 1, at - a)
+                    if s <= e:
+                        common = symbols.cut(passage, at - a, at - b + 1 + symbols.length)
+                        new = xxhash.xxh3_64_intdigest(common + key.to_bytes(8, "little", signed=True), a) - (1 << 63)
+                        parts.append((new, doc, rid, [x + s for x in starts], at - s, a, b, symbols.cut(passage, s, e + symbols.length)))
+            for row in sorted(parts, key=lambda x: x[1]):
+                kind = (row[0], row[7])
+                held = first.setdefault(kind, row)
+                if held is not row:
+                    if row[1] > held[1]:
+                        size = symbols.count_in(row[7])
+                        found += [(row[1], row[2], s, s + size) for s in row[3]]
+                    elif row[2] == held[2]:
+                        held[3].extend(row[3])
+                    else:
+                        more.append(row)
+            if found:
+                yield _spans(found)
+            if first:
+                yield _batch([*first.values(), *more])
 
     return run
 
@@ -231,38 +402,24 @@ def _settle(symbols: Symbols):
 def repeated_spans(docs: DataFrame, symbols: Symbols, row_id: str, text: str) -> DataFrame:
     """(doc, rid, spans) of the rows that have a repeat; rid is a hash of the text, spans are unmerged."""
     rows = docs.select(F.col(row_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    anchors = stage_table(rows.mapInArrow(_anchors(symbols), "anchor long, doc long"), "anchors")
-    # A text gives each of its anchors once, so two rows are two documents (or a repeated row, which does no harm).
-    shared = anchors.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > HOT).alias("hot"))
-    by_doc = anchors.join(shared, "anchor").groupBy("doc").agg(
-        F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
-    )
+    met = rows.mapInArrow(_anchors(symbols), "k long, c long, doc long, told boolean").repartition("k").sortWithinPartitions("k", "c", "doc")
+    kinds = met.mapInArrow(_classify, "doc long, c long, whole boolean")
+    by_doc = kinds.groupBy("doc").agg(F.collect_list(F.when(F.col("whole"), F.col("c"))).alias("whole"), F.collect_list(F.when(~F.col("whole"), F.col("c"))).alias("part"))
     by_doc = stage_table(by_doc, "anchors")
-    keyed = rows.withColumn("rid", F.xxhash64("text"))
-
-    cold = keyed.join(by_doc.where(F.size("cold") > 0).select("doc", "cold"), "doc").select("doc", "text", "rid", "cold")
-    cold = cold.mapInArrow(_gathered(symbols), "anchor long, doc long, rid long, start long, passage binary")
-    cold = cold.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_settle(symbols), "doc long, rid long, start long, end long")
-    spans = stage_table(cold.distinct(), "spans")
-
-    hot = by_doc.where(F.size("hot") > 0).select("doc", "hot")
-    if hot.limit(1).count():
-        runs = keyed.join(hot, "doc").select("doc", "text", "rid", "hot")
-        runs = runs.mapInArrow(_hot_runs(symbols), "anchor long, c1 long, c2 long, doc long, rid long, start long, n long")
-        runs = stage_table(runs, "runs")
-        kinds = runs.groupBy("anchor", "c1", "c2").agg(F.min("doc").alias("first"))
-        whole = runs.join(kinds.drop("anchor"), ["c1", "c2"]).where("doc > first")
-        whole = whole.select("doc", "rid", "start", (F.col("start") + F.col("n") + symbols.length - 1).alias("end"))
-        # Only the first documents of anchors with different runs have windows left to compare.
-        open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-        left = kinds.join(open_, "anchor").groupBy(F.col("first").alias("doc")).agg(F.collect_set("anchor").alias("hot"))
-        windows = keyed.join(left, "doc").select("doc", "text", "rid", "hot")
-        windows = windows.mapInArrow(_windows(symbols), "w1 long, w2 long, doc long, rid long, start long")
-        windows = stage_table(windows, "windows")
-        first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-        found = windows.join(first, ["w1", "w2"]).where("doc > first").select("doc", "rid", "start", (F.col("start") + symbols.length).alias("end"))
-        spans = spans.unionByName(stage_table(whole.unionByName(found).distinct(), "spans"))
-    return spans.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    sent = rows.withColumn("rid", F.xxhash64("text")).join(by_doc, "doc").select("doc", "text", "rid", "whole", "part").mapInArrow(_gathered(symbols), _PASSAGES)
+    spans, span = [], symbols.length - symbols.gram + 1
+    while True:
+        settled = stage_table(sent.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_settle(symbols), _PASSAGES), "spans")
+        spans.append(settled.where("passage is null").select("doc", "rid", F.col("starts")[0].alias("start"), F.col("starts")[1].alias("end")))
+        over = settled.where("passage is not null")
+        if span == 1 or not over.limit(1).count():
+            break
+        sent, span = over.mapInArrow(_halved(symbols), _PASSAGES), -(-span // 2)
+    discard(by_doc)
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -283,27 +440,29 @@ def remove_repeats(docs: DataFrame, symbols: Symbols, row_id: str = "doc_id", te
     Windows are judged on the input. Texts shorter than a window have no repeat; null texts
     count as empty; rows of null row_id stay whole and remove nothing. Rows of equal
     row_id, repeated or not, do not remove each other's symbols and each keep their own
-    result. Columns of the three names are replaced, all others stay. row_id is an integer.
+    result. Columns of the three names are replaced, all others stay, whatever their names.
+    row_id is an integer. An empty table gives an empty table.
     """
     rest = docs.drop("n_symbols", "removed", "kept")
     spans = repeated_spans(rest, symbols, row_id, text)
-    keyed = rest.withColumns({"_doc": F.col(row_id).cast("long"), "_rid": F.xxhash64(F.col(text))})
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
-    joined = keyed.join(spans, ["_doc", "_rid"], "left").select(*(F.col(f"`{c}`") for c in rest.columns), "_spans")
+    doc_, rid_, spans_ = fresh(rest.columns, "doc", "rid", "spans")
+    keyed = rest.withColumns({doc_: F.col(f"`{row_id}`").cast("long"), rid_: F.xxhash64(F.col(f"`{text}`"))})
+    spans = spans.select(F.col("doc").alias(doc_), F.col("rid").alias(rid_), F.col("spans").alias(spans_))
+    joined = keyed.join(spans, [doc_, rid_], "left").select(*(F.col(f"`{c}`") for c in rest.columns), spans_)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*rest.schema.fields, T.StructField("n_symbols", T.LongType()), T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = schema.names
+    names, texts = schema.names, rest.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, kept = [], [], []
-            for t, s in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("_spans")).to_pylist(), strict=True):
-                read = symbols.read(t or "", hashed=False)
+            for t, s in zip(batch.column(texts).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 runs = merge([(x["start"], x["end"]) for x in s or []])
-                sizes.append(symbols.count(read))
+                n, left = symbols.remove(t or "", runs)
+                sizes.append(n)
                 removed.append([{"start": a, "end": b} for a, b in runs])
-                kept.append(symbols.keep(read, runs))
+                kept.append(left)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=names
             )
@@ -317,44 +476,99 @@ class Words(Symbols):
     def __init__(self, length: int = 13, gram: int = 5):
         self.length, self.gram = length, min(gram, length)
 
-    def read(self, text: str, hashed: bool = True) -> tuple[list[bytes], np.ndarray | None]:
-        words = text.encode().split()
-        if not hashed:
-            return words, None
-        known: dict[bytes, int] = {}
-        for w in set(words):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return words, np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-    def count(self, read) -> int:
-        return len(read[0])
-
-    def _rolled(self, h: np.ndarray, size: int, base: int) -> np.ndarray:
-        out = np.zeros(len(h) - size + 1, dtype=np.uint64)
-        for j in range(size):
-            out = out * np.uint64(base) + h[j : j + len(out)]
-        return out
-
-    def gram_hashes(self, read, start: int, end: int) -> np.ndarray:
-        return mixed(self._rolled(read[1][start:end], self.gram, 0x9E3779B97F4A7C15))
-
-    def window_hashes(self, read, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = int(starts.min()), int(starts.max()) + self.length
-        h = read[1][a:b]
-        return tuple(mixed(self._rolled(x, self.length, base))[starts - a] for x, base in ((h, 0xD6E8FEB86659FD93), (mixed(h), 0xA0761D6478BD642F)))
-
-    def passage(self, read, start: int, end: int) -> bytes:
-        return b" ".join(read[0][start:end])
-
-    def windows(self, passage: bytes) -> int:
-        return passage.count(b" ") + 2 - self.length
+    def slabs(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Slab]:
+        held: list[tuple[int, int, int, int]] = []
+        total = 0
+        for row, (a, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if end - a <= PIECE:
+                held.append((row, a, end, 0))
+                total += end - a
+                if total > PIECE:
+                    yield self._slab(data, held)
+                    held, total = [], 0
+                continue
+            base, piece = 0, PIECE
+            while True:
+                cut = min(end, a + piece)
+                while cut < end and not (space := _SPACE[data[cut : min(end, cut + 4096)]]).any():
+                    cut = min(end, cut + 4096)
+                if cut < end:
+                    cut += int(space.argmax())
+                slab = self._slab(data, [(row, a, cut, base)])
+                step = len(slab.symbols) - self.length + 1
+                if step > 0 or cut == end:
+                    yield slab
+                    if cut == end:
+                        break
+                    a, base, piece = a + int(slab.left[step]), base + step, PIECE
+                else:
+                    piece *= 2
+        if held:
+            yield self._slab(data, held)
+
+    def _slab(self, data: np.ndarray, held: list[tuple[int, int, int, int]]) -> Slab:
+        raw = np.concatenate([data[a:b] for _, a, b, _ in held])
+        bounds = np.concatenate([[0], np.cumsum([b - a for _, a, b, _ in held])])
+        space = np.concatenate([[True], _SPACE[raw], [True]])  # of the place before each, and of that after the last
+        border = np.zeros(len(raw) + 1, dtype=bool)
+        border[bounds] = True
+        inside = ~space[1:-1]
+        left = np.flatnonzero(inside & (space[:-2] | border[:-1]))
+        right = np.flatnonzero(inside & (space[2:] | border[1:])) + 1
+        at = np.searchsorted(left, bounds)
+        row, base = (np.array(x, dtype=np.int64) for x in list(zip(*held, strict=True))[::3])
+        return Slab(self._hashed(raw, left, right), row, at[:-1], np.diff(at), base, raw, left, right)
 
-    def keep(self, read, spans: list[tuple[int, int]]) -> bytes:
-        words, out, at = read[0], [], 0
+    @staticmethod
+    def _hashed(raw: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        u, n = eights(raw), right - left
+        h = n.astype(np.uint64) * _A
+        live, done = np.arange(len(n)), 0
+        while len(live) and done < 256:
+            rest = n[live] - done
+            h[live] = mixed(h[live] * _A + (u[left[live] + done] & _LOW[np.minimum(rest, 8)]))
+            live, done = live[rest > 8], done + 8
+        for i in live.tolist():
+            h[i] = xxhash.xxh64_intdigest(raw[left[i] : right[i]].tobytes())
+        return h
+
+    def gram_hashes(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(symbols) - self.gram + 1, dtype=np.uint64)
+        for j in range(self.gram):
+            out = out * _A + symbols[j : j + len(out)]
+        return mixed(out)
+
+    def contents(self, slab: Slab, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h, out = mixed(slab.symbols ^ _B), size.astype(np.uint64)
+        for j in range(int(size.max())):
+            live = np.flatnonzero(size > j) if j >= self.length else slice(None)
+            out[live] = out[live] * _B + h[first[live] + j]
+        return mixed(out)
+
+    def passages(self, slab: Slab, first: np.ndarray, size: np.ndarray) -> pa.Array:
+        word = ranges(first, size)
+        n = slab.right[word] - slab.left[word] + 1
+        ends = np.cumsum(n)
+        places = ranges(slab.left[word], n)
+        out = np.concatenate([slab.raw, np.zeros(1, np.uint8)])[np.minimum(places, len(slab.raw))]
+        out[ends - 1] = 0x20
+        edges = np.concatenate([[0], ends[np.cumsum(size) - 1]])
+        keep = np.ones(len(out), dtype=bool)
+        keep[edges[1:] - 1] = False
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((edges - np.arange(len(edges))).astype(np.int32)), pa.py_buffer(out[keep])])
+
+    def count_in(self, passage: bytes) -> int:
+        return passage.count(b" ") + 1
+
+    def cut(self, passage: bytes, start: int, end: int) -> bytes:
+        return b" ".join(passage.split(b" ")[start:end])
+
+    def remove(self, text: str, spans: list[tuple[int, int]]) -> tuple[int, bytes]:
+        words, out, at = text.encode().split(), [], 0
         for a, b in spans:
             out += words[at:a]
             at = b
-        return b" ".join(out + words[at:])
+        return len(words), b" ".join(out + words[at:])
 
     def solve(self, groups: list[tuple[list[bytes], list[int]]]) -> list[list[np.ndarray]]:
         out = []
@@ -425,101 +639,138 @@ class SuffixAutomaton:
 
 
 class Bytes(Symbols):
-    """UTF-8 bytes, settled by bucket-pointer refinement."""
+    """UTF-8 bytes, settled by bucket-pointer refinement of a suffix array."""
 
     def __init__(self, length: int = 50, gram: int = 16):
         if length < gram or gram != 16:
             raise ValueError("windows of 16 bytes or more, with grams of 16")
         self.length, self.gram = length, gram
 
-    def read(self, text: str, hashed: bool = True) -> tuple[bytes, np.ndarray]:
-        raw = text.encode()
-        return raw, np.frombuffer(raw, dtype=np.uint8)
-
-    def count(self, read) -> int:
-        return len(read[0])
+    def slabs(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Slab]:
+        held: list[tuple[int, int, int, int]] = []
+        total = 0
+        for row, (a, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            for s in range(a, end - self.length + 1, PIECE):
+                e = min(end, s + PIECE + self.length - 1)
+                held.append((row, s, e, s - a))
+                total += e - s
+                if total > PIECE:
+                    yield self._slab(data, held)
+                    held, total = [], 0
+        if held:
+            yield self._slab(data, held)
 
     @staticmethod
-    def _eights(part: np.ndarray) -> np.ndarray:
-        """The 8 bytes from each place as one number."""
-        view = np.lib.stride_tricks.sliding_window_view(part, 8)
-        return np.ascontiguousarray(view).view("<u8").ravel()
+    def _slab(data: np.ndarray, held: list[tuple[int, int, int, int]]) -> Slab:
+        row, start, end, base = (np.array(x, dtype=np.int64) for x in zip(*held, strict=True))
+        size = end - start
+        return Slab(np.concatenate([data[a:b] for _, a, b, _ in held]), row, np.cumsum(size) - size, size, base)
 
-    def gram_hashes(self, read, start: int, end: int) -> np.ndarray:
-        u = self._eights(read[1][start:end])
+    def gram_hashes(self, symbols: np.ndarray) -> np.ndarray:
+        u = eights(symbols)[: len(symbols) - 7].copy()
         return mixed(u[:-8] * _B + mixed(u[8:]))
 
-    def window_hashes(self, read, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = int(starts.min()), int(starts.max()) + self.length
-        u = self._eights(read[1][a:b])
-        out = []
-        for seed in (_A, _B):
-            h = np.full(len(starts), seed)
-            for j in [*range(0, self.length - 8, 8), self.length - 8]:
-                h = mixed(h * _A + u[starts - a + j])
-            out.append(h)
-        return out[0], out[1]
+    def contents(self, slab: Slab, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        u, out = eights(slab.symbols), size.astype(np.uint64)
+        for j in range(0, int(size.max()) - 7, 8):
+            live = np.flatnonzero(size >= j + 8) if j + 8 > self.length else slice(None)
+            out[live] = mixed(out[live] * _A + u[first[live] + j])
+        return mixed(out * _A + u[first + size - 8])
+
+    def passages(self, slab: Slab, first: np.ndarray, size: np.ndarray) -> pa.Array:
+        edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(slab.symbols[ranges(first, size)])])
 
-    def passage(self, read, start: int, end: int) -> bytes:
-        return read[0][start:end]
+    def count_in(self, passage: bytes) -> int:
+        return len(passage)
 
-    def windows(self, passage: bytes) -> int:
-        return len(passage) + 1 - self.length
+    def cut(self, passage: bytes, start: int, end: int) -> bytes:
+        return passage[start:end]
 
-    def keep(self, read, spans: list[tuple[int, int]]) -> bytes:
-        raw, out, at = read[0], [], 0
+    def remove(self, text: str, spans: list[tuple[int, int]]) -> tuple[int, bytes]:
+        raw, out, at = text.encode(), [], 0
         for a, b in spans:
             out.append(raw[at:a])
             at = b
-        return b"".join([*out, raw[at:]])
+        return len(raw), b"".join([*out, raw[at:]])
 
     def solve(self, groups: list[tuple[list[bytes], list[int]]]) -> list[list[np.ndarray]]:
         passages = [p for ps, _ in groups for p in ps]
         if not passages:
             return []
         sizes = np.array([len(p) for p in passages])
-        begin = np.cumsum(sizes) - sizes
-        doc = np.array([d for _, ds in groups for d in ds])
-        text = np.frombuffer(b"".join(passages) + bytes(8), dtype=np.uint8)
         windows = sizes - self.length + 1
-        at = np.repeat(begin - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-        bucket = self.refine(text, at)
-        owner = np.repeat(doc, windows)
-        low = np.full(bucket.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, bucket, owner)
-        repeat = low[bucket] < owner
-        parts = np.split(repeat, np.cumsum(windows)[:-1])
+        text = np.frombuffer(b"".join(passages), dtype=np.uint8)
+        at = ranges(np.cumsum(sizes) - sizes, windows)
+        number = self.classes(text, self.suffixes(text), at)
+        owner = np.repeat(np.array([d for _, ds in groups for d in ds]), windows)
+        low = np.full(number.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, number, owner)
+        parts = np.split(low[number] < owner, np.cumsum(windows)[:-1])
         out, i = [], 0
         for ps, _ in groups:
             out.append(parts[i : i + len(ps)])
             i += len(ps)
         return out
 
-    def refine(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Buckets of the windows at the given places: equal numbers for equal windows.
+    def suffixes(self, text: np.ndarray, slice_size: int = 1 << 16) -> np.ndarray:
+        """Suffixes of a text in the order of their first `length` bytes at least, by bucket-pointer refinement.
 
-        The first buckets are those of 8-grams. A round sorts by the bucket of a place
-        and of a later offset, as far on as the depth that is settled, which doubles the
-        depth; the new numbers are the next round's pointers. A place that is alone in
-        its bucket stays so and is not sorted again.
+        The first buckets are those of the 8-grams. A suffix's pointer is where its bucket
+        starts in the array. A bucket known to agree in d bytes is sorted by the pointers of
+        the suffixes d further on and falls into buckets that agree in d bytes more than
+        those do. Pointers are set anew after every slice of buckets, so that buckets
+        sorted later, and the same buckets in their next turn, use what is already refined.
+        Buckets of one suffix, or that agree far enough, are not sorted again.
         """
-        _, bucket, size = np.unique(self._eights(text), return_inverse=True, return_counts=True)
-        live, bucket = np.flatnonzero(size[bucket] > 1), bucket.astype(np.int64)
-        depth, top = 8, len(size)
-        while depth < self.length:
-            step = min(depth, self.length - depth)
-            live = live[live + step < len(bucket)]
+        n = len(text)
+        grams = eights(text).byteswap()  # first byte first in the order
+        array = np.argsort(grams, kind="stable")
+        sorted_ = grams[array]
+        pointer, depth = np.empty(n, dtype=np.int64), np.full(n, 8, dtype=np.int64)
+
+        def bucket_starts(new: np.ndarray, places: np.ndarray) -> np.ndarray:
+            return np.maximum.accumulate(np.where(new, places, 0))
+
+        pointer[array] = bucket_starts(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]), np.arange(n))
+        live = np.arange(n)
+        while True:
+            bucket = pointer[array[live]]
+            same = bucket[1:] == bucket[:-1]
+            alone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+            live = live[~alone & (depth[array[live]] < self.length)]
             if not len(live):
-                break
-            # Numbers stay below the last round's count of numbers, so the pair is one integer.
-            pair = bucket[live] * np.int64(top) + bucket[live + step]
-            _, new, size = np.unique(pair, return_inverse=True, return_counts=True)
-            bucket = bucket + len(size)
-            bucket[live] = new
-            top += len(size)
-            live = live[size[new] > 1]
-            depth += step
-        return np.unique(bucket[at], return_inverse=True)[1]
+                return array
+            bucket = pointer[array[live]]
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            cuts = np.unique(np.append(edges[np.searchsorted(edges, np.arange(0, len(live), slice_size), side="right") - 1], len(live)))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                places = live[a:b]
+                suffix = array[places]
+                further = suffix + depth[suffix]
+                inside = further < n
+                further[~inside] = 0
+                key = pointer[suffix] * np.int64(n + 1) + np.where(inside, pointer[further] + 1, 0)
+                deeper = depth[suffix] + np.where(inside, depth[further], self.length)
+                order = np.argsort(key, kind="stable")
+                suffix, key = suffix[order], key[order]
+                array[places] = suffix
+                pointer[suffix] = bucket_starts(np.concatenate([[True], key[1:] != key[:-1]]), places)
+                depth[suffix] = deeper[order]
+
+    def classes(self, text: np.ndarray, array: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the windows at the given places, equal for equal windows: neighbours in the suffix array are compared."""
+        wanted = np.zeros(len(text), dtype=bool)
+        wanted[at] = True
+        order = array[wanted[array]]
+        u = eights(text)
+        new = np.zeros(len(order), dtype=bool)
+        for j in [*range(0, self.length - 8, 8), self.length - 8]:
+            x = u[order + j]
+            new[1:] |= x[1:] != x[:-1]
+        number = np.empty(len(text), dtype=np.int64)
+        number[order] = np.cumsum(new)
+        return number[at]
 
 
 ORACLE_WORDS = r"""

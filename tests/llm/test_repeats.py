@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,11 +54,12 @@ def test_equal_to_brute_force(spark, monkeypatch, kind, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     if hot == 2:
         monkeypatch.setattr(repeats, "PIECE", 64)
+        monkeypatch.setattr(repeats, "CARRY", 3)
         monkeypatch.setattr(repeats, "BATCH_BYTES", 500)
     rows = corpus(5)
     symbols = repeats.Words(13) if kind == "words" else repeats.Bytes(50)
     split = (lambda t: t.encode().split()) if kind == "words" else (lambda t: list(t.encode()))
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kept": F.lit("x"), "doc": F.lit(1), "spans": F.lit(2), "rid": F.lit(3)})
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kept": F.lit("x"), "doc": F.lit(1), "spans": F.lit(2), "rid": F.lit(3), "_doc": F.lit(4), "_SPANS": F.lit(5)})
     got = sorted(((r.doc_id, r.text, r.n_symbols, [tuple(x) for x in r.removed], bytes(r.kept)) for r in repeats.remove_repeats(df, symbols).collect()), key=str)
     want = []
     for (i, t), (_, p, gone) in zip(rows, brute(rows, split, symbols.length), strict=True):
@@ -93,25 +95,46 @@ def test_refinement_gives_equal_numbers_to_equal_windows():
     text = rng.integers(97, 99, 3000).astype(np.uint8)
     text[1000:1400] = text[200:600]
     text[2000:2300] = 97
-    at = np.arange(len(text) - 58)
-    got = solver.refine(text, at)
-    seen = {}
-    for i, g in zip(at.tolist(), got.tolist(), strict=True):
-        w = text[i : i + 50].tobytes()
-        assert seen.setdefault(w, g) == g
-    assert len(set(seen.values())) == len(seen)
-
-
-def test_every_window_is_in_one_run_and_equal_windows_share_an_anchor():
-    for symbols, text in ((repeats.Words(13), "a b c d e " * 30 + "f g " * 40), (repeats.Bytes(50), "abcde " * 60 + "x" * 200)):
-        read = symbols.read(text)
-        anchors = {}
-        at = 0
-        for starts, counts, anchor in symbols.runs(read):
-            for s, n, a in zip(starts.tolist(), counts.tolist(), anchor.tolist(), strict=True):
-                assert s == at
-                at += n
-                for w in range(s, s + n):
-                    key = symbols.passage(read, w, w + symbols.length)
-                    assert anchors.setdefault(key, a) == a
-        assert at == symbols.count(read) - symbols.length + 1
+    at = np.arange(len(text) - 50)
+    for slice_size in (1, 100, 1 << 16):
+        array = solver.suffixes(text, slice_size)
+        windows = [text[i : i + 50].tobytes() for i in array]
+        assert windows == sorted(windows) and sorted(array.tolist()) == list(range(len(text)))
+        got = solver.classes(text, array, at)
+        seen = {}
+        for i, g in zip(at.tolist(), got.tolist(), strict=True):
+            w = text[i : i + 50].tobytes()
+            assert seen.setdefault(w, g) == g
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_every_window_is_in_one_run_and_equal_windows_share_an_anchor(monkeypatch):
+    texts = ["a b c d e " * 30 + "f g " * 40, "", "xy", "abcde " * 60 + "x" * 200 + " é漢 " * 30, "ab" * 300 + " q" * 90, "a b c d e " * 20]
+    for piece in (1 << 18, 64):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        for symbols, split in ((repeats.Words(13), lambda t: t.encode().split()), (repeats.Bytes(50), lambda t: list(t.encode()))):
+            parts = [split(t) for t in texts]
+            anchors, seen = {}, set()
+            for slab, runs, c in symbols.read(pa.array(["before", *texts])[1:]):
+                passages = symbols.passages(slab, runs.first, runs.n + symbols.length - 1).to_pylist()
+                for row, s, n, at, a, passage in zip(runs.row.tolist(), runs.start.tolist(), runs.n.tolist(), (runs.place - runs.first).tolist(), runs.anchor.tolist(), passages, strict=True):
+                    own = parts[row][s : s + n + symbols.length - 1]
+                    assert passage == (b" ".join(own) if isinstance(symbols, repeats.Words) else bytes(own)) and symbols.count_in(passage) == len(own)
+                    for w in range(s, s + n):
+                        assert (row, w) not in seen
+                        seen.add((row, w))
+                        key = tuple(parts[row][w : w + symbols.length])
+                        assert anchors.setdefault(key, (a, at - (w - s))) == (a, at - (w - s))
+            assert len(seen) == sum(max(0, len(p) - symbols.length + 1) for p in parts)
+
+
+def test_two_documents_of_one_line(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 50)
+    line = "this is one line of twenty words that two long documents hold again and again with a number after it "
+    rows = [(i, "".join(f"{line}{x}\n" for x in range(i, 2001, i))) for i in (2, 1)]
+    for symbols in (repeats.Words(13), repeats.Bytes(50)):
+        got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), symbols).collect()}
+        assert not got[1].removed and sum(x.end - x.start for x in got[2].removed) > 0.9 * got[2].n_symbols
+        split = (lambda t: t.encode().split()) if isinstance(symbols, repeats.Words) else (lambda t: list(t.encode()))
+        want = {i: gone for i, _, gone in brute(rows, split, symbols.length)}
+        assert [tuple(x) for x in got[2].removed] == repeats.merge([(k, k + 1) for k in want[2]])
