@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookweave.operators.components import connected_components
-from bookweave.plans.scratch import stage_table
+from bookweave.llm.columns import fresh
+from bookweave.plans.scratch import discard, stage_table
 
 BITS = 64
 #: Words of a text whose shingles are hashed at once.
@@ -305,10 +306,12 @@ def prefix(text: str | None, size: int, least: float, common: tuple[np.ndarray,
 
 
 def _prefixes(size: int, least: float, shared):
+    """(key, id, size, place) of texts with their ids; of the equal texts of a batch one is read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            made = [prefix(t, size, least, shared.value) for t in batch.column(1).to_pylist()]
+            ids, one = np.unique(batch.column(0).to_numpy(), return_index=True)
+            made = [prefix(t, size, least, shared.value) for t in batch.column(1).take(pa.array(one)).to_pylist()]
             n = [len(k) for k, _ in made]
             keys = np.concatenate([k for k, _ in made]) if made else np.zeros(0, np.uint64)
             place = np.concatenate([np.arange(x, dtype=np.int32) for x in n]) if made else np.zeros(0, np.int32)
@@ -349,9 +352,15 @@ def _collisions(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # rows of the last bucket, which may go on
         for batch in batches:
-            if not batch.num_rows:
-                continue
             now = [batch.column(i).to_numpy() for i in range(4)]
+            # Equal texts of several batches come once each; one row of them stays.
+            new = np.ones(len(now[0]), dtype=bool)
+            new[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
+            if held and len(new):
+                new[0] = held[-1][0][-1] != now[0][0] or held[-1][1][-1] != now[1][0]
+            if not new.any():
+                continue
+            now = [x[new] for x in now]
             key = now[0]
             if key[0] == key[-1] and held and held[-1][0][-1] == key[0]:
                 held.append(now)
@@ -428,21 +437,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     keyed = rows.withColumn("text_key", F.sha2("text", 256))
     first = keyed.groupBy("text_key").agg(F.min("id").alias("head"))
     members = stage_table(keyed.select("id", "text_key").join(first, "text_key"), "members")
-    heads = rows.join(members.where("id = head").select("id", "text_key").distinct(), "id")
-    heads = heads.where(F.sha2("text", 256) == F.col("text_key")).groupBy("id", "text_key").agg(F.first("text").alias("text"))
-    # Texts of one row_id stay apart by a number of their own.
-    node = F.xxhash64("text_key")
+    node = F.xxhash64("text_key")  # a text's number; texts of one row_id stay apart
     common = common_shingles(docs.where(F.col(row_id).isNotNull()), shingle_words, members.where("id = head").count(), text)
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    dealt = heads.select(node.alias("id"), "text").mapInArrow(_prefixes(shingle_words, similarity, shared), "key long, id long, size int, place int")
+    # The texts themselves are not shuffled: equal ones are told by their number.
+    dealt = keyed.select(node.alias("id"), "text").mapInArrow(_prefixes(shingle_words, similarity, shared), "key long, id long, size int, place int")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "id")
     met = dealt.mapInArrow(_collisions(similarity), "key long, id long, size int, place int, early boolean, head long, fits boolean, more boolean")
     met = stage_table(met, "buckets")
     involved = met.select("id").unionByName(met.select(F.col("head").alias("id"))).distinct()
-    texts = stage_table(heads.select(node.alias("id"), "text").join(involved, "id", "left_semi"), "texts")
+    heads = members.where("id = head").select(F.col("id").alias("doc"), node.alias("id")).distinct().join(involved, "id")
+    texts = keyed.select(F.col("id").alias("doc"), node.alias("node"), "text").join(heads, "doc").where("node = id")
+    texts = stage_table(texts.dropDuplicates(["doc", "id"]).select("id", "text"), "texts")
     pairs = met.where("fits").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     left = met.where("more").select("key", "id", "size", "place", "early", (F.col("id") == F.col("head")).alias("used"))
-    most, compared, edges = 1, None, None
+    most, compared, edges, groups, now_before = 1, None, None, None, None
     while True:
         pairs = stage_table(pairs, "candidates")
         compared = pairs if compared is None else compared.unionByName(pairs)
@@ -450,11 +459,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
         both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         found = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle_words, similarity), "a long, b long"), "edges")
         edges = found if edges is None else edges.unionByName(found)
+        if groups is not None:
+            discard(groups)
         groups = stage_table(connected_components(edges), "groups")
         sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("early") & ~F.col("used")).alias("free"))
         work = sizes.agg(F.sum(F.col("n") * F.col("free"))).first()[0] or 0
         most = 2 * most if work > LAST_ROUND else (1 << 31) - 1
         now = stage_table(_next_pivots(left, groups, most), "buckets")
+        discard(now_before if now_before is not None else met)
+        now_before = now
         if not now.limit(1).count():
             break
         pairs = _compared(now, similarity).join(compared, ["a", "b"], "left_anti")
@@ -463,6 +476,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     named = named.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     smallest = named.groupBy("c").agg(F.min("head").alias("group"))
     named = stage_table(named.join(smallest, "c").select("text_key", "group"), "groups")
+    discard(texts, groups)
     return members.join(named, "text_key").select(F.col("id").alias(row_id), "text_key", "group")
 
 
@@ -472,8 +486,8 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, r
     Rows without a row_id stay, as no group can name them. All columns stay.
     """
     groups = near_duplicates(docs, shingle_words, similarity, row_id, text)
-    kept = groups.where(F.col(row_id) == F.col("group")).groupBy("group").agg(F.min("text_key").alias("_key"))
-    keyed = docs.withColumns({"_key": F.sha2(F.coalesce(text, F.lit("")), 256)})
-    kept = kept.select(F.col("group").alias("_id"), "_key")
-    out = keyed.withColumn("_id", F.col(row_id).cast("long")).join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-    return out.unionByName(keyed.withColumn("_id", F.col(row_id).cast("long")).where("_id is null")).drop("_id", "_key").select(*(F.col(f"`{c}`") for c in docs.columns))
+    id_, key_ = fresh(docs.columns, "id", "key")
+    kept = groups.where(F.col(row_id) == F.col("group")).groupBy("group").agg(F.min("text_key").alias(key_)).select(F.col("group").alias(id_), key_)
+    keyed = docs.withColumns({id_: F.col(row_id).cast("long"), key_: F.sha2(F.coalesce(text, F.lit("")), 256)})
+    out = keyed.join(kept, [id_, key_], "left_semi").dropDuplicates([id_, key_])
+    return out.unionByName(keyed.where(F.col(id_).isNull())).drop(id_, key_).select(*(F.col(f"`{c}`") for c in docs.columns))
