@@ -4,6 +4,8 @@ A passage of m characters and its occurrence with at most k edits share at least
 m - q + 1 - k * q q-grams, and these lie on at most k + 1 neighbouring diagonals. So
 shared q-grams are counted in bands of 2 * (k + 1) diagonals that overlap by half; a band
 with fewer cannot hold an occurrence, and the others are aligned within their diagonals.
+q is Q, and less for passages so short that none of their Q-grams might be left: a passage is
+cut by k edits into k + 1 parts, so one of m // (k + 1) characters always stays whole.
 """
 
 from __future__ import annotations
@@ -19,12 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of a q-gram, and edits per character of a passage.
+from bookweave.llm.columns import fresh
+from bookweave.plans.scratch import discard, stage_table
+
+#: Most characters of a q-gram, and edits per character of a passage.
 Q, ERROR = 8, 0.1
 #: Items of more characters than LONG are sought in passages of LONG characters, one every STEP.
 LONG, STEP = 160, 80
 #: Characters of a text that are searched at once, and of the benchmark that are broadcast at once.
 PIECE, ROUND = 1 << 17, 1 << 21
+#: Characters of an item that are dealt to a round as one; longer ones come in parts that overlap.
+PART = 1 << 19
 _TABLE = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 LEAKS = "array<struct<item_id:long,start:long,end:long,edits:int>>"
@@ -49,17 +56,44 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    if len(codes) < Q:
+def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    if len(codes) < q:
         return np.zeros(0, dtype=np.uint64)
     h = codes.astype(np.uint64)
     base, width = int(_MIX), 1
-    while width < Q:
+    while 2 * width <= q:
         h = h[: len(h) - width] * np.uint64(base) + h[width:]
         base, width = base * base % 2**64, 2 * width
+    if width < q:  # two grams that overlap tell all of it
+        h = h[: len(h) - (q - width)] * _MIX + (h[q - width :] ^ (h[q - width :] >> np.uint64(29)))
     return (h ^ (h >> np.uint64(32))) * _MIX
 
 
+@dataclass
+class Grams:
+    """The q-grams of the passages of one q: a filter, the grams in order, and the (passage, place) of each."""
+
+    q: int
+    least: int
+    table: np.ndarray
+    grams: np.ndarray
+    first: np.ndarray
+    passage: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, q: int, chosen: list[int], codes: list[np.ndarray], needed: np.ndarray) -> Grams:
+        hashes = [gram_hashes(codes[i], q) for i in chosen]
+        grams = np.concatenate(hashes)
+        order = np.argsort(grams, kind="stable")
+        unique, first = np.unique(grams[order], return_index=True)
+        table = np.zeros(1 << _TABLE, dtype=bool)
+        table[grams >> np.uint64(64 - _TABLE)] = True
+        passage = np.repeat(chosen, [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h)) for h in hashes])
+        return cls(q, int(needed[chosen].min()), table, unique, np.append(first, len(grams)), passage[order], place[order])
+
+
 @dataclass
 class Passages:
     """The passages sought: their items, characters, edit budgets and q-grams."""
@@ -68,11 +102,7 @@ class Passages:
     codes: list[np.ndarray]
     edits: np.ndarray
     needed: np.ndarray
-    table: np.ndarray
-    grams: np.ndarray
-    first: np.ndarray
-    passage: np.ndarray
-    place: np.ndarray
+    tables: list[Grams]
     #: Of each passage, the normal text of an item that it is from and its offset there.
     source: np.ndarray
     offset: np.ndarray
@@ -86,38 +116,35 @@ class Passages:
             texts.append(codes_of(text))
             starts = [0] if len(text) <= LONG else [*range(0, len(text) - LONG, STEP), len(text) - LONG]
             for a in starts:
-                piece = codes_of(text[a : a + LONG] if len(text) > LONG else text)
-                if len(piece) >= Q:
+                if text:
                     item.append(number)
-                    codes.append(piece)
+                    codes.append(codes_of(text[a : a + LONG] if len(text) > LONG else text))
                     source.append(len(texts) - 1)
                     offset.append(a)
         length = np.array([len(c) for c in codes], dtype=np.int64)
-        edits = np.minimum((length * ERROR).astype(np.int64), (length - Q) // Q)
-        hashes = [gram_hashes(c) for c in codes]
-        grams = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(grams, kind="stable")
-        unique, first = np.unique(grams[order], return_index=True)
-        table = np.zeros(1 << _TABLE, dtype=bool)
-        table[grams >> np.uint64(64 - _TABLE)] = True
-        passage = np.repeat(np.arange(len(codes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        return cls(np.array(item, dtype=np.int64), codes, edits, length - Q + 1 - Q * edits, table, unique, np.append(first, len(grams)), passage[order], place[order], np.array(source, dtype=np.int64), np.array(offset, dtype=np.int64), texts)
+        edits = (length * ERROR).astype(np.int64)
+        q = np.minimum(Q, length // (edits + 1))
+        needed = length - q + 1 - q * edits
+        tables = [Grams.of(x, np.flatnonzero(q == x).tolist(), codes, needed) for x in np.unique(q).tolist()]
+        return cls(np.array(item, dtype=np.int64), codes, edits, needed, tables, np.array(source, dtype=np.int64), np.array(offset, dtype=np.int64), texts)
 
     def bands(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """(passage, lowest diagonal) of the bands that share enough q-grams with it."""
-        h = gram_hashes(codes)
-        spot = np.flatnonzero(self.table[h >> np.uint64(64 - _TABLE)])
-        if len(spot) < (self.needed.min() if len(self.needed) else 1):
+        return [x for grams in self.tables for x in self._bands(grams, codes)]
+
+    def _bands(self, grams: Grams, codes: np.ndarray) -> list[tuple[int, int]]:
+        h = gram_hashes(codes, grams.q)
+        spot = np.flatnonzero(grams.table[h >> np.uint64(64 - _TABLE)])
+        if len(spot) == 0 or (grams.least > 1 and len(spot) < grams.least):
             return []
-        at = np.searchsorted(self.grams, h[spot])
-        at[at == len(self.grams)] = 0
-        same = self.grams[at] == h[spot]
+        at = np.searchsorted(grams.grams, h[spot])
+        at[at == len(grams.grams)] = 0
+        same = grams.grams[at] == h[spot]
         spot, at = spot[same], at[same]
-        times = self.first[at + 1] - self.first[at]
-        each = np.repeat(self.first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        passage = self.passage[each]
-        diagonal = np.repeat(spot, times) - self.place[each] + LONG
+        times = grams.first[at + 1] - grams.first[at]
+        each = np.repeat(grams.first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        passage = grams.passage[each]
+        diagonal = np.repeat(spot, times) - grams.place[each] + LONG
         band = diagonal // (self.edits[passage] + 1)
         wide = np.int64(1) << np.int64(32)
         key, n = np.unique(np.concatenate([passage * wide + band + 1, passage * wide + band]), return_counts=True)
@@ -127,9 +154,9 @@ class Passages:
             return []
         # Of these, count the passage's own places, each once however often the text repeats its q-gram.
         wanted = key[good]
-        own = np.concatenate([self.passage[each] * wide + diagonal // (self.edits[self.passage[each]] + 1) + x for x in (1, 0)])
+        own = np.concatenate([grams.passage[each] * wide + diagonal // (self.edits[grams.passage[each]] + 1) + x for x in (1, 0)])
         kept = np.isin(own, wanted)
-        spots = np.concatenate([self.place[each]] * 2)[kept]
+        spots = np.concatenate([grams.place[each]] * 2)[kept]
         places_of = np.unique(np.searchsorted(wanted, own[kept]) * wide + spots) // wide
         n = np.bincount(places_of, minlength=len(wanted))
         passage, band = np.divmod(wanted[n >= self.needed[passage[good]]], wide)
@@ -217,7 +244,7 @@ def leaks_of(passages: Passages, text: str | None) -> list[tuple[int, int, int,
     their edits, are one occurrence. A part of another occurrence of the item is none.
     """
     flat = normal(text)
-    if len(flat) < Q or not passages.codes:
+    if not flat or not passages.codes:
         return []
     codes = codes_of(flat)
     found: dict[int, list[tuple[int, int, int]]] = {}
@@ -255,37 +282,53 @@ def leaks_of(passages: Passages, text: str | None) -> list[tuple[int, int, int,
     return out
 
 
+def _rounds(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items of the benchmark, in rounds of about ROUND characters."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where("item_id is not null and t is not null").distinct()
+    step = PART - 2 * LONG
+    last = F.greatest(F.lit(0), F.ceil((F.length("t") - PART) / step)).cast("int")
+    parts = items.select("item_id", "t", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    parts = parts.select("item_id", "part", F.substring(F.col("t"), F.col("part") * step + 1, F.lit(PART)).alias("t"))
+    total = parts.agg(F.sum(F.length("t") + 1)).first()[0] or 0
+    rounds = max(1, -(-total // ROUND))
+    for r in range(rounds):
+        yield [(x.item_id, x.t) for x in parts.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(rounds)) == r).collect()]  # about ROUND characters
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks") -> DataFrame:
     """docs with the benchmark items that each whole text holds, as an array of (item_id, start, end, edits).
 
     benchmark: item_id and text. Case and runs of white space make no difference. An item of
     up to LONG characters is found as a whole, a longer one by any of its passages, with up
-    to ERROR edits per character, and every occurrence is given; items of fewer than Q characters and null texts take no
-    part. Repeated items count as one, repeated rows of docs stay, a column of the name
-    `out` is replaced and all others stay. Null and empty texts hold nothing.
-
-    The benchmark is broadcast in rounds of about ROUND characters, each one pass over docs.
+    to one edit in ten characters, rounded down, and every occurrence is given; an item of
+    fewer than ten characters is found where it stands exactly, within words too. Items
+    without a character and null texts take no part. Repeated items count as one, repeated
+    rows of docs stay, a column of the name `out` is replaced and all others stay, whatever
+    their names. Null and empty texts hold nothing; empty tables give empty or unmarked ones.
+
+    The benchmark is broadcast in rounds of about ROUND characters, each one pass over docs;
+    between rounds the marked rows are written out, so that one round is held at a time.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where("item_id is not null and t is not null").distinct()
-    total = items.agg(F.sum(F.length("t") + 1)).first()[0] or 0
-    rounds = max(1, -(-total // ROUND))
-    rest = docs.drop(out, "_leaks")
-    schema = T.StructType([*rest.schema.fields, T.StructField("_leaks", T.StructType.fromDDL(f"x {LEAKS}")["x"].dataType)])
+    marked = docs.drop(out).withColumn(out, F.array().cast(LEAKS))
+    (found_,) = fresh(marked.columns, "found")
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
-    marked = rest.withColumn(out, F.array().cast(LEAKS))
-    for r in range(rounds):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r).collect()  # about ROUND characters
-        if sum(len(x.t) for x in rows) > 8 * ROUND:
-            raise ValueError("a round of the benchmark is larger than its bound")
-        shared = spark.sparkContext.broadcast(Passages.of([(x.item_id, x.t) for x in rows]))
+    width = T.StructType([*marked.schema.fields, T.StructField(found_, T.StructType.fromDDL(f"x {LEAKS}")["x"].dataType)])
+    texts, before = marked.columns.index(text), None
+    for r, items in enumerate(_rounds(benchmark)):
+        if r:
+            table = stage_table(marked, "marked")
+            shared.unpersist()
+            if before is not None:
+                discard(before)
+            marked = before = table
+        shared = spark.sparkContext.broadcast(Passages.of(items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                made = [leaks_of(shared.value, t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                made = [leaks_of(shared.value, t) for t in batch.column(texts).to_pylist()]
                 found = pa.array([[{"item_id": i, "start": s, "end": e, "edits": k} for i, s, e, k in m] for m in made], kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_leaks"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, found_])
 
-        width = T.StructType([*marked.schema.fields, schema["_leaks"]])
-        marked = marked.mapInArrow(run, width).withColumn(out, F.concat(out, "_leaks")).drop("_leaks")
+        marked = marked.mapInArrow(run, width).withColumn(out, F.concat(out, found_)).drop(found_)
     return marked

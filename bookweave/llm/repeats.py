@@ -38,7 +38,7 @@ HOT = 1024
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 18
 #: Bytes of passages that a solver settles at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Rows of an anchor that are held while its last passage may go on.
 CARRY = 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
