@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bookweave.llm import bpe, chat, decontam, langid, pii, repeats, reshard, simhash, topk
 
-#: The key of the registered queries; a user passes a secret one.
+#: The key of the registered queries where the session names none; a user sets a secret one.
 PSEUDONYM_KEY = b"bookweave example key"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -20,6 +20,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The key in the session's spark.bookweave.pseudonymKey, or the example key."""
+    return (spark.conf.get("spark.bookweave.pseudonymKey", None) or PSEUDONYM_KEY.decode()).encode()
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -109,7 +114,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data under pseudonyms."""
-    out = pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
+    out = pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), pseudonym_key(spark))
     return out.select("doc_id", "text", pii.total().alias("n_found"), F.array_sort(F.map_keys("found")).alias("kinds"))
 
 
