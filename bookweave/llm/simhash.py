@@ -260,6 +260,11 @@ SAMPLE, COMMON_LEAST, COMMON_MOST = 20_000, 3, 100_000
 #: Comparisons left in all buckets together that are made in one round.
 LAST_ROUND = 1 << 18
 _EPS = 1e-6
+#: Parts that hashes are dealt to, whose counts bound what two sets share.
+PARTS = 256
+#: Pairs whose ids are broadcast, of 16 bytes each.
+FEW_PAIRS = 1 << 17
+_SUMS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -334,8 +339,10 @@ def _collisions(least: float):
     2 * least / (1 + least) of it is still to come. Such rows are `early`. The first early
     row of a bucket is its head, `fits` marks the rows that may be near it, and `more`
     those of buckets of three rows or more, whose other pairs are still to be compared.
+    s1 and s2 are sums of hashes over the bucket's ids, and first is the place in its first
+    row, which the bucket's first row here gives.
     """
-    names = ["key", "id", "size", "place", "early", "head", "fits", "more"]
+    names = ["key", "id", "size", "place", "early", "head", "fits", "more", "s1", "s2", "first"]
 
     def settle(key, ids, size, place) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -343,11 +350,16 @@ def _collisions(least: float):
         early = (size - place) * (1 + least) >= 2 * least * size - _EPS
         head = np.minimum.reduceat(np.where(early, np.arange(len(key)), len(key)), starts)
         live = np.repeat((n > 1) & (head < len(key)), n)
+        x = ids.view(np.uint64)
+        sums = [np.repeat(np.add.reduceat((x ^ (x >> np.uint64(31))) * np.uint64(a) ^ (x * np.uint64(b) >> np.uint64(29)), starts), n)[live].view(np.int64) for a, b in _SUMS]
+        front = np.repeat(place[starts], n)[live]
         head, n = np.repeat(head, n)[live], np.repeat(n, n)[live]
         fits = _fits(size[live], place[live], size[head], place[head], least, np.minimum, np.maximum) & (np.flatnonzero(live) != head)
         keep = fits | (n > 2)
-        columns = [key[live], ids[live], size[live], place[live], early[live], ids[head], fits, n > 2]
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+        columns = [x[keep] for x in (key[live], ids[live], size[live], place[live], early[live], ids[head], fits, n > 2, *sums)]
+        again = np.zeros(len(columns[0]), dtype=bool)
+        again[1:] = columns[0][1:] == columns[0][:-1]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(front[keep], mask=again)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # rows of the last bucket, which may go on
@@ -376,6 +388,43 @@ def _collisions(least: float):
     return run
 
 
+def _with_counts(size: int):
+    """(id, text, counts) of (id, text): how many hashes of the set are in each part, as 2-byte numbers; empty if one does not fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for t in batch.column(1).to_pylist():
+                n = np.bincount((shingle_set(t, size) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+                made.append(n.astype("<u2").tobytes() if n.max() < 1 << 16 else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["id", "text", "counts"])
+
+    return run
+
+
+def _possible(least: float):
+    """(a, b) of the pairs that can be alike by their counts: sets share no more of a part than the smaller count, so none that is alike goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.ones(batch.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if x and y:
+                    x, y = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+                    good[i] = np.minimum(x, y).sum() * (1 + least) >= least * (x.sum() + y.sum()) - _EPS
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+
+    return run
+
+
+def _of(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of table with an id of the pairs, without a shuffle of table, where the pairs are few; else table."""
+    if pairs.limit(FEW_PAIRS + 1).count() > FEW_PAIRS:
+        return table
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return table.join(F.broadcast(ids), "id", "left_semi")
+
+
 def _next_pivots(left: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """left with each row's group c, and turn: whether it is compared with its bucket next.
 
@@ -426,8 +475,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     a set at 0.8, so texts meet in buckets by these, and no pair is missed whatever it
     differs in. In each bucket one text is compared with the others; then, in rounds,
     twice as many of those still apart, until every pair of a bucket is compared or
-    joined over others. A pair counts where the shingle sets are `similarity` alike or
-    more. group is the smallest row_id that is reached over such links.
+    joined over others. A pair counts where the shingle sets are `similarity` alike or more. group is the smallest row_id that is reached over such links.
 
     text_key is the SHA-256 of the text; null and empty texts are equal texts. Rows of one
     row_id and several texts belong to each text's group. Other columns are left out.
@@ -443,21 +491,30 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     # The texts themselves are not shuffled: equal ones are told by their number.
     dealt = keyed.select(node.alias("id"), "text").mapInArrow(_prefixes(shingle_words, similarity, shared), "key long, id long, size int, place int")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "id")
-    met = dealt.mapInArrow(_collisions(similarity), "key long, id long, size int, place int, early boolean, head long, fits boolean, more boolean")
-    met = stage_table(met, "buckets")
+    met = dealt.mapInArrow(_collisions(similarity), "key long, id long, size int, place int, early boolean, head long, fits boolean, more boolean, s1 long, s2 long, first int")
+    all_met = stage_table(met, "buckets")
+    # Of buckets of the same texts the one with the earliest shingle has all that the others can tell.
+    leading = all_met.where("first is not null").groupBy("s1", "s2").agg(F.min(F.struct("first", "key"))["key"].alias("key"))
+    met = stage_table(all_met.join(leading.select("key"), "key", "left_semi").drop("s1", "s2", "first"), "buckets")
+    discard(all_met)
     involved = met.select("id").unionByName(met.select(F.col("head").alias("id"))).distinct()
     heads = members.where("id = head").select(F.col("id").alias("doc"), node.alias("id")).distinct().join(involved, "id")
     texts = keyed.select(F.col("id").alias("doc"), node.alias("node"), "text").join(heads, "doc").where("node = id")
-    texts = stage_table(texts.dropDuplicates(["doc", "id"]).select("id", "text"), "texts")
+    texts = texts.dropDuplicates(["doc", "id"]).select("id", "text")
+    texts = stage_table(texts.mapInArrow(_with_counts(shingle_words), "id long, text string, counts binary"), "texts")
     pairs = met.where("fits").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     left = met.where("more").select("key", "id", "size", "place", "early", (F.col("id") == F.col("head")).alias("used"))
     most, compared, edges, groups, now_before = 1, None, None, None, None
     while True:
         pairs = stage_table(pairs, "candidates")
         compared = pairs if compared is None else compared.unionByName(pairs)
-        with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        some = _of(pairs, texts.select("id", "counts"))
+        both = pairs.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        near = stage_table(both.mapInArrow(_possible(similarity), "a long, b long"), "candidates")
+        some = _of(near, texts.select("id", "text"))
+        both = near.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b")
         found = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle_words, similarity), "a long, b long"), "edges")
+        discard(near)
         edges = found if edges is None else edges.unionByName(found)
         if groups is not None:
             discard(groups)

@@ -7,7 +7,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bookweave.llm import bpe, decontam, pii
+from bookweave.llm import bpe, decontam, pii, queries
 from bookweave.llm.simhash import jaccard, shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -33,7 +33,7 @@ def test_run_on_planted_rows(spark, tmp_path):
     rows = small(spark, tmp_path)
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == {i for i, _, _, kept in rows if kept}
-    names = pii.Pseudonyms(corpus_pipeline.PSEUDONYM_KEY)
+    names = pii.Pseudonyms(queries.PSEUDONYM_KEY)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(corpus_pipeline.VOCABULARY)), special_tokens={})
     for i, t, lang, kept in rows:
         if kept:
