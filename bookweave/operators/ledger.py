@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ZERO = 1e-15
+#: Logarithm of how far a running product may fall in one block.
+BLOCK = 200.0
 
 
 def _flat(x: Column) -> Column:
@@ -30,7 +32,9 @@ def replay(trades: DataFrame, splits: DataFrame | None = None) -> DataFrame:
     adds its cost; one against it realises a gain at average cost; one past zero closes the
     position and opens the opposite at its own price. Basis follows c = a * c' + b within a
     segment, solved by running products and sums, so a ledger of any length needs sorts and
-    windows alone. Fees do not enter cost or gain.
+    windows alone. A segment is cut into blocks, each before its running product falls much
+    below e ** -BLOCK; a block starts from the basis that the one before it made by itself,
+    as what is older has shrunk below any digit of it. Fees do not enter cost or gain.
     """
     order = Window.partitionBy("book", "ticker").orderBy("d", "seq", "q", "px")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -42,12 +46,18 @@ def replay(trades: DataFrame, splits: DataFrame | None = None) -> DataFrame:
     a = F.when(start | adds | (F.col("qty") == 0), 1.0).otherwise(F.abs("qty") / F.abs("was"))
     b = F.when(start, F.abs("qty") * F.col("px")).when(adds, F.abs("q") * F.col("px")).otherwise(0.0)
     inside = Window.partitionBy("book", "ticker", "segment").orderBy("d", "seq", "q", "px").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumns({"a": a, "b": b}).withColumn("decay", F.product("a").over(inside))
-    t = t.withColumn("basis", F.when(F.col("qty") == 0, 0.0).otherwise(F.col("decay") * F.sum(F.col("b") / F.col("decay")).over(inside)))
+    t = t.withColumns({"a": a, "b": b}).withColumn("block", F.floor(F.sum(-F.log("a")).over(inside) / BLOCK))
+    block = Window.partitionBy("book", "ticker", "segment", "block").orderBy("d", "seq", "q", "px").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("decay", F.product("a").over(block))
+    t = t.withColumn("own", F.col("decay") * F.sum(F.col("b") / F.col("decay")).over(block))
+    step = Window.partitionBy("book", "ticker", "segment").orderBy("d", "seq", "q", "px")
+    t = t.withColumn("last", F.lag("own").over(step))
+    t = t.withColumn("brought", F.coalesce(F.first("last").over(block), F.lit(0.0)))
+    t = t.withColumn("basis", F.when(F.col("qty") == 0, 0.0).otherwise(F.col("own") + F.col("decay") * F.col("brought")))
     held = F.coalesce(F.lag("basis").over(order), F.lit(0.0))
     closed = F.least(F.abs("q"), F.abs("was"))
     gain = F.when(F.col("was") * F.col("q") < 0, closed * (F.col("px") - held / F.abs("was")) * F.signum("was")).otherwise(0.0)
-    return t.withColumns({"realised": gain, "avg_cost": F.try_divide("basis", F.abs("qty"))}).drop("was", "segment", "a", "b", "decay")
+    return t.withColumns({"realised": gain, "avg_cost": F.try_divide("basis", F.abs("qty"))}).drop("was", "segment", "a", "b", "decay", "block", "own", "last", "brought")
 
 
 def positions(trades: DataFrame, splits: DataFrame | None = None) -> DataFrame:

@@ -29,13 +29,18 @@ def invert_missing(direct: DataFrame, reverse: DataFrame) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, key: str, day: str, value: str) -> DataFrame:
     """left with the last value of right on or before its day; null where there is none.
 
-    One sort of the union by (key, day) and a running last value: no range join.
+    Only the different (key, day) of left are sorted with right, for a running last value;
+    left itself then meets them in an equi-join on both, so a few keys make no few tasks. Of
+    several values of one key and day the largest counts. left's own column of that name is
+    replaced; a null key or day has no value.
     """
-    columns = left.columns
+    left = left.drop(value)
     r = right.where(finite(value, True)).groupBy(key, day).agg(F.max(value).alias("_v"))
-    both = left.withColumns({"_v": F.lit(None).cast("double"), "_side": F.lit(1)}).unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    asked = left.select(key, day).where(F.col(key).isNotNull() & F.col(day).isNotNull()).distinct()
+    both = asked.withColumns({"_v": F.lit(None).cast("double"), "_side": F.lit(1)}).unionByName(r.withColumn("_side", F.lit(0)))
     run = Window.partitionBy(key).orderBy(day, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(run)).where("_side = 1").select(*columns, value)
+    told = both.withColumn(value, F.last("_v", ignorenulls=True).over(run)).where("_side = 1").select(key, day, value)
+    return left.join(told, [key, day], "left").select(*left.columns, value)
 
 
 def latest(rows: DataFrame, key: str, day: str, value: str) -> DataFrame:

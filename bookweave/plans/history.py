@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookweave.operators import ledger, market, scenario
-from bookweave.plans.registry import query, rounded
-from bookweave.plans.valuation import FOLD
+from bookweave.plans.registry import NUDGE, query, rounded
+from bookweave.plans.valuation import FOLD, converted, last_rates
 from bookweave.sources import tables
 
 PATH = """
@@ -73,7 +73,8 @@ def _tables(spark, sf_dir):
 @query(PATH + " SELECT book, CAST(m AS VARCHAR) AS m, round(external, 2) AS external, round(equity, 2) AS equity, round(r, 4) AS r FROM rr")
 def win5_win7_account_path(spark, sf_dir):
     path, _ = monthly_path(*_tables(spark, sf_dir))
-    return rounded(rounded(path.select("book", F.col("m").cast("string").alias("m"), "external", "equity"), 2).join(rounded(path.select("book", "m", "r"), 4), ["book", "m"]))
+    near = lambda c, digits: (F.round(F.col(c) + float(NUDGE), digits) + 0.0).alias(c)
+    return path.select("book", F.col("m").cast("string").alias("m"), near("external", 2), near("equity", 2), near("r", 4))
 
 
 @query(PATH + """
@@ -124,8 +125,10 @@ def win6_dated_lots(spark, sf_dir):
 
 
 def scenario_positions(spark, sf_dir) -> DataFrame:
-    pos = ledger.positions(tables.trades(spark, sf_dir))
+    """Positions in USD, at the latest price and rate."""
+    pos = ledger.positions(converted(spark, sf_dir))
     marks = market.latest(tables.prices(spark, sf_dir), "ticker", "d", "px").select("ticker", "px")
+    marks = marks.join(tables.securities(spark, sf_dir), "ticker").join(last_rates(spark, sf_dir), "ccy").select("ticker", (F.col("px") * F.col("rate")).alias("px"))
     number = F.substring("ticker", 7, 2).cast("int")
     return pos.join(marks, "ticker").select(
         "book", "ticker", "qty", "px", "avg_cost", F.lit(0.0).alias("realised"),
@@ -144,7 +147,7 @@ def _steps(spark) -> DataFrame:
 
 
 SCENARIO = FOLD + """
-, p AS (SELECT book, ticker, qty, CASE WHEN qty <> 0 THEN basis / abs(qty) END AS avg_cost, m.px, CAST(substr(ticker, 7, 2) AS INTEGER) AS n FROM pos JOIN mark m USING (ticker)
+, p AS (SELECT book, ticker, qty, CASE WHEN qty <> 0 THEN basis / abs(qty) END AS avg_cost, m.px * rate AS px, CAST(substr(ticker, 7, 2) AS INTEGER) AS n FROM pos JOIN mark m USING (ticker) JOIN security USING (ticker) JOIN fxlast USING (ccy)
 ), s AS (
   SELECT 'shock' AS scenario, *, CASE WHEN ticker = 'Brand#11' THEN px * 0.9 ELSE px END AS np, CASE ticker WHEN 'Brand#11' THEN qty / 2 WHEN 'Brand#12' THEN 0 ELSE qty END AS nq FROM p
   UNION ALL SELECT 'rates', *, px * (1 + CASE WHEN n % 5 = 0 THEN -n / 20 WHEN n % 2 = 0 THEN -n / 10 ELSE 0 END / 100), qty FROM p

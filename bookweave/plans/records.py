@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookweave.functions import scalars
-from bookweave.operators import ledger, market, review
+from bookweave.operators import market, review
 from bookweave.plans.registry import query, rounded
 from bookweave.plans.valuation import FOLD, cash_of, concentration, totals, value_positions
 from bookweave.sources import readers, tables
@@ -148,15 +148,15 @@ def agg22_coverage(spark, sf_dir):
 , okay AS (SELECT parent FROM cons GROUP BY parent HAVING sum(weight) <= 1
 ), h AS (SELECT book, ticker, CAST(round(value, 6) AS DECIMAL(18, 6)) AS value FROM valued
 ), flat AS (
-  SELECT h.book, c.constituent AS security, 0.0::DOUBLE AS direct, CAST(h.value AS DOUBLE) * CAST(c.weight AS DOUBLE) AS indirect FROM h JOIN cons c ON c.parent = h.ticker JOIN okay o ON o.parent = c.parent
-  UNION ALL SELECT book, ticker, CAST(value AS DOUBLE), 0.0 FROM h WHERE ticker NOT IN (FROM okay)
+  SELECT h.book, c.constituent AS security, CAST(0 AS DECIMAL(18, 6)) AS direct, CAST(h.value AS DECIMAL(18, 6)) * CAST(c.weight AS DECIMAL(19, 18)) AS indirect FROM h JOIN cons c ON c.parent = h.ticker JOIN okay o ON o.parent = c.parent
+  UNION ALL SELECT book, ticker, value, 0 FROM h WHERE ticker NOT IN (FROM okay)
 )
-SELECT book, security, round(sum(direct), 1) AS direct, round(sum(indirect), 1) AS indirect, round(sum(direct) + sum(indirect), 1) AS total FROM flat GROUP BY book, security
+SELECT book, security, round(CAST(sum(direct) AS DOUBLE), 3) AS direct, round(CAST(sum(indirect) AS DOUBLE), 3) AS indirect, round(CAST(sum(direct) AS DOUBLE) + CAST(sum(indirect) AS DOUBLE), 3) AS total FROM flat GROUP BY book, security
 """)
 def jn8_fin9_look_through(spark, sf_dir):
     h = value_positions(spark, sf_dir).select("book", "ticker", "value")
     out = review.look_through(h, constituents(spark, sf_dir))
-    return rounded(out.withColumn("total", F.col("direct") + F.col("indirect")), 1)
+    return rounded(out.withColumn("total", F.col("direct") + F.col("indirect")), 3)
 
 
 @query(FUNDS + """
@@ -207,7 +207,7 @@ def dq10_freshness(spark, sf_dir):
 @query(FOLD + """
 , one AS (SELECT label, sum(value) AS parts FROM valued JOIN book USING (book) GROUP BY label
 ), two AS (SELECT label, sum(qty * px * rate) AS whole FROM (SELECT label, ticker, sum(qty) AS qty, min(px) AS px, min(rate) AS rate FROM valued JOIN book USING (book) GROUP BY label, ticker) GROUP BY label)
-SELECT label, round(parts, 1) AS parts, round(whole, 1) AS whole, abs(parts - whole) <= 1e-7 * greatest(1, abs(whole)) AS agrees FROM one JOIN two USING (label)
+SELECT label, round(parts, 2) AS parts, round(whole, 2) AS whole, abs(parts - whole) <= 1e-7 * greatest(1, abs(whole)) AS agrees FROM one JOIN two USING (label)
 """)
 def fin7_agg20_set5_consolidation(spark, sf_dir):
     """Books of a label valued apart and as one, and whether the sums agree."""
@@ -216,7 +216,7 @@ def fin7_agg20_set5_consolidation(spark, sf_dir):
     whole = p.groupBy("label", "ticker").agg(F.sum("qty").alias("qty"), F.min("px").alias("px"), F.min("rate").alias("rate"))
     whole = whole.groupBy("label").agg(F.sum(F.col("qty") * F.col("px") * F.col("rate")).alias("whole"))
     agrees = F.abs(F.col("parts") - F.col("whole")) <= 1e-7 * F.greatest(F.lit(1.0), F.abs("whole"))
-    return rounded(parts.join(whole, "label").withColumn("agrees", agrees), 1)
+    return rounded(parts.join(whole, "label").withColumn("agrees", agrees), 2)
 
 
 @query("""
@@ -288,10 +288,10 @@ def inc2_latest_tick_stream(spark, sf_dir):
 
 @query(FOLD + """
 , t AS (SELECT book, count(*) FILTER (qty <> 0) AS n, sum(value) AS net FROM valued GROUP BY book)
-SELECT label, count(*) AS books, round(sum(net), 1) AS net, round(max(net), 1) AS largest FROM t JOIN book USING (book) GROUP BY label
+SELECT label, count(*) AS books, round(sum(net), 2) AS net, round(max(net), 2) AS largest FROM t JOIN book USING (book) GROUP BY label
 """)
 def agg2_totals_by_label(spark, sf_dir):
     t = totals(value_positions(spark, sf_dir), cash_of(spark, sf_dir)).where("status = 'ok' and n_positions is not null").join(tables.books(spark, sf_dir), "book")
-    held = ledger.positions(tables.trades(spark, sf_dir)).select("book").distinct()
+    held = tables.trades(spark, sf_dir).select("book").distinct()
     t = t.join(held, "book", "left_semi")
-    return rounded(t.groupBy("label").agg(F.count(F.lit(1)).alias("books"), F.sum("net").alias("net"), F.max("net").alias("largest")), 1)
+    return rounded(t.groupBy("label").agg(F.count(F.lit(1)).alias("books"), F.sum("net").alias("net"), F.max("net").alias("largest")), 2)

@@ -9,10 +9,19 @@ from bookweave.operators import ledger, market
 from bookweave.plans.registry import query, rounded, share
 from bookweave.sources import tables
 
-#: The fold of a ledger, row by row, for the oracles.
+#: The fold of a ledger, row by row, for the oracles: trades at the rate of their day, cash at the last rate.
 FOLD = """
-, numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY book, ticker ORDER BY d, seq, q, px) AS n FROM trade
+, fxall AS (
+  SELECT ccy, d, rate FROM fx UNION ALL SELECT 'GBX', d, rate / 100 FROM fx WHERE ccy = 'GBP'
+), fxlast AS (
+  SELECT ccy, arg_max(rate, d) AS rate FROM fxall GROUP BY ccy
+), dated AS (
+  SELECT t.book, t.ticker, t.d, t.seq, t.q, s.ccy, t.px * f.rate AS px, -t.q * t.px - t.fee AS paid
+  FROM trade t JOIN security s USING (ticker) ASOF LEFT JOIN fxall f ON f.ccy = s.ccy AND f.d <= t.d
+), refused AS (
+  SELECT DISTINCT book FROM dated WHERE px IS NULL
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY book, ticker ORDER BY d, seq, q, px) AS n FROM dated WHERE book NOT IN (SELECT book FROM refused)
 ), fold AS (
   SELECT book, ticker, n, q AS qty, abs(q) * px AS basis, 0.0::DOUBLE AS realised FROM numbered WHERE n = 1
   UNION ALL
@@ -26,23 +35,38 @@ FOLD = """
   FROM fold f JOIN numbered t ON t.book = f.book AND t.ticker = f.ticker AND t.n = f.n + 1
 ), pos AS (
   SELECT book, ticker, arg_max(qty, n) AS qty, arg_max(basis, n) AS basis, sum(realised) AS realised FROM fold GROUP BY book, ticker
-), fxall AS (
-  SELECT ccy, d, rate FROM fx UNION ALL SELECT 'GBX', d, rate / 100 FROM fx WHERE ccy = 'GBP'
-), fxlast AS (
-  SELECT ccy, arg_max(rate, d) AS rate FROM fxall GROUP BY ccy
 ), mark AS (
   SELECT ticker, arg_max(px, d) AS px, max(d) AS d FROM price GROUP BY ticker
 ), valued AS (
   SELECT book, ticker, qty, m.px, rate, qty * m.px * rate AS value, abs(qty * m.px) * rate AS exposure,
-    basis * rate AS cost, realised * rate AS realised, (qty * m.px - sign(qty) * basis) * rate AS unrealised
+    basis AS cost, realised, qty * m.px * rate - sign(qty) * basis AS unrealised
   FROM pos JOIN mark m USING (ticker) JOIN security USING (ticker) JOIN fxlast USING (ccy)
 ), money AS (
   SELECT book, sum(x) AS cash FROM (
-    SELECT book, (-q * px - fee) AS x FROM trade UNION ALL
-    SELECT book, CASE WHEN kind = 'WITHDRAWAL' THEN -amt ELSE amt END FROM flow) GROUP BY book
+    SELECT book, paid * rate AS x FROM dated JOIN fxlast USING (ccy) UNION ALL
+    SELECT book, CASE WHEN kind = 'WITHDRAWAL' THEN -amt ELSE amt END FROM flow) WHERE book NOT IN (SELECT book FROM refused) GROUP BY book
 )"""
 
 
+def base_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with price and fee in USD at the last rate on or before their day, null where there is none; paid is their cash in ccy."""
+    t = tables.trades(spark, sf_dir).join(tables.securities(spark, sf_dir).select("ticker", "ccy"), "ticker")
+    t = t.withColumn("paid", -F.col("q") * F.col("px") - F.col("fee"))
+    t = market.as_of(t, market.with_base(tables.fx(spark, sf_dir)), "ccy", "d", "rate")
+    return t.withColumns({"px": F.col("px") * F.col("rate"), "fee": F.col("fee") * F.col("rate")}).drop("rate")
+
+
+def refused_books(trades: DataFrame) -> DataFrame:
+    """Books with a trade that no rate converts."""
+    return trades.where("px is null").select("book").distinct()
+
+
+def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades in USD of the books that are not refused."""
+    t = base_trades(spark, sf_dir)
+    return t.join(refused_books(t), "book", "left_anti")
+
+
 def resolve_prices(positions: DataFrame, latest: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
     """positions with px and its source: cash is 1, then the market, then what the user gave; null where none has it."""
     p = positions.join(latest.select("ticker", F.col("px").alias("_market")), "ticker", "left")
@@ -52,17 +76,19 @@ def resolve_prices(positions: DataFrame, latest: DataFrame, supplied: DataFrame
     return p.withColumns({"px": F.when(cash, 1.0).otherwise(F.coalesce("_market", "_given")), "price_source": source}).drop("_market", "_given")
 
 
+def last_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.latest(market.with_base(tables.fx(spark, sf_dir)), "ccy", "d", "rate").select("ccy", "rate")
+
+
 def value_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every position of every book at its latest price, in USD."""
-    pos = ledger.positions(tables.trades(spark, sf_dir))
+    """Every position of every book in USD: cost and gains at the rates of the trades' days, value at the latest price and rate."""
+    pos = ledger.positions(converted(spark, sf_dir))
     marks = market.latest(tables.prices(spark, sf_dir), "ticker", "d", "px")
-    rates = market.latest(market.with_base(tables.fx(spark, sf_dir)), "ccy", "d", "rate").select("ccy", "rate")
-    p = resolve_prices(pos, marks).join(tables.securities(spark, sf_dir), "ticker", "left").join(rates, "ccy", "left")
-    worth = F.col("qty") * F.col("px")
+    p = resolve_prices(pos, marks).join(tables.securities(spark, sf_dir), "ticker", "left").join(last_rates(spark, sf_dir), "ccy", "left")
+    value = F.col("qty") * F.col("px") * F.col("rate")
     return p.select(
-        "book", "ticker", "asset_class", "ccy", "qty", "px", "rate", (worth * F.col("rate")).alias("value"), (F.abs(worth) * F.col("rate")).alias("exposure"),
-        (F.col("basis") * F.col("rate")).alias("cost"), (F.col("realised") * F.col("rate")).alias("realised"),
-        ((worth - F.signum("qty") * F.col("basis")) * F.col("rate")).alias("unrealised"),
+        "book", "ticker", "asset_class", "ccy", "qty", "px", "rate", value.alias("value"), (F.abs(F.col("qty") * F.col("px")) * F.col("rate")).alias("exposure"),
+        F.col("basis").alias("cost"), "realised", (value - F.signum("qty") * F.col("basis")).alias("unrealised"),
     )
 
 
@@ -87,8 +113,18 @@ def totals(positions: DataFrame, cash: DataFrame) -> DataFrame:
     return t.withColumns({"gross_leverage": lever("gross"), "net_leverage": lever("net"), "status": F.when(F.coalesce("priced", F.lit(True)), "ok").otherwise("refused")}).drop("priced")
 
 
+def native_cash(trades: DataFrame, flows: DataFrame) -> DataFrame:
+    """(book, ccy, cash): what trades, fees and flows leave in each currency; flows are in USD."""
+    given = F.when(F.col("kind") == "WITHDRAWAL", -F.col("amt")).otherwise(F.col("amt"))
+    rows = trades.select("book", "ccy", F.col("paid").alias("x")).unionByName(flows.select("book", F.lit("USD").alias("ccy"), given.alias("x")))
+    return rows.groupBy("book", "ccy").agg(F.sum("x").alias("cash"))
+
+
 def cash_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.cash_log(tables.trades(spark, sf_dir), tables.flows(spark, sf_dir)).groupBy("book").agg(F.sum("change").alias("cash"))
+    """(book, cash) in USD: the balance of each currency at its latest rate."""
+    trades = base_trades(spark, sf_dir)
+    native = native_cash(trades, tables.flows(spark, sf_dir)).join(refused_books(trades), "book", "left_anti")
+    return native.join(last_rates(spark, sf_dir), "ccy").groupBy("book").agg(F.sum(F.col("cash") * F.col("rate")).alias("cash"))
 
 
 @query(FOLD + """
@@ -104,14 +140,18 @@ SELECT book, n_positions, round(net, 2) AS net, round(long, 2) AS long, round(sh
   round(realised, 2) AS realised, round(unrealised, 2) AS unrealised, round(cash, 2) AS cash, round(cash + net, 2) AS equity,
   round(CASE WHEN abs(cash + net) > 1e-12 THEN gross / abs(cash + net) END, 2) AS gross_leverage,
   round(CASE WHEN abs(cash + net) > 1e-12 THEN net / abs(cash + net) END, 2) AS net_leverage, 'ok' AS status FROM tot
+UNION ALL SELECT book, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'refused' FROM refused
 """)
 def fin1_value_books(spark, sf_dir):
-    return rounded(totals(value_positions(spark, sf_dir), cash_of(spark, sf_dir)), 2)
+    """Totals of every book in USD; a book with a trade that no rate converts is refused by itself."""
+    t = totals(value_positions(spark, sf_dir), cash_of(spark, sf_dir))
+    no = refused_books(base_trades(spark, sf_dir)).withColumns({"n_positions": F.lit(0).cast("long"), "status": F.lit("refused")})
+    return rounded(t.unionByName(no, allowMissingColumns=True), 2)
 
 
 @query(FOLD + " SELECT book, ticker, round(qty, 4) AS qty, round(basis, 4) AS basis, round(CASE WHEN qty <> 0 THEN basis / abs(qty) END, 4) AS avg_cost, round(realised, 4) AS realised FROM pos")
 def win4_ledger_positions(spark, sf_dir):
-    return rounded(ledger.positions(tables.trades(spark, sf_dir)))
+    return rounded(ledger.positions(converted(spark, sf_dir)))
 
 
 @query("""
@@ -168,16 +208,15 @@ def agg4_external_flows(spark, sf_dir):
     return rounded(tables.flows(spark, sf_dir).groupBy("book").agg(F.sum(signed).alias("external"), F.sum(paid).alias("dividends"), F.count(F.lit(1)).alias("n")), 2)
 
 
-@query("""
-, native AS (SELECT book, ccy, sum(-q * px - fee) AS cash FROM trade JOIN security USING (ticker) GROUP BY book, ccy),
-fxall AS (SELECT ccy, d, rate FROM fx UNION ALL SELECT 'GBX', d, rate / 100 FROM fx WHERE ccy = 'GBP')
-SELECT book, ccy, round(cash, 2) AS cash, round(cash * (SELECT arg_max(rate, d) FROM fxall f WHERE f.ccy = native.ccy), 2) AS base_cash FROM native
+@query(FOLD + """
+, native AS (
+  SELECT book, ccy, sum(x) AS cash FROM (
+    SELECT book, ccy, paid AS x FROM dated UNION ALL SELECT book, 'USD', CASE WHEN kind = 'WITHDRAWAL' THEN -amt ELSE amt END FROM flow) GROUP BY book, ccy)
+SELECT book, ccy, round(cash, 2) AS cash, round(cash * rate, 2) AS base_cash FROM native LEFT JOIN fxlast USING (ccy)
 """)
 def agg3_native_cash(spark, sf_dir):
-    t = tables.trades(spark, sf_dir).join(tables.securities(spark, sf_dir), "ticker")
-    native = t.groupBy("book", "ccy").agg(F.sum(-F.col("q") * F.col("px") - F.col("fee")).alias("cash"))
-    rates = market.latest(market.with_base(tables.fx(spark, sf_dir)), "ccy", "d", "rate")
-    return rounded(native.join(rates, "ccy", "left").select("book", "ccy", "cash", (F.col("cash") * F.col("rate")).alias("base_cash")), 2)
+    native = native_cash(base_trades(spark, sf_dir), tables.flows(spark, sf_dir)).join(last_rates(spark, sf_dir), "ccy", "left")
+    return rounded(native.select("book", "ccy", "cash", (F.col("cash") * F.col("rate")).alias("base_cash")), 2)
 
 
 def concentration(positions: DataFrame, top: int = 5) -> DataFrame:

@@ -31,6 +31,19 @@ def test_ledger_of_three_trades(spark):
     assert (total.equity, total.cash, total.cost_basis, total.realised, total.unrealised) == pytest.approx((250, 130, 90, 20, 30))
 
 
+def test_replay_of_a_long_segment(spark):
+    rows = [(1, "A", 0, 10.0, 100.0)]
+    for i in range(20_000):
+        rows.append((1, "A", 2 * i + 1, -5.0, 7.0))
+        rows.append((1, "A", 2 * i + 2, 5.0, 50.0 + i % 90))
+    basis, qty = 0.0, 0.0
+    for _, _, _, q, px in rows:
+        basis, qty = (basis + q * px, qty + q) if q > 0 else (basis * (qty + q) / qty, qty + q)
+    df = spark.createDataFrame(rows, "book int, ticker string, seq int, q double, px double").selectExpr("*", "date'2020-01-01' as d")
+    last = ledger.positions(df).first()
+    assert last.qty == qty and abs(last.basis / basis - 1) < 1e-9
+
+
 def test_replay_equals_fold(spark):
     rng = random.Random(1)
     rows = [(b, "X", D(2024, 1, 1) + dt.timedelta(i), float(rng.choice([-3, -2, -1, 1, 2, 3])), float(rng.randint(1, 50))) for b in range(30) for i in range(40)]
