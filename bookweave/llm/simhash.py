@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookweave.operators.components import connected_components
@@ -260,8 +261,11 @@ SAMPLE, COMMON_LEAST, COMMON_MOST = 20_000, 3, 100_000
 #: Comparisons left in all buckets together that are made in one round.
 LAST_ROUND = 1 << 18
 _EPS = 1e-6
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Parts that hashes are dealt to, whose counts bound what two sets share.
 PARTS = 256
+#: Pairs whose whole texts go to Python at once.
+PAIR_BATCH = 50
 #: Pairs whose ids are broadcast, of 16 bytes each.
 FEW_PAIRS = 1 << 17
 _SUMS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -425,6 +429,20 @@ def _of(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return table.join(F.broadcast(ids), "id", "left_semi")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches to Python of so many rows, for what is run inside."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
 def _next_pivots(left: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """left with each row's group c, and turn: whether it is compared with its bucket next.
 
@@ -453,16 +471,15 @@ def _compared(rows: DataFrame, least: float) -> DataFrame:
 
 def _verified(size: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (None, None)  # neighbouring rows often share their second text
+        known, kept = None, None  # neighbouring rows often share their second text
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if kept[0] != y:
-                    kept = (y, shingle_set(y, size))
-                if jaccard(shingle_set(x, size), kept[1]) >= least:
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+            good = np.zeros(batch.num_rows, dtype=bool)
+            b = batch.column(1).to_pylist()
+            for i in range(batch.num_rows):
+                if known != b[i]:
+                    known, kept = b[i], shingle_set(batch.column(3)[i].as_py(), size)
+                good[i] = jaccard(shingle_set(batch.column(2)[i].as_py(), size), kept) >= least
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
     return run
 
@@ -513,7 +530,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
         near = stage_table(both.mapInArrow(_possible(similarity), "a long, b long"), "candidates")
         some = _of(near, texts.select("id", "text"))
         both = near.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b")
-        found = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle_words, similarity), "a long, b long"), "edges")
+        with batches_of(docs.sparkSession, PAIR_BATCH):
+            found = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle_words, similarity), "a long, b long"), "edges")
         discard(near)
         edges = found if edges is None else edges.unionByName(found)
         if groups is not None:
