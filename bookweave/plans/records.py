@@ -146,7 +146,7 @@ def agg22_coverage(spark, sf_dir):
 
 @query(FOLD + FUNDS + """
 , okay AS (SELECT parent FROM cons GROUP BY parent HAVING sum(weight) <= 1
-), h AS (SELECT book, ticker, CAST(round(value, 6) AS DECIMAL(18, 6)) AS value FROM valued
+), h AS (SELECT book, ticker, CAST(value AS DECIMAL(18, 6)) AS value FROM valued
 ), flat AS (
   SELECT h.book, c.constituent AS security, CAST(0 AS DECIMAL(18, 6)) AS direct, CAST(h.value AS DECIMAL(18, 6)) * CAST(c.weight AS DECIMAL(19, 18)) AS indirect FROM h JOIN cons c ON c.parent = h.ticker JOIN okay o ON o.parent = c.parent
   UNION ALL SELECT book, ticker, value, 0 FROM h WHERE ticker NOT IN (FROM okay)
