@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 # Fixed values.
 MISSING = ("", "NA", "N/A", "NAN", "NONE", "NULL", "-", "--")
 CRYPTO = {"BTC": "BTC-USD", "ETH": "ETH-USD"}
-CURRENCY = {"$": "USD", "US$": "USD", "DOLLAR": "USD", "£": "GBP", "POUND": "GBP", "STERLING": "GBP", "€": "EUR", "EURO": "EUR", "¥": "JPY", "YEN": "JPY", "GBP.": "GBP", "GBPENCE": "GBX", "PENCE": "GBX", "GBP PENCE": "GBX", "P": "GBX"}
-ISSUER_STOP = ("inc", "corp", "corporation", "company", "co", "ltd", "limited", "plc", "sa", "ag", "nv", "the", "group", "holdings", "class", "fund", "trust", "etf")
+NO_TICKER = ("", "NAN", "NONE", "<NA>")
+NO_CURRENCY = ("", "NAN", "NONE", "<NA>", "N/A", "NA")
+CURRENCY = {
+    "$": "USD", "US$": "USD", "USDOLLAR": "USD", "USDOLLARS": "USD", "£": "GBP", "STERLING": "GBP", "POUND": "GBP", "POUNDS": "GBP",
+    "€": "EUR", "EURO": "EUR", "EUROS": "EUR", "GBPENCE": "GBX", "PENCE": "GBX",
+}
+ISSUER_STOP = (
+    "plc", "inc", "corp", "corporation", "company", "group", "holding", "holdings", "nv", "se", "ag", "etf", "ucits",
+    "ishares", "vanguard", "core", "trust", "fund", "the", "ltd", "limited",
+)
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -29,13 +37,15 @@ def clean_number(v: Column) -> Column:
 
 
 def ticker(v: Column) -> Column:
+    """Trimmed and in capitals; empty where there is none."""
     up = F.upper(F.trim(v))
-    return F.when(missing(v), "").otherwise(F.coalesce(F.element_at(_map(CRYPTO), up), up))
+    return F.when(v.isNull() | up.isin(*NO_TICKER), "").otherwise(F.coalesce(F.element_at(_map(CRYPTO), up), up))
 
 
 def currency(v: Column) -> Column:
-    up = F.upper(F.trim(v))
-    return F.when(missing(v), "USD").otherwise(F.when(F.trim(v).isin("GBp", "GBX", "gbx"), "GBX").otherwise(F.coalesce(F.element_at(_map(CURRENCY), up), up)))
+    """A code in capitals without spaces, names and signs as codes; USD where there is none."""
+    up = F.replace(F.upper(F.trim(v)), F.lit(" "), F.lit(""))
+    return F.when(v.isNull() | up.isin(*NO_CURRENCY), "USD").otherwise(F.coalesce(F.element_at(_map(CURRENCY), up), up))
 
 
 def label(v: Column) -> Column:
@@ -61,7 +71,7 @@ def weight(v: Column, unit: Column) -> Column:
 
 def issuer_words(v: Column) -> Column:
     """Words of more than one letter that are not generic, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(v), F.lit(r"([a-z0-9]+)"), 1), lambda w: (F.length(w) > 1) & ~w.isin(*ISSUER_STOP))
+    return F.filter(F.regexp_extract_all(F.lower(v), F.lit(r"([a-z]+)"), 1), lambda w: (F.length(w) > 1) & ~w.isin(*ISSUER_STOP))
 
 
 def spreadsheet_safe(v: Column) -> Column:

@@ -43,6 +43,14 @@ def as_of(left: DataFrame, right: DataFrame, key: str, day: str, value: str) ->
     return left.join(told, [key, day], "left").select(*left.columns, value)
 
 
+def fx_issues(fx: DataFrame, most_days: int) -> DataFrame:
+    """(ccy, code, n): how many rates of a currency are not valid, and its longest gap between valid ones where over most_days."""
+    bad = fx.where(~F.coalesce(finite("rate", True), F.lit(False))).groupBy("ccy").agg(F.count(F.lit(1)).alias("n"))
+    gap = F.datediff("d", F.lag("d").over(Window.partitionBy("ccy").orderBy("d")))
+    gaps = fx.where(finite("rate", True)).withColumn("gap", gap).groupBy("ccy").agg(F.max("gap").cast("long").alias("n")).where(F.col("n") > most_days)
+    return bad.select("ccy", F.lit("invalid history").alias("code"), "n").unionByName(gaps.select("ccy", F.lit("history gap").alias("code"), "n"))
+
+
 def latest(rows: DataFrame, key: str, day: str, value: str) -> DataFrame:
     """Last good value per key, with its day."""
     return rows.where(finite(value)).groupBy(key).agg(F.max_by(value, day).alias(value), F.max(day).alias(day))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookweave.functions import scalars
 
@@ -93,16 +94,42 @@ def assign_accounts(parts: DataFrame, corrections: DataFrame) -> tuple[DataFrame
     return out, corrections.join(parts.select("part"), "part", "left_anti")
 
 
+def _open_fields(kind: T.StructType) -> list[T.StructField]:
+    """Fields that are not private and hold any that is not."""
+    return [f for f in kind.fields if f.name not in PRIVATE and _holds_open(f.dataType)]
+
+
+def _holds_open(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_open(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_open(kind.valueType)
+    return not isinstance(kind, T.StructType) or bool(_open_fields(kind))
+
+
+def _open_part(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_open_part(value.getField(f.name), f.dataType).alias(f.name) for f in _open_fields(kind))))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
+        return F.transform(value, lambda x: _open_part(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        rest = F.map_filter(value, lambda k, _: ~k.isin(*PRIVATE)) if isinstance(kind.keyType, T.StringType) else value
+        return F.transform_values(rest, lambda _, v: _open_part(v, kind.valueType))
+    return value
+
+
 def redact(df: DataFrame) -> DataFrame:
-    """df without private columns, in structs too."""
-    from pyspark.sql import types as T
-
-    out = df.drop(*PRIVATE)
-    for f in out.schema.fields:
-        if isinstance(f.dataType, T.StructType):
-            if hit := [x.name for x in f.dataType.fields if x.name in PRIVATE]:
-                out = out.withColumn(f.name, F.col(f"`{f.name}`").dropFields(*hit)) if len(hit) < len(f.dataType.fields) else out.drop(f.name)
-    return out
+    """df without private columns, fields and map keys, at every depth; what holds nothing else goes too."""
+    return df.select(*(_open_part(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in _open_fields(df.schema)))
+
+
+def field_names(kind: T.DataType, at: str = "") -> list[str]:
+    """Paths of all fields that hold no others."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in field_names(f.dataType, f"{at}.{f.name}" if at else f.name)]
+    if isinstance(kind, T.ArrayType):
+        return field_names(kind.elementType, at)
+    return field_names(kind.valueType, at) if isinstance(kind, T.MapType) else [at]
 
 
 def reconcile_statement(rows: DataFrame, fx: DataFrame) -> DataFrame:

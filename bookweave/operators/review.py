@@ -22,6 +22,13 @@ def same_content(records: DataFrame, signature_column: str = "sig") -> DataFrame
     return digest.join(first, keys).where("source > a").select("a", F.col("source").alias("b"), "n")
 
 
+def changed_content(records: DataFrame) -> DataFrame:
+    """(name, versions) of files of one name whose contents differ: records has name, source (one file) and sig."""
+    sums = [F.sum(F.conv(F.substring("sig", 1 + 8 * i, 8), 16, 10).cast("long")) for i in range(4)]
+    digest = records.groupBy("name", "source").agg(F.struct(F.count(F.lit(1)), *sums).alias("content"))
+    return digest.groupBy("name").agg(F.count_distinct("content").alias("versions")).where("versions > 1")
+
+
 def id_conflicts(records: DataFrame) -> DataFrame:
     """Per (account, transaction_id) that occurs again: `duplicate` where all fields agree, else `conflict`."""
     g = records.where("transaction_id is not null").groupBy("account", "transaction_id").agg(F.count(F.lit(1)).alias("n"), (F.min("sig") == F.max("sig")).alias("same"))

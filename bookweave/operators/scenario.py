@@ -89,10 +89,19 @@ def reallocate(p: DataFrame, source: str, to: str, amount: float) -> DataFrame:
     return trade_to(p, F.when(F.col("_move"), F.col("qty") + F.coalesce(F.try_divide(shift * amount, "px"), F.lit(0.0))).otherwise(F.col("qty"))).drop("_move")
 
 
-def target_scale(volatility: Column, target: float, leverage: bool = False) -> Column:
-    """Factor for all positions; null (refused) where it would need leverage that is not allowed. A target above 1 is percent."""
-    scale = F.try_divide(F.lit(target / 100 if target > 1 else target), volatility)
-    return scale if leverage else F.when(scale <= 1, scale)
+def to_target(state: DataFrame, target: float, leverage: bool = False) -> DataFrame:
+    """state (volatility, net, gross, cash, equity) with the factor of all positions that brings it to a volatility, and what it leaves.
+
+    A target above 1 is percent. Refused, with no figures, where the factor is above 1 and
+    would need leverage that is not allowed.
+    """
+    if not target > 0:
+        raise ValueError("the target volatility must be positive")
+    scale = F.try_divide(F.lit(target / 100 if target > 1 else target), F.col("volatility"))
+    s = state.withColumn("scale", scale).withColumns({"cash_after": F.col("cash") - (F.col("scale") - 1) * F.col("net"), "gross_after": F.col("scale") * F.col("gross"), "net_after": F.col("scale") * F.col("net")})
+    borrows = (F.col("scale") > 1) & ((F.col("cash_after") < -1e-9) | (F.col("gross_after") > F.col("equity") + 1e-9)) & F.lit(not leverage)
+    s = s.withColumn("status", F.when(F.col("scale").isNull(), "refused: no volatility").when(borrows, "refused: needs leverage").otherwise("ok"))
+    return s.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in ("cash_after", "gross_after", "net_after")})
 
 
 def compare(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,67 +7,110 @@ from pyspark.sql import functions as F
 
 from bookweave.operators import ledger, market, scenario
 from bookweave.plans.registry import NUDGE, query, rounded
-from bookweave.plans.valuation import FOLD, converted, last_rates
+from bookweave.plans.valuation import FOLD, base_trades, converted, last_rates, refused_books
+from bookweave.plans.scratch import stage_table
 from bookweave.sources import tables
 
-PATH = """
-, last_month AS (SELECT max(last_day(d)) AS z FROM price
-), start AS (SELECT book, min(m) AS a FROM (SELECT book, last_day(d) AS m FROM trade UNION ALL SELECT book, last_day(d) FROM flow) GROUP BY book
+PATH = FOLD + """
+, own AS (SELECT * FROM dated WHERE book NOT IN (SELECT book FROM refused)
+), given AS (SELECT * FROM flow WHERE book NOT IN (SELECT book FROM refused)
+), last_month AS (SELECT max(last_day(d)) AS z FROM price
+), start AS (SELECT book, min(m) AS a FROM (SELECT book, last_day(d) AS m FROM own UNION ALL SELECT book, last_day(d) FROM given) GROUP BY book
 ), months AS (SELECT book, last_day(CAST(g AS DATE)) AS m FROM start, last_month, unnest(generate_series(date_trunc('month', a), date_trunc('month', z), INTERVAL 1 MONTH)) AS t(g)
-), held AS (SELECT book, ticker, min(last_day(d)) AS a FROM trade GROUP BY book, ticker
-), dq AS (SELECT book, ticker, last_day(d) AS m, sum(q) AS q, sum(-q * px - fee) AS paid FROM trade GROUP BY ALL
+), held AS (SELECT book, ticker, min(last_day(d)) AS a FROM own GROUP BY book, ticker
+), dq AS (SELECT book, ticker, last_day(d) AS m, sum(q) AS q, sum(spent) AS paid FROM own GROUP BY ALL
 ), qty AS (
-  SELECT months.book, h.ticker, months.m, coalesce(dq.paid, 0) AS paid, sum(coalesce(dq.q, 0)) OVER (PARTITION BY months.book, h.ticker ORDER BY months.m ROWS UNBOUNDED PRECEDING) AS qty
+  SELECT months.book, h.ticker, months.m, coalesce(dq.paid, 0) AS paid, coalesce(dq.q, 0) AS q, sum(coalesce(dq.q, 0)) OVER (PARTITION BY months.book, h.ticker ORDER BY months.m ROWS UNBOUNDED PRECEDING) AS qty
   FROM months JOIN held h ON h.book = months.book AND months.m >= h.a LEFT JOIN dq ON dq.book = months.book AND dq.ticker = h.ticker AND dq.m = months.m
 ), marks AS (SELECT ticker, last_day(d) AS m, arg_max(px, d) AS px FROM price GROUP BY ALL
-), posn AS (SELECT q.book, q.ticker, q.m, q.paid, q.qty * k.px AS value FROM qty q ASOF LEFT JOIN marks k ON k.ticker = q.ticker AND k.m <= q.m
+), quoted AS (SELECT q.*, s.ccy, k.px FROM qty q JOIN security s ON s.ticker = q.ticker ASOF LEFT JOIN marks k ON k.ticker = q.ticker AND k.m <= q.m
+), posn AS (SELECT q.book, q.ticker, q.m, q.paid, q.q * q.px * f.rate AS entered, q.qty * q.px * f.rate AS value FROM quoted q ASOF LEFT JOIN fxall f ON f.ccy = q.ccy AND f.d <= q.m
 ), pnl AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY book, ticker ORDER BY m), 0) + paid AS pnl FROM posn
-), cashm AS (SELECT book, m, sum(x) AS x, sum(e) AS e FROM (
-    SELECT book, m, paid AS x, 0 AS e FROM dq UNION ALL
-    SELECT book, last_day(d), CASE WHEN kind = 'WITHDRAWAL' THEN -amt ELSE amt END, CASE kind WHEN 'DEPOSIT' THEN amt WHEN 'WITHDRAWAL' THEN -amt ELSE 0 END FROM flow) GROUP BY ALL
+), moved AS (SELECT book, ccy, m, sum(x) AS x FROM (
+    SELECT book, ccy, last_day(d) AS m, paid AS x FROM own UNION ALL
+    SELECT book, 'USD', last_day(d), CASE WHEN kind = 'WITHDRAWAL' THEN -amt ELSE amt END FROM given) GROUP BY ALL
+), opened AS (SELECT book, ccy, min(m) AS a FROM moved GROUP BY ALL
+), balance AS (
+  SELECT months.book, o.ccy, months.m, sum(coalesce(x, 0)) OVER (PARTITION BY months.book, o.ccy ORDER BY months.m ROWS UNBOUNDED PRECEDING) AS cash
+  FROM months JOIN opened o ON o.book = months.book AND months.m >= o.a LEFT JOIN moved v ON v.book = months.book AND v.ccy = o.ccy AND v.m = months.m
+), cashm AS (SELECT b.book, b.m, sum(b.cash * f.rate) AS cash FROM balance b ASOF LEFT JOIN fxall f ON f.ccy = b.ccy AND f.d <= b.m GROUP BY ALL
+), outside AS (SELECT book, last_day(d) AS m, sum(CASE kind WHEN 'DEPOSIT' THEN amt WHEN 'WITHDRAWAL' THEN -amt ELSE 0 END) AS e FROM given GROUP BY ALL
 ), path AS (
-  SELECT months.book, months.m, coalesce(c.e, 0) AS external, sum(coalesce(c.x, 0)) OVER (PARTITION BY months.book ORDER BY months.m ROWS UNBOUNDED PRECEDING) + coalesce(v.value, 0) AS equity
-  FROM months LEFT JOIN cashm c USING (book, m) LEFT JOIN (SELECT book, m, sum(value) AS value FROM posn GROUP BY ALL) v USING (book, m)
+  SELECT months.book, months.m, coalesce(o.e, 0) AS external, coalesce(c.cash, 0) + coalesce(v.value, 0) AS equity
+  FROM months LEFT JOIN outside o USING (book, m) LEFT JOIN cashm c USING (book, m) LEFT JOIN (SELECT book, m, sum(value) AS value FROM posn GROUP BY ALL) v USING (book, m)
 ), rr AS (
   SELECT *, lag(equity) OVER (PARTITION BY book ORDER BY m) AS before,
     CASE WHEN lag(equity) OVER (PARTITION BY book ORDER BY m) > 1e-12 THEN (equity - lag(equity) OVER (PARTITION BY book ORDER BY m) - external) / lag(equity) OVER (PARTITION BY book ORDER BY m) END AS r FROM path
 )"""
 
 
-def monthly_path(trades: DataFrame, flows: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Account path (book, m, external, equity, before, r) and positions (book, ticker, m, value, pnl) at month ends.
+def _month(df: DataFrame) -> DataFrame:
+    return df.withColumn("m", F.last_day("d"))
 
-    A book's calendar runs from its first event to the last price of all; a position's from
-    its first trade. Flows are end of period: r = (V - V' - F) / V', null where V' is not
-    positive.
+
+def _grid(starts: DataFrame, end: DataFrame, *key: str) -> DataFrame:
+    """(key, m): the month ends from each key's first (column a) to the last of all."""
+    months = F.sequence(F.trunc("a", "MM"), F.trunc("z", "MM"), F.expr("interval 1 month"))
+    return starts.join(F.broadcast(end)).select(*key, F.explode(months).alias("g")).select(*key, F.last_day("g").alias("m"))
+
+
+def _running(changes: DataFrame, end: DataFrame, keys: list[str], change: str, total: str) -> DataFrame:
+    """changes at every month end from a key's first on, nulls as zero, with the running sum of one of them."""
+    own = _grid(changes.groupBy(*keys).agg(F.min("m").alias("a")), end, *keys).join(changes, [*keys, "m"], "left")
+    own = own.fillna(0.0, [c for c in changes.columns if c not in (*keys, "m")])
+    run = Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return own.withColumn(total, F.sum(change).over(run))
+
+
+def month_positions(trades: DataFrame, prices: DataFrame, rates: DataFrame) -> DataFrame:
+    """(book, ticker, m, paid, entered, value) in USD at month ends, from a position's first trade on.
+
+    paid is the cash of the month's trades at the rates of their days, entered the month's
+    change of quantity at the mark of the month end, value all of it at that mark.
+    """
+    changes = _month(trades).groupBy("book", "ticker", "ccy", "m").agg(F.sum("q").alias("q"), F.sum(-F.col("q") * F.col("px") - F.col("fee")).alias("paid"))
+    held = _running(changes, prices.agg(F.last_day(F.max("d")).alias("z")), ["book", "ticker", "ccy"], "q", "qty")
+    marks = _month(prices).groupBy("ticker", "m").agg(F.max_by("px", "d").alias("px"))
+    rates = rates.select("ccy", F.col("d").alias("m"), "rate")
+    held = market.as_of(market.as_of(held, marks, "ticker", "m", "px"), rates, "ccy", "m", "rate")
+    worth = lambda q: F.col(q) * F.col("px") * F.col("rate")
+    return held.select("book", "ticker", "m", "paid", worth("q").alias("entered"), worth("qty").alias("value"))
+
+
+def monthly_path(trades: DataFrame, flows: DataFrame, prices: DataFrame, rates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Account path (book, m, external, equity, before, r) and positions (book, ticker, m, value, pnl) in USD at month ends.
+
+    trades are those of valuation.converted, flows are in USD. Cash is kept by currency and
+    valued at the last rate on or before each month end, like the marks. A book's calendar
+    runs from its first event to the last price of all; a position's from its first trade.
+    Flows are end of period: r = (V - V' - F) / V', null where V' is not positive.
     """
-    month = lambda df: df.withColumn("m", F.last_day("d"))
-    dq = month(trades).groupBy("book", "ticker", "m").agg(F.sum("q").alias("q"), F.sum(-F.col("q") * F.col("px") - F.col("fee")).alias("paid"))
-    signed = F.when(F.col("kind") == "WITHDRAWAL", -F.col("amt")).otherwise(F.col("amt"))
-    outside = F.when(F.col("kind") == "DIVIDEND", 0.0).otherwise(signed)
-    given = month(flows).groupBy("book", "m").agg(F.sum(signed).alias("x"), F.sum(outside).alias("external"))
-    cash = dq.groupBy("book", "m").agg(F.sum("paid").alias("x")).withColumn("external", F.lit(0.0)).unionByName(given).groupBy("book", "m").agg(F.sum("x").alias("x"), F.sum("external").alias("external"))
     end = prices.agg(F.last_day(F.max("d")).alias("z"))
-    grid = lambda starts, *key: starts.join(F.broadcast(end)).select(*key, F.explode(F.sequence(F.trunc("a", "MM"), F.trunc("z", "MM"), F.expr("interval 1 month"))).alias("g")).select(*key, F.last_day("g").alias("m"))
-    own = grid(dq.groupBy("book", "ticker").agg(F.min("m").alias("a")), "book", "ticker")
-    run = Window.partitionBy("book", "ticker").orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = own.join(dq, ["book", "ticker", "m"], "left").select("book", "ticker", "m", F.coalesce("paid", F.lit(0.0)).alias("paid"), F.sum(F.coalesce("q", F.lit(0.0))).over(run).alias("qty"))
-    marks = month(prices).groupBy("ticker", "m").agg(F.max_by("px", "d").alias("px"))
-    value = market.as_of(held, marks, "ticker", "m", "px").withColumn("value", F.col("qty") * F.col("px"))
     order = Window.partitionBy("book", "ticker").orderBy("m")
-    positions = value.withColumn("pnl", F.col("value") - F.coalesce(F.lag("value").over(order), F.lit(0.0)) + F.col("paid")).select("book", "ticker", "m", "value", "pnl")
-    starts = cash.groupBy("book").agg(F.min("m").alias("a"))
+    positions = month_positions(trades, prices, rates)
+    positions = positions.withColumn("pnl", F.col("value") - F.coalesce(F.lag("value").over(order), F.lit(0.0)) + F.col("paid")).select("book", "ticker", "m", "value", "pnl")
+    signed = F.when(F.col("kind") == "WITHDRAWAL", -F.col("amt")).otherwise(F.col("amt"))
+    given = _month(flows).withColumn("x", signed)
+    moved = _month(trades).select("book", "ccy", "m", F.col("paid").alias("x")).unionByName(given.select("book", F.lit("USD").alias("ccy"), "m", "x"))
+    balance = _running(moved.groupBy("book", "ccy", "m").agg(F.sum("x").alias("x")), end, ["book", "ccy"], "x", "cash")
+    balance = market.as_of(balance, rates.select("ccy", F.col("d").alias("m"), "rate"), "ccy", "m", "rate")
+    cash = balance.groupBy("book", "m").agg(F.sum(F.col("cash") * F.col("rate")).alias("cash"))
+    external = given.where("kind <> 'DIVIDEND'").groupBy("book", "m").agg(F.sum("x").alias("external"))
     total = positions.groupBy("book", "m").agg(F.sum("value").alias("value"))
-    by = Window.partitionBy("book").orderBy("m")
-    path = grid(starts, "book").join(cash, ["book", "m"], "left").join(total, ["book", "m"], "left")
-    path = path.select("book", "m", F.coalesce("external", F.lit(0.0)).alias("external"), (F.sum(F.coalesce("x", F.lit(0.0))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.coalesce("value", F.lit(0.0))).alias("equity"))
-    path = path.withColumn("before", F.lag("equity").over(by))
+    # cash has every month of a book, since each trade and flow moves it.
+    path = cash.join(external, ["book", "m"], "left").join(total, ["book", "m"], "left").fillna(0.0, ["cash", "external", "value"])
+    path = path.select("book", "m", "external", (F.col("cash") + F.col("value")).alias("equity"))
+    path = path.withColumn("before", F.lag("equity").over(Window.partitionBy("book").orderBy("m")))
     r = F.when(F.col("before") > 1e-12, (F.col("equity") - F.col("before") - F.col("external")) / F.col("before"))
     return path.withColumn("r", r), positions
 
 
 def _tables(spark, sf_dir):
-    return tables.trades(spark, sf_dir), tables.flows(spark, sf_dir), tables.prices(spark, sf_dir)
+    """Converted trades, and flows, of books that are not refused; prices; rates."""
+    trades = stage_table(base_trades(spark, sf_dir), "trades")
+    refused = refused_books(trades)
+    kept = lambda df: df.join(refused, "book", "left_anti")
+    return kept(trades), kept(tables.flows(spark, sf_dir)), stage_table(tables.prices(spark, sf_dir), "prices"), market.with_base(tables.fx(spark, sf_dir))
 
 
 @query(PATH + " SELECT book, CAST(m AS VARCHAR) AS m, round(external, 2) AS external, round(equity, 2) AS equity, round(r, 4) AS r FROM rr")
@@ -92,36 +135,30 @@ def agg16_fin4_account_summary(spark, sf_dir):
 
 
 @query(PATH + """
-, c AS (SELECT p.book, p.ticker, sum(p.pnl) AS pnl, sum(CASE WHEN rr.before > 1e-12 THEN p.pnl / rr.before ELSE 0 END) AS x FROM pnl p JOIN rr USING (book, m) WHERE m > DATE '1998-12-31' GROUP BY ALL
+, c AS (SELECT p.book, p.ticker, sum(p.pnl) AS pnl, sum(CASE WHEN rr.before > 1e-12 THEN p.pnl / rr.before ELSE 0 END) AS x FROM pnl p JOIN rr USING (book, m) GROUP BY ALL
 ), n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pnl, ticker) AS lo, row_number() OVER (PARTITION BY book ORDER BY pnl DESC, ticker DESC) AS hi FROM c)
-SELECT book, ticker, round(pnl, 2) AS pnl, round(x, 2) AS contribution, CASE WHEN lo <= 3 THEN 'drag' ELSE 'lift' END AS side FROM n WHERE lo <= 3 OR hi <= 3
+SELECT book, ticker, round(pnl, 2) AS pnl, round(x, 2) AS contribution, CASE WHEN lo <= 10 THEN 'drag' ELSE 'lift' END AS side FROM n WHERE lo <= 10 OR hi <= 10
 """)
 def win8_attribution(spark, sf_dir):
-    """Gain and contribution of each ticker after a day, the three worst and best of each book."""
+    """Gain and contribution of each ticker over the whole path, the ten worst and best of each book."""
     path, positions = monthly_path(*_tables(spark, sf_dir))
-    j = positions.join(path, ["book", "m"]).where("m > date'1998-12-31'")
     part = F.when(F.col("before") > 1e-12, F.col("pnl") / F.col("before")).otherwise(0.0)
-    c = j.groupBy("book", "ticker").agg(F.sum("pnl").alias("pnl"), F.sum(part).alias("contribution"))
+    c = positions.join(path, ["book", "m"]).groupBy("book", "ticker").agg(F.sum("pnl").alias("pnl"), F.sum(part).alias("contribution"))
     w = Window.partitionBy("book")
-    c = c.withColumns({"lo": F.row_number().over(w.orderBy("pnl", "ticker")), "hi": F.row_number().over(w.orderBy(F.desc("pnl"), F.desc("ticker")))}).where("lo <= 3 or hi <= 3")
-    return rounded(c.select("book", "ticker", "pnl", "contribution", F.when(F.col("lo") <= 3, "drag").otherwise("lift").alias("side")), 2)
+    c = c.withColumns({"lo": F.row_number().over(w.orderBy("pnl", "ticker")), "hi": F.row_number().over(w.orderBy(F.desc("pnl"), F.desc("ticker")))}).where("lo <= 10 or hi <= 10")
+    return rounded(c.select("book", "ticker", "pnl", "contribution", F.when(F.col("lo") <= 10, "drag").otherwise("lift").alias("side")), 2)
 
 
-@query("""
-, lot AS (SELECT book, ticker, d, q, px FROM trade WHERE q > 0
-), m AS (SELECT DISTINCT last_day(d) AS m FROM price WHERE year(d) = 1999
-), marks AS (SELECT ticker, last_day(d) AS m, arg_max(px, d) AS px FROM price GROUP BY ALL
-), v AS (SELECT l.book, l.ticker, m.m, sum(l.q) AS qty FROM lot l JOIN m ON m.m >= l.d GROUP BY ALL)
-SELECT v.book, CAST(v.m AS VARCHAR) AS m, round(sum(v.qty * k.px), 2) AS value FROM v ASOF JOIN marks k ON k.ticker = v.ticker AND k.m <= v.m GROUP BY v.book, v.m
+@query(PATH + """
+, worth AS (SELECT book, m, sum(value) AS value, sum(entered) AS entered FROM posn GROUP BY ALL)
+SELECT book, CAST(m AS VARCHAR) AS m, round(value, 2) AS value, round(entered, 2) AS entered, round(value - coalesce(lag(value) OVER (PARTITION BY book ORDER BY m), 0) - entered, 2) AS pnl FROM worth
 """)
 def win6_dated_lots(spark, sf_dir):
-    """Value of buy lots at the month ends of a year, each active from its day."""
-    trades, _, prices = _tables(spark, sf_dir)
-    months = prices.where(F.year("d") == 1999).select(F.last_day("d").alias("m")).distinct()
-    lots = trades.where("q > 0").join(F.broadcast(months), F.col("m") >= F.col("d")).groupBy("book", "ticker", "m").agg(F.sum("q").alias("qty"))  # months: at most twelve
-    marks = prices.withColumn("m", F.last_day("d")).groupBy("ticker", "m").agg(F.max_by("px", "d").alias("px"))
-    v = market.as_of(lots, marks, "ticker", "m", "px").where("px is not null")
-    return rounded(v.groupBy("book", "m").agg(F.sum(F.col("qty") * F.col("px")).alias("value")), 2)
+    """Value and gain of dated lots at all month ends, each active from its month, entered at its first mark."""
+    trades, _, prices, rates = _tables(spark, sf_dir)
+    worth = month_positions(trades, prices, rates).groupBy("book", "m").agg(F.sum("value").alias("value"), F.sum("entered").alias("entered"))
+    before = F.coalesce(F.lag("value").over(Window.partitionBy("book").orderBy("m")), F.lit(0.0))
+    return rounded(worth.select("book", "m", "value", "entered", (F.col("value") - before - F.col("entered")).alias("pnl")), 2)
 
 
 def scenario_positions(spark, sf_dir) -> DataFrame:
@@ -185,8 +222,19 @@ def scn6_reallocation(spark, sf_dir):
     return rounded(scenario.reallocate(p, "Brand#14", "Brand#21", 1000.0).select("book", "ticker", "qty"))
 
 
-@query(" SELECT DISTINCT 'bad' AS scenario, step, reason FROM (VALUES (1, 'amount out of bounds'), (2, 'unknown action')) AS t(step, reason), book WHERE book.book IS NOT NULL")
+@query("""
+, s AS (SELECT 'c' || o_custkey AS scenario, o_orderkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 1000 - 150 END AS x FROM orders
+), j AS (
+  SELECT scenario, k AS step, CASE WHEN k % 5 = 3 THEN 'unknown action' WHEN x IS NULL THEN 'amount is not a number'
+    WHEN k % 5 = 0 AND (x <= -100 OR x > 1000) OR k % 5 IN (1, 2) AND (x < 0 OR x > 10) THEN 'amount out of bounds' WHEN k % 5 <> 2 AND k % 4 = 0 THEN 'no ticker' END AS reason FROM s)
+SELECT * FROM j WHERE reason IS NOT NULL
+""")
 def scn8_invalid_steps(spark, sf_dir):
-    """Invalid steps, where any book is there to run them on."""
-    some = tables.books(spark, sf_dir).select(F.lit(1).alias("one")).distinct()
-    return scenario.invalid_steps(_steps(spark)).join(F.broadcast(some)).select("scenario", "step", "reason")
+    """Each order as a step of a scenario of its customer, some of which may not run."""
+    k = F.col("o_orderkey")
+    actions = F.array(*map(F.lit, ("price_shock", "resize", "scale", "melt", "set_quantity")))
+    steps = tables.load(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), "o_custkey").alias("scenario"), k.alias("step"), F.element_at(actions, (k % 5 + 1).cast("int")).alias("action"),
+        F.when(k % 4 != 0, "Brand#11").alias("ticker"), F.when(k % 7 != 0, F.col("o_totalprice") / 1000 - 150).alias("amount"),
+    )
+    return scenario.invalid_steps(steps)

@@ -144,13 +144,16 @@ def agg22_coverage(spark, sf_dir):
     return rounded(c.withColumns({x: F.col(x).cast("double") for x in ("total", "unreported")}), 6)
 
 
-@query(FOLD + FUNDS + """
+LOOK = """
 , okay AS (SELECT parent FROM cons GROUP BY parent HAVING sum(weight) <= 1
 ), h AS (SELECT book, ticker, CAST(value AS DECIMAL(18, 6)) AS value FROM valued
 ), flat AS (
   SELECT h.book, c.constituent AS security, CAST(0 AS DECIMAL(18, 6)) AS direct, CAST(h.value AS DECIMAL(18, 6)) * CAST(c.weight AS DECIMAL(19, 18)) AS indirect FROM h JOIN cons c ON c.parent = h.ticker JOIN okay o ON o.parent = c.parent
   UNION ALL SELECT book, ticker, value, 0 FROM h WHERE ticker NOT IN (FROM okay)
-)
+)"""
+
+
+@query(FOLD + FUNDS + LOOK + """
 SELECT book, security, round(CAST(sum(direct) AS DOUBLE), 3) AS direct, round(CAST(sum(indirect) AS DOUBLE), 3) AS indirect, round(CAST(sum(direct) AS DOUBLE) + CAST(sum(indirect) AS DOUBLE), 3) AS total FROM flat GROUP BY book, security
 """)
 def jn8_fin9_look_through(spark, sf_dir):
@@ -230,15 +233,15 @@ def scl1_clean_numbers(spark, sf_dir):
 
 
 @query("""
-, r AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN ' btc ' WHEN 1 THEN 'n/a' WHEN 2 THEN c_name WHEN 3 THEN NULL ELSE 'eth' END AS t,
-  CASE c_custkey % 4 WHEN 0 THEN '£' WHEN 1 THEN 'Pence' WHEN 2 THEN NULL ELSE 'usd' END AS c FROM customer)
-SELECT k, CASE k % 5 WHEN 0 THEN 'BTC-USD' WHEN 1 THEN '' WHEN 2 THEN upper(t) WHEN 3 THEN '' ELSE 'ETH-USD' END AS ticker,
+, r AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN ' btc ' WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN '<na>' ELSE 'n/a' END WHEN 2 THEN c_name WHEN 3 THEN NULL ELSE 'eth' END AS t,
+  CASE c_custkey % 4 WHEN 0 THEN '£' WHEN 1 THEN 'GB Pence' WHEN 2 THEN NULL ELSE 'usd' END AS c FROM customer)
+SELECT k, CASE k % 5 WHEN 0 THEN 'BTC-USD' WHEN 1 THEN CASE WHEN k % 2 = 0 THEN '' ELSE 'N/A' END WHEN 2 THEN upper(t) WHEN 3 THEN '' ELSE 'ETH-USD' END AS ticker,
   CASE k % 4 WHEN 0 THEN 'GBP' WHEN 1 THEN 'GBX' ELSE 'USD' END AS ccy, regexp_replace(lower(coalesce(t, '')), '[^a-z0-9]', '', 'g') AS token FROM r
 """)
 def scl2_scl3_scl4_identifiers(spark, sf_dir):
     k = F.col("c_custkey")
-    t = F.when(k % 5 == 0, " btc ").when(k % 5 == 1, "n/a").when(k % 5 == 2, F.col("c_name")).when(k % 5 == 4, "eth")
-    c = F.when(k % 4 == 0, "£").when(k % 4 == 1, "Pence").when(k % 4 == 3, "usd")
+    t = F.when(k % 5 == 0, " btc ").when(k % 10 == 6, "<na>").when(k % 5 == 1, "n/a").when(k % 5 == 2, F.col("c_name")).when(k % 5 == 4, "eth")
+    c = F.when(k % 4 == 0, "£").when(k % 4 == 1, "GB Pence").when(k % 4 == 3, "usd")
     return tables.load(spark, sf_dir, "customer").select(k.alias("k"), scalars.ticker(t).alias("ticker"), scalars.currency(c).alias("ccy"), scalars.token(F.coalesce(t, F.lit(""))).alias("token"))
 
 

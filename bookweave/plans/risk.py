@@ -132,13 +132,15 @@ def agg7_correlation(spark, sf_dir):
     return rounded(market.correlation(daily_returns(spark, sf_dir)))
 
 
-WEIGHTS = """
-, weights AS (SELECT ccy AS grp, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY ccy) AS w FROM security
-), need AS (SELECT grp, count(*) AS n FROM weights GROUP BY grp
+FULL_DAYS = """
+, need AS (SELECT grp, count(*) AS n FROM weights GROUP BY grp
 ), own AS (SELECT grp, ticker, w, d, r FROM good JOIN weights USING (ticker)
 ), days AS (SELECT grp, d FROM own JOIN need USING (grp) GROUP BY grp, d, n HAVING count(*) = n
 ), full_ AS (SELECT own.* FROM own JOIN days USING (grp, d)
 )"""
+WEIGHTS = """
+, weights AS (SELECT ccy AS grp, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY ccy) AS w FROM security
+)""" + FULL_DAYS
 
 
 def equal_weights(spark, sf_dir) -> DataFrame:
@@ -169,13 +171,13 @@ def agg9_book_returns(spark, sf_dir):
 
 
 @query(RETURNS + """
-, n AS (SELECT ticker, count(*) AS n FROM good WHERE d < DATE '1996-01-01' GROUP BY ticker)
+, n AS (SELECT ticker, count(*) AS n FROM good GROUP BY ticker)
 SELECT s.ccy, count(*) AS required, count(*) FILTER (coalesce(n, 0) < 2) AS missing,
   CASE WHEN count(*) FILTER (coalesce(n, 0) < 2) > 0 THEN 'missing returns' WHEN min(n) < 30 THEN 'short history' ELSE 'complete' END AS reason
 FROM security s LEFT JOIN n USING (ticker) GROUP BY s.ccy
 """)
 def agg11_coverage(spark, sf_dir):
-    n = daily_returns(spark, sf_dir).where("r is not null and d < date'1996-01-01'").groupBy("ticker").agg(F.count("r").alias("n"))
+    n = daily_returns(spark, sf_dir).where("r is not null").groupBy("ticker").agg(F.count("r").alias("n"))
     s = tables.securities(spark, sf_dir).join(n, "ticker", "left")
     lacking = F.count_if(F.coalesce("n", F.lit(0)) < 2)
     reason = F.when(lacking > 0, "missing returns").when(F.min("n") < 30, "short history").otherwise("complete")
@@ -202,7 +204,7 @@ def combination_risk(rows: DataFrame, keys: DataFrame, size: int, least: int = 3
 
 
 COMBO = RETURNS + """
-, k AS (SELECT ticker FROM security ORDER BY ticker LIMIT 6
+, k AS (SELECT ticker FROM security
 ), full_ AS (SELECT * FROM good WHERE ticker IN (FROM k) AND d IN (SELECT d FROM good WHERE ticker IN (FROM k) GROUP BY d HAVING count(*) = (SELECT count(*) FROM k))
 ), combo AS (SELECT a.ticker || '+' || b.ticker AS combo, a.d, (a.r + b.r) / 2 AS r FROM full_ a JOIN full_ b ON a.d = b.d AND a.ticker < b.ticker
 ), cut AS (SELECT combo, quantile_cont(r, 0.05) AS cut FROM combo GROUP BY combo
@@ -211,76 +213,73 @@ COMBO = RETURNS + """
 )"""
 
 
-def _six(spark, sf_dir) -> DataFrame:
-    return tables.securities(spark, sf_dir).select("ticker").orderBy("ticker").limit(6)
+def _pairs_risk(spark, sf_dir) -> DataFrame:
+    return combination_risk(daily_returns(spark, sf_dir), tables.securities(spark, sf_dir).select("ticker"), 2)
 
 
 @query(COMBO + " SELECT combo, n, round(volatility, 4) AS volatility, round(var, 4) AS var, round(es, 4) AS es FROM stat")
 def jn14_agg18_combination_risk(spark, sf_dir):
-    return rounded(combination_risk(daily_returns(spark, sf_dir), _six(spark, sf_dir), 2).select("combo", "n", "volatility", "var", "es"))
+    return rounded(_pairs_risk(spark, sf_dir).select("combo", "n", "volatility", "var", "es"))
 
 
 @query(COMBO + " SELECT arg_min(combo, (volatility, combo)) AS calmest, arg_min(combo, (var, combo)) AS least_var, arg_max(combo, (es, combo)) AS worst_es FROM stat")
 def srt3_best_combinations(spark, sf_dir):
-    c = combination_risk(daily_returns(spark, sf_dir), _six(spark, sf_dir), 2)
+    c = _pairs_risk(spark, sf_dir)
     pick = lambda f, x: f("combo", F.struct(x, "combo"))
     return c.agg(pick(F.min_by, "volatility").alias("calmest"), pick(F.min_by, "var").alias("least_var"), pick(F.max_by, "es").alias("worst_es"))
 
 
-@query(COMBO + " SELECT combo, round(volatility, 4) AS volatility FROM stat ORDER BY stat.volatility, combo LIMIT 5")
+@query(COMBO + " SELECT combo, round(volatility, 4) AS volatility FROM stat ORDER BY stat.volatility, combo LIMIT 20")
 def srt4_ranked_combinations(spark, sf_dir):
-    c = combination_risk(daily_returns(spark, sf_dir), _six(spark, sf_dir), 2).orderBy("volatility", "combo").limit(5)
+    c = _pairs_risk(spark, sf_dir).orderBy("volatility", "combo").limit(20)
     return rounded(c.select("combo", "volatility"))
 
 
 @query(COMBO + " SELECT split_part(combo, '+', 1) AS a, split_part(combo, '+', 2) AS b, round(es, 4) AS es FROM stat UNION ALL SELECT split_part(combo, '+', 2), split_part(combo, '+', 1), round(es, 4) FROM stat")
 def pub4_pair_matrix(spark, sf_dir):
-    c = combination_risk(daily_returns(spark, sf_dir), _six(spark, sf_dir), 2)
+    c = _pairs_risk(spark, sf_dir)
     ends = F.split("combo", r"\+")
     one = c.select(ends[0].alias("a"), ends[1].alias("b"), "es")
     return rounded(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "es")))
 
 
-def month_growth(rows: DataFrame) -> DataFrame:
-    """Compounded return per month, first and last month left out."""
-    m = rows.where("r is not null").groupBy(F.trunc("d", "MM").alias("month")).agg((F.product(1 + F.col("r")) - 1).alias("r"))
-    ends = m.agg(F.min("month").alias("a"), F.max("month").alias("z"))
-    return m.join(F.broadcast(ends), (F.col("month") > F.col("a")) & (F.col("month") < F.col("z"))).select("month", "r")
+def month_growth(rows: DataFrame, key: str = "ticker") -> DataFrame:
+    """Compounded return per key and month, each key's first and last month left out."""
+    m = rows.where("r is not null").groupBy(key, F.trunc("d", "MM").alias("month")).agg((F.product(1 + F.col("r")) - 1).alias("r"))
+    ends = m.groupBy(key).agg(F.min("month").alias("a"), F.max("month").alias("z"))
+    return m.join(ends, key).where("month > a and month < z").select(key, "month", "r")
 
 
 def rate_changes(rates: DataFrame) -> DataFrame:
     """Difference to the month before only; a gap gives null."""
-    w = Window.partitionBy(F.lit("rate")).orderBy("month")
-    before = F.lag("month").over(w)
-    return rates.withColumn("change", F.when(F.add_months(before, 1) == F.col("month"), F.col("level") - F.lag("level").over(w)))
+    before = rates.select(F.add_months("month", 1).alias("month"), F.col("level").alias("before"))
+    return rates.join(before, "month", "left").select("month", "level", (F.col("level") - F.col("before")).alias("change"))
 
 
 MONTHS = RETURNS + """
-, m AS (SELECT date_trunc('month', d)::DATE AS month, product(1 + r) - 1 AS r FROM good WHERE ticker = (SELECT min(ticker) FROM security) GROUP BY 1
-), mm AS (SELECT * FROM m WHERE month > (SELECT min(month) FROM m) AND month < (SELECT max(month) FROM m)
+, m AS (SELECT ticker, date_trunc('month', d)::DATE AS month, product(1 + r) - 1 AS r FROM good GROUP BY ALL
+), mm AS (SELECT * FROM m QUALIFY month > min(month) OVER (PARTITION BY ticker) AND month < max(month) OVER (PARTITION BY ticker)
 ), level AS (SELECT * FROM (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*)::DOUBLE / 10 AS level FROM orders GROUP BY 1) WHERE month <> DATE '1997-07-01'
 ), ch AS (SELECT month, level, CASE WHEN lag(month) OVER (ORDER BY month) + INTERVAL 1 MONTH = month THEN level - lag(level) OVER (ORDER BY month) END AS change FROM level
-), j AS (SELECT mm.month, r, level, change FROM mm JOIN ch USING (month) WHERE r IS NOT NULL AND level IS NOT NULL AND change IS NOT NULL
+), j AS (SELECT ticker, mm.month, r, level, change FROM mm JOIN ch USING (month) WHERE r IS NOT NULL AND level IS NOT NULL AND change IS NOT NULL
 )"""
 
 
 def monthly(spark, sf_dir) -> DataFrame:
-    first = tables.securities(spark, sf_dir).agg(F.min("ticker").alias("ticker"))
-    own = daily_returns(spark, sf_dir).join(F.broadcast(first), "ticker")
     level = tables.load(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg((F.count(F.lit(1)) / 10).alias("level"))
     level = level.where("month <> date'1997-07-01'")
-    return month_growth(own).join(rate_changes(level), "month").where("r is not null and level is not null and change is not null")
+    return month_growth(daily_returns(spark, sf_dir)).join(rate_changes(level), "month").where("r is not null and level is not null and change is not null")
 
 
-@query(MONTHS + " SELECT CAST(month AS VARCHAR) AS month, round(r, 4) AS r, round(level, 4) AS level, round(change, 4) AS change FROM j")
+@query(MONTHS + " SELECT ticker, CAST(month AS VARCHAR) AS month, round(r, 4) AS r, round(level, 4) AS level, round(change, 4) AS change FROM j")
 def jn11_win9_monthly(spark, sf_dir):
-    return rounded(monthly(spark, sf_dir).select("month", "r", "level", "change"))
+    return rounded(monthly(spark, sf_dir).select("ticker", "month", "r", "level", "change"))
 
 
-@query(MONTHS + " SELECT count(*) AS n, round(CASE WHEN count(*) >= 12 THEN corr(r, change) END, 4) AS corr FROM j")
+@query(MONTHS + " SELECT ticker, count(*) AS n, round(CASE WHEN count(*) >= 12 THEN corr(r, change) END, 4) AS corr FROM j GROUP BY ticker")
 def agg17_monthly_correlation(spark, sf_dir):
     c = F.try_divide(F.covar_samp("r", "change"), F.stddev_samp("r") * F.stddev_samp("change"))
-    return rounded(monthly(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 12, c).alias("corr")))
+    return rounded(monthly(spark, sf_dir).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 12, c).alias("corr")))
 
 
 @query("""

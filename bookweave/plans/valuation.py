@@ -16,7 +16,7 @@ FOLD = """
 ), fxlast AS (
   SELECT ccy, arg_max(rate, d) AS rate FROM fxall GROUP BY ccy
 ), dated AS (
-  SELECT t.book, t.ticker, t.d, t.seq, t.q, s.ccy, t.px * f.rate AS px, -t.q * t.px - t.fee AS paid
+  SELECT t.book, t.ticker, t.d, t.seq, t.q, s.ccy, t.px * f.rate AS px, -t.q * t.px - t.fee AS paid, (-t.q * t.px - t.fee) * f.rate AS spent
   FROM trade t JOIN security s USING (ticker) ASOF LEFT JOIN fxall f ON f.ccy = s.ccy AND f.d <= t.d
 ), refused AS (
   SELECT DISTINCT book FROM dated WHERE px IS NULL
@@ -301,13 +301,13 @@ def prj9_lookup(spark, sf_dir):
 
 
 @query(FOLD + """
-, l AS (SELECT ticker, count(DISTINCT label) AS n, min(label) AS one FROM valued JOIN book USING (book) WHERE book % 7 = 0 GROUP BY ticker)
+, l AS (SELECT ticker, count(DISTINCT label) AS n, min(label) AS one FROM valued JOIN book USING (book) GROUP BY ticker)
 SELECT v.book, v.ticker, CASE WHEN n IS NULL THEN 'Unclassified' WHEN n = 1 THEN one ELSE 'Ambiguous' END AS sector FROM valued v LEFT JOIN l USING (ticker)
 UNION ALL SELECT book, 'CASH', 'Cash' FROM money
 """)
 def prj8_labels(spark, sf_dir):
     p = value_positions(spark, sf_dir)
-    seen = p.where("book % 7 = 0").join(tables.books(spark, sf_dir), "book").groupBy("ticker").agg(F.collect_set("label").alias("s"))
+    seen = p.join(tables.books(spark, sf_dir), "book").groupBy("ticker").agg(F.collect_set("label").alias("s"))
     sector = F.when(F.col("s").isNull(), "Unclassified").when(F.size("s") == 1, F.element_at("s", 1)).otherwise("Ambiguous")
     own = p.join(seen, "ticker", "left").select("book", "ticker", sector.alias("sector"))
     return own.unionByName(cash_of(spark, sf_dir).select("book", F.lit("CASH").alias("ticker"), F.lit("Cash").alias("sector")))

@@ -9,12 +9,26 @@ from bookweave.functions import scalars
 
 # Header aliases of the roles of a portfolio file.
 ROLES = {
-    "ticker": ("ticker", "symbol", "security", "instrument"), "name": ("asset name", "name", "security name", "description"),
-    "quantity": ("quantity", "qty", "shares", "units"), "date": ("date", "trade date", "transaction date", "purchase date"),
-    "entry": ("average entry price", "avg cost", "entry price", "cost price"), "price": ("price", "current price", "last price", "trade price"),
-    "currency": ("currency", "ccy"), "asset_class": ("asset class", "class"), "type": ("type", "transaction type", "action"),
-    "amount": ("amount", "gross amount", "value"), "fees": ("fees", "fee", "commission"), "transaction_id": ("transaction id", "reference", "trade id"),
-    "side": ("side", "direction"), "duration": ("duration",), "sensitivity": ("rate sensitivity",), "account": ("account", "account id", "account name"),
+    "ticker": ("ticker", "symbol", "security", "security code", "instrument", "instrument code", "asset ticker", "stock", "code"),
+    "name": ("asset", "asset name", "security name", "instrument name", "name", "description"),
+    "quantity": ("quantity", "qty", "shares", "units", "units held", "holding", "position size", "position", "amount held"),
+    "side": ("side", "position side", "long short", "long/short"),
+    "price": ("price", "current price", "current price local", "current price (local)", "market price", "last price", "close", "close price", "valuation price"),
+    "entry": (
+        "entry price", "average entry price", "avg entry price", "average price", "cost price", "cost basis price", "purchase price", "avg cost",
+        "avg cost local", "avg cost (local)", "average cost", "average cost local", "average cost (local)",
+    ),
+    "date": ("date", "trade date", "transaction date", "purchase date", "acquisition date", "datetime", "timestamp", "executed at"),
+    "type": ("type", "transaction type", "action", "trade type", "side action"),
+    "gross": ("gross value", "gross amount", "trade value", "notional", "value", "transaction value"),
+    "fees": ("fees", "fee", "commission", "commissions", "charges", "costs"),
+    "amount": ("amount", "cash amount", "cash value", "flow amount"),
+    "transaction_id": ("transaction id", "trade id", "order id", "reference", "reference id"),
+    "asset_class": ("asset class", "class", "category", "security type", "instrument type"),
+    "duration": ("duration", "modified duration", "mod duration", "interest rate duration"),
+    "currency": ("currency", "ccy", "currency code", "denomination", "quote currency"),
+    "sensitivity": ("rate sensitivity", "interest rate sensitivity", "rate beta", "rate shock sensitivity"),
+    "account": ("account", "account id", "account name"),
 }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bookweave.functions import scalars
 from bookweave.operators import ledger, market, normalise, review, scenario
 from bookweave.operators.components import connected_components
-from bookweave.plans import risk, valuation
+from bookweave.plans import history, risk, valuation
 from bookweave.sources import readers
 from bookweave.streaming import incremental
 
@@ -188,3 +188,48 @@ def test_new_files_are_staged_once(spark, tmp_path):
 def test_private_columns_go(spark):
     df = spark.createDataFrame([(1, "acc", (2, "t1"))], "n int, account string, x struct<v:int,transaction_id:string>")
     assert normalise.redact(df).schema.simpleString() == "struct<n:int,x:struct<v:int>>"
+
+
+def test_private_fields_go_at_every_depth(spark):
+    df = spark.sql("""select 1 as k, 'x' as account, map('raw', named_struct('v', 1), 'kept', named_struct('v', 2)) as m,
+        array(named_struct('source', 's', 'deep', array(named_struct('record_id', 7, 'q', 3)))) as rows, named_struct('name', 'n') as only""")
+    got = normalise.redact(df)
+    row = got.first()
+    assert got.columns == ["k", "m", "rows"]
+    assert row.m["kept"].v == 2 and "raw" not in row.m
+    assert row.rows[0].asDict(True) == {"deep": [{"q": 3}]}
+
+
+def test_books_are_scaled_to_a_volatility(spark):
+    state = spark.createDataFrame(
+        [("calm", 0.05, 100.0, 100.0, 300.0, 400.0), ("full", 0.05, 100.0, 100.0, 0.0, 100.0), ("wild", 0.6, 100.0, 100.0, 0.0, 100.0), ("flat", 0.0, 1.0, 1.0, 0.0, 1.0)],
+        "name string, volatility double, net double, gross double, cash double, equity double",
+    )
+    got = {r.name: r for r in scenario.to_target(state, 15.0).collect()}
+    assert got["calm"].status == "ok" and abs(got["calm"].cash_after - 100) < 1e-9 and abs(got["calm"].gross_after - 300) < 1e-9
+    assert got["full"].status == "refused: needs leverage" and got["full"].cash_after is None
+    assert abs(got["wild"].scale - 0.25) < 1e-12 and abs(got["wild"].cash_after - 75) < 1e-9
+    assert got["flat"].status == "refused: no volatility"
+    lent = scenario.to_target(state.where("name = 'full'"), 0.15, leverage=True).first()
+    assert lent.status == "ok" and abs(lent.cash_after + 200) < 1e-9
+
+
+def test_tickers_and_currencies_of_input(spark):
+    df = spark.createDataFrame([(" na ", "US Dollar"), ("<na>", "GBp"), ("none", "pounds"), ("eth", "n/a"), (None, "GB Pence"), ("", "chf")], "t string, c string")
+    got = df.select(scalars.ticker(F.col("t")).alias("t"), scalars.currency(F.col("c")).alias("c")).collect()
+    assert [r.t for r in got] == ["NA", "", "", "ETH-USD", "", ""]
+    assert [r.c for r in got] == ["USD", "GBP", "GBP", "USD", "GBX", "CHF"]
+
+
+def test_month_positions_and_cash_follow_the_rates(spark):
+    day = D.fromisoformat
+    # 10 shares at 100 EUR (rate 1.0), then the rate is 1.2 and the price 110.
+    trades = spark.createDataFrame([("b", "x", day("2001-01-10"), 1, 10.0, 100.0, 0.0, "EUR", -1000.0)], "book string, ticker string, d date, seq long, q double, px double, fee double, ccy string, paid double")
+    flows = spark.createDataFrame([("b", day("2001-01-05"), 1, "DEPOSIT", 2000.0)], "book string, d date, seq long, kind string, amt double")
+    prices = spark.createDataFrame([("x", day("2001-01-10"), 100.0), ("x", day("2001-02-20"), 110.0)], "ticker string, d date, px double")
+    rates = spark.createDataFrame([("EUR", day("2001-01-01"), 1.0), ("EUR", day("2001-02-15"), 1.2), ("USD", day("2001-01-01"), 1.0)], "ccy string, d date, rate double")
+    path, positions = history.monthly_path(trades, flows, prices, rates)
+    one, two = sorted(path.collect(), key=lambda r: r.m)
+    assert (one.external, one.equity) == (2000.0, 2000.0) and one.r is None
+    assert abs(two.equity - (2000 - 1000 * 1.2 + 10 * 110 * 1.2)) < 1e-9 and abs(two.r - 120 / 2000) < 1e-12
+    assert [round(r.pnl, 6) for r in sorted(positions.collect(), key=lambda r: r.m)] == [0.0, 320.0]
