@@ -18,7 +18,7 @@ def raw_ledger(spark, sf_dir) -> DataFrame:
     k = F.col("seq")
     return t.select(
         F.concat(F.lit("s"), F.col("book") % 3).alias("source"), k.alias("row_no"), F.when(k % 13 == 0, "gift").when(F.col("q") < 0, " sell ").otherwise("Buy").alias("type"),
-        F.when(k % 17 == 0, "31/12/1999").otherwise(F.col("d").cast("string")).alias("date"), F.when(k % 19 == 0, "n/a").otherwise(F.lower("ticker")).alias("ticker"),
+        F.when(k % 17 == 0, "31/12/1999").otherwise(F.col("d").cast("string")).alias("date"), F.when(k % 19 == 0, "nan").otherwise(F.lower("ticker")).alias("ticker"),
         F.abs("q").cast("int").cast("string").alias("quantity"), F.when(k % 2 == 0, F.floor("px").cast("string")).alias("price"),
         F.concat(F.lit("$"), (F.abs("q").cast("int") * F.floor("px")).cast("string")).alias("amount"),
     )
