@@ -258,8 +258,10 @@ def hex16(fp: Column) -> Column:
 #: there that makes one common, and the most of them that are broadcast. They set the order
 #: of shingles and so the cost, never the result.
 SAMPLE, COMMON_LEAST, COMMON_MOST = 20_000, 3, 100_000
-#: Comparisons left in all buckets together that are made in one round.
-LAST_ROUND = 1 << 18
+#: How many times as many texts of a bucket are compared in a round as in the one before,
+#: and the comparisons left, by row of all buckets, that are made in one round. They set
+#: the rounds and so the cost, never the result.
+GROWTH, LAST_ROUND = 8, 4
 _EPS = 1e-6
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Parts that hashes are dealt to, whose counts bound what two sets share.
@@ -469,6 +471,22 @@ def _compared(rows: DataFrame, least: float) -> DataFrame:
     return both.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
 
 
+def _merged(groups: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, component), staged: groups with the groups that the found edges join made one.
+
+    Only edges between different groups go on, so a round costs by what it found. The
+    component is the smallest node still, as every group is named by its smallest.
+    """
+    if groups is None:
+        return stage_table(connected_components(found), "groups")
+    named = groups.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    apart = found.join(named, "a", "left").join(named.toDF("b", "cb"), "b", "left")
+    joined = connected_components(apart.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = groups.join(renamed, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stage_table(old.unionByName(joined.join(groups, "node", "left_anti")), "groups")
+
+
 def _verified(size: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, kept = None, None  # neighbouring rows often share their second text
@@ -491,7 +509,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     `similarity` alike share one of the first of each in any fixed order, about a fifth of
     a set at 0.8, so texts meet in buckets by these, and no pair is missed whatever it
     differs in. In each bucket one text is compared with the others; then, in rounds,
-    twice as many of those still apart, until every pair of a bucket is compared or
+    GROWTH times as many of those still apart, until every pair of a bucket is compared or
     joined over others. A pair counts where the shingle sets are `similarity` alike or more. group is the smallest row_id that is reached over such links.
 
     text_key is the SHA-256 of the text; null and empty texts are equal texts. Rows of one
@@ -521,7 +539,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     texts = stage_table(texts.mapInArrow(_with_counts(shingle_words), "id long, text string, counts binary"), "texts")
     pairs = met.where("fits").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     left = met.where("more").select("key", "id", "size", "place", "early", (F.col("id") == F.col("head")).alias("used"))
-    most, compared, edges, groups, now_before = 1, None, None, None, None
+    most, compared, groups, now_before = 1, None, None, None
+    last = LAST_ROUND * met.count()
     while True:
         pairs = stage_table(pairs, "candidates")
         compared = pairs if compared is None else compared.unionByName(pairs)
@@ -533,13 +552,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
         with batches_of(docs.sparkSession, PAIR_BATCH):
             found = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle_words, similarity), "a long, b long"), "edges")
         discard(near)
-        edges = found if edges is None else edges.unionByName(found)
-        if groups is not None:
-            discard(groups)
-        groups = stage_table(connected_components(edges), "groups")
+        if groups is None or found.limit(1).count():
+            before, groups = groups, _merged(groups, found)
+            discard(found, *([] if before is None else [before]))
         sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("early") & ~F.col("used")).alias("free"))
         work = sizes.agg(F.sum(F.col("n") * F.col("free"))).first()[0] or 0
-        most = 2 * most if work > LAST_ROUND else (1 << 31) - 1
+        most = GROWTH * most if work > last else (1 << 31) - 1
         now = stage_table(_next_pivots(left, groups, most), "buckets")
         discard(now_before if now_before is not None else met)
         now_before = now
