@@ -16,12 +16,12 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches to Python of a thousand rows and some 16 MB at most, so that whole texts fit in a small worker.
+    """Batches to Python of a thousand rows and some 4 MB at most, so that whole texts fit in a small worker.
 
     The settings stay in the session, as results are read after the query returns.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def pseudonym_key(spark: SparkSession) -> bytes:
