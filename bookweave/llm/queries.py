@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookweave.llm import bpe, chat, decontam, langid, pii, repeats, reshard, simhash, topk
+from bookweave.llm import bpe, chat, decontam, idfiles, infill, langid, pii, repair, repeats, reshard, simhash, topk
+from bookweave.plans.scratch import scratch_root
 
 #: The key of the registered queries where the session names none; a user sets a secret one.
 PSEUDONYM_KEY = b"bookweave example key"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -122,6 +125,28 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", pii.total().alias("n_found"), F.array_sort(F.map_keys("found")).alias("kinds"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with planted faults: what is wrong with each, and its cheapest repair."""
+    small_batches(spark)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return repair.report(repair.damage(turns), turns.select("conv_id"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut in three and arranged, and the text rebuilt from that, as digests."""
+    changed = infill.fill_in_middle(_documents(spark, sf_dir).select("doc_id", "text"))
+    columns = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256")
+    return infill.restore(changed.select(*columns, "output")).select(*columns, "restored_sha256")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text in ORC files by ascending doc_id, read back: where each document starts, and a digest of its ids."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    path = f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
+    idfiles.write_ids(docs, path, public_tokenizers.path(WORD_TOKENIZER))
+    return idfiles.with_crc32(idfiles.read_ids(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
@@ -133,6 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_repair": op11_repair,
+    "op12_infill": op12_infill,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {
@@ -140,4 +168,5 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": repeats.ORACLE_WORDS,
     "op7_top_k": topk.ORACLE,
     "op8_suffix_dedup": repeats.ORACLE_BYTES,
+    "op12_infill": infill.ORACLE,
 }
