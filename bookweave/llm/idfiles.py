@@ -9,6 +9,9 @@ stream is the sum of the files before it and its place in its own.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,38 +24,80 @@ from pyspark.sql import types as T
 
 from bookweave.llm.columns import fresh
 
-#: Words that a worker remembers, and the longest word that it does.
-REMEMBERED, LONGEST = 1 << 18, 64
+#: Words of a generation that a worker remembers, and the longest word that it does.
+REMEMBERED, LONGEST = 400_000, 64
+#: Marks that end a clause; none of them is part of a token with a letter before it.
+MARKS = b".,;:!?"
+# The split pattern of the tokenizers that take words by themselves, and Latin letters with one small form.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]+")
 #: Files whose totals are summed in one task.
 FAN = 1024
 
 
-def word_encoder(spec: str) -> Callable[[bytes], bytes]:
+def _apart(spec: str) -> bool:
+    """Whether a tokenizer file takes words by themselves: NFC, small letters, no token over white space, and byte-level words without a space before them."""
+    told = json.loads(spec)
+    kinds = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
+    before = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = [p for p in before if p["type"] == "Split"]
+    level = [p for p in before if p["type"] == "ByteLevel"]
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"] and len(before) == 2 and len(split) == len(level) == 1 and split[0]["pattern"] == {"Regex": WORDS} and split[0]["invert"]
+        and split[0]["behavior"] == "Removed" and not level[0]["add_prefix_space"] and told["model"]["type"] == "BPE" and told["post_processor"] is None
+    )
+
+
+class _Memory(dict):
+    """Ids of words, in two generations: what is not asked for while REMEMBERED others are met goes."""
+
+    def __init__(self, ids_of: Callable[[bytes], bytes]) -> None:
+        self.ids_of, self.old = ids_of, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.ids_of(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+def text_encoder(spec: str) -> Callable[[bytes], bytes]:
     """UTF-8 text to its ids as 32-bit integers, by the tokenizers library.
 
-    The tokenizer never joins characters over ASCII white space, so words are encoded by
-    themselves and those met before are remembered; memory is bounded by the longest word.
+    Where the tokenizer never joins characters over ASCII white space, words are encoded by
+    themselves, and what was met before is remembered; memory is bounded by twice
+    REMEMBERED words and the longest one. Words of Latin letters go to the tokenizer's
+    model in small letters, as its normaliser would give them, other words through all of
+    it; marks at the end of a word are apart from its letters. Another tokenizer gets the
+    whole text.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(spec)
-    known: dict[bytes, bytes] = {}
-
-    def encode(data: bytes) -> bytes:
-        nonlocal known
-        words = data.split()
-        new = list({w for w in words if w not in known})
-        long = {}
-        for a in range(0, len(new), 1000):
-            some = new[a : a + 1000]
-            for word, made in zip(some, tokenizer.encode_batch([w.decode(errors="replace") for w in some], add_special_tokens=False), strict=True):
-                (known if len(word) <= LONGEST else long)[word] = np.array(made.ids, dtype="<i4").tobytes()
-        out = b"".join([known[w] if len(w) <= LONGEST else long[w] for w in words])
-        if len(known) > REMEMBERED:
-            known = {}
-        return out
-
-    return encode
+    whole = lambda data: np.array(tokenizer.encode(data.decode(errors="replace"), add_special_tokens=False).ids, dtype="<i4").tobytes()
+    if not _apart(spec):
+        return whole
+    letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+    spelt = {n: tokenizer.pre_tokenizer.pre_tokenize_str(chr(n))[0][0] for n in range(0xDF, 0x100) if n != 0xF7}
+    split = tokenizer.model.tokenize
+
+    def ids_of(word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        text = core.decode(errors="replace")
+        small = text.lower() if LATIN.fullmatch(text) else ""
+        if letters.fullmatch(small):
+            ids = np.array([t.id for t in split(small if core.isascii() else small.translate(spelt))], dtype="<i4").tobytes()
+            return ids + memory[word[len(core) :]] if len(core) < len(word) else ids
+        return whole(word)
+
+    memory = _Memory(ids_of)
+    return lambda data: b"".join(map(memory.__getitem__, data.split()))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, row_id: str = "doc_id", text: str = "text", stripe_bytes: int = 16 << 20, index_rows: int = 1000) -> None:
@@ -77,7 +122,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, row_i
     end = np.array([end_id], dtype="<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = word_encoder(spec.value), TaskContext.get().partitionId(), 0
+        encode, part, before = text_encoder(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             made = [encode(bytes(x.as_buffer())) + end for x in batch.column(1)]
             n = np.array([len(m) // 4 for m in made], dtype=np.int64)

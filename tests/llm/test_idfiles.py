@@ -40,14 +40,30 @@ def documents():
 
 def test_words_by_themselves_are_the_whole_text():
     with open(PATH, encoding="utf-8") as f:
-        encode = idfiles.word_encoder(f.read())
+        encode = idfiles.text_encoder(f.read())
     tokenizer, rng = Tokenizer.from_file(PATH), random.Random(1)
-    pieces = [*ODD, " ", "\n", "a", "'", "'s", "́", "Σ", "9"]
+    pieces = [*ODD, "ÉCOLE.", "straße,", "Ÿ", "ÿ!?", "Ÿves", "J̌", "word.word", "a...", "Æsop;", "×", "÷", "µ", "ªº", " ", "\n", "a", "'", "'s", "́", "Σ", "9"]
     for _ in range(400):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 6)))
         assert np.frombuffer(encode(text.encode()), dtype="<i4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_another_tokenizer_gets_whole_texts():
+    other = P.path("byte_bpe_50k.json")
+    with open(other, encoding="utf-8") as f:
+        encode = idfiles.text_encoder(f.read())
+    text = " ".join(ODD)
+    assert np.frombuffer(encode(text.encode()), dtype="<i4").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+
+
+def test_memory_forgets_what_is_not_asked_for(monkeypatch):
+    monkeypatch.setattr(idfiles, "REMEMBERED", 3)
+    asked = []
+    memory = idfiles._Memory(lambda w: asked.append(w) or w * 2)
+    assert [memory[w] for w in (b"a", b"b", b"c", b"a", b"d", b"a", b"e", b"f", b"b", b"x" * 99)] == [w * 2 for w in (b"a", b"b", b"c", b"a", b"d", b"a", b"e", b"f", b"b", b"x" * 99)]
+    assert asked == [b"a", b"b", b"c", b"d", b"e", b"f", b"b", b"x" * 99] and len(memory) + len(memory.old) <= 6
+
+
 def test_query_equals_brute_force(spark, tmp_path):
     rows = documents()
     for name, data in (("a", rows), ("b", [])):
