@@ -168,5 +168,6 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": repeats.ORACLE_WORDS,
     "op7_top_k": topk.ORACLE,
     "op8_suffix_dedup": repeats.ORACLE_BYTES,
+    "op11_repair": repair.ORACLE,
     "op12_infill": infill.ORACLE,
 }
