@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookweave.operators import blocks
+
 
 def finite(x: str | Column, positive: bool = False) -> Column:
     x = F.col(x) if isinstance(x, str) else x
@@ -79,7 +81,7 @@ def returns(rows: DataFrame, key: str = "ticker", day: str = "d", value: str = "
 
 
 def wealth(rows: DataFrame, key: str, day: str = "d", r: str = "r") -> DataFrame:
-    """Cumulative wealth and its drawdown; the starting capital of 1 counts as a peak."""
+    """Cumulative wealth and its drawdown; the starting capital of 1 counts as a peak. From a return of -1 or less on, wealth is not positive and compounds no more: series_metrics withholds such paths."""
     run = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w = rows.where(F.col(r).isNotNull()).withColumn("wealth", F.product(1 + F.col(r)).over(run))
     return w.withColumn("drawdown", F.col("wealth") / F.greatest(F.lit(1.0), F.max("wealth").over(run)) - 1)
@@ -95,7 +97,8 @@ def series_metrics(rows: DataFrame, key: str, day: str = "d", r: str = "r", rf:
     """Per key: n, annual return and volatility, Sharpe ratio, VaR, expected shortfall, growth, drawdown.
 
     VaR is the negated linear quantile at 1 - level, expected shortfall the negated mean of
-    the returns at or below it, both at least zero.
+    the returns at or below it, both at least zero. Growth and drawdown are null where a
+    return is -1 or less.
     """
     good = wealth(rows.select(key, day, F.col(r).alias("r")), key, day)
     cut = good.groupBy(key).agg(F.percentile("r", 1 - level).alias("cut"))
@@ -109,20 +112,12 @@ def series_metrics(rows: DataFrame, key: str, day: str = "d", r: str = "r", rf:
         F.try_divide(excess * F.sqrt(F.lit(252.0)), F.stddev_samp("r")).alias("sharpe"),
         floor(-F.first("cut")).alias("var"),
         floor(-F.avg(F.when(F.col("r") <= F.col("cut"), F.col("r")))).alias("es"),
-        (F.product(1 + F.col("r")) - 1).alias("growth"),
-        F.min("drawdown").alias("max_drawdown"),
+        F.when(F.min("r") > -1, F.product(1 + F.col("r")) - 1).alias("growth"),
+        F.when(F.min("r") > -1, F.min("drawdown")).alias("max_drawdown"),
         (F.min("r") > -1).alias("compounds"),
     )
 
 
-def correlation(rows: DataFrame, key: str = "ticker", day: str = "d", r: str = "r") -> DataFrame:
-    """Pairwise Pearson correlation of keys over the days both have; null where a side does not vary."""
-    x = rows.where(F.col(r).isNotNull()).select(F.col(key).alias("i"), F.col(day).alias("d"), F.col(r).alias("x"))
-    y = x.select(F.col("i").alias("j"), "d", F.col("x").alias("y"))
-    pairs = x.join(y, "d").groupBy("i", "j")
-    return pairs.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("corr"))
-
-
 def complete_days(rows: DataFrame, keys: DataFrame, key: str = "ticker", day: str = "d", r: str = "r", group: str | None = None) -> DataFrame:
     """rows of the days on which every one of keys has a return; by group, each with keys of its own."""
     by = [group] if group else []
@@ -139,9 +134,7 @@ def risk_contribution(rows: DataFrame, weights: DataFrame) -> DataFrame:
     weights: (group, ticker, w), one row each. A group whose variance is not positive has no rows.
     """
     own = complete_days(rows.select("ticker", "d", "r"), weights, group="group").select("group", "d", "ticker", "r")
-    x = own.select("group", "d", F.col("ticker").alias("i"), F.col("r").alias("x"))
-    y = own.select("group", "d", F.col("ticker").alias("j"), F.col("r").alias("y"))
-    cov = x.join(y, ["group", "d"]).groupBy("group", "i", "j").agg((F.covar_samp("x", "y") * 252).alias("c"))
+    cov = blocks.pair_sums(own, ("group",)).select("group", "i", "j", (blocks.covariance() * 252).alias("c"))
     w = weights.select("group", F.col("ticker").alias("j"), "w")
     part = cov.join(w, ["group", "j"]).groupBy("group", "i").agg(F.sum(F.col("c") * F.col("w")).alias("cw"))
     part = part.join(weights.select("group", F.col("ticker").alias("i"), "w"), ["group", "i"])

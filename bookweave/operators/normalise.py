@@ -82,11 +82,6 @@ def capability(h: DataFrame) -> DataFrame:
     return h.groupBy("source").agg(F.count(F.lit(1)).alias("lots"), dated.alias("dated"), F.count_distinct("ticker").alias("tickers"), F.count("price").alias("priced"))
 
 
-def supplied_prices(h: DataFrame) -> DataFrame:
-    """The price of the last row that has one, per source and ticker."""
-    return h.where(F.col("price") > 0).groupBy("source", "ticker").agg(F.max_by("price", "row_no").alias("px"))
-
-
 def assign_accounts(parts: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parts with corrected accounts and the original one, corrections of unknown parts)."""
     c = corrections.select("part", F.col("account").alias("_new"))

@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 
 from bookweave.plans.scratch import stage_table
 
-# Actions and the bounds of their amount.
-ACTIONS = {"price_shock": (-100.0, 1000.0), "rate_shock": (-1000.0, 1000.0), "resize": (0.0, 10.0), "set_quantity": (-1e12, 1e12), "set_exposure": (0.0, 1e15), "remove": (0.0, 0.0), "scale": (0.0, 10.0)}
+# Actions and the least amount of those that have one; a price shock must be above it.
+ACTIONS = {"price_shock": -100.0, "rate_shock": None, "resize": 0.0, "set_quantity": None, "set_exposure": 0.0, "remove": None, "scale": 0.0}
 
 
 def invalid_steps(steps: DataFrame) -> DataFrame:
-    """(scenario, step, reason) of steps that may not run."""
+    """(scenario, step, reason) of steps that may not run.
+
+    Amounts are finite numbers: percent of a price shock above -100, basis points of a rate
+    shock, factors of resize and scale and an exposure from 0 on, any quantity. Nothing
+    else bounds them. remove needs no amount.
+    """
     known = F.col("action").isin(*ACTIONS)
-    bounds = F.create_map(*(F.lit(x) for a, b in ACTIONS.items() for x in (a, F.array(*map(F.lit, b)))))
-    lim = F.element_at(bounds, F.col("action"))
+    lim = F.element_at(F.create_map(*(F.lit(x) for a, b in ACTIONS.items() if b is not None for x in (a, b))), F.col("action"))
     finite = F.col("amount").isNotNull() & ~F.isnan("amount") & (F.abs("amount") < float("inf"))
     needs = ~F.col("action").isin("rate_shock", "scale") & F.col("ticker").isNull()
     reason = (
-        F.when(F.col("action").isNull() | ~known, "unknown action").when(~finite, "amount is not a number")
-        .when((F.col("amount") < lim[0]) | (F.col("amount") > lim[1]) | ((F.col("action") == "price_shock") & (F.col("amount") <= -100)), "amount out of bounds")
+        F.when(F.col("action").isNull() | ~known, "unknown action").when(~finite & (F.col("action") != "remove"), "amount is not a number")
+        .when((F.col("amount") < lim) | ((F.col("action") == "price_shock") & (F.col("amount") <= lim)), "amount out of bounds")
         .when(needs, "no ticker")
     )
     return steps.withColumn("reason", reason).where("reason is not null").select("scenario", "step", "reason")

@@ -5,160 +5,226 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookweave.operators import ledger, market, scenario
+from bookweave.operators import account, ledger, market, scenario
 from bookweave.plans.registry import NUDGE, query, rounded
-from bookweave.plans.valuation import FOLD, base_trades, converted, last_rates, refused_books
+from bookweave.plans.valuation import FOLD, converted, last_rates
 from bookweave.plans.scratch import stage_table
 from bookweave.sources import tables
 
-PATH = FOLD + """
-, own AS (SELECT * FROM dated WHERE book NOT IN (SELECT book FROM refused)
-), given AS (SELECT * FROM flow WHERE book NOT IN (SELECT book FROM refused)
-), last_month AS (SELECT max(last_day(d)) AS z FROM price
-), start AS (SELECT book, min(m) AS a FROM (SELECT book, last_day(d) AS m FROM own UNION ALL SELECT book, last_day(d) FROM given) GROUP BY book
-), months AS (SELECT book, last_day(CAST(g AS DATE)) AS m FROM start, last_month, unnest(generate_series(date_trunc('month', a), date_trunc('month', z), INTERVAL 1 MONTH)) AS t(g)
-), held AS (SELECT book, ticker, min(last_day(d)) AS a FROM own GROUP BY book, ticker
-), dq AS (SELECT book, ticker, last_day(d) AS m, sum(q) AS q, sum(spent) AS paid FROM own GROUP BY ALL
-), qty AS (
-  SELECT months.book, h.ticker, months.m, coalesce(dq.paid, 0) AS paid, coalesce(dq.q, 0) AS q, sum(coalesce(dq.q, 0)) OVER (PARTITION BY months.book, h.ticker ORDER BY months.m ROWS UNBOUNDED PRECEDING) AS qty
-  FROM months JOIN held h ON h.book = months.book AND months.m >= h.a LEFT JOIN dq ON dq.book = months.book AND dq.ticker = h.ticker AND dq.m = months.m
-), marks AS (SELECT ticker, last_day(d) AS m, arg_max(px, d) AS px FROM price GROUP BY ALL
-), quoted AS (SELECT q.*, s.ccy, k.px FROM qty q JOIN security s ON s.ticker = q.ticker ASOF LEFT JOIN marks k ON k.ticker = q.ticker AND k.m <= q.m
-), posn AS (SELECT q.book, q.ticker, q.m, q.paid, q.q * q.px * f.rate AS entered, q.qty * q.px * f.rate AS value FROM quoted q ASOF LEFT JOIN fxall f ON f.ccy = q.ccy AND f.d <= q.m
-), pnl AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY book, ticker ORDER BY m), 0) + paid AS pnl FROM posn
-), moved AS (SELECT book, ccy, m, sum(x) AS x FROM (
-    SELECT book, ccy, last_day(d) AS m, paid AS x FROM own UNION ALL
-    SELECT book, 'USD', last_day(d), CASE WHEN kind = 'WITHDRAWAL' THEN -amt ELSE amt END FROM given) GROUP BY ALL
-), opened AS (SELECT book, ccy, min(m) AS a FROM moved GROUP BY ALL
-), balance AS (
-  SELECT months.book, o.ccy, months.m, sum(coalesce(x, 0)) OVER (PARTITION BY months.book, o.ccy ORDER BY months.m ROWS UNBOUNDED PRECEDING) AS cash
-  FROM months JOIN opened o ON o.book = months.book AND months.m >= o.a LEFT JOIN moved v ON v.book = months.book AND v.ccy = o.ccy AND v.m = months.m
-), cashm AS (SELECT b.book, b.m, sum(b.cash * f.rate) AS cash FROM balance b ASOF LEFT JOIN fxall f ON f.ccy = b.ccy AND f.d <= b.m GROUP BY ALL
-), outside AS (SELECT book, last_day(d) AS m, sum(CASE kind WHEN 'DEPOSIT' THEN amt WHEN 'WITHDRAWAL' THEN -amt ELSE 0 END) AS e FROM given GROUP BY ALL
-), path AS (
-  SELECT months.book, months.m, coalesce(o.e, 0) AS external, coalesce(c.cash, 0) + coalesce(v.value, 0) AS equity
-  FROM months LEFT JOIN outside o USING (book, m) LEFT JOIN cashm c USING (book, m) LEFT JOIN (SELECT book, m, sum(value) AS value FROM posn GROUP BY ALL) v USING (book, m)
-), rr AS (
-  SELECT *, lag(equity) OVER (PARTITION BY book ORDER BY m) AS before,
-    CASE WHEN lag(equity) OVER (PARTITION BY book ORDER BY m) > 1e-12 THEN (equity - lag(equity) OVER (PARTITION BY book ORDER BY m) - external) / lag(equity) OVER (PARTITION BY book ORDER BY m) END AS r FROM path
+#: The daily account path of every book in SQL, and why a book has none.
+PATH = """
+, fxall AS (
+  SELECT ccy, d, rate FROM fx UNION ALL SELECT 'GBX', d, rate / 100 FROM fx WHERE ccy = 'GBP'
+), ev AS (
+  SELECT t.book, t.ticker, s.ccy, t.d + CASE isodow(t.d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS d, t.q, -t.q * t.px - t.fee AS paid FROM trade t JOIN security s USING (ticker)
+), fl AS (
+  SELECT book, d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS d, kind, CASE kind WHEN 'WITHDRAWAL' THEN -amt ELSE amt END AS amt FROM flow
+), happened AS (
+  SELECT book, ccy, d FROM ev UNION ALL SELECT book, 'USD', d FROM fl
+), wp AS (SELECT * FROM price WHERE isodow(d) < 6
+), horizon AS (SELECT (SELECT min(d) FROM happened) AS a, max(d) AS z FROM wp
+), cal AS (SELECT CAST(g AS DATE) AS d FROM horizon, unnest(generate_series(a, z, INTERVAL 1 DAY)) AS t(g) WHERE isodow(g) < 6
+), quoted AS (
+  SELECT ticker, ccy FROM security UNION ALL SELECT DISTINCT 'CASH:' || ccy, ccy FROM fxall UNION ALL SELECT 'external', 'USD'
+), marked AS (
+  SELECT q.ticker, q.ccy, c.d, p.px FROM quoted q CROSS JOIN cal c ASOF LEFT JOIN wp p ON p.ticker = q.ticker AND p.d <= c.d
+), worth AS (
+  SELECT m.ticker, m.d, CASE WHEN m.ticker LIKE 'CASH:%' OR m.ticker = 'external' THEN 1.0 ELSE m.px END * CASE WHEN m.ccy = 'USD' THEN 1.0 ELSE f.rate END AS mark
+  FROM marked m ASOF LEFT JOIN fxall f ON f.ccy = m.ccy AND f.d <= m.d
+), known AS (
+  SELECT substr(ticker, 6) AS ccy, min(d) AS k FROM worth WHERE ticker LIKE 'CASH:%' AND mark IS NOT NULL GROUP BY 1
+), early AS (
+  SELECT book, CASE WHEN book NOT IN (SELECT book FROM ev) THEN 'no trades' WHEN max(d) > (SELECT z FROM horizon) THEN 'events after the market history'
+    WHEN max(k) > min(d) OR count(*) > count(k) THEN 'incomplete rates' END AS reason
+  FROM happened LEFT JOIN known USING (ccy) GROUP BY book
+), fine AS (SELECT book FROM early WHERE reason IS NULL
 )"""
 
+CAPITAL = """
+, capital AS (SELECT c_custkey AS book, 2e6 + 100 * c_acctbal AS opening FROM customer)"""
+RUNS = """
+, runs AS (
+  SELECT * FROM (SELECT book, ticker, d AS a, lead(d) OVER w AS b, sum(q) OVER w AS qty FROM chg WINDOW w AS (PARTITION BY book, ticker ORDER BY d)) WHERE abs(qty) > 1e-15 OR ticker = 'CASH:USD'
+), held AS (
+  SELECT r.book, r.ticker, w.d, r.qty * w.mark AS v FROM (FROM runs UNION ALL SELECT book, 'external', d, d + 1, x FROM outside) r JOIN worth w ON w.ticker = r.ticker AND w.d >= r.a AND w.d < coalesce(r.b, DATE '9999-01-01')
+), days AS (
+  SELECT book, d, sum(CASE WHEN ticker LIKE 'CASH:%' THEN v ELSE 0 END) AS cash, sum(CASE WHEN ticker NOT LIKE 'CASH:%' AND ticker <> 'external' THEN v ELSE 0 END) AS market_value,
+    sum(CASE WHEN ticker = 'external' THEN v ELSE 0 END) AS external, bool_or(v IS NULL) AS unmarked FROM held GROUP BY book, d
+), prior AS (
+  SELECT *, cash + market_value AS equity, coalesce(lag(cash + market_value) OVER (PARTITION BY book ORDER BY d), opening) AS before
+  FROM (SELECT days.* REPLACE (cash + coalesce(opening, 0) AS cash), coalesce(opening, 0) AS opening FROM days LEFT JOIN capital USING (book))
+), returned AS (
+  SELECT *, CASE WHEN before > 1e-12 THEN (equity - before - external) / before END AS r FROM prior
+), late AS (
+  SELECT book, CASE WHEN bool_or(unmarked) THEN 'missing marks' WHEN min(equity) < 0 THEN 'negative equity' WHEN count(r) < 2 THEN 'too few valuations' END AS reason FROM returned GROUP BY book
+), grown AS (
+  SELECT *, product(1 + coalesce(r, 0)) OVER (PARTITION BY book ORDER BY d) AS wealth FROM returned WHERE book IN (SELECT book FROM late WHERE reason IS NULL)
+), path AS (
+  SELECT *, wealth / greatest(1, max(wealth) OVER (PARTITION BY book ORDER BY d)) - 1 AS drawdown FROM grown
+)"""
 
-def _month(df: DataFrame) -> DataFrame:
-    return df.withColumn("m", F.last_day("d"))
-
-
-def _grid(starts: DataFrame, end: DataFrame, *key: str) -> DataFrame:
-    """(key, m): the month ends from each key's first (column a) to the last of all."""
-    months = F.sequence(F.trunc("a", "MM"), F.trunc("z", "MM"), F.expr("interval 1 month"))
-    return starts.join(F.broadcast(end)).select(*key, F.explode(months).alias("g")).select(*key, F.last_day("g").alias("m"))
-
-
-def _running(changes: DataFrame, end: DataFrame, keys: list[str], change: str, total: str) -> DataFrame:
-    """changes at every month end from a key's first on, nulls as zero, with the running sum of one of them."""
-    own = _grid(changes.groupBy(*keys).agg(F.min("m").alias("a")), end, *keys).join(changes, [*keys, "m"], "left")
-    own = own.fillna(0.0, [c for c in changes.columns if c not in (*keys, "m")])
-    run = Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return own.withColumn(total, F.sum(change).over(run))
-
-
-def month_positions(trades: DataFrame, prices: DataFrame, rates: DataFrame) -> DataFrame:
-    """(book, ticker, m, paid, entered, value) in USD at month ends, from a position's first trade on.
-
-    paid is the cash of the month's trades at the rates of their days, entered the month's
-    change of quantity at the mark of the month end, value all of it at that mark.
-    """
-    changes = _month(trades).groupBy("book", "ticker", "ccy", "m").agg(F.sum("q").alias("q"), F.sum(-F.col("q") * F.col("px") - F.col("fee")).alias("paid"))
-    held = _running(changes, prices.agg(F.last_day(F.max("d")).alias("z")), ["book", "ticker", "ccy"], "q", "qty")
-    marks = _month(prices).groupBy("ticker", "m").agg(F.max_by("px", "d").alias("px"))
-    rates = rates.select("ccy", F.col("d").alias("m"), "rate")
-    held = market.as_of(market.as_of(held, marks, "ticker", "m", "px"), rates, "ccy", "m", "rate")
-    worth = lambda q: F.col(q) * F.col("px") * F.col("rate")
-    return held.select("book", "ticker", "m", "paid", worth("q").alias("entered"), worth("qty").alias("value"))
-
-
-def monthly_path(trades: DataFrame, flows: DataFrame, prices: DataFrame, rates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Account path (book, m, external, equity, before, r) and positions (book, ticker, m, value, pnl) in USD at month ends.
-
-    trades are those of valuation.converted, flows are in USD. Cash is kept by currency and
-    valued at the last rate on or before each month end, like the marks. A book's calendar
-    runs from its first event to the last price of all; a position's from its first trade.
-    Flows are end of period: r = (V - V' - F) / V', null where V' is not positive.
-    """
-    end = prices.agg(F.last_day(F.max("d")).alias("z"))
-    order = Window.partitionBy("book", "ticker").orderBy("m")
-    positions = month_positions(trades, prices, rates)
-    positions = positions.withColumn("pnl", F.col("value") - F.coalesce(F.lag("value").over(order), F.lit(0.0)) + F.col("paid")).select("book", "ticker", "m", "value", "pnl")
-    signed = F.when(F.col("kind") == "WITHDRAWAL", -F.col("amt")).otherwise(F.col("amt"))
-    given = _month(flows).withColumn("x", signed)
-    moved = _month(trades).select("book", "ccy", "m", F.col("paid").alias("x")).unionByName(given.select("book", F.lit("USD").alias("ccy"), "m", "x"))
-    balance = _running(moved.groupBy("book", "ccy", "m").agg(F.sum("x").alias("x")), end, ["book", "ccy"], "x", "cash")
-    balance = market.as_of(balance, rates.select("ccy", F.col("d").alias("m"), "rate"), "ccy", "m", "rate")
-    cash = balance.groupBy("book", "m").agg(F.sum(F.col("cash") * F.col("rate")).alias("cash"))
-    external = given.where("kind <> 'DIVIDEND'").groupBy("book", "m").agg(F.sum("x").alias("external"))
-    total = positions.groupBy("book", "m").agg(F.sum("value").alias("value"))
-    # cash has every month of a book, since each trade and flow moves it.
-    path = cash.join(external, ["book", "m"], "left").join(total, ["book", "m"], "left").fillna(0.0, ["cash", "external", "value"])
-    path = path.select("book", "m", "external", (F.col("cash") + F.col("value")).alias("equity"))
-    path = path.withColumn("before", F.lag("equity").over(Window.partitionBy("book").orderBy("m")))
-    r = F.when(F.col("before") > 1e-12, (F.col("equity") - F.col("before") - F.col("external")) / F.col("before"))
-    return path.withColumn("r", r), positions
-
-
-def _tables(spark, sf_dir):
-    """Converted trades, and flows, of books that are not refused; prices; rates."""
-    trades = stage_table(base_trades(spark, sf_dir), "trades")
-    refused = refused_books(trades)
-    kept = lambda df: df.join(refused, "book", "left_anti")
-    return kept(trades), kept(tables.flows(spark, sf_dir)), stage_table(tables.prices(spark, sf_dir), "prices"), market.with_base(tables.fx(spark, sf_dir))
-
-
-@query(PATH + " SELECT book, CAST(m AS VARCHAR) AS m, round(external, 2) AS external, round(equity, 2) AS equity, round(r, 4) AS r FROM rr")
-def win5_win7_account_path(spark, sf_dir):
-    path, _ = monthly_path(*_tables(spark, sf_dir))
-    near = lambda c, digits: (F.round(F.col(c) + float(NUDGE), digits) + 0.0).alias(c)
-    return path.select("book", F.col("m").cast("string").alias("m"), near("external", 2), near("equity", 2), near("r", 4))
+LEDGER = PATH + """
+, chg AS (
+  SELECT book, ticker, d, sum(q) AS q FROM (
+    SELECT book, ticker, d, q FROM ev UNION ALL SELECT book, 'CASH:' || ccy, d, paid FROM ev UNION ALL SELECT book, 'CASH:USD', d, amt FROM fl UNION ALL SELECT book, 'CASH:USD', min(d), 0 FROM happened GROUP BY book
+  ) WHERE book IN (SELECT book FROM fine) GROUP BY ALL
+), outside AS (
+  SELECT book, d, sum(amt) AS x FROM fl WHERE kind <> 'DIVIDEND' AND book IN (SELECT book FROM fine) GROUP BY ALL
+)""" + CAPITAL + RUNS
+
+
+class Ledgers:
+    """The daily inputs of all books, each staged once."""
+
+    def __init__(self, spark, sf_dir):
+        securities = tables.securities(spark, sf_dir)
+        weekdays = lambda df: df.withColumn("d", market.next_business_day("d"))
+        trades = weekdays(tables.trades(spark, sf_dir)).join(securities.select("ticker", "ccy"), "ticker")
+        self.trades = stage_table(trades.select("book", "ticker", "ccy", "d", "q", (-F.col("q") * F.col("px") - F.col("fee")).alias("paid")), "trades")
+        self.flows = weekdays(tables.flows(spark, sf_dir)).select("book", "d", "kind", "amt")
+        self.opening = tables.openings(spark, sf_dir)
+        events = self.trades.select("d").unionByName(self.flows.select("d"))
+        self.worth = stage_table(account.marks(tables.prices(spark, sf_dir), market.with_base(tables.fx(spark, sf_dir)), securities, events), "marks")
+        self.early = stage_table(account.refusals(self.trades, self.flows, self.worth), "refusals")
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return df.join(self.early.select("book"), "book", "left_anti")
+
+    def runs(self) -> DataFrame:
+        return account.runs(self.kept(account.changes_of(self.trades, self.flows)))
+
+    def path(self) -> tuple[DataFrame, DataFrame]:
+        """The daily path of every book that has one, and (book, reason) of the others."""
+        path = stage_table(account.daily_path(self.runs(), self.kept(account.external_of(self.flows)), self.worth, self.opening), "path")
+        late = account.path_refusals(path)
+        return path.join(late, "book", "left_anti"), self.early.unionByName(late)
+
+
+_DIGEST = """
+SELECT book, CAST(date_trunc('month', d)::DATE AS VARCHAR) AS m, count(*) AS days, round(sum(external), 2) AS external, round(arg_max(equity, d), 2) AS equity,
+  round(min(r), 6) AS least_r, round(max(r), 6) AS most_r, round(arg_max(wealth, d), 4) AS wealth, round(min(drawdown), 6) AS drawdown FROM path GROUP BY ALL
+"""
+
+
+def _monthly(path: DataFrame) -> DataFrame:
+    """A daily path month by month: its days, flows, last equity and wealth, extreme returns and deepest drawdown."""
+    near = lambda c, digits: F.round(c + float(NUDGE), digits) + 0.0
+    last = lambda c: F.max_by(c, "d")
+    return path.groupBy("book", F.trunc("d", "MM").cast("string").alias("m")).agg(
+        F.count(F.lit(1)).alias("days"), near(F.sum("external"), 2).alias("external"), near(last("equity"), 2).alias("equity"),
+        near(F.min("r"), 6).alias("least_r"), near(F.max("r"), 6).alias("most_r"), near(last("wealth"), 4).alias("wealth"), near(F.min("drawdown"), 6).alias("drawdown"),
+    )
 
 
-@query(PATH + """
-SELECT book, round(sum(greatest(external, 0)), 2) AS paid_in, round(sum(greatest(-external, 0)), 2) AS paid_out, round(arg_max(equity, m), 2) AS ending,
-  round(arg_max(equity, m) - sum(external), 2) AS gain, count(r) AS months, CASE WHEN min(equity) < 0 THEN 'unavailable: negative equity' ELSE 'ok' END AS status FROM rr GROUP BY book
+@query(LEDGER + _DIGEST)
+def win5_win7_account_path(spark, sf_dir):
+    """The daily account path of every book that has one, told month by month."""
+    path, _ = Ledgers(spark, sf_dir).path()
+    return _monthly(path)
+
+
+@query(LEDGER + """
+, cut AS (SELECT book, quantile_cont(r, 0.05) AS c FROM path GROUP BY book
+), figures AS (
+  SELECT book, sum(greatest(external, 0)) AS paid_in, sum(greatest(-external, 0)) AS paid_out, arg_max(equity, d) AS ending, count(r) AS n, avg(r) * 252 AS annual_return,
+    stddev_samp(r) * sqrt(252) AS volatility, greatest(0, -any_value(c)) AS var, greatest(0, -avg(r) FILTER (r <= c)) AS es, CASE WHEN min(r) > -1 THEN min(drawdown) END AS max_drawdown
+    , any_value(opening) AS opening FROM path JOIN cut USING (book) GROUP BY book
+), reasons AS (SELECT book, coalesce(e.reason, l.reason) AS reason FROM early e LEFT JOIN late l USING (book))
+SELECT book, reason, round(paid_in, 2) AS paid_in, round(paid_out, 2) AS paid_out, round(ending, 2) AS ending, round(opening, 2) AS opening, round(ending - paid_in + paid_out - opening, 2) AS gain, n, round(annual_return, 4) AS annual_return,
+  round(volatility, 4) AS volatility, round(annual_return / nullif(volatility, 0), 4) AS sharpe, round(var, 4) AS var, round(es, 4) AS es, round(max_drawdown, 4) AS max_drawdown FROM reasons LEFT JOIN figures USING (book)
 """)
 def agg16_fin4_account_summary(spark, sf_dir):
-    path, _ = monthly_path(*_tables(spark, sf_dir))
+    """Flows, ending equity, gain and return metrics of every book's daily path, or the reason why it has none."""
+    own = Ledgers(spark, sf_dir)
+    path, refused = own.path()
     up = lambda x: F.sum(F.greatest(x, F.lit(0.0)))
-    ending = F.max_by("equity", "m")
-    return rounded(path.groupBy("book").agg(
-        up(F.col("external")).alias("paid_in"), up(-F.col("external")).alias("paid_out"), ending.alias("ending"), (ending - F.sum("external")).alias("gain"),
-        F.count("r").alias("months"), F.when(F.min("equity") < 0, "unavailable: negative equity").otherwise("ok").alias("status"),
-    ), 2)
+    sums = path.groupBy("book").agg(up(F.col("external")).alias("paid_in"), up(-F.col("external")).alias("paid_out"), F.max_by("equity", "d").alias("ending"))
+    risk = market.series_metrics(path, "book").select("book", "n", "annual_return", "volatility", "sharpe", "var", "es", "max_drawdown")
+    ok = sums.join(risk, "book").join(own.opening, "book").withColumns({"gain": F.col("ending") - F.col("paid_in") + F.col("paid_out") - F.col("opening"), "reason": F.lit(None).cast("string")})
+    digits = dict.fromkeys(("paid_in", "paid_out", "ending", "opening", "gain"), 2)
+    near = [(F.round(F.col(c) + float(NUDGE), digits.get(c, 4)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in ok.dtypes]
+    return ok.select(*near).unionByName(refused, True)
+
+
+ATTRIBUTED = LEDGER + """
+, zeroed AS (SELECT book, d, equity, before, CASE WHEN row_number() OVER (PARTITION BY book ORDER BY d) = 1 THEN 0 ELSE r END AS r FROM path
+), wz AS (SELECT *, product(1 + coalesce(r, 0)) OVER (PARTITION BY book ORDER BY d) AS w FROM zeroed
+), dz AS (SELECT *, w / greatest(1, max(w) OVER (PARTITION BY book ORDER BY d)) - 1 AS dd FROM wz
+), trough AS (SELECT book, min(d) AS t FROM dz JOIN (SELECT book, min(dd) AS dd FROM dz GROUP BY book) USING (book, dd) GROUP BY book
+), top AS (SELECT book, max(w) AS w, any_value(t) AS t FROM dz JOIN trough USING (book) WHERE d <= t GROUP BY book
+), summit AS (SELECT book, min(d) AS p, any_value(t) AS t FROM dz JOIN top USING (book, w) WHERE d <= t GROUP BY book
+), per AS (SELECT book, min(d) AS a, max(d) AS z, count(*) AS n, bool_or(r IS NULL OR r <= -1) AS bad FROM zeroed GROUP BY book
+), modes AS (
+  SELECT book, 'period' AS mode, a AS s, z AS e, n, bad FROM per UNION ALL SELECT book, 'drawdown', p, t, n, bad FROM per JOIN summit USING (book)
+), chosen AS (
+  SELECT book, mode, s, e, CASE WHEN n < 2 THEN 'fewer than two valuations' WHEN bad THEN 'incomplete returns' WHEN s = e THEN 'no interval' END AS reason FROM modes
+), seg AS (
+  SELECT book, mode, d, before, CASE WHEN d > s THEN r END AS r,
+    CASE WHEN d > s THEN coalesce(product(CASE WHEN d > s THEN 1 + r ELSE 1 END) OVER (PARTITION BY book, mode ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) END AS link
+  FROM path JOIN chosen USING (book) WHERE reason IS NULL AND d BETWEEN s AND e
+), spent AS (
+  SELECT e.book, e.ticker, e.d, sum(e.paid * w.mark) AS spent FROM ev e JOIN worth w ON w.ticker = 'CASH:' || e.ccy AND w.d = e.d GROUP BY ALL
+), pair AS (SELECT DISTINCT book, ticker, mode FROM ev JOIN chosen USING (book) WHERE reason IS NULL
+), daily AS (
+  SELECT s.book, s.mode, p.ticker, s.d, s.link / s.before * (coalesce(h.v, 0) - coalesce(y.v, 0) + coalesce(x.spent, 0)) AS c
+  FROM seg s JOIN pair p USING (book, mode) JOIN (SELECT d, lag(d) OVER (ORDER BY d) AS yesterday FROM cal) k USING (d)
+  LEFT JOIN held h ON h.book = s.book AND h.ticker = p.ticker AND h.d = s.d LEFT JOIN held y ON y.book = s.book AND y.ticker = p.ticker AND y.d = k.yesterday
+  LEFT JOIN spent x ON x.book = s.book AND x.ticker = p.ticker AND x.d = s.d
+  WHERE s.link IS NOT NULL
+), part AS (SELECT book, mode, ticker, 100 * sum(c) AS points FROM daily GROUP BY ALL
+)"""
 
 
-@query(PATH + """
-, c AS (SELECT p.book, p.ticker, sum(p.pnl) AS pnl, sum(CASE WHEN rr.before > 1e-12 THEN p.pnl / rr.before ELSE 0 END) AS x FROM pnl p JOIN rr USING (book, m) GROUP BY ALL
-), n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pnl, ticker) AS lo, row_number() OVER (PARTITION BY book ORDER BY pnl DESC, ticker DESC) AS hi FROM c)
-SELECT book, ticker, round(pnl, 2) AS pnl, round(x, 2) AS contribution, CASE WHEN lo <= 10 THEN 'drag' ELSE 'lift' END AS side FROM n WHERE lo <= 10 OR hi <= 10
+@query(ATTRIBUTED + """
+, n AS (SELECT *, row_number() OVER (PARTITION BY book, mode ORDER BY points, ticker) AS lo, row_number() OVER (PARTITION BY book, mode ORDER BY points DESC, ticker DESC) AS hi FROM part)
+SELECT book, mode, ticker, round(points, 4) AS points, CASE WHEN points < 0 THEN 'drag' ELSE 'lift' END AS side FROM n WHERE points < -1e-6 AND lo <= 10 OR points > 1e-6 AND hi <= 10
 """)
 def win8_attribution(spark, sf_dir):
-    """Gain and contribution of each ticker over the whole path, the ten worst and best of each book."""
-    path, positions = monthly_path(*_tables(spark, sf_dir))
-    part = F.when(F.col("before") > 1e-12, F.col("pnl") / F.col("before")).otherwise(0.0)
-    c = positions.join(path, ["book", "m"]).groupBy("book", "ticker").agg(F.sum("pnl").alias("pnl"), F.sum(part).alias("contribution"))
-    w = Window.partitionBy("book")
-    c = c.withColumns({"lo": F.row_number().over(w.orderBy("pnl", "ticker")), "hi": F.row_number().over(w.orderBy(F.desc("pnl"), F.desc("ticker")))}).where("lo <= 10 or hi <= 10")
-    return rounded(c.select("book", "ticker", "pnl", "contribution", F.when(F.col("lo") <= 10, "drag").otherwise("lift").alias("side")), 2)
+    """The ten largest drags and lifts of every book, in percentage points, over its whole path and from its peak to its trough."""
+    part = _attributed(Ledgers(spark, sf_dir))[2].withColumn("points", 100 * F.col("contribution"))
+    w = Window.partitionBy("book", "mode")
+    part = part.withColumns({"lo": F.row_number().over(w.orderBy("points", "ticker")), "hi": F.row_number().over(w.orderBy(F.desc("points"), F.desc("ticker")))})
+    part = part.where("points < -1e-6 and lo <= 10 or points > 1e-6 and hi <= 10")
+    return rounded(part.select("book", "mode", "ticker", "points", F.when(F.col("points") < 0, "drag").otherwise("lift").alias("side")))
+
+
+def _attributed(own: Ledgers) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, linked days and contributions of all books."""
+    path = own.path()[0]
+    chosen = stage_table(account.segments(path), "segments")
+    days = stage_table(account.linked(path, chosen), "linked")
+    cash = own.worth.where(F.col("ticker").startswith("CASH:")).select(F.substring("ticker", 6, 10).alias("ccy"), "d", "mark")
+    spent = own.kept(own.trades).join(cash, ["ccy", "d"]).select("book", "ticker", "d", (F.col("paid") * F.col("mark")).alias("spent"))
+    return chosen, days, account.contributions(own.runs(), spent, own.worth, days)
+
+
+@query(ATTRIBUTED + """
+, grew AS (SELECT book, mode, 100 * (product(1 + r) - 1) AS grew FROM seg WHERE r IS NOT NULL GROUP BY ALL
+), told AS (SELECT book, mode, sum(points) AS told FROM part GROUP BY ALL)
+SELECT book, mode, CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", reason, round(grew, 4) AS attributed, round(told, 4) AS positions, round(grew - told, 4) AS residual FROM chosen LEFT JOIN grew USING (book, mode) LEFT JOIN told USING (book, mode)
+""")
+def win8_reconciliation(spark, sf_dir):
+    """What each segment returned, in percentage points, how much of it the positions explain, and the residual of cash, rates and dividends."""
+    chosen, days, part = _attributed(Ledgers(spark, sf_dir))
+    grew = days.where("r is not null").groupBy("book", "mode").agg((100 * (F.product(1 + F.col("r")) - 1)).alias("attributed"))
+    told = part.groupBy("book", "mode").agg((100 * F.sum("contribution")).alias("positions"))
+    out = chosen.join(grew, ["book", "mode"], "left").join(told, ["book", "mode"], "left")
+    return rounded(out.select("book", "mode", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "reason", "attributed", "positions", (F.col("attributed") - F.col("positions")).alias("residual")))
 
 
 @query(PATH + """
-, worth AS (SELECT book, m, sum(value) AS value, sum(entered) AS entered FROM posn GROUP BY ALL)
-SELECT book, CAST(m AS VARCHAR) AS m, round(value, 2) AS value, round(entered, 2) AS entered, round(value - coalesce(lag(value) OVER (PARTITION BY book ORDER BY m), 0) - entered, 2) AS pnl FROM worth
-""")
+, lot AS (SELECT book, ticker, d, q FROM ev WHERE q > 0 AND book IN (SELECT book FROM fine)
+), chg AS (SELECT book, ticker, d, sum(q) AS q FROM (FROM lot UNION ALL SELECT book, 'CASH:USD', min(d), 0 FROM lot GROUP BY book) GROUP BY ALL
+), outside AS (SELECT l.book, l.d, sum(l.q * w.mark) AS x FROM lot l JOIN worth w USING (ticker, d) GROUP BY ALL
+), capital AS (SELECT 0 AS book, 0::DOUBLE AS opening WHERE false)""" + RUNS + _DIGEST)
 def win6_dated_lots(spark, sf_dir):
-    """Value and gain of dated lots at all month ends, each active from its month, entered at its first mark."""
-    trades, _, prices, rates = _tables(spark, sf_dir)
-    worth = month_positions(trades, prices, rates).groupBy("book", "m").agg(F.sum("value").alias("value"), F.sum("entered").alias("entered"))
-    before = F.coalesce(F.lag("value").over(Window.partitionBy("book").orderBy("m")), F.lit(0.0))
-    return rounded(worth.select("book", "m", "value", "entered", (F.col("value") - before - F.col("entered")).alias("pnl")), 2)
+    """Bought lots as dated holdings: each active from its day, its entry at that day's mark is paid in from outside; told month by month."""
+    own = Ledgers(spark, sf_dir)
+    lots = own.kept(own.trades.where("q > 0"))
+    start = lots.groupBy("book").agg(F.min("d").alias("d")).select("book", F.lit("CASH:USD").alias("ticker"), "d", F.lit(0.0).alias("q"))
+    entered = lots.groupBy("book", "ticker", "d").agg(F.sum("q").alias("q")).join(own.worth, ["ticker", "d"]).groupBy("book", "d").agg(F.sum(F.col("q") * F.col("mark")).alias("external"))
+    path = stage_table(account.daily_path(account.runs(lots.select("book", "ticker", "d", "q").unionByName(start)), entered, own.worth), "path")
+    return _monthly(path.join(account.path_refusals(path), "book", "left_anti"))
 
 
 def scenario_positions(spark, sf_dir) -> DataFrame:
@@ -226,7 +292,7 @@ def scn6_reallocation(spark, sf_dir):
 , s AS (SELECT 'c' || o_custkey AS scenario, o_orderkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 1000 - 150 END AS x FROM orders
 ), j AS (
   SELECT scenario, k AS step, CASE WHEN k % 5 = 3 THEN 'unknown action' WHEN x IS NULL THEN 'amount is not a number'
-    WHEN k % 5 = 0 AND (x <= -100 OR x > 1000) OR k % 5 IN (1, 2) AND (x < 0 OR x > 10) THEN 'amount out of bounds' WHEN k % 5 <> 2 AND k % 4 = 0 THEN 'no ticker' END AS reason FROM s)
+    WHEN k % 5 = 0 AND x <= -100 OR k % 5 IN (1, 2) AND x < 0 THEN 'amount out of bounds' WHEN k % 5 <> 2 AND k % 4 = 0 THEN 'no ticker' END AS reason FROM s)
 SELECT * FROM j WHERE reason IS NOT NULL
 """)
 def scn8_invalid_steps(spark, sf_dir):

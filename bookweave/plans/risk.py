@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookweave.operators import market
+from bookweave.operators import blocks, market
 from bookweave.plans.registry import query, rounded
+from bookweave.plans.scratch import stage_table
 from bookweave.plans.valuation import FOLD, value_positions
 from bookweave.sources import tables
 
@@ -117,7 +116,7 @@ def win1_win2_win3_path(spark, sf_dir):
 ), dd AS (SELECT *, wealth / greatest(1, max(wealth) OVER (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING)) - 1 AS x FROM w)
 SELECT ticker, count(r) AS n, round(avg(r) * 252, 4) AS annual_return, round(stddev_samp(r) * sqrt(252), 4) AS volatility,
   round((avg(r) - (pow(1.02, 1.0 / 252) - 1)) * sqrt(252) / stddev_samp(r), 4) AS sharpe, round(greatest(0, -min(cut)), 4) AS var,
-  round(greatest(0, -avg(CASE WHEN r <= cut THEN r END)), 4) AS es, round(product(1 + r) - 1, 4) AS growth, round(min(x), 4) AS max_drawdown, min(r) > -1 AS compounds
+  round(greatest(0, -avg(CASE WHEN r <= cut THEN r END)), 4) AS es, round(CASE WHEN min(r) > -1 THEN product(1 + r) - 1 END, 4) AS growth, round(CASE WHEN min(r) > -1 THEN min(x) END, 4) AS max_drawdown, min(r) > -1 AS compounds
 FROM dd JOIN c USING (ticker) GROUP BY ticker
 """)
 def agg5_agg6_asset_metrics(spark, sf_dir):
@@ -129,7 +128,7 @@ SELECT a.ticker AS i, b.ticker AS j, count(*) AS n, round(CASE WHEN stddev_samp(
 FROM good a JOIN good b ON a.d = b.d GROUP BY a.ticker, b.ticker
 """)
 def agg7_correlation(spark, sf_dir):
-    return rounded(market.correlation(daily_returns(spark, sf_dir)))
+    return rounded(blocks.correlation(stage_table(daily_returns(spark, sf_dir), "returns")))
 
 
 FULL_DAYS = """
@@ -156,7 +155,7 @@ SELECT grp AS "group", i AS ticker, round(w, 4) AS w, round(sqrt(v), 4) AS sigma
 FROM part JOIN tot USING (grp)
 """)
 def agg8_risk_contribution(spark, sf_dir):
-    return rounded(market.risk_contribution(daily_returns(spark, sf_dir), equal_weights(spark, sf_dir)))
+    return rounded(market.risk_contribution(stage_table(daily_returns(spark, sf_dir), "returns"), equal_weights(spark, sf_dir)))
 
 
 def book_returns(rows: DataFrame, weights: DataFrame) -> DataFrame:
@@ -184,62 +183,85 @@ def agg11_coverage(spark, sf_dir):
     return s.groupBy("ccy").agg(F.count(F.lit(1)).alias("required"), lacking.alias("missing"), reason.alias("reason"))
 
 
-def combinations(keys: DataFrame, size: int, limit: int = 100_000) -> DataFrame:
-    """(combo, ticker) for every group of `size` tickers in order; refused above the limit, which is counted first."""
-    n = keys.count()
-    if math.comb(n, size) > limit:
-        raise ValueError(f"{math.comb(n, size)} combinations are more than {limit}")
-    out = keys.select(F.col("ticker").alias("t1"))
-    for k in range(2, size + 1):
-        out = out.join(keys.select(F.col("ticker").alias(f"t{k}")), F.col(f"t{k - 1}") < F.col(f"t{k}"))
-    names = [f"t{k}" for k in range(1, size + 1)]
-    return out.select(F.concat_ws("+", *names).alias("combo"), F.explode(F.array(*names)).alias("ticker"))
+ELIGIBLE = RETURNS + """
+, k AS (SELECT ticker FROM good WHERE ticker IN (SELECT ticker FROM security) GROUP BY ticker HAVING count(*) >= 30
+), common AS (SELECT d FROM good WHERE ticker IN (FROM k) GROUP BY d HAVING count(*) = (SELECT count(*) FROM k)
+), full_ AS (SELECT * FROM good WHERE ticker IN (FROM k) AND d IN (FROM common)
+)"""
+COMBO = ELIGIBLE + """
+, combo AS ({members}
+), cut AS (SELECT combo, quantile_cont(r, 0.05) AS cut FROM combo GROUP BY combo
+), grown AS (SELECT combo, d, product(1 + r) OVER (PARTITION BY combo ORDER BY d) AS w FROM combo
+), down AS (SELECT combo, min(x) AS x FROM (SELECT combo, w / greatest(1, max(w) OVER (PARTITION BY combo ORDER BY d)) - 1 AS x FROM grown) GROUP BY combo
+), stat AS (SELECT combo, count(*) AS n, avg(r) * 252 AS annual_return, stddev_samp(r) * sqrt(252) AS volatility, greatest(0, -min(cut)) AS var, greatest(0, -avg(CASE WHEN r <= cut THEN r END)) AS es,
+    CASE WHEN min(r) > -1 THEN min(x) END AS max_drawdown
+  FROM combo JOIN cut USING (combo) JOIN down USING (combo) GROUP BY combo HAVING count(*) >= 30
+)"""
+PAIRS = COMBO.format(members="SELECT a.ticker || '+' || b.ticker AS combo, a.d, (a.r + b.r) / 2 AS r FROM full_ a JOIN full_ b ON a.d = b.d AND a.ticker < b.ticker")
+TRIPLES = COMBO.format(members="SELECT a.ticker || '+' || b.ticker || '+' || c.ticker AS combo, a.d, (a.r + b.r + c.r) / 3 AS r FROM full_ a JOIN full_ b ON a.d = b.d AND a.ticker < b.ticker JOIN full_ c ON c.d = a.d AND b.ticker < c.ticker")
+FOURS = COMBO.format(members="SELECT a.ticker || '+' || b.ticker || '+' || c.ticker || '+' || e.ticker AS combo, a.d, (a.r + b.r + c.r + e.r) / 4 AS r FROM full_ a JOIN full_ b ON a.d = b.d AND a.ticker < b.ticker JOIN full_ c ON c.d = a.d AND b.ticker < c.ticker JOIN full_ e ON e.d = a.d AND c.ticker < e.ticker")
+SHOWN = " SELECT combo, n, round(annual_return, 4) AS annual_return, round(volatility, 4) AS volatility, round(var, 4) AS var, round(es, 4) AS es, round(max_drawdown, 4) AS max_drawdown FROM stat"
 
 
-def combination_risk(rows: DataFrame, keys: DataFrame, size: int, least: int = 30) -> DataFrame:
-    """Metrics of the equal-weight book of every combination over the days complete for all keys."""
-    full = market.complete_days(rows.select("ticker", "d", "r"), keys)
-    series = full.join(combinations(keys, size), "ticker").groupBy("combo", "d").agg(F.avg("r").alias("r"))
-    return market.series_metrics(series, "combo").where(F.col("n") >= least)
+def _risk_of(spark, sf_dir, size: int) -> tuple[DataFrame, dict]:
+    return blocks.combination_risk(stage_table(daily_returns(spark, sf_dir), "returns"), tables.securities(spark, sf_dir), size)
 
 
-COMBO = RETURNS + """
-, k AS (SELECT ticker FROM security
-), full_ AS (SELECT * FROM good WHERE ticker IN (FROM k) AND d IN (SELECT d FROM good WHERE ticker IN (FROM k) GROUP BY d HAVING count(*) = (SELECT count(*) FROM k))
-), combo AS (SELECT a.ticker || '+' || b.ticker AS combo, a.d, (a.r + b.r) / 2 AS r FROM full_ a JOIN full_ b ON a.d = b.d AND a.ticker < b.ticker
-), cut AS (SELECT combo, quantile_cont(r, 0.05) AS cut FROM combo GROUP BY combo
-), stat AS (SELECT combo, count(*) AS n, stddev_samp(r) * sqrt(252) AS volatility, greatest(0, -min(cut)) AS var, greatest(0, -avg(CASE WHEN r <= cut THEN r END)) AS es
-  FROM combo JOIN cut USING (combo) GROUP BY combo HAVING count(*) >= 30
-)"""
+def _shown(spark, sf_dir, size: int) -> DataFrame:
+    return rounded(_risk_of(spark, sf_dir, size)[0].select("combo", "n", "annual_return", "volatility", "var", "es", "max_drawdown"))
 
 
-def _pairs_risk(spark, sf_dir) -> DataFrame:
-    return combination_risk(daily_returns(spark, sf_dir), tables.securities(spark, sf_dir).select("ticker"), 2)
+@query(PAIRS + SHOWN)
+def jn14_agg18_combination_risk(spark, sf_dir):
+    """Risk of all pairs of tickers."""
+    return _shown(spark, sf_dir, 2)
 
 
-@query(COMBO + " SELECT combo, n, round(volatility, 4) AS volatility, round(var, 4) AS var, round(es, 4) AS es FROM stat")
-def jn14_agg18_combination_risk(spark, sf_dir):
-    return rounded(_pairs_risk(spark, sf_dir).select("combo", "n", "volatility", "var", "es"))
+@query(TRIPLES + SHOWN)
+def agg18_triples(spark, sf_dir):
+    """Risk of all combinations of three tickers."""
+    return _shown(spark, sf_dir, 3)
+
+
+@query(FOURS + SHOWN)
+def agg18_fours(spark, sf_dir):
+    """Risk of all combinations of four tickers."""
+    return _shown(spark, sf_dir, 4)
+
+
+@query(ELIGIBLE + """
+, n AS (SELECT count(*) AS n, (SELECT count(*) FROM common) AS c FROM k
+), s AS (SELECT size, n, c, CASE size WHEN 2 THEN n * (n - 1) / 2 WHEN 3 THEN n * (n - 1) * (n - 2) / 6 WHEN 4 THEN n * (n - 1) * (n - 2) * (n - 3) / 24 WHEN 9 THEN n * (n - 1) / 2 * (n - 2) / 3 * (n - 3) / 4 * (n - 4) / 5 * (n - 5) / 6 * (n - 6) / 7 * (n - 7) / 8 * (n - 8) / 9 ELSE 0 END AS total
+  FROM n, (VALUES (2), (3), (4), (9), (99)) AS v(size))
+SELECT size, n AS eligible, CAST(round(total) AS BIGINT) AS candidates, CAST(CASE WHEN size <= n AND total <= 100000 AND c >= 30 THEN total ELSE 0 END AS BIGINT) AS evaluated,
+  CAST(CASE WHEN size <= n AND total <= 100000 AND c < 30 THEN total ELSE 0 END AS BIGINT) AS skipped, CASE WHEN size <= n AND total <= 100000 THEN c ELSE 0 END AS common,
+  CASE WHEN size > n THEN 'too few eligible tickers' WHEN total > 100000 THEN 'more combinations than the limit' WHEN c < 30 THEN 'too few common days' END AS reason FROM s
+""")
+def agg18_coverage(spark, sf_dir):
+    """For sizes of combinations: how many there are, are evaluated or skipped, and why not."""
+    returns = stage_table(daily_returns(spark, sf_dir), "returns")
+    told = [blocks.combination_risk(returns, tables.securities(spark, sf_dir), size)[1] for size in (2, 3, 4, 9, 99)]
+    return spark.createDataFrame([tuple(t.values()) for t in told], "size int, eligible long, candidates long, evaluated long, skipped long, common long, reason string")
 
 
-@query(COMBO + " SELECT arg_min(combo, (volatility, combo)) AS calmest, arg_min(combo, (var, combo)) AS least_var, arg_max(combo, (es, combo)) AS worst_es FROM stat")
+@query(PAIRS + " SELECT arg_min(combo, (volatility, combo)) AS calmest, arg_min(combo, (var, combo)) AS least_var, arg_min(combo, (es, combo)) AS least_es, arg_min(combo, (-max_drawdown, combo)) AS least_drawdown, arg_min(combo, (-es, combo)) AS worst_es FROM stat")
 def srt3_best_combinations(spark, sf_dir):
-    c = _pairs_risk(spark, sf_dir)
-    pick = lambda f, x: f("combo", F.struct(x, "combo"))
-    return c.agg(pick(F.min_by, "volatility").alias("calmest"), pick(F.min_by, "var").alias("least_var"), pick(F.max_by, "es").alias("worst_es"))
+    """The pair of least volatility, VaR, expected shortfall and drawdown, and that of most expected shortfall; ties to the first by name."""
+    c = _risk_of(spark, sf_dir, 2)[0]
+    pick = lambda x: F.min_by("combo", F.struct(x, "combo"))
+    return c.agg(pick("volatility").alias("calmest"), pick("var").alias("least_var"), pick("es").alias("least_es"), F.min_by("combo", F.when(F.col("max_drawdown").isNotNull(), F.struct(-F.col("max_drawdown"), "combo"))).alias("least_drawdown"), pick(-F.col("es")).alias("worst_es"))
 
 
-@query(COMBO + " SELECT combo, round(volatility, 4) AS volatility FROM stat ORDER BY stat.volatility, combo LIMIT 20")
+@query(PAIRS + " SELECT combo, round(volatility, 4) AS volatility FROM stat ORDER BY stat.volatility, combo LIMIT 20")
 def srt4_ranked_combinations(spark, sf_dir):
-    c = _pairs_risk(spark, sf_dir).orderBy("volatility", "combo").limit(20)
+    c = _risk_of(spark, sf_dir, 2)[0].orderBy("volatility", "combo").limit(20)
     return rounded(c.select("combo", "volatility"))
 
 
-@query(COMBO + " SELECT split_part(combo, '+', 1) AS a, split_part(combo, '+', 2) AS b, round(es, 4) AS es FROM stat UNION ALL SELECT split_part(combo, '+', 2), split_part(combo, '+', 1), round(es, 4) FROM stat")
+@query(PAIRS + " SELECT split_part(combo, '+', 1) AS a, split_part(combo, '+', 2) AS b, round(es, 4) AS es FROM stat UNION ALL SELECT split_part(combo, '+', 2), split_part(combo, '+', 1), round(es, 4) FROM stat")
 def pub4_pair_matrix(spark, sf_dir):
-    c = _pairs_risk(spark, sf_dir)
     ends = F.split("combo", r"\+")
-    one = c.select(ends[0].alias("a"), ends[1].alias("b"), "es")
+    one = _risk_of(spark, sf_dir, 2)[0].select(ends[0].alias("a"), ends[1].alias("b"), "es")
     return rounded(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "es")))
 
 

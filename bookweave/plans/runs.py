@@ -13,7 +13,7 @@ from bookweave.plans import history, records, risk
 from bookweave.plans.registry import query, rounded
 from bookweave.plans.scratch import scratch_root, stage_table
 from bookweave.plans.valuation import FOLD, cash_of, value_positions
-from bookweave.sources import readers, tables
+from bookweave.sources import readers, staging, tables
 from bookweave.streaming import incremental
 
 LABELS = FOLD + risk.RETURNS + """
@@ -245,29 +245,82 @@ def src7_monthly_rates(spark, sf_dir):
     return rounded(told.where("good or issue is not null").select("month", "level", "issue"))
 
 
-@query(" SELECT 'a' || (book % 3) AS account, count(*) AS n, count(*) AS ids, round(sum(q), 2) AS quantity, 0::BIGINT AS issues FROM trade GROUP BY ALL")
-def src1_prj1_prj6_staged_files(spark, sf_dir):
-    """Trades written as CSV with a broker's headers and staged again: roles by header, records by account."""
-    path = f"{scratch_root(spark)}/drop-{uuid.uuid4().hex}"
-    t = tables.trades(spark, sf_dir)
-    names = ["Order ID", "Instrument-Code", "Position_Size", "Executed At", "Account ID"]
-    t.select(F.col("seq").alias(names[0]), F.col("ticker").alias(names[1]), F.col("q").alias(names[2]), F.col("d").alias(names[3]), F.concat(F.lit("a"), F.col("book") % 3).alias(names[4])).write.option("header", True).csv(path)
-    rows, issues = readers.read_csv(spark, path, names)
-    staged = readers.stage(rows, readers.column_map(names))
-    by = staged.groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("ids"), F.sum(scalars.clean_number(F.col("quantity"))).alias("quantity"))
-    return rounded(by.join(F.broadcast(issues.agg(F.count(F.lit(1)).alias("issues")))), 2)
+def _drop_trades(spark, sf_dir, root: str) -> None:
+    """Trades as 64 CSV files, one per remainder of seq: two header orders, two files in eight without accounts' names for all rows, one in eight broken, and the first file twice."""
+    t = tables.trades(spark, sf_dir).withColumn("file", F.col("seq") % 64)
+    account = F.when(F.col("book") % 7 == 0, "").otherwise(F.lpad((F.col("book") % 5).cast("string"), 4, "0"))
+    kind = F.pmod("file", F.lit(8))
+    cells = {"Order ID": F.col("seq").cast("string"), "Instrument-Code": F.col("ticker"), "Position_Size": F.col("q").cast("string"), "Executed At": F.col("d").cast("string"), "Account Number": account}
+    orders = {"brokerage": list(cells), "backwards": list(reversed(cells))}
+
+    def write(rows: DataFrame, name: str, header: list[str]) -> None:
+        by_file = rows.select("file", *(cells[h].alias(h) for h in header)).repartition(64, "file").sortWithinPartitions("file", F.col("Order ID").cast("long"))
+        by_file.write.partitionBy("file").option("header", True).option("emptyValue", "").csv(f"{root}/{name}")
+
+    write(t.where(kind < 4), "brokerage", orders["brokerage"])
+    write(t.where((kind >= 4) & (kind < 7)), "backwards", orders["backwards"])
+    write(t.where("file = 0"), "again", orders["brokerage"])
+    line = F.concat_ws(",", F.col("seq").cast("string"), "ticker", F.when(F.col("seq") % 3 == 0, "a cell too many"))
+    torn = t.where(kind == 7)
+    lines = torn.select("file", "seq", line.alias("line")).unionByName(torn.select("file", F.lit(-1).cast("long").alias("seq"), F.lit("Order ID,Instrument-Code").alias("line")).distinct())
+    lines.repartition(64, "file").sortWithinPartitions("file", "seq").drop("seq").write.partitionBy("file").option("sep", "\u0001").csv(f"{root}/torn")
 
 
-@query(" SELECT label, count(*) AS n FROM book GROUP BY label")
-def inc1_staged_increments(spark, sf_dir):
-    """Books dropped as files in two runs, the second with a copy of what the first had: each content is staged once."""
+@query("""
+, f AS (SELECT *, seq % 64 AS file, CASE WHEN seq % 64 % 8 < 4 THEN 'brokerage' WHEN seq % 64 % 8 < 7 THEN 'backwards' ELSE 'torn' END AS folder, CASE WHEN book % 7 <> 0 THEN lpad(CAST(book % 5 AS VARCHAR), 4, '0') END AS account FROM trade
+), all_ AS (FROM f UNION ALL SELECT * REPLACE ('again' AS folder) FROM f WHERE file = 0
+), s AS (SELECT folder, file, bool_or(folder = 'torn' AND seq % 3 = 0) AS bad, count(*) AS n, count(DISTINCT account) AS accounts, count(*) FILTER (account IS NULL) AS unresolved, round(sum(q), 2) AS quantity, max(seq) AS last_order FROM all_ GROUP BY ALL)
+SELECT folder, file, CASE WHEN bad THEN 'blocked' ELSE 'staged' END AS status, CASE WHEN bad THEN 'row width' END AS issue, CASE WHEN file = 0 THEN 2 ELSE 1 END AS same_content,
+  CASE WHEN bad THEN 0 ELSE n END AS rows, CASE WHEN NOT bad THEN CASE WHEN folder = 'torn' THEN 0 ELSE accounts END END AS accounts, CASE WHEN NOT bad THEN CASE WHEN folder = 'torn' THEN n ELSE unresolved END END AS unresolved,
+  CASE WHEN NOT bad AND folder <> 'torn' THEN quantity END AS quantity, CASE WHEN NOT bad THEN n END AS ids, CASE WHEN NOT bad THEN last_order END AS last_order FROM s
+""")
+def src1_src2_prj1_prj6_staged_files(spark, sf_dir):
+    """Trades dropped as files of several header orders, some broken, one twice; what was staged of each, by its own header."""
+    root = f"{scratch_root(spark)}/drop-{uuid.uuid4().hex}"
+    _drop_trades(spark, sf_dir, root)
+    sources, rows, issues = staging.stage_files(spark, f"{root}/*/*/*.csv", "session")
+    same = sources.groupBy("sha256").agg(F.count(F.lit(1)).cast("int").alias("same_content"))
+    role = lambda r: F.col("roles")[r]
+    by = rows.groupBy("source_id").agg(
+        F.count_distinct("account").alias("accounts"), F.count_if(F.col("account").isNull()).alias("unresolved"), F.sum(scalars.clean_number(role("quantity"))).alias("quantity"),
+        F.count_distinct("record_id").alias("ids"), F.max_by(role("transaction_id"), "source_row").cast("long").alias("last_order"),
+    )
+    place = lambda k: F.element_at(F.split("path", "/"), k)
+    told = sources.join(same, "sha256").join(by, "source_id", "left").join(issues.select("source_id", "issue"), "source_id", "left")
+    return rounded(told.select(place(-3).alias("folder"), F.substring(place(-2), 6, 9).cast("long").alias("file"), "status", "issue", "same_content", "rows", "accounts", "unresolved", "quantity", "ids", "last_order"), 2)
+
+
+@query("""
+, f AS (SELECT o_orderkey % 16 AS file, count(*) AS n FROM orders GROUP BY 1)
+SELECT step, files, "rows", confirmed FROM (
+  SELECT 1 AS step, count(*) AS files, CAST(sum(n) AS BIGINT) AS "rows", true AS confirmed FROM f WHERE file % 2 = 0
+  UNION ALL SELECT 2, count(*), CAST(sum(n) AS BIGINT), false FROM f UNION ALL SELECT 3, count(*), CAST(sum(n) AS BIGINT), true FROM f) ORDER BY step
+""")
+def src3_inc1_staged_increments(spark, sf_dir):
+    """Orders dropped as files in two runs, the second with copies of what the first had: each content is staged once, and a new file ends the confirmation."""
     root = f"{scratch_root(spark)}/increments-{uuid.uuid4().hex}"
-    b = tables.books(spark, sf_dir)
-    for part, run in ((0, "one"), (0, "again"), (1, "two")):
-        b.where(F.col("book") % 2 == part).coalesce(1).sortWithinPartitions("book").write.option("header", True).csv(f"{root}/drop/{run}")
-        if run != "again":
-            incremental.stage_new_files(spark, f"{root}/drop/*", f"{root}/staged", f"{root}/state", "book long, label string")
-    return spark.read.parquet(f"{root}/staged").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    o = tables.load(spark, sf_dir, "orders").select((F.col("o_orderkey") % 16).alias("file"), F.col("o_orderkey").cast("string").alias("Reference"), F.col("o_custkey").cast("string").alias("Portfolio ID"), F.col("o_totalprice").cast("string").alias("Amount"))
+
+    def put(rows: DataFrame, run: str) -> None:
+        rows.repartition(16, "file").sortWithinPartitions("file", F.col("Reference").cast("long")).write.partitionBy("file").option("header", True).csv(f"{root}/drop/{run}")
+
+    def stage() -> staging.Draft:
+        return incremental.stage_new_files(spark, f"{root}/drop", f"{root}/draft", f"{root}/state")
+
+    def told(step: int) -> tuple:
+        return step, draft.sources().count(), draft.rows().count(), draft.confirmed()
+
+    put(o.where("file % 2 = 0"), "one")
+    draft = stage()
+    draft.confirm("first reviewer")
+    steps = [told(1)]
+    put(o.where("file % 2 = 0"), "again")
+    put(o.where("file % 2 = 1"), "two")
+    draft = stage()
+    steps.append(told(2))
+    draft.confirm("second reviewer")
+    steps.append(told(3))
+    return spark.createDataFrame(steps, "step int, files long, rows long, confirmed boolean")
 
 
 @query(" SELECT ticker, count(*) AS n, round(sum(q), 2) AS quantity, 'lines.at,lines.inner.q,ticker' AS fields FROM trade GROUP BY ticker")

@@ -38,34 +38,6 @@ def column_map(names: list[str]) -> dict[str, str]:
     return {role: src for role, aliases in ROLES.items() if (src := next((n for n, f in flat if f in aliases), None)) is not None}
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, issues) of CSV files with a header, all columns as text; rows of another width are issues."""
-    schema = ", ".join(f"`{c}` string" for c in columns) + ", _corrupt string"
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", True).csv(path)
-    raw = raw.withColumn("source", F.col("_metadata.file_name"))
-    # The other columns stay in the condition, since Spark reads no corrupt records alone.
-    bad = F.col("_corrupt").isNotNull() & F.coalesce(*columns, "_corrupt").isNotNull()
-    return raw.where(~bad).drop("_corrupt"), raw.where(bad).select("source", F.col("_corrupt").alias("record"), F.lit("row width").alias("issue"))
-
-
-def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """(source, sha256, bytes) of every file; contents stay on the executors."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
-
-
-def stage(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Rows under their roles, with account, ordinal and record id."""
-    from pyspark.sql import Window
-
-    out = rows.select("source", *(F.col(f"`{src}`").alias(role) for role, src in columns.items()))
-    account = F.coalesce(F.when(~scalars.missing(F.col("account")), F.trim("account")), F.lit("")) if "account" in columns else F.lit("")
-    out = out.withColumn("account", account)
-    keys = sorted(columns)
-    n = F.row_number().over(Window.partitionBy("source", "account").orderBy(*keys))
-    return out.withColumn("ordinal", n).withColumn("record_id", F.concat_ws("#", "source", "account", F.col("ordinal").cast("string")))
-
-
 def read_price_history(rows: DataFrame, years: int, anchor: str) -> tuple[DataFrame, DataFrame]:
     """(prices, issues) from text columns (date, ticker, adjusted_close) within `years` of the anchor."""
     t = rows.select(scalars.iso_date(F.col("date")).alias("d"), scalars.ticker(F.col("ticker")).alias("ticker"), scalars.clean_number(F.col("adjusted_close")).alias("px"))

@@ -1,7 +1,8 @@
 """Book tables read as views over a star schema of orders, line items and parts.
 
 Schemas: trade (book, ticker, d, seq, q, px, fee), flow (book, d, seq, kind, amt), price
-(ticker, d, px), fx (ccy, d, rate), security (ticker, asset_class, ccy), book (book, label).
+(ticker, d, px), fx (ccy, d, rate), security (ticker, asset_class, ccy), book (book, label),
+opening (book, opening).
 """
 
 from __future__ import annotations
@@ -67,6 +68,11 @@ def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("d", base.alias("x")).select(F.col("x.ccy").alias("ccy"), "d", rate.alias("rate"))
 
 
+def openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cash in USD that a book had before its first event."""
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book"), (F.col("c_acctbal") * 100 + 2e6).alias("opening"))
+
+
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book"), F.col("c_mktsegment").alias("label"))
 

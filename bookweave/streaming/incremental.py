@@ -8,27 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookweave.plans.scratch import scratch_root
+from bookweave.sources.staging import Draft, parse_files
 
 
-def stage_new_files(spark: SparkSession, drop: str, out: str, checkpoint: str, schema: str) -> None:
-    """Appends the rows of files that are new in the drop folder, each content once, by an order-free digest of its rows."""
+def stage_new_files(spark: SparkSession, drop: str, out: str, checkpoint: str, session: str = "drop") -> Draft:
+    """Adds the files that are new below the drop folder to the draft at out, each content once.
+
+    Files are told apart by path, contents by SHA-256 against the draft's table of sources,
+    a row per file. A batch that runs again after a failure replaces what it had written.
+    Files of no bytes are not seen.
+    """
+    draft = Draft(spark, out)
+
     def keep(batch: DataFrame, number: int) -> None:
-        parts = [F.sum(F.conv(F.substring(F.sha2("_line", 256), 1 + 8 * i, 8), 16, 10).cast("long")).cast("string") for i in range(4)]
-        files = batch.groupBy("source").agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *parts).alias("sha"))
-        rows = batch.join(files, "source")
-        try:
-            rows = rows.join(spark.read.parquet(out).select("sha").distinct(), "sha", "left_anti")
-        except Exception as e:  # nothing is staged yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        first = rows.groupBy("sha").agg(F.min("source").alias("source"))
-        rows.join(first, ["sha", "source"]).drop("_line").write.mode("append").parquet(out)
-
-    stream = spark.readStream.schema(schema).option("header", True).csv(drop)
-    columns = stream.columns
-    stream = stream.withColumns({"source": F.col("_metadata.file_name"), "_line": F.to_json(F.struct(*columns))})
-    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        draft.append(parse_files(batch, session), f"{number:08d}", each_content_once=True)
+
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(drop)
+    query = files.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return draft
 
 
 def latest_batch(events: DataFrame) -> DataFrame:
@@ -49,8 +48,3 @@ def latest_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     out = spark.read.parquet(f"{root}/table")
     last = out.agg(F.max("batch").alias("b"))
     return out.join(F.broadcast(last), F.col("batch") == F.col("b")).drop("batch", "b")
-
-
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Bursts of ticks per key."""
-    return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")

@@ -7,11 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookweave.functions import scalars
-from bookweave.operators import ledger, market, normalise, review, scenario
+from bookweave.operators import blocks, ledger, market, normalise, review, scenario
 from bookweave.operators.components import connected_components
-from bookweave.plans import history, risk, valuation
+from bookweave.plans import valuation
 from bookweave.sources import readers
-from bookweave.streaming import incremental
 
 D = dt.date
 
@@ -81,7 +80,7 @@ def test_two_correlated_assets_share_risk(spark):
     share = {r.ticker: r.share for r in market.risk_contribution(df, w).collect()}
     assert share == pytest.approx({"A": 3 / 7, "B": 4 / 7})
     flat = df.withColumn("r", F.lit(0.01))
-    assert {r["corr"] for r in market.correlation(flat).collect()} == {None}
+    assert {r["corr"] for r in blocks.correlation(flat).collect()} == {None}
 
 
 def test_as_of_does_not_look_ahead(spark):
@@ -90,13 +89,6 @@ def test_as_of_does_not_look_ahead(spark):
     assert [r.rate for r in market.as_of(left, right, "ccy", "d", "rate").orderBy("d").collect()] == [None, 1.1, 1.1]
 
 
-def test_combinations_are_counted_before_they_are_made(spark):
-    keys = spark.createDataFrame([(f"T{i:03d}",) for i in range(100)], "ticker string")
-    with pytest.raises(ValueError):
-        risk.combinations(keys, 5)
-    assert risk.combinations(keys.limit(5), 3).select("combo").distinct().count() == 10
-
-
 def test_scenarios(spark):
     p = spark.createDataFrame([(1, "X", 10.0, 20.0, 15.0, 0.0, 5.0, None), (1, "Y", -4.0, 10.0, 12.0, 0.0, None, -2.0)], "book long, ticker string, qty double, px double, avg_cost double, realised double, duration double, sensitivity double")
     steps = spark.createDataFrame(
@@ -154,37 +146,13 @@ def test_numbers_dates_and_weights(spark):
     assert [float(r[0]) if r[0] is not None else None for r in df.select(scalars.weight(F.col("v"), F.col("u"))).collect()] == [0.125, 0.125, None, None, None]
 
 
-def test_files_in_and_out(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.csv").write_text("Symbol,Qty,Account\n0007,1,x\nABC,2,\nBAD,3\n")
-    (tmp_path / "in/b.csv").write_text("Symbol,Qty,Account\n0007,1,x\n")
-    rows, issues = readers.read_csv(spark, str(tmp_path / "in"), ["Symbol", "Qty", "Account"])
-    assert {(r.Symbol, r.source) for r in rows.collect()} == {("0007", "a.csv"), ("ABC", "a.csv"), ("0007", "b.csv")}
-    assert [r.source for r in issues.collect()] == ["a.csv"]
-    assert readers.read_sources(spark, str(tmp_path / "in")).select("sha256").distinct().count() == 2
-    names = readers.column_map(["Symbol", "Qty", "Account"])
-    assert names == {"ticker": "Symbol", "quantity": "Qty", "account": "Account"}
-    staged = readers.stage(rows, names)
-    assert {r.record_id for r in staged.collect()} == {"a.csv#x#1", "a.csv##1", "b.csv#x#1"}
+def test_exports_and_monthly_rates(spark, tmp_path):
     readers.safe_export(spark.createDataFrame([("=1+1", 1), ("ok", 2)], "t string, n int"), str(tmp_path / "out"))
     assert {r.t for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()} == {"'=1+1", "ok"}
     rates, bad = readers.monthly_rates(spark.createDataFrame([("2024-01-01", "5"), ("2024-02-01", "x"), ("2024-03-01", "1"), ("2024-03-09", "2")], "date string, level string"))
     assert rates.count() == 1 and {r.issue for r in bad.collect()} == {"bad level", "duplicate month"}
 
 
-def test_new_files_are_staged_once(spark, tmp_path):
-    drop, out, state = (str(tmp_path / n) for n in ("drop", "staged", "state"))
-    (tmp_path / "drop").mkdir()
-    for i, name in enumerate(("a.csv", "copy of a.csv", "b.csv")):
-        (tmp_path / "drop" / name).write_text("t,q\nX,1\nY,2\n" if i < 2 else "t,q\nZ,3\n")
-    incremental.stage_new_files(spark, drop, out, state, "t string, q int")
-    assert sorted(r.t for r in spark.read.parquet(out).collect()) == ["X", "Y", "Z"]
-    (tmp_path / "drop/c.csv").write_text("t,q\nX,1\nY,2\n")
-    (tmp_path / "drop/d.csv").write_text("t,q\nW,9\n")
-    incremental.stage_new_files(spark, drop, out, state, "t string, q int")
-    assert sorted(r.t for r in spark.read.parquet(out).collect()) == ["W", "X", "Y", "Z"]
-
-
 def test_private_columns_go(spark):
     df = spark.createDataFrame([(1, "acc", (2, "t1"))], "n int, account string, x struct<v:int,transaction_id:string>")
     assert normalise.redact(df).schema.simpleString() == "struct<n:int,x:struct<v:int>>"
@@ -219,17 +187,3 @@ def test_tickers_and_currencies_of_input(spark):
     got = df.select(scalars.ticker(F.col("t")).alias("t"), scalars.currency(F.col("c")).alias("c")).collect()
     assert [r.t for r in got] == ["NA", "", "", "ETH-USD", "", ""]
     assert [r.c for r in got] == ["USD", "GBP", "GBP", "USD", "GBX", "CHF"]
-
-
-def test_month_positions_and_cash_follow_the_rates(spark):
-    day = D.fromisoformat
-    # 10 shares at 100 EUR (rate 1.0), then the rate is 1.2 and the price 110.
-    trades = spark.createDataFrame([("b", "x", day("2001-01-10"), 1, 10.0, 100.0, 0.0, "EUR", -1000.0)], "book string, ticker string, d date, seq long, q double, px double, fee double, ccy string, paid double")
-    flows = spark.createDataFrame([("b", day("2001-01-05"), 1, "DEPOSIT", 2000.0)], "book string, d date, seq long, kind string, amt double")
-    prices = spark.createDataFrame([("x", day("2001-01-10"), 100.0), ("x", day("2001-02-20"), 110.0)], "ticker string, d date, px double")
-    rates = spark.createDataFrame([("EUR", day("2001-01-01"), 1.0), ("EUR", day("2001-02-15"), 1.2), ("USD", day("2001-01-01"), 1.0)], "ccy string, d date, rate double")
-    path, positions = history.monthly_path(trades, flows, prices, rates)
-    one, two = sorted(path.collect(), key=lambda r: r.m)
-    assert (one.external, one.equity) == (2000.0, 2000.0) and one.r is None
-    assert abs(two.equity - (2000 - 1000 * 1.2 + 10 * 110 * 1.2)) < 1e-9 and abs(two.r - 120 / 2000) < 1e-12
-    assert [round(r.pnl, 6) for r in sorted(positions.collect(), key=lambda r: r.m)] == [0.0, 320.0]
