@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +67,9 @@ class _Memory(dict):
         return ids
 
 
+@lru_cache(maxsize=1)
 def text_encoder(spec: str) -> Callable[[bytes], bytes]:
-    """UTF-8 text to its ids as 32-bit integers, by the tokenizers library.
+    """UTF-8 text to its ids as 32-bit integers, by the tokenizers library; a worker keeps it from task to task.
 
     Where the tokenizer never joins characters over ASCII white space, words are encoded by
     themselves, and what was met before is remembered; memory is bounded by twice
