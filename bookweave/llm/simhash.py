@@ -503,14 +503,16 @@ def _verified(size: int, least: float):
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_id, text_key, group) of the rows of docs that have a row_id: near duplicates by the Jaccard similarity of word shingle sets.
+    """(row_id, text_key, group, group_key) of the rows of docs that have a row_id: near duplicates by the Jaccard similarity of word shingle sets.
 
     Equal texts are one node, named by their smallest row_id. Two sets of shingles that are
     `similarity` alike share one of the first of each in any fixed order, about a fifth of
     a set at 0.8, so texts meet in buckets by these, and no pair is missed whatever it
     differs in. In each bucket one text is compared with the others; then, in rounds,
     GROWTH times as many of those still apart, until every pair of a bucket is compared or
-    joined over others. A pair counts where the shingle sets are `similarity` alike or more. group is the smallest row_id that is reached over such links.
+    joined over others. A pair counts where the shingle sets are `similarity` alike or more. group is the smallest row_id that is reached over such links, and group_key the text_key of its row,
+    the smallest where that row_id has several texts in the group: both name a group, as
+    unlike texts of one row_id are groups of their own.
 
     text_key is the SHA-256 of the text; null and empty texts are equal texts. Rows of one
     row_id and several texts belong to each text's group. Other columns are left out.
@@ -567,20 +569,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
         left = now.select("key", "id", "size", "place", "early", (F.col("used") | F.col("turn")).alias("used"))
     named = members.select("text_key", "head").distinct().select("text_key", "head", node.alias("node"))
     named = named.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    smallest = named.groupBy("c").agg(F.min("head").alias("group"))
-    named = stage_table(named.join(smallest, "c").select("text_key", "group"), "groups")
+    smallest = named.groupBy("c").agg(F.min(F.struct("head", "text_key")).alias("x")).select("c", F.col("x.head").alias("group"), F.col("x.text_key").alias("group_key"))
+    named = stage_table(named.join(smallest, "c").select("text_key", "group", "group_key"), "groups")
     discard(texts, groups)
-    return members.join(named, "text_key").select(F.col("id").alias(row_id), "text_key", "group")
+    return members.join(named, "text_key").select(F.col("id").alias(row_id), "text_key", "group", "group_key")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest row_id, of repeated rows one.
 
-    Rows without a row_id stay, as no group can name them. All columns stay.
+    Unlike texts of one row_id are groups of their own, so each of them stays. Rows without
+    a row_id stay, as no group can name them. All columns stay.
     """
     groups = near_duplicates(docs, shingle_words, similarity, row_id, text)
     id_, key_ = fresh(docs.columns, "id", "key")
-    kept = groups.where(F.col(row_id) == F.col("group")).groupBy("group").agg(F.min("text_key").alias(key_)).select(F.col("group").alias(id_), key_)
+    kept = groups.where((F.col(row_id) == F.col("group")) & (F.col("text_key") == F.col("group_key"))).select(F.col("group").alias(id_), F.col("text_key").alias(key_)).distinct()
     keyed = docs.withColumns({id_: F.col(row_id).cast("long"), key_: F.sha2(F.coalesce(text, F.lit("")), 256)})
     out = keyed.join(kept, [id_, key_], "left_semi").dropDuplicates([id_, key_])
     return out.unionByName(keyed.where(F.col(id_).isNull())).drop(id_, key_).select(*(F.col(f"`{c}`") for c in docs.columns))

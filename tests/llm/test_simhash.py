@@ -128,11 +128,18 @@ def test_near_duplicates_equal_brute_force(spark):
     missed = [r for r in got if r.group != smallest[label[ids[next(t or "" for i, t in rows if i == r.doc_id and simhash_key(t) == r.text_key)]]]]
     assert len(missed) <= 1  # a pair has no candidate once in 120
     kept = simhash.keep_one(df).collect()
-    assert sum(r.doc_id is not None for r in kept) == len({r.group for r in got})
+    assert sum(r.doc_id is not None for r in kept) == len({(r.group, r.group_key) for r in got}) == len(set(label))
     assert {r.doc_id for r in kept if r.doc_id is not None} == {r.group for r in got}
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_unlike_texts_of_one_id_all_stay(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b), (1, a), (4, a + " more"), (0, "c " * 20), (0, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(1, a), (1, b), (0, "c " * 20), (0, "")])
+
+
 def simhash_key(text):
     import hashlib
 
