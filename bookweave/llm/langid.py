@@ -22,6 +22,11 @@ DIM = 1 << 14
 #: Expected rows per language that the weights are fitted on; of these, one in CALIBRATE serves the temperature.
 SAMPLE_PER_LANGUAGE = 500
 CALIBRATE = 5
+#: Share of a held-out row's probability that the temperature leaves to the languages in all,
+#: so that rows that are all told right do not drive it to certainty.
+SMOOTHING = 0.01
+#: An n-gram is common if at least one in RARE of the learned texts has it.
+RARE = 1000
 #: Most languages that a model is fitted for.
 MAX_LANGUAGES = 1000
 #: Characters of a text that are hashed at once.
@@ -57,28 +62,30 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Weights by feature and language, inverse document frequencies, and the temperature."""
+    """Weights by feature and language, inverse document frequencies, the temperature, and which features are common."""
 
     languages: list[str]
     idf: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
+    common: np.ndarray
 
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, n = counts(text)
-        x = (1 + np.log(n)) * self.idf[at]
-        norm = math.sqrt(float(x @ x))
-        return at, x / norm if norm else x
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its calibrated probability, and how familiar the text is: the share of its n-grams that are common where the model learned.
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its calibrated probability; `und` and 0 for a text that is null or has no letter."""
+        `und` and 0 for a text that is null or has no letter. Other scripts and junk fall
+        on features at random, few of which are common.
+        """
+        at, n = counts(text or "")
+        familiar = float(n[self.common[at]].sum() / n.sum()) if len(n) else 0.0
         if not self.languages or not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        at, x = self.features(text)
-        p = softmax((x @ self.weights[at] + self.bias) / self.temperature)
+            return UNKNOWN, 0.0, familiar
+        x = (1 + np.log(n)) * self.idf[at]
+        norm = math.sqrt(float(x @ x))
+        p = softmax((x @ self.weights[at] / (norm or 1.0) + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        return self.languages[best], float(p[best]), familiar
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -117,13 +124,15 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: i
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden section over its logarithm."""
+    """The temperature of least log loss against smoothed labels, by golden section over its logarithm."""
     if not len(labels):
         return 1.0
+    target = np.full(logits.shape, SMOOTHING / logits.shape[1])
+    target[np.arange(len(labels)), labels] += 1 - SMOOTHING
 
     def loss(t: float) -> float:
         p = softmax(logits / math.exp(t))
-        return float(-np.log(p[np.arange(len(labels)), labels] + 1e-12).mean())
+        return float(-(target * np.log(p + 1e-12)).sum(axis=1).mean())
 
     a, b, g = math.log(0.05), math.log(20.0), (math.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -145,7 +154,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str =
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
-        return Model([], np.zeros(DIM), np.zeros((DIM, 0)), np.zeros(0), 1.0)
+        return Model([], np.zeros(DIM), np.zeros((DIM, 0)), np.zeros(0), 1.0, np.zeros(DIM, dtype=bool))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(DIM, dtype=np.int64)
@@ -185,27 +194,29 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str =
     held = [p for i, p in enumerate(points) if i % CALIBRATE == 0 and len(points) >= 4 * CALIBRATE]
     weights, bias = ftrl(fit, len(languages))
     logits = np.array([x @ weights[at] + bias for at, x, _ in held]).reshape(len(held), len(languages))
-    return Model(languages, idf, weights, bias, fit_temperature(logits, np.array([c for _, _, c in held], dtype=np.int64)))
+    return Model(languages, idf, weights, bias, fit_temperature(logits, np.array([c for _, _, c in held], dtype=np.int64)), (df > 0) & (df * RARE >= total))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score of each whole text, from the text alone.
+    """docs with lang_pred, score and familiar of each whole text, from the text alone.
 
-    Null texts and texts without a letter get `und` and score 0. Columns of the two names
+    Null texts and texts without a letter get `und` and score 0. familiar is the share of
+    n-grams that are common in the learned texts: low for other scripts and junk, whatever
+    their score, which only weighs the learned languages against each other. Columns of the three names
     are replaced, all others and repeated rows stay. The model is broadcast: DIM weights
     for each of at most MAX_LANGUAGES languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = docs.drop("lang_pred", "score")
-    schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
+    rest = docs.drop("lang_pred", "score", "familiar")
+    schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("familiar", T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
             made = [held.predict(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, pa.array([m[0] for m in made], pa.string()), *(pa.array([m[k] for m in made], pa.float64()) for k in (1, 2))],
+                names=[*batch.schema.names, "lang_pred", "score", "familiar"],
             )
 
     return rest.mapInArrow(run, schema)

@@ -74,3 +74,21 @@ def test_empty_and_unlabelled_tables(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.predict(df, langid.train(df)).first().lang_pred == "und"
     assert langid.predict(df.limit(0), langid.train(df.limit(0))).count() == 0
+
+
+def test_other_scripts_and_junk_are_not_familiar(spark):
+    rows = corpus(600)
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string"))
+    strange = ["Это текст на другом языке, которого здесь никто не учил", "これは学習されていない言語の文章です", "qzx jwv xqk zzkw vqj", "%&$ x ~~ y |||", None, ""]
+    told = {r.text: r for r in langid.predict(spark.createDataFrame([(t,) for t in strange] + [(t,) for _, t, _, _ in rows[:200]], "text string"), model).collect()}
+    assert max(told[t].familiar for t in strange) < 0.5
+    assert min(told[t].familiar for _, t, _, _ in rows[:200]) > 0.9
+    assert all(0.3 <= told[t].score < 1 for _, t, _, _ in rows[:200])
+
+
+def test_temperature_of_rows_that_are_all_right_is_no_certainty():
+    labels = np.arange(300) % 3
+    logits = np.full((300, 3), -1.0)
+    logits[np.arange(300), labels] = 1.0
+    p = langid.softmax(logits / langid.fit_temperature(logits, labels))
+    assert 0.97 < p[np.arange(300), labels].mean() < 0.999
