@@ -76,6 +76,15 @@ def test_near_duplicate_and_decontamination_stages_on_given_rows(spark):
     assert len(clean) >= len(texts) - len(held) - 2
 
 
+def test_language_stage_drops_what_is_in_no_learned_language(spark, tmp_path):
+    small(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    strange = ["Это текст на другом языке, которого здесь никто не учил", "これは学習されていない言語の文章です", "ΩΨΦΞ Ω ΣΔΘΛ ΠΓΨΩ ΞΦΣ"]
+    foreign = spark.createDataFrame([(900 + i, t, None, "x", len(t)) for i, t in enumerate(strange)], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(foreign), str(tmp_path)).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+
+
 def test_hot_source_and_labels_do_not_change_what_is_kept(spark, tmp_path):
     small(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
