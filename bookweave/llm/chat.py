@@ -42,7 +42,8 @@ def format_turns(turns: DataFrame, vocabulary: str, pattern: str, learn_role: st
     conversation), ids, loss_start, loss_end (token places within the conversation),
     loss_mask (0 or 1 per id). A conversation's tokens are its rows' ids in order of
     position: <s>, then [INST] role [TEXT] text [/INST] per turn, then </s>. The mask holds
-    on the text of turns whose role is learn_role.
+    on the text of turns whose role is learn_role: a token is in it if its place in the
+    conversation, start and its place in ids, is in the span from loss_start to loss_end.
 
     Order is by turn (null first), then role, then text, so ties and repeated rows have a
     defined place; repeated rows stay turns of their own. Null roles and texts count as
@@ -66,26 +67,25 @@ def format_turns(turns: DataFrame, vocabulary: str, pattern: str, learn_role: st
     rows = rows.withColumn("start", F.coalesce(F.sum(length.cast("long")).over(before), F.lit(0).cast("long")))
     text_start = F.col("start") + F.size("head")
     learn = F.col("role") == learn_role
-    return rows.select(
+    rows = rows.select(
         "conv_id",
         "position",
         "start",
         F.concat("head", "text_ids", "tail").alias("ids"),
         text_start.alias("loss_start"),
         (text_start + F.when(learn, F.size("text_ids")).otherwise(0)).alias("loss_end"),
-        F.concat(
-            F.array_repeat(F.lit(0), F.size("head")),
-            F.array_repeat(F.when(learn, 1).otherwise(0), F.size("text_ids")),
-            F.array_repeat(F.lit(0), F.size("tail")),
-        ).alias("loss_mask"),
     )
+    inside = lambda i: ((F.col("start") + i >= F.col("loss_start")) & (F.col("start") + i < F.col("loss_end"))).cast("int")
+    return rows.withColumn("loss_mask", F.transform("ids", lambda _, i: inside(i)))
 
 
 def read_turns(formatted: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """What format_turns wrote, from its ids and masks alone.
 
     Adds role, text, loss_text (null where the mask is empty) and formatted, the turn's
-    part of the conversation as one string with its control strings.
+    part of the conversation as one string with its control strings. Columns of these names
+    are replaced, all others stay; null roles and texts come back empty, as they were
+    written, ties and repeated rows as rows of their own, and no rows give no rows.
     """
     ranks = bpe.load_ranks(vocabulary)
     base = max(ranks.values()) + 1
@@ -119,8 +119,10 @@ def read_turns(formatted: DataFrame, vocabulary: str, pattern: str) -> DataFrame
 def digest_conversations(read: DataFrame) -> DataFrame:
     """One row of digests per conversation of read_turns.
 
-    Rows of a conversation come to one task in order and pass through running hashes, so
-    memory does not grow with a conversation's length.
+    Rows of a conversation come to one task in order of position and pass through running
+    hashes, so memory does not grow with a conversation's length. Repeated rows count each;
+    a null conv_id is a conversation; a turn without a loss adds nothing to loss_chars. Other
+    columns are left out, and no rows give no rows.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     rows = read.select("conv_id", "position", "role", "text", "loss_text", "formatted")
