@@ -13,9 +13,11 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookweave.llm.columns import fresh
+
 #: Blocks of each old shard, by the hash of the row's group.
 BUCKETS = 512
-#: A block of more than 1/COARSE of a new shard is split by row id into SPLITS parts.
+#: A block of more than 1/COARSE of a new shard is split by group into SPLITS parts.
 COARSE, SPLITS = 128, 64
 
 
@@ -87,54 +89,74 @@ def plan_blocks(blocks: list[tuple[tuple, int, int]], flow: list[list[int]]) ->
 def reshard(rows: DataFrame, old: Column, n_old: int, n_new: int, size: str, group: Column, row_id: str, capacity: list[int] | None = None) -> DataFrame:
     """rows with old_shard, shard and slot, moving the fewest bytes to n_new shards.
 
-    size: a column of bytes, not null. old: the present shard, 0 to n_old - 1. group: a hash;
-    rows of a group share a block and so a shard, unless the block is larger than
-    1/COARSE of a shard: then it is split by row_id. capacity: bytes per new shard, else
-    even. Slots run from 0 in each shard without gaps, by block and then by row_id, nulls
-    first; repeated rows have slots of their own. Columns named old_shard, shard or slot
-    are replaced; all others stay. No rows give no rows.
-
-    The driver holds one total per block: at most n_old * BUCKETS, and SPLITS more for
-    each of the at most 2 * COARSE * n_new that are split, whatever the number of rows.
+    size: a column of bytes, not null. old: the present shard, 0 to n_old - 1. group: a hash,
+    not null; rows of a group share a block and so a shard, unless the group alone is larger
+    than 1/COARSE of a shard: then it is dealt by row_id. Blocks of more than that are split
+    by group. capacity: bytes per new shard, else even. Slots run from 0 in each shard
+    without gaps, by block and then by row_id, nulls first; repeated rows have slots of
+    their own. Columns named old_shard, shard or slot are replaced; all others stay,
+    whatever their names. No rows give no rows.
+
+    The driver holds one total per block: at most n_old * BUCKETS, SPLITS more for each of
+    the at most 2 * COARSE * n_new that are split, and as many for large groups, whatever
+    the number of rows.
     """
     spark = rows.sparkSession
-    rows = rows.drop("old_shard", "shard", "slot", "_b", "_s")
-    rows = rows.withColumns({"old_shard": old.cast("int"), "_b": F.pmod(group, F.lit(BUCKETS)).cast("int"), "_p": F.pmod(F.xxhash64(F.lit("part"), F.col(row_id)), F.lit(SPLITS)).cast("int")})
-    totals = rows.groupBy("old_shard", "_b").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # a row per block
+    made = ("old_shard", "shard", "slot")
+    rows = rows.drop(*made)
+    b, g, large, parts, piece, own, first = fresh([*rows.columns, *made], "block", "group", "large", "parts", "piece", "own", "first")
+    kept = rows.columns
+    rows = rows.withColumns({"old_shard": old.cast("int"), g: group.cast("long")}).withColumn(b, F.pmod(g, F.lit(BUCKETS)).cast("int"))
+    sums = (F.sum(F.col(f"`{size}`")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    totals = rows.groupBy("old_shard", b).agg(*sums).collect()  # a row per block
     all_bytes, all_rows = sum(t.bytes for t in totals), sum(t.n for t in totals)
-    large = [(t.old_shard, t._b) for t in totals if t.n > 1 and (t.bytes * COARSE * n_new > all_bytes or t.n * COARSE * n_new > all_rows)]
-    marks = F.broadcast(spark.createDataFrame([(*x, True) for x in large], "old_shard int, _b int, _large boolean"))
-    rows = rows.join(marks, ["old_shard", "_b"], "left").withColumn("_s", F.when(F.col("_large"), F.col("_p")).otherwise(-1)).drop("_large", "_p")
-    split = {(t.old_shard, t._b, -1): (t.bytes, t.n) for t in totals if (t.old_shard, t._b) not in set(large)}
-    if large:
-        fine = rows.where("_s >= 0").groupBy("old_shard", "_b", "_s").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # a row per block
-        split |= {(t.old_shard, t._b, t._s): (t.bytes, t.n) for t in fine}
+    over = lambda t: t.n > 1 and max(t.bytes * COARSE * n_new / max(all_bytes, 1), t.n * COARSE * n_new / max(all_rows, 1)) > 1
+    split = [(t.old_shard, t[b]) for t in totals if over(t)]
+    marks = F.broadcast(spark.createDataFrame([(*x, True) for x in split], f"old_shard int, `{b}` int, `{large}` boolean"))
+    rows = rows.join(marks, ["old_shard", b], "left")
+    least = F.greatest(F.col("bytes") * COARSE * n_new / max(all_bytes, 1), F.col("n") * COARSE * n_new / max(all_rows, 1))
+    heavy = rows.where(large).groupBy("old_shard", g).agg(*sums).where((least > 1) & (F.col("n") > 1)).select("old_shard", g, F.ceil(least).cast("int").alias(parts)) if split else None
+    hot = heavy.collect() if split else []  # at most 2 * COARSE * n_new groups are that large
+    rows = rows.join(F.broadcast(spark.createDataFrame([tuple(h) for h in hot], f"old_shard int, `{g}` long, `{parts}` int")), ["old_shard", g], "left")
+    by_row = F.pmod(F.xxhash64(F.lit("row"), F.col(f"`{row_id}`")), F.col(parts).cast("long"))
+    by_group = -2 - F.pmod(F.xxhash64(F.lit("part"), F.col(g)), F.lit(SPLITS).cast("long"))
+    rows = rows.withColumns({piece: F.when(F.col(parts).isNotNull(), by_row).when(F.col(large), by_group).otherwise(F.lit(-1).cast("long")), own: F.when(F.col(parts).isNotNull(), F.col(g)).otherwise(F.lit(0).cast("long"))})
+    key = ["old_shard", b, piece, own]
+    blocks = {(t.old_shard, t[b], -1, 0): (t.bytes, t.n) for t in totals if not over(t)}
+    if split:
+        blocks |= {(t.old_shard, t[b], t[piece], t[own]): (t.bytes, t.n) for t in rows.where(large).groupBy(*key).agg(*sums).collect()}  # a row per block
     if capacity is None:
         capacity = [all_bytes // n_new + (j < all_bytes % n_new) for j in range(n_new)]
     supply = [0] * n_old
-    for (i, _, _), (b, _) in split.items():
-        supply[i] += b
+    for (i, *_), (size_, _) in blocks.items():
+        supply[i] += size_
     cost = [[int(i != j) for j in range(n_new)] for i in range(n_old)]
-    to = plan_blocks([(key, key[0], b) for key, (b, _) in split.items()], min_cost_flow(supply, capacity, cost))
-    placed, first = [], [0] * n_new
-    for key in sorted(to):
-        placed.append((*key, to[key], first[to[key]]))
-        first[to[key]] += split[key][1]
-    plan = F.broadcast(spark.createDataFrame(placed, "old_shard int, _b int, _s int, shard int, _first long"))
-    within = Window.partitionBy("old_shard", "_b", "_s").orderBy(row_id)
-    return (
-        rows.join(plan, ["old_shard", "_b", "_s"])
-        .withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
-        .drop("_b", "_s", "_first")
-    )
-
-
-def rewrite_affected(placed: DataFrame, path: str) -> list[int]:
+    to = plan_blocks([(k, k[0], size_) for k, (size_, _) in blocks.items()], min_cost_flow(supply, capacity, cost))
+    placed, filled = [], [0] * n_new
+    for k in sorted(to):
+        placed.append((*k, to[k], filled[to[k]]))
+        filled[to[k]] += blocks[k][1]
+    plan = F.broadcast(spark.createDataFrame(placed, f"old_shard int, `{b}` int, `{piece}` long, `{own}` long, shard int, `{first}` long"))
+    within = Window.partitionBy(*key).orderBy(F.col(f"`{row_id}`"))
+    out = rows.join(plan, key).withColumn("slot", F.col(first) + F.row_number().over(within) - 1)
+    return out.select(*(F.col(f"`{c}`") for c in kept), *made)
+
+
+def rewrite_affected(placed: DataFrame, path: str, size: str = "size", task_bytes: int = 128 << 20) -> list[int]:
     """Write the shards that gain or lose rows below path, one folder each; returns their numbers, at most one per shard.
 
-    Shards that stay as they are get no file here, and keep the one that they have.
+    Shards that stay as they are get no file here, and keep the one that they have. A shard
+    is written by a task for every task_bytes of it, by the column size, so a large one is
+    no long task; its rows are in the order of their slots within each file. Null sizes
+    count as nothing, repeated rows are written again, and no rows write nothing.
     """
     moved = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("x")).distinct()
     affected = sorted(r.x for r in moved.collect())
-    placed.where(F.col("shard").isin(affected)).repartition("shard", F.pmod(F.col("slot"), F.lit(8))).write.partitionBy("shard").mode("overwrite").parquet(path)
+    rows = placed.where(F.col("shard").isin(affected))
+    totals = {r.shard: r.bytes or 0 for r in rows.groupBy("shard").agg(F.sum(F.col(f"`{size}`")).alias("bytes")).collect()}  # a row per shard
+    if not totals:
+        return affected
+    tasks = {j: max(1, -(-n // task_bytes)) for j, n in totals.items()}
+    share = F.pmod(F.col("slot"), F.element_at(F.create_map(*(F.lit(x) for kv in tasks.items() for x in kv)), F.col("shard")))
+    rows.repartition(sum(tasks.values()), "shard", share).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
     return affected

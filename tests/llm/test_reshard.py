@@ -66,6 +66,27 @@ def test_query_is_even_and_gapless_despite_a_hot_group(spark, tmp_path):
     assert op5_reshard(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_equal_texts_stay_together_unless_too_large(spark):
+    rng = random.Random(9)
+    texts = [f"text {i} " * rng.randint(1, 30) for i in range(900)]
+    rows = [(i, rng.choice(texts)) for i in range(2500)] + [(5000 + i, "one large text " * 3000) for i in range(3)] + [(6000 + i, "hot " * 5) for i in range(4000)] + [(7000 + i, "null id") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("g"))
+    df = df.withColumns({c: F.lit(c) for c in ("_large", "block", "group", "Piece", "own", "first", "_b", "_s", "_p", "parts", "slot")})
+    out = reshard.reshard(df, F.pmod("g", F.lit(5)), 5, 4, "size", F.col("g"), "doc_id")
+    assert out.columns == [*(c for c in df.columns if c != "slot"), "old_shard", "shard", "slot"]
+    got = out.collect()
+    assert len(got) == len(rows) and {r["_large"] for r in got} == {"_large"} and {r["Piece"] for r in got} == {"Piece"}
+    where, weight = {}, {}
+    for r in got:
+        where.setdefault(r.text, set()).add(r.shard)
+        weight[r.text] = weight.get(r.text, 0) + r["size"]
+    total = sum(weight.values())
+    count = {t: sum(x == t for _, x in rows) for t in where}
+    torn = [t for t, s in where.items() if len(s) > 1]
+    assert "hot " * 5 in torn
+    assert all(weight[t] * reshard.COARSE * 4 > total or count[t] * reshard.COARSE * 4 > len(rows) for t in torn)
+
+
 def test_moves_stay_near_the_least(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(10).cast("long").alias("size"), F.lit("mine").alias("slot"), F.lit(1).alias("_b"))
     out = reshard.reshard(df, F.pmod(F.col("doc_id"), F.lit(4)), 4, 5, "size", F.xxhash64("doc_id"), "doc_id").collect()
@@ -81,3 +102,6 @@ def test_rewrite_writes_affected_shards_only(spark, tmp_path):
     assert affected == [1, 2]
     back = spark.read.parquet(f"{tmp_path}/out")
     assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in placed.collect() if r.shard in affected}
+    again = reshard.rewrite_affected(placed, f"{tmp_path}/small", task_bytes=20)
+    assert again == affected and spark.read.parquet(f"{tmp_path}/small").count() == back.count()
+    assert reshard.rewrite_affected(placed.limit(0), f"{tmp_path}/none") == []
