@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookweave.plans import history, intake, records, risk, runs, valuation  # noqa: F401
+from bookweave.plans import consolidation, funds, history, intake, records, risk, runs, trust, valuation  # noqa: F401
 # Importing these modules registers their queries.
 from bookweave.plans.registry import ORACLES, QUERIES
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookweave.functions import scalars
+from bookweave.plans.scratch import stage_table
 
 # Fixed values.
 LEDGER_TYPES = ("BUY", "SELL", "DEPOSIT", "WITHDRAWAL", "DIVIDEND")
@@ -31,7 +32,10 @@ def detect_type(df: DataFrame) -> DataFrame:
 
 
 def holdings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(holdings, issues). SHORT makes a quantity negative, LONG positive; duplicate lots stay."""
+    """(holdings, issues). SHORT makes a quantity negative, LONG positive; duplicate lots stay.
+
+    The cleaned cells are staged, so text is read once for both.
+    """
     t = df.select(
         "source", "row_no", scalars.ticker(_text(df, "ticker")).alias("ticker"), scalars.clean_number(_text(df, "quantity")).alias("_q"),
         F.upper(F.coalesce(_text(df, "side"), F.lit(""))).alias("_side"),
@@ -39,6 +43,7 @@ def holdings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         scalars.currency(_text(df, "currency")).alias("currency"), scalars.iso_date(_text(df, "date")).alias("purchase_date"),
         scalars.missing(_text(df, "currency")).alias("_assumed"),
     )
+    t = stage_table(t, "holdings")
     q, side = F.col("_q"), F.col("_side")
     t = t.withColumn("quantity", F.when(side.contains("SHORT"), -F.abs(q)).when(side.contains("LONG"), F.abs(q)).otherwise(q)).drop("_q", "_side")
     none = F.col("quantity").isNull() | (F.abs("quantity") <= 1e-15)
@@ -53,12 +58,16 @@ def holdings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ledger(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(trades, cash flows, issues). A price that is absent is gross over quantity; row_no keeps the order of a day."""
+    """(trades, cash flows, issues). A price that is absent is gross over quantity; row_no keeps the order of a day.
+
+    The cleaned cells are staged, so text is read once for all three.
+    """
     number = {c: scalars.clean_number(_text(df, c)).alias(f"_{c}") for c in ("quantity", "price", "amount", "fees")}
     t = df.select(
         "source", "row_no", F.upper(F.trim(_text(df, "type"))).alias("kind"), scalars.iso_date(_text(df, "date")).alias("d"), scalars.ticker(_text(df, "ticker")).alias("ticker"),
         *number.values(), scalars.currency(_text(df, "currency")).alias("currency"), _text(df, "transaction_id").alias("transaction_id"),
     )
+    t = stage_table(t, "ledger")
     q, p, amount = F.col("_quantity"), F.col("_price"), F.col("_amount")
     t = t.select(
         "source", "row_no", "kind", "d", "ticker", q.alias("quantity"), F.coalesce(p, F.try_divide(F.abs(amount), F.abs(q))).alias("price"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookweave.operators.components import connected_components
+from bookweave.plans.scratch import stage_table
 
 
 def signature(*columns: str) -> Column:
@@ -80,11 +81,13 @@ def opposite_trades(trades: DataFrame) -> DataFrame:
 def identity(rows: DataFrame, row: str = "row_id", ids: str = "ids") -> DataFrame:
     """(row, component): rows that share any typed identifier `kind:value`, directly or over others, are one security.
 
-    rows: a long id and an array of identifiers. Identifiers get negative numbers by their
-    hash, so each is a node of its own; a hot identifier is one node, not all pairs of rows.
+    rows: a long id, not negative, and an array of identifiers. Identifiers get negative
+    numbers of their own, so each is a node; a hot identifier is one node, not all pairs of
+    rows.
     """
     links = rows.select(F.col(row).alias("a"), F.explode(ids).alias("k")).where("k is not null")
-    edges = links.select(F.lit(None).cast("long").alias("x"), "a", (-F.abs(F.xxhash64("k").bitwiseAND(F.lit(0x3FFFFFFFFFFFFFFF))) - 2).alias("b"))
+    numbers = stage_table(links.select("k").distinct().select("k", (-2 - F.monotonically_increasing_id()).alias("b")), "numbers")
+    edges = links.join(numbers, "k").select(F.lit(None).cast("long").alias("x"), "a", "b")
     groups = connected_components(edges, "a", "b")
     named = rows.select(F.col(row).alias("node")).join(groups, "node", "left")
     first = named.groupBy("component").agg(F.min("node").alias("first"))

@@ -12,7 +12,7 @@ from bookweave.operators import market, normalise, review, scenario
 from bookweave.plans import history, records, risk
 from bookweave.plans.registry import query, rounded
 from bookweave.plans.scratch import scratch_root, stage_table
-from bookweave.plans.valuation import FOLD, cash_of, value_positions
+from bookweave.plans.valuation import FOLD, base_trades, cash_of, value_positions
 from bookweave.sources import readers, staging, tables
 from bookweave.streaming import incremental
 
@@ -53,7 +53,8 @@ def _returns(spark, sf_dir) -> DataFrame:
 
 
 def _labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return label_state(value_positions(spark, sf_dir), cash_of(spark, sf_dir), tables.books(spark, sf_dir))
+    trades = base_trades(spark, sf_dir)
+    return label_state(value_positions(spark, sf_dir, trades), cash_of(spark, sf_dir, trades), tables.books(spark, sf_dir))
 
 
 @query(LABELS + SERIES + """

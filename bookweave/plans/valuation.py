@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookweave.operators import ledger, market
 from bookweave.plans.registry import query, rounded, share
+from bookweave.plans.scratch import stage_table
 from bookweave.sources import tables
 
 #: The fold of a ledger, row by row, for the oracles: trades at the rate of their day, cash at the last rate.
@@ -49,11 +50,11 @@ FOLD = """
 
 
 def base_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades with price and fee in USD at the last rate on or before their day, null where there is none; paid is their cash in ccy."""
+    """Trades with price and fee in USD at the last rate on or before their day, null where there is none; paid is their cash in ccy. Staged, as all that is made of them reads them again."""
     t = tables.trades(spark, sf_dir).join(tables.securities(spark, sf_dir).select("ticker", "ccy"), "ticker")
     t = t.withColumn("paid", -F.col("q") * F.col("px") - F.col("fee"))
     t = market.as_of(t, market.with_base(tables.fx(spark, sf_dir)), "ccy", "d", "rate")
-    return t.withColumns({"px": F.col("px") * F.col("rate"), "fee": F.col("fee") * F.col("rate")}).drop("rate")
+    return stage_table(t.withColumns({"px": F.col("px") * F.col("rate"), "fee": F.col("fee") * F.col("rate")}).drop("rate"), "base-trades")
 
 
 def refused_books(trades: DataFrame) -> DataFrame:
@@ -61,9 +62,9 @@ def refused_books(trades: DataFrame) -> DataFrame:
     return trades.where("px is null").select("book").distinct()
 
 
-def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades in USD of the books that are not refused."""
-    t = base_trades(spark, sf_dir)
+def converted(spark: SparkSession, sf_dir: str, trades: DataFrame | None = None) -> DataFrame:
+    """Trades in USD of the books that are not refused; trades: those of base_trades, where they are there already."""
+    t = base_trades(spark, sf_dir) if trades is None else trades
     return t.join(refused_books(t), "book", "left_anti")
 
 
@@ -80,9 +81,9 @@ def last_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.latest(market.with_base(tables.fx(spark, sf_dir)), "ccy", "d", "rate").select("ccy", "rate")
 
 
-def value_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def value_positions(spark: SparkSession, sf_dir: str, trades: DataFrame | None = None) -> DataFrame:
     """Every position of every book in USD: cost and gains at the rates of the trades' days, value at the latest price and rate."""
-    pos = ledger.positions(converted(spark, sf_dir))
+    pos = ledger.positions(converted(spark, sf_dir, trades))
     marks = market.latest(tables.prices(spark, sf_dir), "ticker", "d", "px")
     p = resolve_prices(pos, marks).join(tables.securities(spark, sf_dir), "ticker", "left").join(last_rates(spark, sf_dir), "ccy", "left")
     value = F.col("qty") * F.col("px") * F.col("rate")
@@ -120,9 +121,9 @@ def native_cash(trades: DataFrame, flows: DataFrame) -> DataFrame:
     return rows.groupBy("book", "ccy").agg(F.sum("x").alias("cash"))
 
 
-def cash_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cash_of(spark: SparkSession, sf_dir: str, trades: DataFrame | None = None) -> DataFrame:
     """(book, cash) in USD: the balance of each currency at its latest rate."""
-    trades = base_trades(spark, sf_dir)
+    trades = base_trades(spark, sf_dir) if trades is None else trades
     native = native_cash(trades, tables.flows(spark, sf_dir)).join(refused_books(trades), "book", "left_anti")
     return native.join(last_rates(spark, sf_dir), "ccy").groupBy("book").agg(F.sum(F.col("cash") * F.col("rate")).alias("cash"))
 
@@ -144,8 +145,9 @@ UNION ALL SELECT book, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
 """)
 def fin1_value_books(spark, sf_dir):
     """Totals of every book in USD; a book with a trade that no rate converts is refused by itself."""
-    t = totals(value_positions(spark, sf_dir), cash_of(spark, sf_dir))
-    no = refused_books(base_trades(spark, sf_dir)).withColumns({"n_positions": F.lit(0).cast("long"), "status": F.lit("refused")})
+    trades = base_trades(spark, sf_dir)
+    t = totals(value_positions(spark, sf_dir, trades), cash_of(spark, sf_dir, trades))
+    no = refused_books(trades).withColumns({"n_positions": F.lit(0).cast("long"), "status": F.lit("refused")})
     return rounded(t.unionByName(no, allowMissingColumns=True), 2)
 
 
@@ -246,7 +248,8 @@ FROM valued JOIN money USING (book)
 """)
 def agg10_agg13_holdings_mix(spark, sf_dir):
     w = Window.partitionBy("book")
-    p = value_positions(spark, sf_dir).join(cash_of(spark, sf_dir), "book").withColumn("equity", F.col("cash") + F.sum("value").over(w))
+    trades = base_trades(spark, sf_dir)
+    p = value_positions(spark, sf_dir, trades).join(cash_of(spark, sf_dir, trades), "book").withColumn("equity", F.col("cash") + F.sum("value").over(w))
     weight = F.when(F.col("equity") > 0, F.col("value") / F.col("equity")).otherwise(0.0)
     return rounded(p.select("book", "ticker", share("exposure", F.sum("exposure").over(w)).alias("gross_share"), weight.alias("weight")))
 
