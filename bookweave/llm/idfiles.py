@@ -85,18 +85,20 @@ def text_encoder(spec: str) -> Callable[[bytes], bytes]:
     whole = lambda data: np.array(tokenizer.encode(data.decode(errors="replace"), add_special_tokens=False).ids, dtype="<i4").tobytes()
     if not _apart(spec):
         return whole
-    letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
     spelt = {n: tokenizer.pre_tokenizer.pre_tokenize_str(chr(n))[0][0] for n in range(0xDF, 0x100) if n != 0xF7}
     split = tokenizer.model.tokenize
 
     def ids_of(word: bytes) -> bytes:
         core = word.rstrip(MARKS)
         text = core.decode(errors="replace")
-        small = text.lower() if LATIN.fullmatch(text) else ""
-        if letters.fullmatch(small):
-            ids = np.array([t.id for t in split(small if core.isascii() else small.translate(spelt))], dtype="<i4").tobytes()
-            return ids + memory[word[len(core) :]] if len(core) < len(word) else ids
-        return whole(word)
+        if not LATIN.fullmatch(text):
+            return whole(word)
+        if len(core) < len(word):
+            return memory[core] + memory[word[len(core) :]]
+        small = text.lower()
+        if small != text:
+            return memory[small.encode()]
+        return np.array([t.id for t in split(small if core.isascii() else small.translate(spelt))], dtype="<i4").tobytes()
 
     memory = _Memory(ids_of)
     return lambda data: b"".join(map(memory.__getitem__, data.split()))
