@@ -144,8 +144,8 @@ def segments(path: DataFrame) -> DataFrame:
     """(book, mode, start, end, period_return, reason): the days that each mode attributes.
 
     `period` takes the whole path; `drawdown` goes from the earliest day of greatest wealth
-    up to the trough, which is the earliest day of the deepest drawdown. The return of the
-    first day does not count. A book has a reason in place of days where a later return is
+    up to the trough, which is the earliest day of the deepest drawdown; figures that agree in
+    ten places are equal here. The return of the first day does not count. A book has a reason in place of days where a later return is
     null or not above -1, or where the days are fewer than two.
     """
     order = Window.partitionBy("book").orderBy("d")
@@ -154,10 +154,10 @@ def segments(path: DataFrame) -> DataFrame:
     p = path.select("book", "d", F.when(n == 1, 0.0).otherwise(F.col("r")).alias("r"))
     p = p.withColumn("wealth", F.product(1 + F.coalesce("r", F.lit(0.0))).over(run))
     p = p.withColumn("drawdown", F.col("wealth") / F.greatest(F.lit(1.0), F.max("wealth").over(run)) - 1)
-    p = p.withColumn("peak", F.max_by("d", F.struct("wealth", -F.unix_date("d"))).over(run))
+    p = p.withColumn("peak", F.max_by("d", F.struct(F.round("wealth", 10), -F.unix_date("d"))).over(run))
     per = p.groupBy("book").agg(
         F.min("d").alias("a"), F.max("d").alias("z"), F.count(F.lit(1)).alias("n"),
-        F.bool_or(F.col("r").isNull() | (F.col("r") <= -1)).alias("bad"), F.min_by(F.struct(F.col("d").alias("trough"), "peak"), F.struct("drawdown", "d")).alias("x"),
+        F.bool_or(F.col("r").isNull() | (F.col("r") <= -1)).alias("bad"), F.min_by(F.struct(F.col("d").alias("trough"), "peak"), F.struct(F.round("drawdown", 10), "d")).alias("x"),
     )
     both = per.select("book", "n", "bad", F.explode(F.array(F.struct(F.lit("period").alias("mode"), F.col("a").alias("start"), F.col("z").alias("end")), F.struct(F.lit("drawdown").alias("mode"), F.col("x.peak").alias("start"), F.col("x.trough").alias("end")))).alias("s"))
     reason = F.when(F.col("n") < 2, "fewer than two valuations").when(F.col("bad"), "incomplete returns").when(F.col("s.start") == F.col("s.end"), "no interval")

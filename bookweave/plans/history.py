@@ -150,9 +150,10 @@ ATTRIBUTED = LEDGER + """
 , zeroed AS (SELECT book, d, equity, before, CASE WHEN row_number() OVER (PARTITION BY book ORDER BY d) = 1 THEN 0 ELSE r END AS r FROM path
 ), wz AS (SELECT *, product(1 + coalesce(r, 0)) OVER (PARTITION BY book ORDER BY d) AS w FROM zeroed
 ), dz AS (SELECT *, w / greatest(1, max(w) OVER (PARTITION BY book ORDER BY d)) - 1 AS dd FROM wz
-), trough AS (SELECT book, min(d) AS t FROM dz JOIN (SELECT book, min(dd) AS dd FROM dz GROUP BY book) USING (book, dd) GROUP BY book
-), top AS (SELECT book, max(w) AS w, any_value(t) AS t FROM dz JOIN trough USING (book) WHERE d <= t GROUP BY book
-), summit AS (SELECT book, min(d) AS p, any_value(t) AS t FROM dz JOIN top USING (book, w) WHERE d <= t GROUP BY book
+), near AS (SELECT book, d, round(w, 10) AS w, round(dd, 10) AS dd FROM dz
+), trough AS (SELECT book, min(d) AS t FROM near JOIN (SELECT book, min(dd) AS dd FROM near GROUP BY book) USING (book, dd) GROUP BY book
+), top AS (SELECT book, max(w) AS w, any_value(t) AS t FROM near JOIN trough USING (book) WHERE d <= t GROUP BY book
+), summit AS (SELECT book, min(d) AS p, any_value(t) AS t FROM near JOIN top USING (book, w) WHERE d <= t GROUP BY book
 ), per AS (SELECT book, min(d) AS a, max(d) AS z, count(*) AS n, bool_or(r IS NULL OR r <= -1) AS bad FROM zeroed GROUP BY book
 ), modes AS (
   SELECT book, 'period' AS mode, a AS s, z AS e, n, bad FROM per UNION ALL SELECT book, 'drawdown', p, t, n, bad FROM per JOIN summit USING (book)
