@@ -121,7 +121,8 @@ def combination_risk(rows: DataFrame, keys: DataFrame, size: int, least: int = 3
     of them all are skipped. The counts are checked first: above `limit` combinations, or
     with too few tickers, there are no rows and a reason. The limit bounds the tickers (447
     for pairs), so the days' returns, tickers by days, are small enough to send to every
-    task; combinations are numbers from a range and are never joined.
+    task; combinations are numbers from a range and are never joined. Growth and drawdown are
+    null where a return is -1 or less, growth also where it is beyond e ** 700.
     """
     spark = rows.sparkSession
     good = rows.where(F.col("r").isNotNull()).select("ticker", "d", "r").join(keys.select("ticker").distinct(), "ticker")
@@ -152,13 +153,14 @@ def combination_risk(rows: DataFrame, keys: DataFrame, size: int, least: int = 3
                 r = matrix[:, group].mean(axis=2)  # days by combinations
                 cut = np.quantile(r, 1 - level, axis=0)
                 tail = r <= cut
-                wealth = np.cumprod(1 + r, axis=0)
-                top = np.maximum(np.maximum.accumulate(wealth, axis=0), 1.0)
                 compounds = (r > -1).all(axis=0)
+                # wealth by its logarithm, which years of large returns do not overflow
+                wealth = np.cumsum(np.log1p(np.where(compounds, r, 0.0)), axis=0)
+                fall = (wealth - np.maximum(np.maximum.accumulate(wealth, axis=0), 0.0)).min(axis=0)
                 yield pd.DataFrame({
                     "combo": ["+".join(own[k] for k in g) for g in group], "n": len(r), "annual_return": r.mean(axis=0) * 252, "volatility": r.std(axis=0, ddof=1) * math.sqrt(252),
                     "var": np.maximum(0.0, -cut), "es": np.maximum(0.0, -(r * tail).sum(axis=0) / tail.sum(axis=0)),
-                    "growth": np.where(compounds, wealth[-1] - 1, np.nan), "max_drawdown": np.where(compounds, (wealth / top - 1).min(axis=0), np.nan), "compounds": compounds,
+                    "growth": np.where(compounds & (wealth[-1] < 700), np.expm1(np.minimum(wealth[-1], 700)), np.nan), "max_drawdown": np.where(compounds, np.expm1(fall), np.nan), "compounds": compounds,
                 })
 
     tasks = max(1, min(total // 256 + 1, spark.sparkContext.defaultParallelism * 4))

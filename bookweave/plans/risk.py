@@ -191,8 +191,8 @@ ELIGIBLE = RETURNS + """
 COMBO = ELIGIBLE + """
 , combo AS ({members}
 ), cut AS (SELECT combo, quantile_cont(r, 0.05) AS cut FROM combo GROUP BY combo
-), grown AS (SELECT combo, d, product(1 + r) OVER (PARTITION BY combo ORDER BY d) AS w FROM combo
-), down AS (SELECT combo, min(x) AS x FROM (SELECT combo, w / greatest(1, max(w) OVER (PARTITION BY combo ORDER BY d)) - 1 AS x FROM grown) GROUP BY combo
+), grown AS (SELECT combo, d, sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER (PARTITION BY combo ORDER BY d) AS w FROM combo
+), down AS (SELECT combo, min(x) AS x FROM (SELECT combo, exp(w - greatest(0, max(w) OVER (PARTITION BY combo ORDER BY d))) - 1 AS x FROM grown) GROUP BY combo
 ), stat AS (SELECT combo, count(*) AS n, avg(r) * 252 AS annual_return, stddev_samp(r) * sqrt(252) AS volatility, greatest(0, -min(cut)) AS var, greatest(0, -avg(CASE WHEN r <= cut THEN r END)) AS es,
     CASE WHEN min(r) > -1 THEN min(x) END AS max_drawdown
   FROM combo JOIN cut USING (combo) JOIN down USING (combo) GROUP BY combo HAVING count(*) >= 30
