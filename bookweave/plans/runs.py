@@ -324,6 +324,31 @@ def src3_inc1_staged_increments(spark, sf_dir):
     return spark.createDataFrame(steps, "step int, files long, rows long, confirmed boolean")
 
 
+@query(" SELECT 'a' || (book % 3) AS account, count(*) AS n, count(*) AS ids, round(sum(q), 2) AS quantity, 0::BIGINT AS issues FROM trade GROUP BY ALL")
+def src1_prj1_prj6_staged_files(spark, sf_dir):
+    """Trades written as CSV with a broker's headers and staged again: roles by header, records by account."""
+    path = f"{scratch_root(spark)}/drop-{uuid.uuid4().hex}"
+    t = tables.trades(spark, sf_dir)
+    t.select(
+        F.col("seq").alias("Order ID"), F.col("ticker").alias("Instrument-Code"), F.col("q").alias("Position_Size"), F.col("d").alias("Executed At"), F.concat(F.lit("a"), F.col("book") % 3).alias("Account ID")
+    ).write.option("header", True).csv(path)
+    _, rows, issues = staging.stage_files(spark, f"{path}/*.csv", "session")
+    by = rows.groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("ids"), F.sum(scalars.clean_number(F.col("roles")["quantity"])).alias("quantity"))
+    return rounded(by.join(F.broadcast(issues.agg(F.count(F.lit(1)).alias("issues")))), 2)
+
+
+@query(" SELECT label, count(*) AS n FROM book GROUP BY label")
+def inc1_staged_increments(spark, sf_dir):
+    """Books dropped as files in two runs, the second with a copy of what the first had: each content is staged once."""
+    root = f"{scratch_root(spark)}/increments-{uuid.uuid4().hex}"
+    b = tables.books(spark, sf_dir)
+    for part, run in ((0, "one"), (0, "again"), (1, "two")):
+        b.where(F.col("book") % 2 == part).repartition(8, "book").sortWithinPartitions("book").write.option("header", True).csv(f"{root}/drop/{run}")
+        if run != "again":
+            draft = incremental.stage_new_files(spark, f"{root}/drop", f"{root}/draft", f"{root}/state")
+    return draft.rows().groupBy(F.col("cells")["label"].alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(" SELECT ticker, count(*) AS n, round(sum(q), 2) AS quantity, 'lines.at,lines.inner.q,ticker' AS fields FROM trade GROUP BY ticker")
 def prj10_redacted(spark, sf_dir):
     """Trades without private fields at any depth."""
