@@ -31,9 +31,9 @@ RETURNS = FILLED + """
 )"""
 
 
-def daily_returns(spark, sf_dir) -> DataFrame:
-    """Returns of every ticker over its own business-day calendar, prices filled forward."""
-    return market.returns(market.calendar_fill(tables.prices(spark, sf_dir), "ticker", "d", "px"))
+def daily_returns(spark, sf_dir, prices: DataFrame | None = None) -> DataFrame:
+    """Returns of every ticker over its own business-day calendar, prices filled forward; prices: where they are there already."""
+    return market.returns(market.calendar_fill(tables.prices(spark, sf_dir) if prices is None else prices, "ticker", "d", "px"))
 
 
 @query(FXALL + """

@@ -12,7 +12,7 @@ from bookweave.operators import market, normalise, review, scenario
 from bookweave.plans import history, records, risk
 from bookweave.plans.registry import query, rounded
 from bookweave.plans.scratch import scratch_root, stage_table
-from bookweave.plans.valuation import FOLD, base_trades, cash_of, value_positions
+from bookweave.plans.valuation import FOLD, base_trades, cash_of, prices_of, value_positions
 from bookweave.sources import readers, staging, tables
 from bookweave.streaming import incremental
 
@@ -48,12 +48,11 @@ def current_risk(returns: DataFrame, weights: DataFrame) -> DataFrame:
     return market.series_metrics(series, "group").join(tail, "group")
 
 
-def _returns(spark, sf_dir) -> DataFrame:
-    return stage_table(risk.daily_returns(spark, sf_dir).select("ticker", "d", "r"), "returns")
+def _returns(spark, sf_dir, trades: DataFrame) -> DataFrame:
+    return stage_table(risk.daily_returns(spark, sf_dir, prices_of(trades)).select("ticker", "d", "r"), "returns")
 
 
-def _labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    trades = base_trades(spark, sf_dir)
+def _labels(spark, sf_dir, trades: DataFrame) -> tuple[DataFrame, DataFrame]:
     return label_state(value_positions(spark, sf_dir, trades), cash_of(spark, sf_dir, trades), tables.books(spark, sf_dir))
 
 
@@ -63,8 +62,9 @@ SELECT grp AS label, n, round(annual_return, 4) AS annual_return, round(volatili
 """)
 def fin3_current_weight_run(spark, sf_dir):
     """Risk of the present book of each label, as a share and in USD."""
-    state, weights = _labels(spark, sf_dir)
-    m = current_risk(_returns(spark, sf_dir), weights).join(state, "group")
+    trades = base_trades(spark, sf_dir)
+    state, weights = _labels(spark, sf_dir, trades)
+    m = current_risk(_returns(spark, sf_dir, trades), weights).join(state, "group")
     worth = lambda c: (F.abs("equity") * F.col(c)).alias(f"{c}_value")
     r = m.select(F.col("group").alias("label"), "n", "annual_return", "volatility", "var", "es", worth("var"), worth("es"), "equity")
     fine = rounded(r.drop("var_value", "es_value", "equity"))
@@ -81,8 +81,9 @@ SELECT label, ticker, round(share, 4) AS share, CASE WHEN share < 0 THEN 'hedge'
 """)
 def srt2_ranked_contributors(spark, sf_dir):
     """Tickers of each label by their signed and by their absolute share of its risk."""
-    _, weights = _labels(spark, sf_dir)
-    c = market.risk_contribution(_returns(spark, sf_dir), weights)
+    trades = base_trades(spark, sf_dir)
+    _, weights = _labels(spark, sf_dir, trades)
+    c = market.risk_contribution(_returns(spark, sf_dir, trades), weights)
     by = lambda x: F.row_number().over(Window.partitionBy("group").orderBy(F.desc(x), "ticker")).cast("long")
     c = c.withColumns({"place": by("share"), "size": F.abs("share")}).withColumn("absolute_place", by("size"))
     effect = F.when(F.col("share") < 0, "hedge").otherwise("risk contributor")
@@ -94,8 +95,9 @@ SELECT grp AS label, n, tail, CASE WHEN n < 30 THEN 'limited' WHEN volatility IS
 """)
 def dq12_risk_sample(spark, sf_dir):
     """Whether each label's risk rests on enough returns, in all and in the tail."""
-    _, weights = _labels(spark, sf_dir)
-    m = current_risk(_returns(spark, sf_dir), weights)
+    trades = base_trades(spark, sf_dir)
+    _, weights = _labels(spark, sf_dir, trades)
+    m = current_risk(_returns(spark, sf_dir, trades), weights)
     sound = F.lit(True)
     for c in ("volatility", "var", "es"):
         sound = sound & market.finite(c) & (F.col(c) >= 0)
@@ -124,11 +126,12 @@ SELECT grp AS label, round(volatility, 4) AS volatility, round(k, 4) AS scale, C
 """)
 def fin5_scn7_target_risk(spark, sf_dir):
     """Risk of each label's book after a scenario, and the book scaled to a volatility where that needs no leverage."""
-    after = scenario.run(history.scenario_positions(spark, sf_dir), history._steps(spark).where("scenario = 'shock'"))
+    trades = base_trades(spark, sf_dir)
+    after = scenario.run(history.scenario_positions(spark, sf_dir, trades), history._steps(spark).where("scenario = 'shock'"))
     worth = stage_table(after.select("book", "ticker", (F.col("qty") * F.col("px")).alias("value"), "cash_change"), "after")
-    cash = cash_of(spark, sf_dir).unionByName(worth.select("book", F.col("cash_change").alias("cash")))
+    cash = cash_of(spark, sf_dir, trades).unionByName(worth.select("book", F.col("cash_change").alias("cash")))
     state, weights = label_state(worth, cash, tables.books(spark, sf_dir))
-    m = current_risk(_returns(spark, sf_dir), weights).join(state, "group").where("volatility > 0")
+    m = current_risk(_returns(spark, sf_dir, trades), weights).join(state, "group").where("volatility > 0")
     r = scenario.to_target(m, TARGET)
     fine = rounded(r.select(F.col("group").alias("label"), "volatility", "scale", "status"))
     return fine.join(rounded(r.select(F.col("group").alias("label"), "net_after", "gross_after", "cash_after"), 2), "label")
