@@ -15,6 +15,8 @@ from bookweave.operators import review
 from bookweave.plans.scratch import stage_table
 
 VALUE, WEIGHT = "decimal(18,6)", "decimal(19,18)"
+#: Weights and their sums before it is known that they are 1 at most.
+WIDE = "decimal(28,18)"
 #: Two digits less than the most, so that two of them add up without a loss of places.
 EXACT = "decimal(36,24)"
 
@@ -45,7 +47,7 @@ def fund_states(constituents: DataFrame, snapshots: DataFrame, as_of: str, most_
     future, or of no day. Complete only where all is reported and someone verified it.
     """
     c = constituents.groupBy("parent").agg(
-        F.sum(F.col("weight").cast(WEIGHT)).alias("subtotal"), F.bool_and(F.coalesce("equity", F.lit(False))).alias("equity"), F.bool_or(F.col("weight").isNull()).alias("lacking"),
+        F.sum(F.col("weight").cast(WIDE)).alias("subtotal"), F.bool_and(F.coalesce("equity", F.lit(False))).alias("equity"), F.bool_or(F.col("weight").isNull()).alias("lacking"),
         (F.count(F.lit(1)) > F.count_distinct("security")).alias("twice"),
     )
     age = F.datediff(F.to_date(F.lit(as_of)), "day")
@@ -88,9 +90,9 @@ def look_through(positions: DataFrame, constituents: DataFrame, snapshots: DataF
     stale = open_.where("stale").select("book", "ticker", F.lit("stale").alias("code"))
     issues = outside.select("book", "ticker", F.lit("outside scope").alias("code")).unionByName(funds.where("code is not null").select("book", "ticker", "code")).unionByName(partial).unionByName(stale)
 
-    inside = open_.select("book", F.col("ticker").alias("parent"), "value").join(constituents.select("parent", "security", F.col("weight").cast(WEIGHT).alias("weight")), "parent")
+    inside = open_.select("book", F.col("ticker").alias("parent"), "value").join(constituents.select("parent", "security", "weight"), "parent")
     entries = own.select("book", F.col("ticker").alias("security"), _exact(F.col("value")).alias("direct"), _exact(F.lit(0)).alias("indirect"), F.lit(None).cast("string").alias("parent")).unionByName(
-        inside.select("book", "security", _exact(F.lit(0)).alias("direct"), _exact(F.col("value") * F.col("weight")).alias("indirect"), "parent")
+        inside.select("book", "security", _exact(F.lit(0)).alias("direct"), _exact(F.col("value") * F.col("weight").cast(WEIGHT)).alias("indirect"), "parent")
     )
     named = stage_table(components(identifiers), "identity")
     entries = entries.join(named, "security", "left").withColumns({"component": F.coalesce("component", "security"), "conflict": F.coalesce("conflict", F.lit(True))})

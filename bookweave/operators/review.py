@@ -56,8 +56,12 @@ def overlapping_periods(parts: DataFrame) -> DataFrame:
 
 
 def retained(records: DataFrame, sources: DataFrame, parts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records without those of excluded sources, parts (source, account) and record ids."""
-    out = records.join(sources.select("source"), "source", "left_anti").join(parts.select("source", "account"), ["source", "account"], "left_anti")
+    """Records without those of excluded sources, parts (source, account) and record ids.
+
+    Sources and parts are as few as reviewers name: they go to every task, as a shuffle by
+    source would bring all records of one together.
+    """
+    out = records.join(F.broadcast(sources.select("source")), "source", "left_anti").join(F.broadcast(parts.select("source", "account")), ["source", "account"], "left_anti")
     return out.join(ids.select("record_id"), "record_id", "left_anti")
 
 
@@ -116,7 +120,7 @@ def look_through(holdings: DataFrame, constituents: DataFrame) -> DataFrame:
     """
     good = constituents.join(coverage(constituents).where("state <> 'overweight'").select("parent"), "parent", "left_semi")
     value = F.col("value").cast("decimal(18,6)")
-    inside = holdings.join(good, holdings.ticker == good.parent).select("book", F.col("constituent").alias("security"), F.lit(0).cast("decimal(38,18)").alias("direct"), (value.cast("decimal(18,6)") * F.col("weight")).cast("decimal(38,18)").alias("indirect"))
+    inside = holdings.join(good, holdings.ticker == good.parent).select("book", F.col("constituent").alias("security"), F.lit(0).cast("decimal(38,18)").alias("direct"), (value.cast("decimal(18,6)") * F.col("weight").cast("decimal(19,18)")).cast("decimal(38,18)").alias("indirect"))  # of funds of 1 at most, so no weight is too large
     funds = good.select(F.col("parent").alias("ticker")).distinct()
     own = holdings.join(funds, "ticker", "left_anti").select("book", F.col("ticker").alias("security"), value.cast("decimal(38,18)").alias("direct"), F.lit(0).cast("decimal(38,18)").alias("indirect"))
     return own.unionByName(inside).groupBy("book", "security").agg(F.sum("direct").cast("double").alias("direct"), F.sum("indirect").cast("double").alias("indirect"))

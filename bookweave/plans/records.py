@@ -80,7 +80,7 @@ def jn10_overlapping_periods(spark, sf_dir):
 @query(RECORDS + " SELECT source, account, count(*) AS n FROM rec WHERE source <> 'f4' AND NOT (source = 'f1' AND account = 'a1') AND sec <> 7 GROUP BY ALL")
 def jn12_set6_retained(spark, sf_dir):
     r = records(spark, sf_dir).withColumn("record_id", F.concat_ws("#", F.col("record_id").cast("string"), "sig"))
-    one = r.select("source", "account").distinct()
+    one = stage_table(r.select("source", "account").distinct(), "parts")
     out = review.retained(r, one.where("source = 'f4'"), one.where("source = 'f1' and account = 'a1'"), r.where("sec = 7").select("record_id").distinct())
     return out.groupBy("source", "account").agg(F.count(F.lit(1)).alias("n"))
 
@@ -129,11 +129,12 @@ FUNDS = """
 
 
 def constituents(spark, sf_dir) -> DataFrame:
+    """Parts as constituents of funds; a weight grows with the parts and has room for ten digits before its point."""
     number = F.expr("cast(substr(p_brand, 7) as int)")
     p = tables.load(spark, sf_dir, "part").where(number > 20)
     parent = F.concat(F.lit("Brand#"), (10 + number % 4 + 1).cast("string"))
     w = F.sum("p_size").cast("decimal(18,0)") / F.lit(100000).cast("decimal(18,0)")
-    return p.groupBy(parent.alias("parent"), F.col("p_brand").alias("constituent")).agg(w.cast("decimal(19,18)").alias("weight"))
+    return p.groupBy(parent.alias("parent"), F.col("p_brand").alias("constituent")).agg(w.cast("decimal(28,18)").alias("weight"))
 
 
 @query(FUNDS + """

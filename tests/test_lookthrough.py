@@ -72,3 +72,22 @@ def test_exact_to_the_last_digit(spark):
 def test_identifiers_are_told_apart_exactly(spark):
     rows = spark.createDataFrame([(0, ["isin:a", "sedol:1"]), (1, ["isin:b"]), (2, ["sedol:1", "isin:b"]), (3, []), (4, None), (5, ["isin:c"])], "row_id long, ids array<string>")
     assert {r.row_id: r.component for r in review.identity(rows).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+
+
+def test_weights_above_ten_are_no_error(spark, tmp_path):
+    from bookweave.operators import review
+    from bookweave.plans import records
+
+    part = [(k, f"Brand#{b}", "T", 50) for b in (21, 22, 25) for k in range(21000)]
+    spark.createDataFrame(part, "p_partkey int, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    c = records.constituents(spark, str(tmp_path))
+    assert {r.parent: (float(r.total), r.state) for r in review.coverage(c).collect()} == {"Brand#12": (21.0, "overweight"), "Brand#13": (10.5, "overweight")}
+    held = spark.createDataFrame([("b", "Brand#12", 100.0), ("b", "Brand#21", 5.0)], "book string, ticker string, value double")
+    assert {(r.security, r.direct, r.indirect) for r in review.look_through(held, c).collect()} == {("Brand#12", 100.0, 0.0), ("Brand#21", 5.0, 0.0)}
+    p = held.selectExpr("*", "ticker = 'Brand#12' as fund", "true as equity", "true as supported")
+    named = spark.createDataFrame([("Brand#21", ["ticker:Brand#21"])], "security string, ids array<string>")
+    snapshots = spark.createDataFrame([("Brand#12", "1998-12-15", True)], "parent string, day string, verified boolean").selectExpr("parent", "to_date(day) as day", "verified")
+    inside = c.withColumnRenamed("constituent", "security").selectExpr("*", "true as equity")
+    _, books, issues = lookthrough.look_through(p, inside, snapshots, snapshots.select("parent"), named, "1999-01-01")
+    assert [(float(r.eligible), float(r.unknown), float(r.residual)) for r in books.collect()] == [(105.0, 100.0, 0.0)]
+    assert [r.code for r in issues.collect()] == ["composition unavailable"]
