@@ -6,6 +6,7 @@ is blocked by itself; the others go on. Staged tables only grow, one folder per
 
 from __future__ import annotations
 
+import codecs
 import csv
 import hashlib
 import io
@@ -51,13 +52,16 @@ def read_table(data: bytes, name: str) -> tuple[list[str], Iterator[tuple[int, l
     """Header and (row number in the file, cells) of a CSV file; a Refused comes up at the first row that does not fit."""
     if not name.lower().endswith(".csv"):
         raise Refused("not a CSV file")
+    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        text = data.decode("utf-8-sig")
+        for at in range(0, len(data), 1 << 20):  # no text as large as the file
+            decoder.decode(data[at : at + (1 << 20)])
+        decoder.decode(b"", True)
     except UnicodeDecodeError:
         raise Refused("not UTF-8") from None
-    if "\0" in text:
+    if b"\0" in data:
         raise Refused("not a text file")
-    lines = csv.reader(io.StringIO(text, newline=""), strict=True)
+    lines = csv.reader(io.TextIOWrapper(io.BytesIO(data), encoding="utf-8-sig", newline=""), strict=True)
     try:
         header = next(lines, None)
     except csv.Error:
@@ -142,7 +146,8 @@ def parse_files(files: DataFrame, session: str, most_bytes: int = 64 << 20) -> D
             return made
 
         for batch in batches:
-            for path, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):  # the bytes of one file at a time
+                path, size, data = (c[k].as_py() for c in batch.columns)
                 for row in _staged(path, data, size, session):
                     held.append(row)
                     if len(held) >= 5000:
@@ -175,8 +180,10 @@ def stage_files(spark: SparkSession, path: str, session: str, most_bytes: int =
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
     # The scan leaves out files of no bytes; Spark's listing, which the driver holds anyway, has them.
-    listed = [(re.sub(r"^(\w+):/+", r"\1:/", unquote(f)),) for f in files.inputFiles()]
-    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    # Both name a file by scheme, host and path, with more or fewer slashes where there is no host.
+    listed = [(re.sub(r"^([^:/]+):///+", r"\1:/", unquote(f)),) for f in files.inputFiles()]
+    bare = F.regexp_replace("path", "^[^:/]+:/*", "").alias("bare")
+    empty = spark.createDataFrame(listed, "path string").select("path", bare).join(files.select(bare), "bare", "left_anti").select("path")
     every = files.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     return split_kinds(stage_table(parse_files(every, session, most_bytes), "staged"))
 

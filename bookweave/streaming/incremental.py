@@ -11,7 +11,7 @@ from bookweave.plans.scratch import scratch_root
 from bookweave.sources.staging import Draft, parse_files
 
 
-def stage_new_files(spark: SparkSession, drop: str, out: str, checkpoint: str, session: str = "drop") -> Draft:
+def stage_new_files(spark: SparkSession, drop: str, out: str, checkpoint: str, session: str = "drop", most_bytes: int = 64 << 20) -> Draft:
     """Adds the files that are new below the drop folder to the draft at out, each content once.
 
     Files are told apart by path, contents by SHA-256 against the draft's table of sources,
@@ -21,7 +21,7 @@ def stage_new_files(spark: SparkSession, drop: str, out: str, checkpoint: str, s
     draft = Draft(spark, out)
 
     def keep(batch: DataFrame, number: int) -> None:
-        draft.append(parse_files(batch, session), f"{number:08d}", each_content_once=True)
+        draft.append(parse_files(batch, session, most_bytes), f"{number:08d}", each_content_once=True)
 
     kind = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(drop)

@@ -91,3 +91,29 @@ def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
     for _ in range(2):
         draft.append(staging.parse_files(files, "s"), "00000001", each_content_once=True)
     assert draft.rows().count() == 1 and draft.sources().count() == 1
+
+
+def test_a_file_system_with_a_host_has_each_file_once(spark, tmp_path):
+    from bookweave.sources import staging
+
+    (tmp_path / "a.csv").write_text("Order ID,Account\n1,x\n")
+    (tmp_path / "b.csv").write_text("")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.here.link./data", f"file:{tmp_path}")
+    sources, rows, issues = staging.stage_files(spark, "viewfs://here/data/*.csv", "s")
+    assert sorted((r.source, r.status) for r in sources.collect()) == [("a.csv", "staged"), ("b.csv", "blocked")]
+    assert rows.count() == 1 and [r.issue for r in issues.collect()] == ["no header"]
+
+
+def test_a_file_is_parsed_without_a_text_of_its_size():
+    import tracemalloc
+
+    from bookweave.sources import staging
+
+    data = b"Order ID,Account\n" + b"1,x\n" * 4_000_000
+    tracemalloc.start()
+    _, rows = staging.read_table(data, "a.csv")
+    next(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(data) + (8 << 20)
