@@ -47,10 +47,16 @@ def detect(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_sig = of_sig.where("n > 1 and (without > 0 or a < b)").withColumn("code", F.lit("transaction_match_ambiguous"))
     columns = ("code", "account", "key", "n", "set")
     found = of_id.select(*columns).unionByName(of_sig.select(*columns))
-    issues = found.select(F.sha2(F.concat_ws("\x1f", "code", "account", "key", "n", "set"), 256).alias("issue_id"), "code", "account", "key", "n")
+    issues = stage_table(found.select(F.sha2(F.concat_ws("\x1f", "code", "account", "key", "n", "set"), 256).alias("issue_id"), "code", "account", "key", "n"), "found")
+    return issues, members_of(records, issues)
+
+
+def members_of(records: DataFrame, issues: DataFrame) -> DataFrame:
+    """(issue_id, record_id, source) of the records of issues, which detect found in them."""
+    own = records.where("account is not null and kind <> 'holdings'")
     by_id = issues.where("code <> 'transaction_match_ambiguous'").join(own.withColumn("key", F.col("transaction_id")), ["account", "key"])
     by_sig = issues.where("code = 'transaction_match_ambiguous'").join(own.withColumn("key", F.col("sig")), ["account", "key"])
-    return issues, by_id.select("issue_id", "record_id", "source").unionByName(by_sig.select("issue_id", "record_id", "source"))
+    return by_id.select("issue_id", "record_id", "source").unionByName(by_sig.select("issue_id", "record_id", "source"))
 
 
 @dataclass

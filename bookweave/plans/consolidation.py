@@ -21,14 +21,15 @@ def _review_records(spark, sf_dir) -> DataFrame:
 
 def _decided(recs: DataFrame) -> decisions.Log:
     """A log over the issues of one transaction id: by the least record number n of an issue, n % 6 = 0, 1 or 4 exclude all but it, 2 keeps both, 3 defers; 1 is reversed later, and 4 saw other sources."""
-    issues, members = decisions.detect(recs)
-    numbered = members.join(issues.where("code <> 'transaction_match_ambiguous'").select("issue_id"), "issue_id").join(recs.select("record_id", "number"), "record_id")
+    issues = decisions.detect(recs)[0].where("code <> 'transaction_match_ambiguous'")
+    numbered = stage_table(decisions.members_of(recs, issues).withColumn("number", F.col("record_id").cast("long")), "members")
+    members = numbered.drop("number")
     least = numbered.groupBy("issue_id").agg(F.min("number").alias("first"))
     told = stage_table(least.withColumn("m", F.col("first") % 6), "review")
     excludes = F.col("m").isin(0, 1, 4)
     action = F.when(excludes, "exclude_records").when(F.col("m") == 2, "keep_both").when(F.col("m") == 3, "defer")
     removed = numbered.join(told.where(excludes), "issue_id").where("number > first").select("issue_id", F.lit("record").alias("kind"), F.col("record_id").alias("target"))
-    basis = decisions.source_basis(recs)
+    basis = stage_table(decisions.source_basis(recs), "basis")
     chosen = lambda rows: told.where(rows).select("issue_id", action.alias("action"), F.lit("broker record").alias("reason"))
     log = decisions.empty_log(recs.sparkSession).decide(0, chosen("m < 4"), members, basis, removed)
     log = log.decide(1, chosen("m = 4"), members, basis.withColumn("basis", F.lit("before a correction")), removed)
@@ -125,9 +126,11 @@ def src8_pub1_pub2_versions(spark, sf_dir):
     nothing = spark.createDataFrame([], "code string")
     fault = spark.createDataFrame([("opening history missing",)], "code string")
     steps: list[tuple] = []
+    # Neither table changes between the steps, so each is read for its digest once.
+    digest = {rows: publish.content_digest(rows) for rows in (trades, fewer)}
 
     def candidate(rows: DataFrame, blocked: DataFrame = nothing, request: str = "all labels") -> publish.Candidate:
-        return publish.Candidate({"holdings": rows.groupBy("label", "ticker").agg(F.sum("q").alias("qty"))}, publish.content_digest(rows), request, blocked)
+        return publish.Candidate({"holdings": rows.groupBy("label", "ticker").agg(F.sum("q").alias("qty"))}, digest[rows], request, blocked)
 
     def derived(version: int) -> str:
         seen = store.read("holdings").groupBy("label").agg(F.sum(F.abs("qty")).alias("gross"))
@@ -140,7 +143,7 @@ def src8_pub1_pub2_versions(spark, sf_dir):
 
     def tried(made: publish.Candidate, rows: DataFrame, confirmed: bool = True, request: str = "all labels") -> str:
         try:
-            store.publish(made, publish.content_digest(rows), request, confirmed)
+            store.publish(made, digest[rows], request, confirmed)
         except publish.Stale as e:
             return str(e)
         return "published"
