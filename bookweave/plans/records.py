@@ -9,7 +9,7 @@ from bookweave.functions import scalars
 from bookweave.operators import market, review
 from bookweave.plans.registry import query, rounded
 from bookweave.plans.scratch import stage_table
-from bookweave.plans.valuation import FOLD, base_trades, cash_of, concentration, totals, value_positions
+from bookweave.plans.valuation import FOLD, accounts, base_trades, cash_of, concentration, totals, value_positions
 from bookweave.sources import readers, tables
 from bookweave.streaming import incremental
 
@@ -191,7 +191,7 @@ SELECT book, code, round(evidence, 2) AS evidence, severity, row_number() OVER (
 def fin8_fin15_srt8_findings(spark, sf_dir):
     """Findings per book in order of severity; the first three are shown."""
     trades = base_trades(spark, sf_dir)
-    p = stage_table(value_positions(spark, sf_dir, trades).select("book", "ticker", "exposure", "unrealised"), "positions")
+    p = value_positions(spark, sf_dir, trades).select("book", "ticker", "exposure", "unrealised")
     one = concentration(p).where("largest > 0.2").select("book", F.lit("concentration").alias("code"), F.col("largest").alias("evidence"), F.lit(1).alias("severity"))
     two = cash_of(spark, sf_dir, trades).where("cash < 0").select("book", F.lit("negative cash").alias("code"), F.col("cash").alias("evidence"), F.lit(2).alias("severity"))
     three = p.groupBy("book").agg(F.sum("unrealised").alias("evidence")).where("evidence < 0").select("book", F.lit("loss").alias("code"), "evidence", F.lit(1).alias("severity"))
@@ -299,6 +299,6 @@ SELECT label, count(*) AS books, round(sum(net), 2) AS net, round(max(net), 2) A
 def agg2_totals_by_label(spark, sf_dir):
     trades = base_trades(spark, sf_dir)
     t = totals(value_positions(spark, sf_dir, trades), cash_of(spark, sf_dir, trades)).where("status = 'ok' and n_positions is not null").join(tables.books(spark, sf_dir), "book")
-    held = trades.select("book").distinct()
+    held = accounts(trades).select("book").distinct()
     t = t.join(held, "book", "left_semi")
     return rounded(t.groupBy("label").agg(F.count(F.lit(1)).alias("books"), F.sum("net").alias("net"), F.max("net").alias("largest")), 2)
