@@ -56,7 +56,7 @@ def common_days(returns: DataFrame, required: DataFrame) -> DataFrame:
     """
     good = returns.where("r is not null").select("ticker", "d").distinct()
     n = good.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    missing = required.join(n, "ticker", "left").groupBy("book").agg(F.count_if(F.coalesce("n", F.lit(0)) < 2).alias("missing"), F.collect_set("ticker").alias("own"))  # the tickers of a book
+    missing = required.join(F.broadcast(n), "ticker", "left").groupBy("book").agg(F.count_if(F.coalesce("n", F.lit(0)) < 2).alias("missing"), F.collect_set("ticker").alias("own"))  # the tickers of a book
     sets = good.groupBy("d").agg(F.array_sort(F.collect_list("ticker")).alias("present")).groupBy("present").agg(F.count(F.lit(1)).alias("days"))
     all_sets = sets.agg(F.collect_list(F.struct("present", "days")).alias("sets"))  # one row: sets of tickers, days at most
     covered = F.filter("sets", lambda s: F.size(F.array_except("own", s["present"])) == 0)
@@ -83,12 +83,12 @@ def diagnose(positions: DataFrame, prices: DataFrame, rates: DataFrame, cash: Da
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     of = lambda df, code, about: df.select("book", code.alias("code"), about.cast("string").alias("about")).where("code is not null")
     none = F.lit(None)
-    p = positions.join(prices.select("ticker", "day"), "ticker", "left")
+    p = positions.join(F.broadcast(prices.select("ticker", "day")), "ticker", "left")  # a row per ticker
     priced = finite("px") & (F.col("px") > 0) & finite("value")
     found = of(p, F.when(~priced, "price_missing").otherwise(_age(F.col("day"), as_of, policy.price_days, "price")), F.col("ticker"))
     found = found.unionByName(of(positions.where("assumed").select("book").distinct(), F.lit("currency_assumed"), none))
     needed = positions.select("book", "ccy").unionByName(cash.where(F.abs("amount") > 1e-12).select("book", "ccy")).distinct().where(F.col("ccy") != base)
-    quoted = needed.withColumn("pair", F.when(F.col("ccy") == "GBX", "GBP").otherwise(F.col("ccy"))).join(rates.select(F.col("ccy").alias("pair"), "rate", "day", "invalid", "gap"), "pair", "left")
+    quoted = needed.withColumn("pair", F.when(F.col("ccy") == "GBX", "GBP").otherwise(F.col("ccy"))).join(F.broadcast(rates.select(F.col("ccy").alias("pair"), "rate", "day", "invalid", "gap")), "pair", "left")  # a row per currency
     good = finite("rate") & (F.col("rate") > 0)
     found = found.unionByName(of(quoted, F.when(~F.coalesce(good, F.lit(False)), "fx_missing_invalid").otherwise(_age(F.col("day"), as_of, policy.fx_days, "fx")), F.col("ccy")))
     found = found.unionByName(of(quoted, F.when(F.col("invalid") > 0, "fx_history_invalid"), F.col("ccy"))).unionByName(of(quoted, F.when(F.col("gap") > policy.fx_days, "fx_history_gap"), F.col("ccy")))

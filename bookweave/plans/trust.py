@@ -9,7 +9,7 @@ from bookweave.operators import market, trust
 from bookweave.plans import risk
 from bookweave.plans.registry import query
 from bookweave.plans.scratch import stage_table
-from bookweave.plans.valuation import FOLD, base_trades, cash_of, native_cash, prices_of, refused_books, value_positions
+from bookweave.plans.valuation import FOLD, accounts, base_trades, cash_of, native_cash, prices_of, refused_books, value_positions
 from bookweave.sources import tables
 
 AS_OF = "2001-11-08"
@@ -50,7 +50,7 @@ SQL = FOLD + risk.RETURNS + """
 
 def _diagnosed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     trades = base_trades(spark, sf_dir)
-    p = stage_table(value_positions(spark, sf_dir, trades).select("book", "ticker", "ccy", "qty", "px", "value"), "positions")
+    p = value_positions(spark, sf_dir, trades).select("book", "ticker", "ccy", "qty", "px", "value")
     prices = prices_of(trades)
     held = p.where("qty <> 0").select("book", "ticker", "ccy", F.when((F.col("book") % 13 != 0) | (F.col("ticker") != "Brand#31"), F.col("px")).alias("px"), "value", (F.col("book") % 11 == 0).alias("assumed"))
     last = market.latest(prices, "ticker", "d", "px").select("ticker", F.when(F.col("ticker") != "Brand#25", F.col("d")).alias("day"))
@@ -59,7 +59,7 @@ def _diagnosed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     found = market.fx_issues(given, 0)
     counts = found.groupBy("ccy").agg(F.max(F.when(F.col("code") == "invalid history", F.col("n"))).alias("invalid"), F.max(F.when(F.col("code") == "history gap", F.col("n"))).alias("gap"))
     rates = sound.join(counts, "ccy", "left").na.fill(0, ["invalid", "gap"])
-    cash = native_cash(trades, tables.flows(spark, sf_dir)).join(refused_books(trades), "book", "left_anti").withColumnRenamed("cash", "amount")
+    cash = native_cash(accounts(trades), tables.flows(spark, sf_dir)).join(refused_books(trades), "book", "left_anti").withColumnRenamed("cash", "amount")
     foreign = market.calendar_fill(market.with_base(given).where("ccy <> 'USD'"), "ccy", "d", "rate")
     returns = risk.daily_returns(spark, sf_dir, prices).select("ticker", "d", "r").unionByName(market.returns(foreign, "ccy", "d", "rate").select(F.concat(F.lit("CASH:"), "ccy").alias("ticker"), "d", "r"))
     required = held.select("book", "ticker").unionByName(cash.where("ccy <> 'USD' and abs(amount) > 1e-12").select("book", F.concat(F.lit("CASH:"), "ccy").alias("ticker"))).distinct()
