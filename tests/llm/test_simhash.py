@@ -193,3 +193,67 @@ def test_appended_and_truncated_copies_are_found(spark):
         texts += [" ".join(base), " ".join(base + fresh(more)) if i % 3 == 0 else " ".join(fresh(more) + base) if i % 3 == 1 else " ".join(base[:-more])]
     texts += [" ".join(fresh(160) + footer) for _ in range(20)] + ["", " ", "a b", "a  b"]
     assert len(set(check_near(spark, texts))) < len(texts) - 40
+
+
+def without_prefix_filter(monkeypatch):
+    """From now on the buckets of the prefix filter are empty, so what is joined was linked by SimHash."""
+
+    def nothing(least):
+        names = ["key", "id", "size", "place", "early", "head", "fits", "more", "s1", "s2", "first"]
+
+        def run(batches):
+            import pyarrow as pa
+
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=names)
+
+        return run
+
+    monkeypatch.setattr(simhash, "_collisions", nothing)
+
+
+def edited(rng, words, edits):
+    new = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        new[at] = f"x{rng.randrange(10**6)}"
+    return new
+
+
+def test_simhash_alone_joins_close_texts_and_checks_each_link(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(base), " ".join(edited(rng, base, 1)), " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))]
+    # The same words in another order: equal fingerprints, no shingle of five words in common.
+    texts += [" ".join(reversed(texts[0].split())), "", " "]
+    near = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    fps = [simhash.set_fingerprint(t, simhash.SIMHASH_WORDS)[0] for t in texts]
+    assert fps[0] == fps[120] and not near[0] & near[120]
+    close = [i for i in range(0, 120, 3) if (fps[i] ^ fps[i + 1]).bit_count() <= simhash.SIMHASH_RADIUS]
+    assert len(close) > 20
+    without_prefix_filter(monkeypatch)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.group for r in simhash.near_duplicates(df).collect()}
+    assert got == {i: i - 1 if i - 1 in close else 121 if i == 122 else i for i in range(len(texts))}
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(got.values())
+
+
+def test_prefix_filter_compares_only_what_simhash_left_apart(spark, monkeypatch):
+    rng = random.Random(22)
+    texts = []
+    for _ in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(base), " ".join(edited(rng, base, 1)), " ".join(edited(rng, base, 5))]
+    compared, old = [], simhash._alike
+
+    def seen(pairs, *rest):
+        compared.append({(r.a, r.b) for r in pairs.collect()})
+        return old(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_alike", seen)
+    want = check_near(spark, texts)
+    assert len(set(want)) == 20
+    assert len(compared[0]) > 10 and not compared[0] & set().union(*compared[1:])
+    assert len(set().union(*compared[1:])) < 60
