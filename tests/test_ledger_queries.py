@@ -32,7 +32,7 @@ def few(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["agg16_fin4_account_summary", "win5_win7_account_path", "win6_dated_lots", "win8_attribution"])
+@pytest.mark.parametrize("name", ["agg16_fin4_account_summary", "win5_win7_account_path", "win6_dated_lots", "win8_attribution", "win8_reconciliation"])
 def test_few_trades(spark, few, name):
     con = duckdb.connect()
     for t in ("customer", "part", "orders", "lineitem"):
