@@ -336,9 +336,9 @@ def src1_prj1_prj6_staged_files(spark, sf_dir):
     path = f"{scratch_root(spark)}/drop-{uuid.uuid4().hex}"
     t = tables.trades(spark, sf_dir)
     t.select(
-        F.col("seq").alias("Order ID"), F.col("ticker").alias("Instrument-Code"), F.col("q").alias("Position_Size"), F.col("d").alias("Executed At"), F.concat(F.lit("a"), F.col("book") % 3).alias("Account ID")
-    ).write.option("header", True).option("maxRecordsPerFile", 500_000).csv(path)  # some 25 MB a file, whatever the tasks
-    _, rows, issues = staging.stage_files(spark, f"{path}/*.csv", "session")
+        F.col("seq").alias("Order ID"), F.col("ticker").alias("Instrument-Code"), F.col("q").alias("Position_Size"), F.col("d").alias("Executed At"), F.concat(F.lit("a"), F.col("book") % 3).alias("Account ID"), F.lit(0).alias("drop")
+    ).write.partitionBy("drop").option("header", True).option("maxRecordsPerFile", 500_000).csv(path)  # some 25 MB a file, whatever the tasks; without a folder by value, a first task with no rows would leave a file of a header
+    _, rows, issues = staging.stage_files(spark, path, "session")
     by = rows.groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("ids"), F.sum(scalars.clean_number(F.col("roles")["quantity"])).alias("quantity"))
     return rounded(by.join(F.broadcast(issues.agg(F.count(F.lit(1)).alias("issues")))), 2)
 

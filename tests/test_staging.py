@@ -117,3 +117,15 @@ def test_a_file_is_parsed_without_a_text_of_its_size():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < len(data) + (8 << 20)
+
+
+def test_a_first_task_without_rows_drops_no_file(spark, monkeypatch):
+    from bookweave.plans import runs
+    from bookweave.sources import tables
+
+    sparse = spark.range(0, 8, 1, 4).where("id > 2").selectExpr("id as seq", "'A' as ticker", "1.0D as q", "date'2024-01-02' as d", "id % 2 as book")
+    monkeypatch.setattr(tables, "trades", lambda *a: sparse)
+    got = sorted((r.account, r.n, r.ids, r.quantity, r.issues) for r in runs.src1_prj1_prj6_staged_files(spark, "").collect())
+    assert got == [("a0", 2, 2, 2.0, 0), ("a1", 3, 3, 3.0, 0)]
+    monkeypatch.setattr(tables, "trades", lambda *a: sparse.where("id > 9"))
+    assert runs.src1_prj1_prj6_staged_files(spark, "").count() == 0
