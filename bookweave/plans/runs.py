@@ -261,7 +261,8 @@ def _drop_trades(spark, sf_dir, root: str) -> None:
     orders = {"brokerage": list(cells), "backwards": list(reversed(cells))}
 
     def write(rows: DataFrame, name: str, header: list[str]) -> None:
-        by_file = rows.select("file", *(cells[h].alias(h) for h in header)).repartition(64, "file").sortWithinPartitions("file", F.col("Order ID").cast("long"))
+        # by all cells, as several trades may have one number: equal files must be equal in each byte
+        by_file = rows.select("file", *(cells[h].alias(h) for h in header)).repartition(64, "file").sortWithinPartitions("file", F.col("Order ID").cast("long"), *cells)
         by_file.write.partitionBy("file").option("header", True).option("emptyValue", "").csv(f"{root}/{name}")
 
     write(t.where(kind < 4), "brokerage", orders["brokerage"])

@@ -129,3 +129,22 @@ def test_a_first_task_without_rows_drops_no_file(spark, monkeypatch):
     assert got == [("a0", 2, 2, 2.0, 0), ("a1", 3, 3, 3.0, 0)]
     monkeypatch.setattr(tables, "trades", lambda *a: sparse.where("id > 9"))
     assert runs.src1_prj1_prj6_staged_files(spark, "").count() == 0
+
+
+def test_a_file_dropped_twice_is_equal_in_each_byte(spark, monkeypatch, tmp_path):
+    import random
+
+    from bookweave.plans import runs
+    from bookweave.sources import tables
+
+    def in_any_order(batches):
+        for rows in batches:
+            at = list(range(len(rows)))
+            random.shuffle(at)
+            yield rows.iloc[at]
+
+    tied = spark.range(0, 50, 1, 1).selectExpr("id as book", "concat('T', id % 3) as ticker", "date'2024-01-02' as d", "64L * (id % 2) as seq", "cast(id as double) as q")
+    monkeypatch.setattr(tables, "trades", lambda *a: tied.mapInPandas(in_any_order, tied.schema))
+    runs._drop_trades(spark, "", str(tmp_path / "drop"))
+    one, again = ([f.read_bytes() for f in (tmp_path / "drop" / name / "file=0").glob("*.csv")] for name in ("brokerage", "again"))
+    assert one == again and len(one) == 1 and len(one[0].splitlines()) == 51
