@@ -8,6 +8,8 @@ that removes too little leaves an issue, under another id as its records are oth
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +34,40 @@ def source_basis(records: DataFrame) -> DataFrame:
     return records.groupBy("source").agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *order_free(row)), 256).alias("basis"))
 
 
-def detect(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def packed(text: Column) -> Column:
+    """text as bytes, digests in half of their length: what a shuffle or a table takes of it. unpacked undoes it."""
+    return F.when(text.rlike(r"\A([0-9a-f]{2})+\z"), F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), F.encode(text, "utf-8")))
+
+
+def unpacked(code: Column) -> Column:
+    rest = F.substring(code, 2, 2**31 - 1)
+    return F.when(F.substring(code, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "utf-8"))
+
+
+def detect(records: DataFrame, contents: bool = True) -> tuple[DataFrame, DataFrame]:
     """(issues, members): blocking issues (issue_id, code, account, key, n) and the records (issue_id, record_id, source) of each.
 
     Of records of one account: several under one transaction id are a `transaction_duplicate`
     where all agree, else a `transaction_id_conflict`; equal contents under different ids or
-    none are a `transaction_match_ambiguous`. Records without an account take no part.
-    An id names the code, the account, the key and the set of records.
+    none are a `transaction_match_ambiguous`, which is not looked for without contents.
+    Records without an account take no part. An id names the code, the account, the key and
+    the set of records.
     """
     own = records.where("account is not null and kind <> 'holdings'")
-    of_id = own.where("transaction_id is not null").groupBy("account", F.col("transaction_id").alias("key")).agg(F.count(F.lit(1)).alias("n"), (F.min("sig") == F.max("sig")).alias("same"), F.concat_ws("|", *order_free(F.col("record_id"))).alias("set"))
-    of_id = of_id.where("n > 1").withColumn("code", F.when(F.col("same"), "transaction_duplicate").otherwise("transaction_id_conflict"))
-    of_sig = own.groupBy("account", F.col("sig").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("transaction_id").alias("a"), F.max("transaction_id").alias("b"), F.count_if(F.col("transaction_id").isNull()).alias("without"), F.concat_ws("|", *order_free(F.col("record_id"))).alias("set"))
-    of_sig = of_sig.where("n > 1 and (without > 0 or a < b)").withColumn("code", F.lit("transaction_match_ambiguous"))
+    # Numbers of the signature's digest agree where signatures do, and are kept in a hash table, so records are not sorted for it.
+    parts = [F.conv(F.substring(F.sha2("sig", 256), 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    same = reduce(and_, (F.min(p) == F.max(p) for p in parts))
+    found = own.where("transaction_id is not null").groupBy("account", packed(F.col("transaction_id")).alias("key")).agg(F.count(F.lit(1)).alias("n"), same.alias("same"), F.concat_ws("|", *order_free(F.col("record_id"))).alias("set"))
     columns = ("code", "account", "key", "n", "set")
-    found = of_id.select(*columns).unionByName(of_sig.select(*columns))
-    issues = stage_table(found.select(F.sha2(F.concat_ws("\x1f", "code", "account", "key", "n", "set"), 256).alias("issue_id"), "code", "account", "key", "n"), "found")
+    found = found.where("n > 1").withColumn("code", F.when(F.col("same"), "transaction_duplicate").otherwise("transaction_id_conflict")).select(*columns)
+    if contents:
+        # Few contents agree within a task, so records are shuffled as they are: what an aggregate holds of one takes more.
+        rows = own.select("account", packed(F.col("sig")).alias("key"), "transaction_id", "record_id").repartition("account", "key")
+        of_sig = rows.groupBy("account", "key").agg(F.count(F.lit(1)).alias("n"), F.min("transaction_id").alias("a"), F.max("transaction_id").alias("b"), F.count_if(F.col("transaction_id").isNull()).alias("without"), F.concat_ws("|", *order_free(F.col("record_id"))).alias("set"))
+        of_sig = of_sig.where("n > 1 and (without > 0 or a < b)").withColumn("code", F.lit("transaction_match_ambiguous"))
+        found = found.unionByName(of_sig.select(*columns))
+    told = F.sha2(F.concat_ws("\x1f", "code", "account", unpacked(F.col("key")), "n", "set"), 256)
+    issues = stage_table(found.select(F.unhex(told).alias("issue_id"), "code", "account", "key", "n"), "found").withColumns({"issue_id": F.lower(F.hex("issue_id")), "key": unpacked(F.col("key"))})
     return issues, members_of(records, issues)
 
 
@@ -119,18 +139,20 @@ def replay(records: DataFrame, log: Log) -> View:
     confirmation has the digest of now.
     """
     last = log.events.where("issue_id is not null").groupBy("issue_id").agg(F.max_by(F.struct("seq", "event", "action"), "seq").alias("x")).select("issue_id", "x.*")
-    now = source_basis(records).select("source", F.col("basis").alias("now"))
+    now = stage_table(source_basis(records).select("source", F.col("basis").alias("now")), "now")
     seen = log.bases.join(now, "source", "left").groupBy("seq", "issue_id").agg(F.bool_and(F.coalesce(F.col("basis") == F.col("now"), F.lit(False))).alias("same"))
     state = F.when(F.col("event") == "reversal", "reversed").when(F.coalesce("same", F.lit(False)), "active").otherwise("void")
     decisions = stage_table(last.join(seen, ["seq", "issue_id"], "left").select("issue_id", "seq", "action", state.alias("state")), "decisions")
     active = decisions.where("state = 'active'")
-    gone = log.targets.join(active.select("seq", "issue_id"), ["seq", "issue_id"]).select("kind", "target").distinct()
-    kept = records
+    gone = stage_table(log.targets.join(active.select("seq", "issue_id"), ["seq", "issue_id"]).select("kind", "target").distinct(), "gone")
+    removes = {r.kind for r in gone.select("kind").distinct().collect()}  # three at most; what nothing removes by needs no join
+    kept = records.withColumn("sig", packed(F.col("sig")))
     for kind, column in (("source", "source"), ("part", "part"), ("record", "record_id")):
-        kept = kept.join(gone.where(F.col("kind") == kind).select(F.col("target").alias(column)), column, "left_anti")
-    kept = stage_table(kept.select(*records.columns), "kept")
+        if kind in removes:
+            kept = kept.join(gone.where(F.col("kind") == kind).select(F.col("target").alias(column)), column, "left_anti")
+    kept = stage_table(kept.select(*records.columns), "kept").withColumn("sig", unpacked(F.col("sig")))
     both = active.where("action = 'keep_both'").select("issue_id", F.lit(True).alias("settled"))
-    issues = stage_table(detect(kept)[0].join(both, "issue_id", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "issues")
+    issues = detect(kept)[0].join(both, "issue_id", "left").withColumn("open", F.col("settled").isNull()).drop("settled")
     digest = content_digest(
         now.select(F.lit("basis").alias("what"), F.col("source").alias("a"), F.col("now").alias("b")).unionByName(active.select(F.lit("decision").alias("what"), F.col("issue_id").alias("a"), F.concat_ws("#", "seq", "action").alias("b"))).unionByName(kept.select(F.lit("kept").alias("what"), F.col("record_id").alias("a"), F.lit("").alias("b")))
     )

@@ -21,9 +21,9 @@ def _review_records(spark, sf_dir) -> DataFrame:
 
 def _decided(recs: DataFrame) -> decisions.Log:
     """A log over the issues of one transaction id: by the least record number n of an issue, n % 6 = 0, 1 or 4 exclude all but it, 2 keeps both, 3 defers; 1 is reversed later, and 4 saw other sources."""
-    issues = decisions.detect(recs)[0].where("code <> 'transaction_match_ambiguous'")
-    numbered = stage_table(decisions.members_of(recs, issues).withColumn("number", F.col("record_id").cast("long")), "members")
-    members = numbered.drop("number")
+    issues = decisions.detect(recs, contents=False)[0]
+    members = stage_table(decisions.members_of(recs, issues), "members")
+    numbered = members.withColumn("number", F.col("record_id").cast("long"))
     least = numbered.groupBy("issue_id").agg(F.min("number").alias("first"))
     told = stage_table(least.withColumn("m", F.col("first") % 6), "review")
     excludes = F.col("m").isin(0, 1, 4)
@@ -48,7 +48,7 @@ UNION ALL SELECT 'open transaction_match_ambiguous', count(*) FROM by_sig HAVING
 """)
 def dq8_dq9_review_log(spark, sf_dir):
     """The review log replayed over all records: decisions by state, what is kept, and the issues that are open on that."""
-    recs = stage_table(_review_records(spark, sf_dir), "records")
+    recs = _review_records(spark, sf_dir)  # made of line items alone: to read these again takes no disk
     view = decisions.replay(recs.drop("number"), _decided(recs))
     states = view.decisions.groupBy(F.concat(F.lit("decision "), "state").alias("what")).agg(F.count(F.lit(1)).alias("n"))
     issues = view.issues.groupBy(F.concat(F.when(F.col("open"), "open ").otherwise("settled "), F.col("code")).alias("what")).agg(F.count(F.lit(1)).alias("n"))

@@ -67,6 +67,23 @@ def test_issues_are_found_again_on_the_rest(spark):
     assert not decisions.replay(recs.limit(0), decisions.empty_log(spark)).can_progress
 
 
+def test_only_what_removes_records_is_joined(spark, monkeypatch):
+    recs = records(spark, ("1", "f", "a", "T", "x"), ("2", "f", "a", "T", "x"), ("3", "f", "a", None, "00ff"), ("4", "g", "a", "U", "00ff"))
+    _, log = decide(spark, decisions.empty_log(spark), 1, recs, "transaction_duplicate", "exclude_records", removed=[("record", "2")])
+    plans, stage = {}, decisions.stage_table
+    monkeypatch.setattr(decisions, "stage_table", lambda df, label, *a: plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and stage(df, label, *a))
+    view = decisions.replay(recs, log)
+    assert plans["kept"].count("LeftAnti") == 1 and [(r.record_id, r.sig) for r in view.kept.orderBy("record_id").collect()] == [("1", "x"), ("3", "00ff"), ("4", "00ff")]
+    assert [r.key for r in view.issues.collect()] == ["00ff"]
+    assert decisions.detect(view.kept, contents=False)[0].count() == 0
+
+
+def test_packed_text_comes_back(spark):
+    texts = ["", "x", "a", "ab", "AB", "00", "0f" * 32, "\x01", "é", None, "ab\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", decisions.packed(F.col("t")).alias("p")).select("t", F.length("p").alias("n"), decisions.unpacked(F.col("p")).alias("back")).collect()
+    assert all(r.back == r.t for r in rows) and {r.t: r.n for r in rows}["0f" * 32] == 33
+
+
 GATE = "account string, part string, kind string, ticker string, type string, day date, at string, ccy string, price double, snapshot_day date, qty double"
 
 
